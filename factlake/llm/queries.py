@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .mixing import mix_plan
+from .neardup import near_duplicates
 from .quality import quality
 
 
@@ -29,6 +30,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(round_trip(_read(spark, sf_dir, "documents")))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def bpe_digests(coded: DataFrame) -> DataFrame:
     """Digests of ids and of the text that was decoded from them."""
     return coded.select(
@@ -41,5 +46,5 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op7_mixing, op8_bpe)
+    for f in (op2_quality_rules, op7_mixing, op8_bpe, op10_neardup)
 }
