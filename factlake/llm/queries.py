@@ -11,6 +11,7 @@ from .bpe import round_trip
 from .mixing import mix_plan
 from .neardup import near_duplicates
 from .quality import quality
+from .secrets import scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +22,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_read(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(
+        F.transform(c, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ","
+    )
+    of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        of("assign"),
+        of("access"),
+        of("hex"),
+        F.sha2(listed(F.filter("findings", lambda f: f["kind"] != "model")), 256).alias("base_sha256"),
+        listed("findings").alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,5 +63,5 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op7_mixing, op8_bpe, op10_neardup)
+    for f in (op2_quality_rules, op5_secrets, op7_mixing, op8_bpe, op10_neardup)
 }
