@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trip
+from .html import extract
 from .mixing import mix_plan
 from .neardup import near_duplicates
 from .quality import quality
@@ -22,6 +23,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = extract(_read(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_read(spark, sf_dir, "documents"))
     listed = lambda c: F.array_join(
@@ -63,5 +69,5 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op5_secrets, op7_mixing, op8_bpe, op10_neardup)
+    for f in (op2_quality_rules, op4_html, op5_secrets, op7_mixing, op8_bpe, op10_neardup)
 }
