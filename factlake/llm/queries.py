@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .bpe import round_trip
 from .html import extract
 from .mixing import mix_plan
@@ -53,6 +54,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(round_trip(_read(spark, sf_dir, "documents")))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -69,5 +74,5 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op4_html, op5_secrets, op7_mixing, op8_bpe, op10_neardup)
+    for f in (op2_quality_rules, op4_html, op5_secrets, op7_mixing, op8_bpe, op9_ann, op10_neardup)
 }
