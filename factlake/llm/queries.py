@@ -14,6 +14,7 @@ from .mixing import mix_plan
 from .neardup import near_duplicates
 from .quality import quality
 from .secrets import scan
+from .substring import dedup_substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_substrings(_read(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = extract(_read(spark, sf_dir, "pages"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
@@ -74,5 +82,5 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op4_html, op5_secrets, op7_mixing, op8_bpe, op9_ann, op10_neardup)
+    for f in (op2_quality_rules, op3_substrings, op4_html, op5_secrets, op7_mixing, op8_bpe, op9_ann, op10_neardup)
 }
