@@ -30,22 +30,24 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in wanted.items()))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_path(spark: SparkSession) -> str:
     """The cluster's shared folder as the session names it; a folder of our own only where none is set (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="factlake-checkpoint-")
     sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: later steps read files and not the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_path(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

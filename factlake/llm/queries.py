@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from .ann import search
 from .bpe import round_trip
 from .html import extract
+from .licenses import scan as scan_licenses
 from .mixing import mix_plan
 from .neardup import near_duplicates
 from .quality import quality
 from .secrets import scan
 from .substring import dedup_substrings
+from .tokencount import section_tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +59,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_read(spark, sf_dir, "documents"))
+    shown = lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["name"]))), ",").alias("names"),
+        F.array_join(F.transform("licenses", shown), ",").alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -82,5 +100,5 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_substrings, op4_html, op5_secrets, op7_mixing, op8_bpe, op9_ann, op10_neardup)
+    for f in (op1_token_counts, op2_quality_rules, op3_substrings, op4_html, op5_secrets, op6_licenses, op7_mixing, op8_bpe, op9_ann, op10_neardup)
 }
