@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, cut
 
 #: Elements that hold no main text, elements that end a block, elements without an end tag.
 SKIPPED = set("script style noscript template svg math iframe object head nav header footer aside form button select textarea dialog menu".split())
@@ -59,6 +59,11 @@ _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
+#: Up to so many hosts, a row of some 100 bytes each, their paths are broadcast; beyond, pages and paths are shuffled.
+FEW_HOSTS = 50_000
+SALTS = 32
+
+
 def host_of(url: str | None) -> str | None:
     m = _HOST.match(url or "")
     return m[1].lower() if m else None
@@ -241,7 +246,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     df = columns(pages, page_id=id_col, url=url_col, html=html_col)
     paths = winning_paths(votes(pages, html_col, url_col))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    joined = df.withColumn("host", host).join(paths, "host", "left").select("page_id", "url", "html", "path")
+    paths, placed = cut(paths), df.withColumn("host", host)
+    if paths.count() <= FEW_HOSTS:
+        joined = placed.join(F.broadcast(paths), "host", "left")
+    else:
+        # a host with many pages goes to SALTS tasks
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)))
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        joined = placed.join(paths.withColumn("salt", salts), ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,12 +7,15 @@
    the whole sets, else a bound that a linked pair misses with a probability below 1e-9.  Of two sketches that share
    c values, the |sketch| - c + 1 rarest of each, in one order, have one in common: only these go to inverted lists,
    so words and passages that many texts hold make no lists unless they make up most of a text.
-3. In each list, every member is held against one, the list's head.  Confirmed links give components, and only members
-   of different components of a list are held against each other, those outside a list's largest component against
-   the rest.  No list emits all its pairs, and none is capped.
-4. A pair goes on if its sizes allow the similarity and if the union sketch's estimate reaches the bound of step 2;
+3. A list of more than ``CROWD`` sketches says little: its members, and only they, are indexed again by their whole sets,
+   whose bound is exact and tight.  A text a quarter of which no other of them has makes no list at all there.
+4. In each list, every member is held against one, the list's head.  Confirmed links give components.  While members
+   outside the largest components could make many pairs, they are held against another head, a member of the list's
+   largest component; then what is left is held against all members of other components.  No list emits all its
+   pairs, and none is capped.
+5. A pair goes on if its sizes allow the similarity and if the union sketch's estimate reaches the bound of step 2;
    then the exact similarity of the full sets decides.
-5. Links are closed to components by passing least labels along and doubling; nothing is collected.
+6. Links are closed to components by passing least labels along and doubling; nothing is collected.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing.  A null id
 can't be linked: its component is null and it is kept.  Repeated rows are returned each; if one id has several texts,
@@ -23,12 +26,11 @@ table gives an empty table.  Other columns don't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, cut, fresh, shingle_hashes, word_hashes
@@ -39,6 +41,10 @@ NUM, DEN = 75, 100
 K = 64
 #: Of K values of a union with 0.75 or more of them shared, fewer are in both sketches with probability < 1e-9.
 SURE = 25
+#: Longer lists of sketches are replaced by lists of whole sets.
+CROWD = 64
+#: Further heads are tried, up to ``HEADS`` rounds, while a list entry would meet more than so many others on average.
+MEETINGS, HEADS = 2, 8
 
 
 def _set(text: str | None, k: int) -> np.ndarray:
@@ -74,18 +80,18 @@ def _least_shared(n: Column) -> Column:
     return F.when(n * DEN <= K * NUM, exact).otherwise(F.lit(SURE)).cast("int")
 
 
-def _indexed(reps: DataFrame) -> DataFrame:
-    """Inverted lists (v, rep, n): of each sketch the values, rarest first, that a linked sketch can't all miss."""
-    values = reps.select("rep", "key", "n", F.explode("sketch").alias("v"))
+def _indexed(sets: DataFrame, size: Column, least: Column) -> DataFrame:
+    """Inverted lists (v, rep, n) of sets (rep, key, n, sketch): of each the values, rarest first, that a linked set,
+    which shares at least so many of the size, can't all miss."""
+    values = sets.select("rep", "key", "n", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     mine = (
         values.join(common, "v")
         .groupBy("rep", "key", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     )
-    size = F.least(F.col("n"), F.lit(K)).cast("int")
-    # values that no other sketch has come first in the order and make no lists
-    room = size - _least_shared(F.col("n")) + 1 - (size - F.size("vs"))
+    # values that no other set has come first in the order and make no lists
+    room = size - least + 1 - (size - F.size("vs"))
     return (
         mine.filter(room > 0)
         .select("rep", "n", F.explode(F.slice("vs", 1, F.greatest(room, F.lit(1)))).alias("x"))
@@ -93,6 +99,39 @@ def _indexed(reps: DataFrame) -> DataFrame:
     )
 
 
+def _lists(reps: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """All inverted lists (v, rep, n), and the texts (rep, text) of those in them."""
+    by_sketch = cut(_indexed(reps, F.least(F.col("n"), F.lit(K)).cast("int"), _least_shared(F.col("n"))))
+    texts = cut(docs.join(by_sketch.select("rep").distinct(), "rep", "left_semi"))
+    sizes = by_sketch.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1")
+    listed = by_sketch.join(sizes, "v")
+    crowd = listed.filter(F.col("size") > CROWD).select("rep").distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_set(t.as_py(), shingle)) for t in b.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["rep", "sketch"])
+
+    kind = dict(docs.dtypes)["rep"]
+    sets = (
+        texts.join(crowd, "rep", "left_semi")
+        .select("rep", "text")
+        .mapInArrow(whole, f"rep {kind}, sketch array<bigint>")
+        .select("rep", F.xxhash64("sketch").alias("key"), F.size("sketch").cast("long").alias("n"), "sketch")
+        .filter("n > 0")
+    )
+    exact = F.ceil(F.col("n") * NUM / DEN).cast("int")
+    by_set = _indexed(sets, F.col("n").cast("int"), exact)
+    plain = listed.filter(F.col("size") <= CROWD)
+    return cut(
+        plain.select(F.struct(F.lit(0).alias("by"), "v").alias("v"), "rep", "n").union(
+            by_set.select(F.struct(F.lit(1).alias("by"), "v").alias("v"), "rep", "n")
+        )
+    ), texts
+
+
 def _could_link(n_a: Column, n_b: Column) -> Column:
     return DEN * F.least(n_a, n_b) >= NUM * F.greatest(n_a, n_b)
 
@@ -167,21 +206,39 @@ def _heads(lists: DataFrame) -> DataFrame:
     return lists.join(head, "v").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of a list that are in different components, but for pairs within the list's largest."""
+def _apart(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lists with several components: their entries (v, rep, n, label), and per list its largest component,
+    how many entries are outside it, and how many there are."""
     own = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
     parts = own.groupBy("v", "label").agg(F.count("*").alias("m"))
-    top = parts.groupBy("v").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    own = own.join(top.select("v", "top"), "v")
-    rest = own.filter("label <> top").select("v", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    met = rest.join(own.select("v", "rep", "label", "n"), "v").filter(
+    tops = (
+        parts.groupBy("v")
+        .agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+        .select("v", F.col("top.label").alias("top"), (F.col("size") - F.col("top.m")).alias("outside"), "size")
+    )
+    return own.join(tops.select("v", "top"), "v"), tops
+
+
+def _across(entries: DataFrame) -> DataFrame:
+    """Members of a list that are in different components, but for pairs within the list's largest."""
+    rest = entries.filter("label <> top").select("v", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+    met = rest.join(entries.select("v", "rep", "label", "n"), "v").filter(
         (F.col("lx") != F.col("label")) & _could_link(F.col("nx"), F.col("n"))
     )
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
+def _next_heads(entries: DataFrame, turn: int) -> DataFrame:
+    """Each member outside its list's largest component with a member of that component, another one each turn."""
+    draw = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"))
+    heads = entries.filter("label = top").groupBy("v").agg(F.min(draw)["rep"].alias("head"))
+    met = entries.filter("label <> top").join(heads, "v")
+    return met.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -196,21 +253,28 @@ def near_duplicates(
         .select("rep", F.xxhash64("sig").alias("key"), F.col("n_shingles").alias("n"), "sketch")
         .dropDuplicates(["rep", "key"])
     )
-    lists = cut(_indexed(reps))
-    named = lists.select("rep").distinct()
-    texts = cut(
-        columns(docs, rep=id_col, text=text_col).join(named, "rep", "left_semi")
-    )
-    first = cut(_heads(lists))
-    links = cut(_confirm(first, reps, texts, shingle))
+    lists, texts = _lists(reps, columns(docs, rep=id_col, text=text_col), shingle)
+    tried = cut(_heads(lists))
+    links = cut(_confirm(tried, reps, texts, shingle))
     labels = components(links)
-    second = _across(lists, labels).join(first, ["a", "b"], "left_anti")
-    more = cut(_confirm(second, reps, texts, shingle))
+    for turn in range(HEADS + 1):
+        entries, tops = _apart(lists, labels)
+        entries = cut(entries)
+        load = tops.agg(F.sum("size").alias("rows"), F.sum(F.col("outside") * F.col("size")).alias("pairs")).first()
+        if not load["rows"]:
+            break
+        last = turn == HEADS or load["pairs"] <= MEETINGS * load["rows"]
+        pairs = cut((_across(entries) if last else _next_heads(entries, turn)).join(tried, ["a", "b"], "left_anti"))
+        more = cut(_confirm(pairs, reps, texts, shingle))
+        links = links.union(more)
+        if last:
+            break
+        tried = tried.union(pairs)
+        labels = components(links)
     # one id with several sets
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
     same = member.join(several, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b"))
-    edges = reduce(DataFrame.union, [links, more, same])
-    labels = components(edges)
+    labels = components(links.union(same))
     of_doc = (
         member.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
         .groupBy("doc_id")
