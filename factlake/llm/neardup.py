@@ -11,7 +11,7 @@
    whose bound is exact and tight.  A text a quarter of which no other of them has makes no list at all there.
 4. In each list, every member is held against one, the list's head.  Confirmed links give components.  While members
    outside the largest components could make many pairs, they are held against another head, a member of the list's
-   largest component; then what is left is held against all members of other components.  No list emits all its
+   largest component, as long as that brings them down; then what is left is held against all members of other components.  No list emits all its
    pairs, and none is capped.
 5. A pair goes on if its sizes allow the similarity and if the union sketch's estimate reaches the bound of step 2;
    then the exact similarity of the full sets decides.
@@ -43,8 +43,8 @@ K = 64
 SURE = 25
 #: Longer lists of sketches are replaced by lists of whole sets.
 CROWD = 64
-#: Further heads are tried, up to ``HEADS`` rounds, while a list entry would meet more than so many others on average.
-MEETINGS, HEADS = 2, 8
+#: Further heads are tried while a list entry would meet more than so many others on average.
+MEETINGS = 2
 
 
 def _set(text: str | None, k: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def _least_shared(n: Column) -> Column:
 
 
 def _indexed(sets: DataFrame, size: Column, least: Column) -> DataFrame:
-    """Inverted lists (v, rep, n) of sets (rep, key, n, sketch): of each the values, rarest first, that a linked set,
+    """Inverted lists (v, rep, n, place) of sets (rep, key, n, sketch): of each the values, rarest first, that a linked set,
     which shares at least so many of the size, can't all miss."""
     values = sets.select("rep", "key", "n", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -94,13 +94,16 @@ def _indexed(sets: DataFrame, size: Column, least: Column) -> DataFrame:
     room = size - least + 1 - (size - F.size("vs"))
     return (
         mine.filter(room > 0)
-        .select("rep", "n", F.explode(F.slice("vs", 1, F.greatest(room, F.lit(1)))).alias("x"))
-        .select(F.col("x.v").alias("v"), "rep", "n")
+        .select("rep", "n", (size - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", 1, F.greatest(room, F.lit(1)))).alias("at", "x"))
+        .select(F.col("x.v").alias("v"), "rep", "n", (F.col("alone") + F.col("at")).alias("place"))
     )
 
 
 def _lists(reps: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """All inverted lists (v, rep, n), and the texts (rep, text) of those in them."""
+    """All inverted lists (v, rep, n, place), and the texts (rep, text) of those in them.
+
+    The place is that of the value among all values of a whole set, from 0; it is null in lists of sketches.
+    """
     by_sketch = cut(_indexed(reps, F.least(F.col("n"), F.lit(K)).cast("int"), _least_shared(F.col("n"))))
     texts = cut(docs.join(by_sketch.select("rep").distinct(), "rep", "left_semi"))
     sizes = by_sketch.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1")
@@ -126,8 +129,8 @@ def _lists(reps: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, D
     by_set = _indexed(sets, F.col("n").cast("int"), exact)
     plain = listed.filter(F.col("size") <= CROWD)
     return cut(
-        plain.select(F.struct(F.lit(0).alias("by"), "v").alias("v"), "rep", "n").union(
-            by_set.select(F.struct(F.lit(1).alias("by"), "v").alias("v"), "rep", "n")
+        plain.select(F.struct(F.lit(0).alias("by"), "v").alias("v"), "rep", "n", F.lit(None).cast("int").alias("place")).union(
+            by_set.select(F.struct(F.lit(1).alias("by"), "v").alias("v"), "rep", "n", "place")
         )
     ), texts
 
@@ -223,10 +226,18 @@ def _apart(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _across(entries: DataFrame) -> DataFrame:
-    """Members of a list that are in different components, but for pairs within the list's largest."""
-    rest = entries.filter("label <> top").select("v", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    met = rest.join(entries.select("v", "rep", "label", "n"), "v").filter(
-        (F.col("lx") != F.col("label")) & _could_link(F.col("nx"), F.col("n"))
+    """Members of a list that are in different components, but for pairs within the list's largest.
+
+    Where whole sets have their first common value, they share one value and at most as many as follow in either; that
+    must be enough for their sizes.  A pair that could be linked passes at that value, whatever it does at others.
+    """
+    rest = entries.filter("label <> top").select(
+        "v", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px")
+    )
+    left = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place"))
+    enough = F.coalesce((NUM + DEN) * left >= NUM * (F.col("nx") + F.col("n")), F.lit(True))
+    met = rest.join(entries.select("v", "rep", "label", "n", "place"), "v").filter(
+        (F.col("lx") != F.col("label")) & _could_link(F.col("nx"), F.col("n")) & enough
     )
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
@@ -257,19 +268,20 @@ def near_duplicates(
     tried = cut(_heads(lists))
     links = cut(_confirm(tried, reps, texts, shingle))
     labels = components(links)
-    for turn in range(HEADS + 1):
+    before = None
+    while True:
         entries, tops = _apart(lists, labels)
         entries = cut(entries)
         load = tops.agg(F.sum("size").alias("rows"), F.sum(F.col("outside") * F.col("size")).alias("pairs")).first()
         if not load["rows"]:
             break
-        last = turn == HEADS or load["pairs"] <= MEETINGS * load["rows"]
-        pairs = cut((_across(entries) if last else _next_heads(entries, turn)).join(tried, ["a", "b"], "left_anti"))
-        more = cut(_confirm(pairs, reps, texts, shingle))
-        links = links.union(more)
+        # another head is worth its round while heads bring the rest down
+        last = load["pairs"] <= MEETINGS * load["rows"] or (before is not None and 10 * load["pairs"] > 7 * before)
+        pairs = cut((_across(entries) if last else _next_heads(entries, load["pairs"])).join(tried, ["a", "b"], "left_anti"))
+        links = links.union(cut(_confirm(pairs, reps, texts, shingle)))
         if last:
             break
-        tried = tried.union(pairs)
+        tried, before = tried.union(pairs), load["pairs"]
         labels = components(links)
     # one id with several sets
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""The operators over a graph; each takes DataFrames and returns DataFrames, many subjects at a time."""
