@@ -31,14 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, cut, rolling, span_hash
 
-LENGTH, GRAM = 100, 24
-#: Records of one anchor that one task holds at most (some 3 MB).
-HOT = 20_000
+LENGTH, GRAM = 100, 32
+#: Records of one anchor that one task holds at most (some 8 MB).
+HOT = 60_000
 #: Bytes of records that are worked on at a time.
 CHUNK = 1_500_000
 
@@ -173,38 +173,53 @@ _LAST = (1 << 63) - 1
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x, text): the id, last if null; a hash of the text; the text as bytes."""
+    """(id, x, text): the id, last if null; 24 bits of a hash of the text; the text as bytes."""
     text = F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))
     return columns(docs, doc_id=id_col, text=text_col).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("x"), text.alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("x"), text.alias("text")
     )
 
 
+def _pack(first: np.ndarray, size: np.ndarray, x: int, length: int) -> np.ndarray:
+    """Place, number of windows (less than 256) and text hash of records in one number each: rows of three numbers."""
+    windows = np.maximum(size - length + 1, 0)
+    return first.astype(np.int64) << 32 | windows.astype(np.int64) << 24 | x
+
+
+def _first(p: Column) -> Column:
+    return F.shiftright(p, 32)
+
+
+def _size(p: Column, length: int) -> Column:
+    return F.shiftright(p, 24).bitwiseAND(F.lit(255)) + (length - 1)
+
+
 def _records(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, id, x, first, size) of each record; a text that repeats within itself has two rows of size 0 more."""
+    """(h, id, p) of each record; a text that repeats within itself has two rows without windows more."""
+    if not 0 <= length - gram < 255:
+        raise ValueError("a record must have fewer than 256 windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], []]
                 part = b.slice(at, 256)
                 for i, x, text in zip(*(c.to_pylist() for c in part.columns)):
                     h, first, size, again = records(text, length, gram)
                     if len(again):
                         own = np.array([xxhash.xxh3_64_intdigest(f"{i}:{x}")] * 2, dtype=np.uint64).view(np.int64)
                         h, first, size = (np.concatenate(z) for z in ((h, own), (first, [0, 0]), (size, [0, 0])))
-                    for z, v in zip(out, (h, np.full(len(h), i), np.full(len(h), x), first, size)):
+                    for z, v in zip(out, (h, np.full(len(h), i), _pack(first, size, x, length))):
                         z.append(v.astype(np.int64))
-                cols = [pa.array(np.concatenate(z), pa.int64()) for z in out]
-                cols[3], cols[4] = cols[3].cast(pa.int32()), cols[4].cast(pa.int32())
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "x", "first", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in out], names=["h", "id", "p"])
 
-    return texts.select("id", "x", "text").mapInArrow(run, "h long, id long, x long, first int, size int")
+    return texts.select("id", "x", "text").mapInArrow(run, "h long, id long, p long")
 
 
 def _pieces(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, id, x, s, piece, e): the wanted records with their bytes; marks within a text have e and no piece."""
-    of_text = wanted.groupBy("id", "x").agg(F.collect_list(F.struct("h", "first", "size")).alias("records"))
+    x = F.col("p").bitwiseAND(F.lit((1 << 24) - 1))
+    of_text = wanted.groupBy("id", x.alias("x")).agg(F.collect_list(F.struct("h", "p")).alias("records"))
     joined = texts.join(of_text, ["id", "x"]).select("id", "x", "text", "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +228,9 @@ def _pieces(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
                 part = b.slice(at, 64)
                 out: list[tuple] = []
                 for i, x, text, rs in zip(*(c.to_pylist() for c in part.columns)):
-                    out += [(r["h"], i, x, r["first"], text[r["first"] : r["first"] + r["size"]], None) for r in rs if r["size"]]
-                    if any(not r["size"] for r in rs):
+                    places = [(r["h"], r["p"] >> 32, r["p"] >> 24 & 255) for r in rs]
+                    out += [(h, i, x, s, text[s : s + n + length - 1], None) for h, s, n in places if n]
+                    if not all(n for _, _, n in places):
                         out += [(x, i, x, int(s), None, int(e)) for s, e in merge(records(text, length, gram)[3])]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 cols = zip(*out) if out else [[]] * 6
@@ -279,12 +295,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         return _marks(_gather(_pieces(texts, cold, length, gram)), length)
     # hot anchors: equal records meet first, by their anchor and the hash of their bytes
     many = found.join(common.filter(F.col("n") > hot).select("h"), "h")
-    same = _record_hashes(texts, many)
-    head = F.struct("id", "x", "first")
-    heads = same.groupBy("h", "whole").agg(F.min(head).alias("head"), F.first("size").alias("size"))
-    later = same.join(heads.select("h", "whole", "head"), ["h", "whole"]).filter(head != F.col("head"))
-    marks = later.select("id", "x", F.col("first").cast("long").alias("s"), (F.col("first") + F.col("size")).cast("long").alias("e"))
-    left = cut(heads.select("h", "head.id", "head.x", "head.first", "size"))
+    same = _record_hashes(texts, many, length)
+    place = F.struct("id", "p")
+    heads = same.groupBy("h", "whole").agg(F.min(place).alias("head"))
+    later = same.join(heads, ["h", "whole"]).filter(place != F.col("head"))
+    first, x = _first(F.col("p")), F.col("p").bitwiseAND(F.lit((1 << 24) - 1))
+    marks = later.select("id", x.alias("x"), first.alias("s"), (first + _size(F.col("p"), length)).alias("e"))
+    left = cut(heads.select("h", "head.id", "head.p"))
     still = cut(left.groupBy("h").agg(F.count("*").alias("n")))
     few = left.join(still.filter(F.col("n") <= hot).select("h"), "h")
     marks = marks.union(_marks(_gather(_pieces(texts, cold.union(few), length, gram)), length))
@@ -298,15 +315,13 @@ def _gather(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("h").sortWithinPartitions("h")
 
 
-def _record_hashes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, id, x, first, size, whole): a 128-bit hash of each wanted record's bytes."""
-    of_text = wanted.groupBy("id", "x").agg(F.collect_list(F.struct("h", "first", "size")).alias("records"))
-    joined = texts.join(of_text, ["id", "x"])
-    r = joined.select("id", "x", "text", F.explode("records").alias("r")).select("id", "x", "r.*", "text")
-    return r.select(
-        "h", "id", "x", "first", "size",
-        F.md5(F.substring(F.col("text"), F.col("first") + 1, F.col("size"))).alias("whole"),
-    )
+def _record_hashes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(h, id, p, whole): a 128-bit hash of each wanted record's bytes."""
+    x = F.col("p").bitwiseAND(F.lit((1 << 24) - 1))
+    of_text = wanted.groupBy("id", x.alias("x")).agg(F.collect_list(F.struct("h", "p")).alias("records"))
+    r = texts.join(of_text, ["id", "x"]).select("id", "text", F.explode("records").alias("r"))
+    p = F.col("r.p")
+    return r.select("r.h", "id", p.alias("p"), F.md5(F.substring("text", (_first(p) + 1).cast("int"), _size(p, length).cast("int"))).alias("whole"))
 
 
 def dedup_substrings(
