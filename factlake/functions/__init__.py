@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Paging and cursors, labels and keys: what answers share."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""The registered queries over the driver's tables, and their SQL for DuckDB."""

@@ -7,6 +7,8 @@ implements it.  The projection is plain SQL that DuckDB reads too, so an oracle
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from factlake.schema import Graph
@@ -47,7 +49,7 @@ VIEWS: dict[str, str] = {
         union all
         select 'o:' || cast(o_orderkey as string), 'file:' || region || ':' || nation || '/orders',
                'Order' || cast(o_orderkey as string), nation || '.Order' || cast(o_orderkey as string), 'function',
-               cast(o_orderkey as bigint), cast(o_orderkey as bigint)
+               cast(o_orderkey as bigint), cast(o_orderkey + 1 as bigint)
         from orders join customer on o_custkey = c_custkey join ({NATIONS}) x on c_nationkey = nk
         union all
         select 'p:' || cast(p_partkey as string), 'file:derived:catalog:' || p_brand || '/' || p_type, p_name,
@@ -109,9 +111,12 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def _with_tables(sql: str, tables: dict[str, DataFrame]) -> str:
-    import re
-
-    return re.sub(rf"\b(from|join) ({'|'.join(tables)})\b", r"\1 {\2} \2", sql)
+    """The tables' names as parameters, under an alias that is theirs unless one follows."""
+    names = "|".join(tables)
+    return re.sub(
+        rf"\b(from|join) ({names})\b(?:\s+(?!join\b|left\b|where\b|group\b|on\b|union\b|cross\b)(\w+)\b)?",
+        lambda m: f"{m[1]} {{{m[2]}}} {m[3] or m[2]}", sql,
+    )
 
 
 def ctes() -> str:

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Streams of file events."""
