@@ -158,6 +158,8 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text passes the base and all ``rules``."""
     made, metric = _measured(docs, text_col)
-    return made.filter(~metric["base_failed"] & compile_rules(rules, metric)).select(
-        *(F.col(f"`{c}`") for c in docs.columns)
-    )
+    keep, place = fresh(made, "_keep", "_place")
+    # a filter would be pushed below the working columns, each of which would then be computed anew wherever it is used;
+    # it isn't pushed below a column that isn't deterministic
+    made = made.withColumn(keep, ~metric["base_failed"] & compile_rules(rules, metric)).withColumn(place, F.monotonically_increasing_id())
+    return made.filter(F.col(keep) & (F.col(place) >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
