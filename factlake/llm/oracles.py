@@ -1,3 +1,66 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others are held against brute force in ``tests/llm``."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .neardup import DEN, NUM
+from .quality import RULES, STOP_CAPITALIZED, STOP_WORDS
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_METRICS = {
+    "n_words": "n_words", "mean_word_length": "word_chars / nullif(n_words, 0)::double", "symbol_ratio": "n_symbols / nullif(word_chars, 0)::double",
+    "stop_word_ratio": "n_stop / nullif(n_words, 0)::double", "dup_line_ratio": "n_dup_lines / nullif(n_lines, 0)::double",
+    "upper_ratio": "n_upper / nullif(word_chars, 0)::double",
+}
+
+
+def _rules() -> str:
+    out = []
+    for name, least, most in RULES:
+        out += [f"coalesce({_METRICS[name]} >= {least}, false)"] if least is not None else []
+        out += [f"coalesce({_METRICS[name]} <= {most}, false)"] if most is not None else []
+    return " and ".join(out)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in (*STOP_WORDS, *STOP_CAPITALIZED))
+
+QUALITY = f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (
+    select doc_id, text, regexp_extract_all(text, '{_WORD}') as words,
+           list_filter(string_split(text, chr(10)), lambda c: regexp_matches(c, '{_WORD}')) as lines
+    from t),
+g as (
+    select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g
+    from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)),
+c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
+r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from c where n > 1) group by doc_id),
+m as (
+    select w.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+           (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+           len(lines) as n_lines, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) as n_upper,
+           len(list_filter(words, lambda c: c in ({_STOPS}))) as n_stop
+    from w left join r on w.doc_id = r.doc_id),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_rules()} as kept from b
+"""
+
+_UPPER = "".join(map(chr, range(65, 91)))
+
+NEAR_DUPLICATES = f"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') as words from documents),
+s as (
+    select distinct doc_id, array_to_string(list_slice(words, i, i + k - 1), ' ') as shingle
+    from (select doc_id, words, k, unnest(range(1, len(words) - k + 2)) as i
+          from (select doc_id, words, least(5, len(words)) as k from w where len(words) > 0))),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where {DEN} * c >= {NUM} * (a.n + b.n - c)),
+r as (select doc_id as node, doc_id as reach from documents union select r.node, e.y from r join e on e.x = r.reach)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.reach) as component_id, d.doc_id = min(r.reach) as kept
+from documents d join r on r.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY, "op10_neardup": NEAR_DUPLICATES}
