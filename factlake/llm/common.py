@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +48,23 @@ def checkpoint_path(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: later steps read files and not the lineage."""
-    checkpoint_path(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the checkpoint folder: later steps read files and not the lineage.
+
+    Shuffle files go when the driver's JVM has collected what made them.  An operator of many rounds can't wait for a
+    full heap, so the driver is asked to collect, every few seconds at most.
+    """
+    spark = df.sparkSession
+    checkpoint_path(spark)
+    out = df.checkpoint(eager=True)
+    now = time.monotonic()
+    if now - _collected[0] > 3:
+        _collected[0] = now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+_collected = [0.0]
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
