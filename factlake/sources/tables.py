@@ -87,9 +87,10 @@ class Generations:
             digests[name] = {"n": row["n"], "digest": row["digest"], "columns": table.columns}
         said = {"folder": folder, "tables": digests}
         written = self._graph(said)
-        if validate is not None and not (problems := validate(written)).isEmpty():
+        problem = validate(written).first() if validate is not None else None
+        if problem is not None:
             self._fs.delete(self._path(top), True)
-            raise ValueError(f"generation {generation} is not fit to be published: {problems.first()}")
+            raise ValueError(f"generation {generation} is not fit to be published: {problem}")
         self._write(f"gen={generation}.json", said)
         if before is not None:
             self._write("BACKUP", {"generation": before})
