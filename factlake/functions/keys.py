@@ -44,7 +44,7 @@ def location(repository: Column, path: Column, line: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """A comma-joined list as an array, trimmed, without empty items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def short_commit(commit: Column) -> Column:
@@ -57,7 +57,7 @@ def age_ms(published: Column, now: Column) -> Column:
 
 def version_parts(version: Column) -> Column:
     """A dotted version as numbers, so that arrays compare as versions do; suffixes are left out."""
-    return F.transform(F.split(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), r"\."), lambda x: x.try_cast("int") if hasattr(x, "try_cast") else x.cast("int"))
+    return F.transform(F.split(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), r"\."), lambda x: x.cast("int"))
 
 
 def ends_qualified(qualified: Column, name: Column) -> Column:
