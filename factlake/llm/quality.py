@@ -117,9 +117,11 @@ def _measured(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
         .withColumn(d, F.when(F.col(o).isNotNull(), _repeated(F.col(o))))
         .withColumn(s, F.when(repeated.isNotNull(), _placed(words, numbers, repeated)))
     )
+    # a filter on any measure would be pushed below the working columns, each of which would then be computed anew wherever
+    # it is used; it isn't pushed below a column that isn't deterministic
     made = made.withColumn(
         base,
-        F.struct(
+        F.when(F.monotonically_increasing_id() >= 0, F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(F.col(t), F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -128,7 +130,7 @@ def _measured(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
             F.size(F.col(lines)).cast("long").alias("n_lines"),
             F.length(F.regexp_replace(F.col(t), r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
             F.size(F.filter(words, lambda c: c.isin(*STOP_WORDS, *STOP_CAPITALIZED))).cast("long").alias("n_stop_words"),
-        ),
+        )),
     )
     b = F.col(base)
     per = lambda c: F.nullif(b[c].cast("double"), F.lit(0.0))
@@ -158,8 +160,6 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text passes the base and all ``rules``."""
     made, metric = _measured(docs, text_col)
-    keep, place = fresh(made, "_keep", "_place")
-    # a filter would be pushed below the working columns, each of which would then be computed anew wherever it is used;
-    # it isn't pushed below a column that isn't deterministic
-    made = made.withColumn(keep, ~metric["base_failed"] & compile_rules(rules, metric)).withColumn(place, F.monotonically_increasing_id())
-    return made.filter(F.col(keep) & (F.col(place) >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return made.filter(~metric["base_failed"] & compile_rules(rules, metric)).select(
+        *(F.col(f"`{c}`") for c in docs.columns)
+    )
