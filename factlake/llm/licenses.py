@@ -1,19 +1,18 @@
 """License scans by conditional compression.
 
-A candidate block is a run of neighbouring lines with a cue word.  It is compressed alone and with each template as a
-raw dictionary for zstandard; the share by which the template makes it smaller ranks the templates.  Starting with the
-best, a template is confirmed if the block holds its wording: the words of the template, aligned with the block's, differ
-in no more than ``SLACK`` of them, and none of the words that tell it from other licences is missing or changed.  The
-differences are reported, so a winner is never taken on its compression alone.
-
-Defined cases: a null or empty text has no blocks; lines of any length are compared whole; equal reductions go to the
-template that is first by name; several licences in one block are found one after another; repeated rows are scanned one
-by one; an empty table gives an empty table.  Other columns don't clash.
+A candidate block is a run of neighbouring lines with a cue word.  A template is confirmed wherever the block holds its
+wording: the words of the template, aligned with the block's around each place of a telling word, differ in no more than
+``SLACK`` of them, and none of the words that tell it from other licences is missing or changed.  The differences are
+reported, so a winner is never taken on its compression alone.  What was confirmed is compressed alone and with the
+template as a raw dictionary for zstandard; of findings that overlap, the one whose template saves most bytes stays.
+
+Defined cases: a null or empty text has no blocks; lines of any length are compared whole, and what stands around a
+notice has no influence; equal savings go to the template that is first by name; several licences in one block are all
+found; repeated rows are scanned one by one; an empty table gives an empty table.  Other columns don't clash.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -50,8 +49,6 @@ _CUE = re.compile(r"licen[sc]|copyright|permission is hereby|spdx|cc by|warrant"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A winner may lack or change this share of the template's words; none of its telling ones.
 SLACK = 0.2
-#: Least share by which a template must make the block smaller to be compared in words.
-LEAST = 0.1
 
 
 class License(NamedTuple):
@@ -80,6 +77,36 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def extend(words: list[str], wanted: list[str], telling: set[str]) -> tuple[int, int, list[str], list[str]] | None:
+    """The alignment of all wanted words with the first so many words that has the fewest differences.
+
+    Returns (differences, words used, missing, added), or None if a telling word would be missing.
+    """
+    never = len(words) + len(wanted) + 1
+    costs = [list(range(len(words) + 1))]
+    for w in wanted:
+        above, drop = costs[-1], never if w in telling else 1
+        row = [above[0] + drop]
+        for j, x in enumerate(words):
+            row.append(min(above[j + 1] + drop, row[j] + 1, above[j] if x == w else never * (len(wanted) + 1)))
+        costs.append(row)
+    least = min(costs[-1])
+    if least >= never:
+        return None
+    i, j = len(wanted), costs[-1].index(least)
+    used, missing, added = j, [], []
+    while i or j:
+        if i and j and words[j - 1] == wanted[i - 1] and costs[i][j] == costs[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif i and costs[i][j] == costs[i - 1][j] + (never if wanted[i - 1] in telling else 1):
+            i -= 1
+            missing.append(wanted[i])
+        else:
+            j -= 1
+            added.append(words[j])
+    return least, used, missing[::-1], added[::-1]
+
+
 class Scanner:
     """Templates with their compressors."""
 
@@ -94,49 +121,50 @@ class Scanner:
             words = [w.lower() for w in _WORD.findall(wording)]
             self.templates.append((name, zstandard.ZstdCompressor(dict_data=raw, **plain), words, set(telling)))
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """The templates by the share by which they make the block smaller, best first."""
-        data = block.encode()
+    def saved(self, piece: str, template: int) -> tuple[int, float]:
+        """The bytes, and their share, by which the template makes the piece smaller."""
+        data = piece.encode()
         alone = len(self.plain.compress(data))
-        found = [(1 - len(t[1].compress(data)) / alone, i) for i, t in enumerate(self.templates)]
-        return sorted(found, key=lambda x: (-x[0], x[1]))
+        with_it = len(self.templates[template][1].compress(data))
+        return alone - with_it, 1 - with_it / alone
+
+    def confirm(self, words: list[str], template: int, places: dict[str, list[int]]) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """Where in the words the template's wording stands, and which of its words are missing or added.
 
-    def confirm(self, words: list[str], template: int) -> tuple[int, int, list[str], list[str]] | None:
-        """Where in the words the template's wording stands, and which of its words are missing or added; or None."""
+        ``places``: the positions of each word.  A telling word is never missing, so each place of one is tried.
+        """
         _, _, wanted, telling = self.templates[template]
-        if not telling <= set(words):
-            return None
-        match = difflib.SequenceMatcher(None, words, wanted, autojunk=False)
-        same = [m for m in match.get_matching_blocks() if m.size]
-        if not same:
-            return None
-        first, last = same[0].a, same[-1].a + same[-1].size
-        present = [w for m in same for w in words[m.a : m.a + m.size]]
-        missing = list((Counter(wanted) - Counter(present)).elements())
-        added = list((Counter(words[first:last]) - Counter(present)).elements())
-        if len(missing) + len(added) > SLACK * len(wanted) or telling & set(missing):
-            return None
-        return first, last, missing, added
+        if not all(w in places for w in telling):
+            return
+        key = min(sorted(telling), key=lambda w: len(places[w]))
+        k, most = wanted.index(key), int(SLACK * len(wanted))
+        for at in places[key]:
+            before, after = words[max(0, at - k - most) : at][::-1], words[at + 1 : at + len(wanted) - k + most]
+            if (Counter(wanted) - Counter([key, *before, *after])).total() > most:
+                continue
+            left, right = extend(before, wanted[:k][::-1], telling), extend(after, wanted[k + 1 :], telling)
+            if left and right and left[0] + right[0] <= most:
+                yield at - left[1], at + 1 + right[1], left[2][::-1] + right[2], left[3][::-1] + right[3]
 
     def scan(self, text: str) -> list[License]:
-        out = []
+        out: list[License] = []
         for start, end in blocks(text):
             block = text[start:end]
-            at = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(block)]
-            found = True
-            while found and at:
-                found = False
-                piece = block[at[0][0] : at[-1][1]]
-                for reduction, template in self.rank(piece):
-                    if reduction < LEAST:
-                        break
-                    got = self.confirm([w for _, _, w in at], template)
-                    if got:
-                        first, last, missing, added = got
-                        out.append(License(start + at[first][0], start + at[last - 1][1], self.templates[template][0], reduction, " ".join(missing), " ".join(added)))
-                        at = at[:first] + at[last:]
-                        found = True
-                        break
+            at = [(m.start(), m.end()) for m in _WORD.finditer(block)]
+            words = [block[a:b].lower() for a, b in at]
+            places: dict[str, list[int]] = {}
+            for i, w in enumerate(words):
+                places.setdefault(w, []).append(i)
+            found = []
+            for template in range(len(self.templates)):
+                for first, last, missing, added in self.confirm(words, template, places):
+                    less, share = self.saved(block[at[first][0] : at[last - 1][1]], template)
+                    found.append((-less, template, first, last, share, missing, added))
+            taken = bytearray(len(at))
+            for _, template, first, last, share, missing, added in sorted(found):
+                if not any(taken[first:last]):
+                    taken[first:last] = b"\1" * (last - first)
+                    out.append(License(start + at[first][0], start + at[last - 1][1], self.templates[template][0], share, " ".join(missing), " ".join(added)))
         return sorted(out)
 
 

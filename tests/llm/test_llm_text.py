@@ -107,6 +107,25 @@ def test_licenses(spark):
     assert s.scan("This work is licensed under the GNU General Public License, version 3.")[0].name == "GPL-3.0"
 
 
+def test_licenses_inside_long_lines():
+    s = licenses.Scanner()
+    for name, (wording, _) in licenses.TEMPLATES.items():
+        for n in (0, 40, 200, 1000):
+            filler = " ".join(f"the w{i % 97} under version work" for i in range(n // 5))
+            text = f"{filler} {wording} {filler}"
+            (x,) = s.scan(text)
+            assert x.name == name and x.missing == x.added == "" and x.reduction > 0.1
+            assert wording.startswith(text[x.start : x.end]) and x.end - x.start >= len(wording) - 1
+    # several notices in one line, one with a word changed
+    text = "x " * 500 + "Released under the MIT License. " + "y " * 500 + "Released under a MIT License, licensed under the Apache License, Version 2.0. " + "z " * 500
+    assert [x.name for x in s.scan("Released under the MIT License. " * 300)] == ["MIT"] * 300
+    assert [(x.name, x.missing, x.added) for x in s.scan(text)] == [("MIT", "", ""), ("Apache-2.0", "", "")]
+    text = text.replace("under a MIT", "under MIT")
+    assert [(x.name, x.missing, x.added) for x in s.scan(text)] == [("MIT", "", ""), ("MIT", "the", ""), ("Apache-2.0", "", "")]
+    # a telling word of another version isn't the notice's
+    assert s.scan("x " * 500 + "This work is licensed under the GNU General Public License, version 4. " + "x " * 500) == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href=x>menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div class="layout"><aside>side</aside><article class="post-17"><h1>Head &amp; tail</h1>
 <p><b>One<br><p>Two&nbsp; three &lt;x&gt; <i>it
