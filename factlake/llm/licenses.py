@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-A candidate block is a run of neighbouring lines with a cue word.  A template is confirmed wherever the block holds its
+A candidate block is what stands around a cue word in its paragraph, as far as the longest template can reach; blocks that
+meet are one.  A paragraph ends at a line without a word.  A template is confirmed wherever the block holds its
 wording: the words of the template, aligned with the block's around each place of a telling word, differ in no more than
 ``SLACK`` of them, and none of the words that tell it from other licences is missing or changed.  The differences are
 reported, so a winner is never taken on its compression alone.  What was confirmed is compressed alone and with the
@@ -14,6 +15,7 @@ found; repeated rows are scanned one by one; an empty table gives an empty table
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -45,10 +47,12 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "MPL-2.0": ("This work is subject to the terms of the Mozilla Public License, version 2.0.", ("mozilla", "2.0")),
 }
 
-_CUE = re.compile(r"licen[sc]|copyright|permission is hereby|spdx|cc by|warrant", re.IGNORECASE)
+_CUE = re.compile(r"licen[sc]|copyright|permission\s+is\s+hereby|spdx|cc\s+by|warrant", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A winner may lack or change this share of the template's words; none of its telling ones.
 SLACK = 0.2
+#: So many words on either side of a cue word belong to its block: a template's wording with all that may be added to it.
+REACH = max(int((1 + SLACK) * len(_WORD.findall(wording))) for wording, _ in TEMPLATES.values())
 
 
 class License(NamedTuple):
@@ -60,23 +64,40 @@ class License(NamedTuple):
     added: str
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Runs of neighbouring lines with a cue word, as spans of characters."""
+def blocks(text: str, reach: int = REACH) -> list[tuple[int, int]]:
+    """The words around cue words within their paragraphs, as spans of characters."""
     if not _CUE.search(text):
         return []
     out: list[tuple[int, int]] = []
-    start = 0
-    for line in text.split("\n"):
-        end = start + len(line)
-        if _CUE.search(line):
-            if out and out[-1][1] == start - 1:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((start, end))
-        start = end + 1
+    for start, end in paragraphs(text):
+        words: list[re.Match[str]] = []
+        first = last = 0  # the block's words so far
+        for cue in _CUE.finditer(text, start, end):
+            words = words or list(_WORD.finditer(text, start, end))
+            at = bisect_right(words, cue.start(), key=lambda m: m.start())
+            low, high = max(0, at - 1 - reach), min(len(words), bisect_left(words, cue.end(), key=lambda m: m.start()) + reach)
+            if last and low > last:
+                out.append((words[first].start(), words[last - 1].end()))
+            first, last = low if not last or low > last else first, high
+        if last:
+            out.append((words[first].start(), words[last - 1].end()))
     return out
 
 
+def paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of lines that have words, as spans of characters."""
+    start, at, inside = 0, 0, False
+    for line in text.split("\n"):
+        if _WORD.search(line):
+            start, inside = start if inside else at, True
+        elif inside:
+            yield start, at
+            inside = False
+        at += len(line) + 1
+    if inside:
+        yield start, len(text)
+
+
 def extend(words: list[str], wanted: list[str], telling: set[str]) -> tuple[int, int, list[str], list[str]] | None:
     """The alignment of all wanted words with the first so many words that has the fewest differences.
 
@@ -120,6 +141,7 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words = [w.lower() for w in _WORD.findall(wording)]
             self.templates.append((name, zstandard.ZstdCompressor(dict_data=raw, **plain), words, set(telling)))
+        self.reach = max((int((1 + SLACK) * len(t[2])) for t in self.templates), default=0)
 
     def saved(self, piece: str, template: int) -> tuple[int, float]:
         """The bytes, and their share, by which the template makes the piece smaller."""
@@ -148,7 +170,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[License]:
         out: list[License] = []
-        for start, end in blocks(text):
+        for start, end in blocks(text, self.reach):
             block = text[start:end]
             at = [(m.start(), m.end()) for m in _WORD.finditer(block)]
             words = [block[a:b].lower() for a, b in at]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -126,6 +127,31 @@ def test_licenses_inside_long_lines():
     assert s.scan("x " * 500 + "This work is licensed under the GNU General Public License, version 4. " + "x " * 500) == []
 
 
+def test_licenses_wrapped_over_lines():
+    s = licenses.Scanner()
+    for name, (wording, _) in licenses.TEMPLATES.items():
+        for width in (12, 40, 72):
+            for mark in ("", "# ", " * "):
+                body = "\n".join(mark + line for line in textwrap.wrap(wording, width, break_on_hyphens=False, break_long_words=False))
+                text = f"Title\n{mark}\n{body}\n{mark}\n" + "other words " * 300
+                (x,) = s.scan(text)
+                assert x.name == name and x.missing == x.added == "" and text[x.start : x.end] == body.removeprefix(mark).rstrip(".")
+                assert len(licenses.blocks(text)) == 1
+    full = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    assert [x.name for x in s.scan(full)] == ["MIT-text"] and len(licenses.blocks(full)) == 3
+    # cues far from each other in one paragraph are blocks of their own; near ones are one
+    assert len(licenses.blocks("license " + "x " * 1000 + "license")) == 2 and len(licenses.blocks("license\nx\nlicense")) == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href=x>menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div class="layout"><aside>side</aside><article class="post-17"><h1>Head &amp; tail</h1>
 <p><b>One<br><p>Two&nbsp; three &lt;x&gt; <i>it
