@@ -533,6 +533,43 @@ def f8_provider_conflicts(spark, d):
     return factsets.provider_conflicts(_providers(spark, d))
 
 
+# all parts, under names fine enough that some have one provider, some several and some none
+_NAMES = "p_brand || '/' || p_type || '/' || cast(p_size as varchar)"
+_ALL_PROVIDERS = f"(select {_NAMES} as name, 'p:' || cast(p_partkey as varchar) as provider, cast(p_partkey % 3 as varchar) as version from part)"
+
+
+def _all_providers(spark, d):
+    name = F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))
+    return _table(spark, d, "part").select(
+        name.alias("name"), F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("provider"),
+        (F.col("p_partkey") % 3).cast("string").alias("version"), F.lit(None).cast("string").alias("replacement"),
+    )
+
+
+_ALL_REQUESTS = "(select distinct b || '/' || t || '/' || cast(p_size as varchar) as name from (select distinct p_brand as b from part) cross join (select distinct p_type as t from part) cross join (select distinct p_size from part))"
+
+
+def _all_requests(spark, d):
+    part = _table(spark, d, "part")
+    each = lambda c: part.select(c).distinct()
+    names = each("p_brand").crossJoin(each("p_type")).crossJoin(each("p_size"))  # brands, types and sizes are a fixed few
+    return names.select(F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name"), F.lit("1").alias("version"))
+
+
+@query(
+    f"with p as (select name, count(*) as n, min(provider) as only_one, min(version) as offered from {_ALL_PROVIDERS} group by name) select r.name, case when n is null then 'NOT_FOUND' when n > 1 then 'AMBIGUOUS' when offered <> '1' then 'VERSION_MISMATCH' else 'RESOLVED' end as status, "
+    f"case when n = 1 and offered = '1' then only_one end as provider from {_ALL_REQUESTS} r left join p on p.name = r.name",
+    graph=False,
+)
+def f6_f7_provider_status_all(spark, d):
+    return factsets.provider_status(_all_requests(spark, d), _all_providers(spark, d)).select("name", "status", "provider")
+
+
+@query(f"select name, count(distinct provider) as providers, count(distinct version) as versions, case when count(distinct version) > 1 then 'VERSION_MISMATCH' else 'AMBIGUOUS_PROVIDER' end as conflict from {_ALL_PROVIDERS} group by name having count(distinct provider) > 1 or count(distinct version) > 1", graph=False)
+def f8_provider_conflicts_all(spark, d):
+    return factsets.provider_conflicts(_all_providers(spark, d))
+
+
 @query("select kind, count(*) as n from edges where kind <> 'PACKAGE_DEPENDS_ON' group by kind")
 def f11_snapshot_edges(g):
     return factsets.snapshot_tables(g)[0].groupBy("kind").agg(F.count("*").alias("n"))

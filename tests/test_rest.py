@@ -160,3 +160,18 @@ def test_entry_imports():
     import __spark_entry__
 
     assert len(__spark_entry__.queries()) >= 60 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_part_is_a_provider(spark, sf):
+    from collections import Counter
+
+    from factlake.plans.queries import QUERIES
+
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    n = Counter(f"{r.p_brand}/{r.p_type}/{r.p_size}" for r in parts)
+    status = {r.name: r.status for r in QUERIES["f6_f7_provider_status_all"](spark, sf).collect()}
+    assert {k for k, v in status.items() if v != "NOT_FOUND"} == set(n)
+    assert {k for k, v in status.items() if v == "AMBIGUOUS"} == {k for k, v in n.items() if v > 1}
+    assert {"NOT_FOUND", "AMBIGUOUS", "VERSION_MISMATCH", "RESOLVED"} == set(status.values())
+    conflicts = {r.name: r.providers for r in QUERIES["f8_provider_conflicts_all"](spark, sf).collect()}
+    assert conflicts == {k: v for k, v in n.items() if v > 1}
