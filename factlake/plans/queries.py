@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import keys, paging
 from factlake.operators import changes, consumers, events, factsets, integrity, outline, references, search, spatial, status, traverse
-from factlake.sources.project import ctes, project
+from factlake.sources.project import VIEWS, WHOLE, ctes, project
 from factlake.sources.tables import apply_delta
 from factlake.streaming.debounce import debounce
 
@@ -21,13 +21,19 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, graph: bool = True):
-    """Register a query under its function's name, with its SQL; the graph's tables come first in it."""
+def query(sql: str | None = None, graph: bool = True, whole: bool = False, views: dict[str, str] = VIEWS):
+    """Register a query under its function's name, with its SQL; the graph's tables come first in it.
+
+    ``whole``: also as ``..._all``, over the graph with all unresolved references.
+    """
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = (lambda spark, d: f(project(spark, d))) if graph else f
+        QUERIES[f.__name__] = (lambda spark, d: f(project(spark, d, views))) if graph else f
         if sql is not None:
-            ORACLES[f.__name__] = f"{ctes()} {sql}" if graph else sql
+            ORACLES[f.__name__] = f"{ctes(views)} {sql}" if graph else sql
+        if whole:
+            QUERIES[f"{f.__name__}_all"] = lambda spark, d: f(project(spark, d, WHOLE))
+            ORACLES[f"{f.__name__}_all"] = f"{ctes(WHOLE)} {sql}"
         return f
 
     return add
@@ -260,7 +266,8 @@ def q16_impact_by_kind(g):
     union all
     select t.root, 'unresolved', r.name, null, null, null, u.stable_key from t join unresolved u on u.requested_package in (t.package_key, t.package_name)
     and (u.requested_symbol in (t.root, t.name, t.qualified_name) or ends_with(u.requested_symbol, '.' || t.name) or ends_with(u.requested_symbol, '::' || t.name))
-    join repositories r on r.stable_key = u.repository_key where u.repository_key <> t.repository_key"""
+    join repositories r on r.stable_key = u.repository_key where u.repository_key <> t.repository_key""",
+    whole=True,
 )
 def q17_cross_repository_consumers(g):
     t = g.symbols.filter(F.col("kind").isin("struct", "type")).select(F.col("stable_key").alias("root"))
@@ -282,7 +289,8 @@ def q18_package_consumers(g):
 @query(
     LOCATED + "select u.stable_key as unresolved_key, l.stable_key as root from unresolved u join located l on u.requested_package in (l.package_key, l.package_name) "
     "and (u.requested_symbol in (l.stable_key, l.name, l.qualified_name) or ends_with(u.requested_symbol, '.' || l.name) or ends_with(u.requested_symbol, '::' || l.name)) "
-    "where l.symbol_kind = 'struct' and u.repository_key <> l.repository_key"
+    "where l.symbol_kind = 'struct' and u.repository_key <> l.repository_key",
+    whole=True,
 )
 def q19_unresolved_matches_target(g):
     t = g.symbols.filter("kind = 'struct'").select(F.col("stable_key").alias("root"))
@@ -361,14 +369,15 @@ def q26_unresolved_references(g):
     LOCATED + """, naming as (select l.stable_key as root, count(*) as n from located l join unresolved u on u.file_key is not null and (u.requested_symbol = l.name or ends_with(u.requested_symbol, '.' || l.name)) where l.symbol_kind in ('struct', 'type') group by 1),
     scopes as (select repository_key, count(*) as n from unresolved where file_key is null group by 1)
     select l.stable_key as root, case when n.n is null and s.n is null then 'COMPLETE' else 'LOWER_BOUND' end as verdict, coalesce(n.n, 0) as naming, coalesce(s.n, 0) as scopes
-    from located l left join naming n on n.root = l.stable_key left join scopes s on s.repository_key = l.repository_key where l.symbol_kind in ('struct', 'type')"""
+    from located l left join naming n on n.root = l.stable_key left join scopes s on s.repository_key = l.repository_key where l.symbol_kind in ('struct', 'type')""",
+    whole=True,
 )
 def q27_completeness(g):
     s = search.located(g, g.symbols.filter(F.col("kind").isin("struct", "type"))).select(F.col("stable_key").alias("root"), "name", "repository_key")
     return status.completeness(g, s).select("root", "verdict", "naming", "scopes")
 
 
-@query("select repository_key, count(*) as n from unresolved group by 1")
+@query("select repository_key, count(*) as n from unresolved group by 1", whole=True)
 def q28_unresolved_by_repository(g):
     return status.unresolved_by_repository(g)
 
@@ -510,6 +519,14 @@ def f5_infer_package_edges(g):
     return factsets.infer_package_edges(g.unresolved.join(files, "repository_key").select("package_key", "language", "requested_package"), g.packages)
 
 
+@query("select distinct f.package_key as source_key, p.stable_key as target_key from unresolved u join files f on f.repository_key = u.repository_key join packages p on p.name = u.requested_package and p.language = u.language where p.stable_key <> f.package_key", views=WHOLE)
+def f5_infer_package_edges_all(g):
+    """Requests of a repository count for each of its packages."""
+    owners = g.files.select("package_key", "repository_key").distinct()
+    asked = g.unresolved.select("repository_key", "language", "requested_package").distinct()
+    return factsets.infer_package_edges(asked.join(owners, "repository_key"), g.packages)
+
+
 _PROVIDERS = "(select p_brand as name, p_type as provider, cast(p_size % 2 as varchar) as version, cast(null as varchar) as replacement from part where p_partkey % 97 = 0)"
 
 

@@ -175,3 +175,31 @@ def test_every_part_is_a_provider(spark, sf):
     assert {"NOT_FOUND", "AMBIGUOUS", "VERSION_MISMATCH", "RESOLVED"} == set(status.values())
     conflicts = {r.name: r.providers for r in QUERIES["f8_provider_conflicts_all"](spark, sf).collect()}
     assert conflicts == {k: v for k, v in n.items() if v > 1}
+
+
+def test_every_urgent_order_stays_unresolved(spark, sf):
+    from collections import Counter
+
+    from factlake.plans.queries import QUERIES
+
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").collect()
+    region, nation = {r.r_regionkey: r.r_name for r in read("region")}, {r.n_nationkey: r for r in read("nation")}
+    customer = {r.c_custkey: r for r in read("customer")}
+    urgent = [r for r in read("orders") if r.o_orderpriority == "1-URGENT" and r.o_custkey in customer]
+    asked = {f"unresolved:order:{r.o_orderkey}": customer[r.o_custkey] for r in urgent}
+    home = {k: region[nation[c.c_nationkey].n_regionkey] for k, c in asked.items()}
+    same = {(k, f"c:{c.c_custkey}") for k, a in asked.items() for c in customer.values() if c.c_name == a.c_name and c.c_nationkey == a.c_nationkey}
+    assert len(asked) > 100 and {tuple(r) for r in QUERIES["q19_unresolved_matches_target_all"](spark, sf).collect()} == same
+    found = QUERIES["q17_cross_repository_consumers_all"](spark, sf).filter("category = 'unresolved'").select("unresolved_key", "root").collect()
+    assert {tuple(r) for r in found} == same
+    naming = Counter(c.c_name for c in asked.values())
+    got = {r.root: (r.naming, r.verdict) for r in QUERIES["q27_completeness_all"](spark, sf).collect()}
+    assert all(got[f"c:{c.c_custkey}"][0] == naming[c.c_name] for c in customer.values())
+    assert all(v == "LOWER_BOUND" for n, v in got.values() if n)
+    few = {r.repository_key: r.n for r in QUERIES["q28_unresolved_by_repository"](spark, sf).collect()}
+    all_ = {r.repository_key: r.n for r in QUERIES["q28_unresolved_by_repository_all"](spark, sf).collect()}
+    cut = Counter("EUROPE" if home[k] == "ASIA" else "ASIA" for k in asked if int(k.rsplit(":", 1)[1]) % 13)
+    assert all(all_[k] == few[k] + cut[k.removeprefix("repository:")] for k in all_)
+    own = {f"package:sql:{region[n.n_regionkey]}:{n.n_name}": (region[n.n_regionkey], n.n_name) for n in nation.values()}
+    edges = {(p, q) for k, c in asked.items() for p, (r, _) in own.items() for q, (_, n) in own.items() if r == ("EUROPE" if home[k] == "ASIA" else "ASIA") and n == nation[c.c_nationkey].n_name and p != q}
+    assert {tuple(r) for r in QUERIES["f5_infer_package_edges_all"](spark, sf).collect()} == edges
