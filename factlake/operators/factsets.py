@@ -101,6 +101,65 @@ def provider_conflicts(providers: DataFrame) -> DataFrame:
     )
 
 
+#: How a reference says that it comes from the standard library, and what stands for a version that isn't known.
+LANG_ORIGIN, UNKNOWN_VERSION = "https://github.com/rust-lang/rust/library/", "."
+
+
+def resolve_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
+    """(name, version, status, provider) for requests (name, version): the version is part of the question.
+
+    ``providers`` (name, provider, version, lang): ``lang`` are those of the standard library.  NOT_FOUND, VERSION_UNKNOWN
+    (null, empty or "."), VERSION_MISMATCH, AMBIGUOUS or RESOLVED, which is just one with the version.  A version that
+    begins with ``LANG_ORIGIN`` asks for the standard library's, ambiguous where anyone else has the name too.
+    """
+    trim = lambda c: F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    p = providers.select(trim("name").alias("_name"), "provider", F.col("version").alias("_version"), F.coalesce("lang", F.lit(False)).alias("lang"))
+    names = p.groupBy("_name").agg(F.count_if("lang").alias("_lang"), F.count_if(~F.col("lang")).alias("_others"), F.min(F.when(F.col("lang"), F.col("provider"))).alias("_core"))
+    matching = p.filter(~F.col("lang")).groupBy("_name", "_version").agg(F.count("*").alias("_n"), F.min("provider").alias("_only"))
+    asked = requests.select("name", "version").distinct().withColumn("_name", trim("name")).withColumn("_version", trim("version"))
+    core, n = F.startswith("_version", F.lit(LANG_ORIGIN)), F.coalesce("_n", F.lit(0))
+    status = (
+        F.when(F.col("_lang").isNull() | core & (F.col("_lang") == 0), "NOT_FOUND")
+        .when(core, F.when((F.col("_lang") > 1) | (F.col("_others") > 0), "AMBIGUOUS").otherwise("RESOLVED"))
+        .when(F.col("_version").isin("", UNKNOWN_VERSION), "VERSION_UNKNOWN").when(n == 0, "VERSION_MISMATCH").when(n > 1, "AMBIGUOUS").otherwise("RESOLVED")
+    )
+    out = asked.join(names, "_name", "left").join(matching, ["_name", "_version"], "left").withColumn("status", status)
+    return out.select("name", "version", "status", F.when(F.col("status") == "RESOLVED", F.when(core, F.col("_core")).otherwise(F.col("_only"))).alias("provider"))
+
+
+def classify_conflicts(packages: DataFrame, modules: DataFrame) -> DataFrame:
+    """(conflict, name, repositories, versions, manifests), a row for each kind of conflict, lists sorted.
+
+    ``packages`` (name, repository, version, manifest): two entries of a name are ambiguous, whatever they hold, and besides
+    in conflict if their versions differ.  ``modules`` (name, repository, manifest, replacements: array of (old_path,
+    old_version, new_path, new_version, new_local)): ambiguous likewise, and besides in conflict if the sets of replacements
+    differ; so is a path and version that modules of different names replace by different targets.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    seen = lambda c: F.array_sort(F.collect_set(text(c)))
+    one = lambda df, conflict: df.select(F.lit(conflict).alias("conflict"), "name", "repositories", "versions", "manifests")
+    p = packages.groupBy("name").agg(F.count("*").alias("n"), seen("repository").alias("repositories"), seen("version").alias("versions"), seen("manifest").alias("manifests")).filter("n > 1")
+    parts = ("old_path", "old_version", "new_path", "new_version", "new_local")
+    listed = F.transform(F.coalesce("replacements", F.array()), lambda x: F.struct(*(text(x[c]).alias(c) for c in parts)))
+    m = modules.withColumn("replacements", F.array_sort(F.array_distinct(listed)))
+    none = F.array().cast("array<string>").alias("versions")
+    both = [seen("repository").alias("repositories"), seen("manifest").alias("manifests")]
+    alike = m.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("replacements").alias("sets"), *both).filter("n > 1").withColumn("versions", none)
+    source = ["old_path", "old_version"]
+    across = m.select(F.col("name").alias("module"), "repository", "manifest", F.explode("replacements").alias("r")).select("module", "repository", "manifest", "r.*")
+    across = across.groupBy(*source).agg(
+        F.count_distinct("module").alias("modules"), F.count_distinct("new_path", "new_version", "new_local").alias("targets"), *both
+    ).filter("modules > 1 and targets > 1").withColumn("versions", none).withColumn("name", F.col("old_path"))
+    replaced = one(alike.filter("sets > 1"), "REPLACE_CONFLICT")
+    # one row a path: the first version's
+    first = across.groupBy("name").agg(F.min(F.struct("old_version", "repositories", "versions", "manifests")).alias("f")).select("name", "f.*")
+    return (
+        one(p, "AMBIGUOUS_PACKAGE").unionByName(one(p.filter("size(versions) > 1"), "VERSION_MISMATCH"))
+        .unionByName(one(alike, "AMBIGUOUS_MODULE")).unionByName(replaced)
+        .unionByName(one(first, "REPLACE_CONFLICT").join(replaced.select("name"), "name", "left_anti"))
+    )
+
+
 def infer_package_edges(unresolved: DataFrame, packages: DataFrame) -> DataFrame:
     """PACKAGE_DEPENDS_ON (source_key, target_key) where just one other package has the requested (language, name).
 

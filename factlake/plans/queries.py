@@ -587,6 +587,48 @@ def f8_provider_conflicts_all(spark, d):
     return factsets.provider_conflicts(_all_providers(spark, d))
 
 
+_CRATES = f"(select {_NAMES} as name, 'p:' || cast(p_partkey as varchar) as provider, cast(p_partkey % 3 as varchar) as version, p_type = 'STANDARD' as lang from part)"
+_CORE = factsets.LANG_ORIGIN + "core"
+
+
+@query(
+    f"with c as {_CRATES}, q as (select name, version from {_ALL_REQUESTS} cross join (values ('1'), ('7'), ('.'), ('{_CORE}'), (null)) v(version)), "
+    "h as (select q.name, q.version, count(c.name) as n, count(*) filter (c.lang) as core, min(c.provider) filter (c.lang) as first_core, count(*) filter (not c.lang) as others, "
+    "count(*) filter (not c.lang and c.version = q.version) as hits, min(c.provider) filter (not c.lang and c.version = q.version) as hit from q left join c on c.name = q.name group by q.name, q.version), "
+    f"s as (select *, case when n = 0 or (version = '{_CORE}' and core = 0) then 'NOT_FOUND' when version = '{_CORE}' then case when core > 1 or others > 0 then 'AMBIGUOUS' else 'RESOLVED' end "
+    "when version is null or version = '.' then 'VERSION_UNKNOWN' when hits = 0 then 'VERSION_MISMATCH' when hits > 1 then 'AMBIGUOUS' else 'RESOLVED' end as status from h) "
+    f"select name, version, status, case when status = 'RESOLVED' then case when version = '{_CORE}' then first_core else hit end end as provider from s",
+    graph=False,
+)
+def f7_resolve_all(spark, d):
+    asked = F.explode(F.array(*(F.lit(v).cast("string") for v in ("1", "7", factsets.UNKNOWN_VERSION, _CORE, None))))
+    p = _table(spark, d, "part")
+    lang = F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("provider"), (F.col("p_type") == "STANDARD").alias("lang")
+    return factsets.resolve_providers(_all_requests(spark, d).select("name", asked.alias("version")), _all_providers(spark, d).join(p.select(*lang), "provider"))
+
+
+_MANIFESTS = f"(select {_NAMES} as name, p_name as repository, cast(p_partkey % 3 as varchar) as version, 'p:' || cast(p_partkey as varchar) as manifest, p_type in ('ECONOMY', 'PROMO', 'LARGE') as package, p_brand as old_path, p_name as new_path from part)"
+
+
+@query(
+    f"with m as {_MANIFESTS}, g as (select name, package, count(*) as n, count(distinct repository) as repositories, count(distinct version) as versions, count(distinct manifest) as manifests, count(distinct new_path) as targets from m group by name, package) "
+    "select 'AMBIGUOUS_PACKAGE' as conflict, name, repositories, versions, manifests from g where package and n > 1 union all select 'VERSION_MISMATCH', name, repositories, versions, manifests from g where package and n > 1 and versions > 1 "
+    "union all select 'AMBIGUOUS_MODULE', name, repositories, 0, manifests from g where not package and n > 1 union all select 'REPLACE_CONFLICT', name, repositories, 0, manifests from g where not package and n > 1 and targets > 1 "
+    "union all select 'REPLACE_CONFLICT', old_path, count(distinct repository), 0, count(distinct manifest) from m where not package group by old_path having count(distinct name) > 1 and count(distinct new_path) > 1",
+    graph=False,
+)
+def f8_classify_conflicts_all(spark, d):
+    t = _table(spark, d, "part")
+    text = lambda v: F.lit(v).cast("string")
+    swap = F.struct(F.col("p_brand").alias("old_path"), text("").alias("old_version"), F.col("p_name").alias("new_path"), text("").alias("new_version"), text("").alias("new_local"))
+    m = t.select(
+        F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name"), F.col("p_name").alias("repository"), (F.col("p_partkey") % 3).cast("string").alias("version"),
+        F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("manifest"), F.col("p_type").isin("ECONOMY", "PROMO", "LARGE").alias("package"), F.array(swap).alias("replacements"),
+    )
+    found = factsets.classify_conflicts(m.filter("package"), m.filter("not package"))
+    return found.select("conflict", "name", *(F.size(c).cast("long").alias(c) for c in ("repositories", "versions", "manifests")))
+
+
 @query("select kind, count(*) as n from edges where kind <> 'PACKAGE_DEPENDS_ON' group by kind")
 def f11_snapshot_edges(g):
     return factsets.snapshot_tables(g)[0].groupBy("kind").agg(F.count("*").alias("n"))

@@ -203,3 +203,35 @@ def test_every_urgent_order_stays_unresolved(spark, sf):
     own = {f"package:sql:{region[n.n_regionkey]}:{n.n_name}": (region[n.n_regionkey], n.n_name) for n in nation.values()}
     edges = {(p, q) for k, c in asked.items() for p, (r, _) in own.items() for q, (_, n) in own.items() if r == ("EUROPE" if home[k] == "ASIA" else "ASIA") and n == nation[c.c_nationkey].n_name and p != q}
     assert {tuple(r) for r in QUERIES["f5_infer_package_edges_all"](spark, sf).collect()} == edges
+
+
+def test_provider_rules(spark):
+    core = factsets.LANG_ORIGIN + "core"
+    have = [("a", "r1", "1", False), ("a", "r2", "2", False), ("b", "r1", "1", False), ("b", "r2", "1", False), ("core", "std", "x", True), ("mix", "std", "1", True), ("mix", "r1", "1", False)]
+    ask = [("a", "1"), ("a", "3"), ("a", None), ("a", "."), ("a", core), ("b", "1"), ("core", core), ("core", "x"), ("mix", core), ("mix", "1"), ("no", "1"), ("no", None), (" a ", " 2 ")]
+    got = factsets.resolve_providers(spark.createDataFrame(ask, "name string, version string"), spark.createDataFrame(have, "name string, provider string, version string, lang boolean"))
+    assert {(r.name, r.version): (r.status, r.provider) for r in got.collect()} == {
+        ("a", "1"): ("RESOLVED", "r1"), ("a", "3"): ("VERSION_MISMATCH", None), ("a", None): ("VERSION_UNKNOWN", None), ("a", "."): ("VERSION_UNKNOWN", None),
+        ("a", core): ("NOT_FOUND", None), ("b", "1"): ("AMBIGUOUS", None), ("core", core): ("RESOLVED", "std"), ("core", "x"): ("VERSION_MISMATCH", None),
+        ("mix", core): ("AMBIGUOUS", None), ("mix", "1"): ("RESOLVED", "r1"), ("no", "1"): ("NOT_FOUND", None), ("no", None): ("NOT_FOUND", None), (" a ", " 2 "): ("RESOLVED", "r2"),
+    }
+
+
+def test_conflict_rules(spark):
+    packages = [("same", "r1", "1", "m1"), ("same", "r1", "1", "m1"), ("two", "r2", "1", "m2"), ("two", "r1", "2", "m1"), ("sole", "r1", "1", "m1")]
+    swap = lambda *x: (*x, "")
+    modules = [
+        ("equal", "r1", "m1", [swap("o", "", "n", "1"), swap("q", "", "n", "")]), ("equal", "r2", "m2", [swap("q", "", "n", ""), swap("o", "", "n", "1")]),
+        ("differ", "r1", "m3", [swap("d", "", "n", "")]), ("differ", "r2", "m4", None), ("x", "r1", "m5", [swap("lib", "1", "n", "")]), ("y", "r2", "m6", [swap("lib", "1", "other", "")]),
+        ("z", "r3", "m7", [swap("lib", "2", "n", "")]),
+    ]
+    item = "array<struct<old_path:string,old_version:string,new_path:string,new_version:string,new_local:string>>"
+    got = factsets.classify_conflicts(
+        spark.createDataFrame(packages, "name string, repository string, version string, manifest string"),
+        spark.createDataFrame(modules, f"name string, repository string, manifest string, replacements {item}"),
+    )
+    assert sorted((r.conflict, r.name, ",".join(r.repositories), ",".join(r.versions), ",".join(r.manifests)) for r in got.collect()) == [
+        ("AMBIGUOUS_MODULE", "differ", "r1,r2", "", "m3,m4"), ("AMBIGUOUS_MODULE", "equal", "r1,r2", "", "m1,m2"), ("AMBIGUOUS_PACKAGE", "same", "r1", "1", "m1"),
+        ("AMBIGUOUS_PACKAGE", "two", "r1,r2", "1,2", "m1,m2"), ("REPLACE_CONFLICT", "differ", "r1,r2", "", "m3,m4"), ("REPLACE_CONFLICT", "lib", "r1,r2", "", "m5,m6"),
+        ("VERSION_MISMATCH", "two", "r1,r2", "1,2", "m1,m2"),
+    ]
