@@ -1,7 +1,8 @@
 """Main text of pages by consensus host paths.
 
 Pass 1 parses each page and scores its containers: the characters of their own blocks' prose, less what stands in links,
-divided among a container and its ancestors by closeness.  A container's path is the tag-class path from the body with
+divided among a container and its ancestors by closeness.  The best is widened to the outermost ancestor below the body, or
+up to its article or main element, that has prose of its own, such as a headline or a lead.  A container's path is the tag-class path from the body with
 digits in class names generalised.  Each page votes for its best container's path with a weight that grows with the
 logarithm of the score, Spark sums the votes per (host, path), and a host's winning path is the one with the most.
 Pass 2 parses each page again and takes the text of the containers on its host's winning path; where a page has no such
@@ -188,10 +189,12 @@ class Page:
     def best(self) -> tuple[str, float] | None:
         """The path of the container with the highest score, and the score."""
         score: dict[str, float] = {}
+        own: set[str] = set()  # paths with prose outside inner containers
         for text, linked, at in self.blocks:
             prose = max(0, len(text) - 2 * linked)
             if not prose:
                 continue
+            own.add(at.path)
             share, last, up = 1.0, None, at
             while up is not None and up.parent is not None:
                 if up.tag in CONTAINERS and up.path != last:
@@ -202,7 +205,14 @@ class Page:
                 up = up.parent
         if not score:
             return None
-        path = min(score, key=lambda p: (-score[p], p))
+        path = outer = min(score, key=lambda p: (-score[p], p))
+        tag = lambda p: p[p.rfind("/") + 1 :].split(".")[0]
+        while tag(outer) not in ("article", "main"):
+            outer = outer[: outer.rfind("/")]
+            if tag(outer) in ("", "body"):  # the body's own text stands beside everything on the page
+                break
+            if outer in own and outer in score:
+                path = outer
         return path, score[path]
 
     def text(self, path: str | None) -> str:

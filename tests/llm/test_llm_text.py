@@ -166,6 +166,22 @@ def test_page_text():
     assert Page("").best() is None and Page("<p>cut <b").text(None) == "cut" and host_of("https://u@A.example.com:8/x") == "a.example.com"
 
 
+def test_nested_containers_keep_outer_prose(spark):
+    long = "long text " * 200
+    for inner in ("<div class=body>{}</div>", "<section><blockquote>{}</blockquote></section>", "<div class=a><div class=b><div class=c><div class=d>{}</div></div></div></div>"):
+        for outer in ("<div class=post>{}</div>", "<article class=post>{}</article>", "<main><article>{}</article></main>"):
+            html = "<body><div class=other><p>else</p></div>" + outer.format(f"<h1>T</h1><p>lead</p>{inner.format(long)}<p>closing</p>") + "</body>"
+            page = Page(html)
+            assert page.text(page.best()[0]) == f"T\nlead\n{long.strip()}\nclosing", html[:90]
+    docs = spark.createDataFrame([(1, "http://h.example.com/1", html)], "page_id long, url string, html string")
+    assert extract(docs).collect()[0].text == f"T\nlead\n{long.strip()}\nclosing"
+    page = Page(f"<div class=post><h1>T</h1><div class=body>{long}</div></div>")
+    assert page.text(page.best()[0]).startswith("T\n")
+    # a layout beside an article isn't its container
+    page = Page(f"<body><div class=layout>note<article>{long}</article></div></body>")
+    assert page.best()[0] == "/body/div.layout/article"
+
+
 def test_consensus_path_and_edges(spark):
     # most pages of the host have their text in the article; on one the sidebar-like box is longer
     page = lambda a, b: f"<body><div class='x{len(a)}'>{b}</div><article><p>{a}</p></article></body>"
