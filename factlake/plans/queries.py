@@ -639,6 +639,12 @@ def f13_content_digest(g):
     return factsets.digest(g.edges).select("n")
 
 
+@query()
+def f13_digest_all(g):
+    """Spark's hash has no equal in DuckDB: no SQL; a test holds it against a plain recomputation."""
+    return factsets.digest(g.edges)
+
+
 @query("select (select count(*) from edges where kind = 'CALLS_DIRECT') as expected, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence <> 'CANDIDATE') as observed, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence = 'CANDIDATE') as missing, 0::bigint as unexpected")
 def f14_precision(g):
     e = g.edges.filter("kind = 'CALLS_DIRECT'").select("source_key", "target_key", "confidence")

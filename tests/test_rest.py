@@ -235,3 +235,17 @@ def test_conflict_rules(spark):
         ("AMBIGUOUS_PACKAGE", "two", "r1,r2", "1,2", "m1,m2"), ("REPLACE_CONFLICT", "differ", "r1,r2", "", "m3,m4"), ("REPLACE_CONFLICT", "lib", "r1,r2", "", "m5,m6"),
         ("VERSION_MISMATCH", "two", "r1,r2", "1,2", "m1,m2"),
     ]
+
+
+def test_digest_is_computed(spark, sf):
+    import hashlib
+
+    from factlake.plans.queries import QUERIES
+
+    edges = project(spark, sf).edges
+    hashes = [r[0] % (1 << 64) for r in edges.select(F.xxhash64(*edges.columns)).collect()]
+    sums = [sum(h % (1 << 32) for h in hashes), sum(h >> 32 for h in hashes)]
+    (got,) = QUERIES["f13_digest_all"](spark, sf).collect()
+    assert (got.n, got.digest) == (len(hashes), hashlib.sha256(f"{len(hashes)}:{sums[0]}:{sums[1]}".encode()).hexdigest())
+    assert factsets.digest(edges.orderBy(F.desc("source_key"))).first() == got
+    assert factsets.digest(edges.withColumn("kind", F.when(F.col("source_key") == "o:1", "X").otherwise(F.col("kind")))).first().digest != got.digest
