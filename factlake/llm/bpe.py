@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 
 from .common import columns
 
-#: Words whose encodings a worker keeps; beyond, it starts anew (results don't depend on it).
-KEPT_WORDS = 800_000
+#: Words of one of the two generations whose encodings a worker keeps, and pairs of tokens (some 70 MB in all); the words
+#: that no text has held for a generation are forgotten (results don't depend on it).
+KEPT_WORDS = 120_000
+KEPT_PAIRS = 300_000
 #: Characters of text whose distinct words make one trie.
-TRIE_CHARS = 4_000_000
+TRIE_CHARS = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -80,10 +83,13 @@ class Encoder:
             sound[i] = sound[u] and sound[t] and self._apart(u, t, self.made[i])
         #: Entries that the merges make from their own bytes, and so may end a prefix.
         self.ids = {b: i for b, i in ids.items() if sound[i]}
-        self.longest = max(map(len, self.ids))
-        self.lengths = np.array([len(b) for b in self.pieces], dtype=np.int64)
+        #: What some entry begins with: a suffix of a prefix that isn't in here begins no token that ends farther on.
+        self.begins = {b[:n] for b in self.ids for n in range(1, len(b) + 1)}
+        self.sizes = [len(b) for b in self.pieces]
+        self.lengths = np.array(self.sizes, dtype=np.int64)
         self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pattern = regex.compile(
             r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         )
@@ -115,14 +121,14 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known, in one walk of their trie."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        if len(self.follows) > 8 * KEPT_WORDS:
+        if len(self.follows) > KEPT_PAIRS:
             self.follows.clear()
-        ids, follows, longest = self.ids, self.follows, self.longest
+        ids, follows, begins, sizes = self.ids, self.follows, self.begins, self.sizes
+        known = self.known
         path = b""
-        #: The last token of each prefix of the path.
+        #: For each prefix of the path its last token, and where the longest suffix starts that an entry begins with.
         last: list[int] = [-1]
+        low: list[int] = [0]
         for data, word in sorted((w.encode(), w) for w in words):
             n, shared, end = len(data), 0, min(len(data), len(path))
             if data[:end] == path[:end]:
@@ -131,8 +137,13 @@ class Encoder:
                 while data[shared] == path[shared]:
                     shared += 1
             del last[shared + 1 :]
+            del low[shared + 1 :]
+            first = low[shared]
             for stop in range(shared + 1, n + 1):
-                for start in range(max(0, stop - longest), stop):
+                while data[first:stop] not in begins:
+                    first += 1
+                low.append(first)
+                for start in range(first, stop):
                     t = ids.get(data[start:stop])
                     if t is not None:
                         u = last[start]
@@ -147,10 +158,11 @@ class Encoder:
             path = data
             out, stop = [], n
             while stop:
-                out.append(last[stop])
-                stop -= len(self.pieces[last[stop]])
+                t = last[stop]
+                out.append(t)
+                stop -= sizes[t]
             out.reverse()
-            self.known[word] = struct.pack(f"<{len(out)}I", *out)
+            known[word] = array("I", out).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -165,13 +177,20 @@ class Encoder:
                 words.update(pieces)
                 chars += len(text)
                 at += 1
-            missing = {w for w in words if w not in self.known and isinstance(w, str)}
+            if len(self.known) > KEPT_WORDS:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            missing = set()
+            for w in words:
+                if w not in known:
+                    ids = older.get(w)
+                    if ids is not None:
+                        known[w] = ids
+                    elif isinstance(w, str):
+                        missing.add(w)
             if missing:
-                if len(self.known) > KEPT_WORDS:
-                    self.known.clear()
-                    missing = {w for w in words if isinstance(w, str)}
                 self.learn(missing)
-            known = self.known
+            del words, missing
             for pieces in group:
                 try:
                     yield b"".join([known[w] for w in pieces])

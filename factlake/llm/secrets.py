@@ -41,6 +41,8 @@ _DIGIT = re.compile(r"[0-9]")
 
 INSIDE, AROUND = 48, 24
 EXAMPLES, RECALL, SEED = 6000, 0.98, 29
+#: Rows whose texts a worker holds at a time.
+SLICE = 256
 _WIDTH = INSIDE + 2 * AROUND
 _DIM, _SPAN, _FILTERS, _HIDDEN = 12, 5, 24, 16
 
@@ -259,8 +261,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **para
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 rows = find([t or "" for t in part.column(1).to_pylist()], sent.value)
                 made = [[{"kind": f.kind, "start": f.start, "end": f.end, "score": s} for f, s in zip(*r)] for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(item))], names=["doc_id", "findings"])
@@ -284,12 +286,14 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            found = [r for i in range(0, len(texts), 512) for r in find([t or "" for t in texts[i : i + 512]], sent.value)]
-            made = [t if t is None else clean(t, f) for t, (f, _) in zip(texts, found)]
-            cols = list(b.columns)
-            cols[at] = pa.array(made, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                texts = part.column(at).to_pylist()
+                found = find([t or "" for t in texts], sent.value)
+                made = [t if t is None else clean(t, f) for t, (f, _) in zip(texts, found)]
+                cols = list(part.columns)
+                cols[at] = pa.array(made, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
