@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.schema import CONFIDENCES, EDGE_KINDS, EXACT_CONFIDENCES, INEXACT_PROVENANCE, Graph
@@ -173,11 +173,12 @@ def infer_package_edges(unresolved: DataFrame, packages: DataFrame) -> DataFrame
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """(n, digest): a digest of a table's content whatever its order: sums of two independent 32-bit hashes of each row."""
-    h = F.xxhash64(*rows.columns)
-    low, high = h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)
-    return rows.agg(F.count("*").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high")).select(
-        "n", F.sha2(F.concat_ws(":", "n", F.coalesce("low", F.lit(0)), F.coalesce("high", F.lit(0))), 256).alias("digest")
+    """(n, digest): a digest of a table's content whatever its order: the sums of two 64-bit hashes, of different seeds, of
+    each row.  Which values are null is hashed with them, so a value that moves to another column changes the digest."""
+    told = [x for c in rows.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *told).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return rows.agg(F.count("*").alias("n"), total("a").alias("a"), total("b").alias("b")).select(
+        "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest")
     )
 
 
@@ -192,13 +193,26 @@ def precision(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def snapshot_tables(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(symbol edges, package edges, dropped structural counts): how a graph's relations go into a snapshot."""
+    """(symbol edges, package edges, counts of what is left out): how a graph's relations go into a snapshot.
+
+    Structural relations are left out and counted by kind; so are relations with an end that no symbol (or, between
+    packages, no package) declares, as ``dangling:`` and the kind.  A symbol edge names the files of its ends.
+    """
     from factlake.schema import PACKAGE_KINDS, STRUCTURAL_KINDS
 
     e = graph.edges
-    dropped = e.filter(F.col("kind").isin(*STRUCTURAL_KINDS)).groupBy("kind").agg(F.count("*").alias("n"))
+    structural = e.filter(F.col("kind").isin(*STRUCTURAL_KINDS)).groupBy("kind").agg(F.count("*").alias("n"))
     rest = e.filter(~F.col("kind").isin(*STRUCTURAL_KINDS))
-    return rest.filter(~F.col("kind").isin(*PACKAGE_KINDS)), rest.filter(F.col("kind").isin(*PACKAGE_KINDS)), dropped
+    end = lambda t, side, *more: t.select(F.col("stable_key").alias(f"{side}_key"), F.lit(True).alias(f"{side}_there"), *more)
+    file = lambda side: F.col("file_key").alias(f"{side}_file")
+    both = lambda df, of: df.join(of("source"), "source_key", "left").join(of("target"), "target_key", "left")
+    there = F.col("source_there").isNotNull() & F.col("target_there").isNotNull()
+    symbols = both(rest.filter(~F.col("kind").isin(*PACKAGE_KINDS)), lambda s: end(graph.symbols, s, file(s)))
+    packages = both(rest.filter(F.col("kind").isin(*PACKAGE_KINDS)), lambda s: end(graph.packages, s))
+    loose = symbols.filter(~there).select("kind").union(packages.filter(~there).select("kind"))
+    dangling = loose.groupBy(F.concat(F.lit("dangling:"), "kind").alias("kind")).agg(F.count("*").alias("n"))
+    kept = lambda df, *more: df.filter(there).select(*e.columns, *more)
+    return kept(symbols, "source_file", "target_file"), kept(packages), structural.union(dangling)
 
 
 def topological_order(projects: dict[str, list[str]]) -> list[str]:
@@ -217,9 +231,3 @@ def stale_units(recorded: DataFrame, current: DataFrame) -> DataFrame:
     now = current.select("unit", "input", F.col("fingerprint").alias("now"))
     both = recorded.join(now, ["unit", "input"], "full_outer")
     return both.filter(~F.col("fingerprint").eqNullSafe(F.col("now"))).select("unit").distinct()
-
-
-def first_in_window(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """As :func:`merge_first` for rows that can't be compared as a struct (maps)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -69,7 +69,18 @@ def reanchor(wanted: DataFrame) -> DataFrame:
     )
 
 
-def source_bodies(wanted: DataFrame, context: int = 0) -> DataFrame:
+def first_bytes(text: Column, most: int) -> Column:
+    """The longest prefix of whole characters that takes at most so many bytes."""
+    data = F.encode(text, "UTF-8")
+    # a byte that continues a character is 10......: a cut before one goes back, by three bytes at most, to the character's first
+    continues = lambda at: F.coalesce(F.conv(F.hex(F.substring(data, at + 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) == 0x80, F.lit(False))
+    end = F.when(~continues(most), most)
+    for back in (1, 2, 3):
+        end = end.when(~continues(most - back), most - back)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, 1, end.otherwise(most)), "UTF-8"))
+
+
+def source_bodies(wanted: DataFrame, context: int = 0, most: int = MAX_BYTES) -> DataFrame:
     """(key, body, verified, truncated) from (key, start_line, end_line, text, content_hash): the lines of a span."""
     if not 0 <= context <= MAX_CONTEXT:
         raise ValueError(f"context must be 0 to {MAX_CONTEXT} lines")
@@ -77,7 +88,23 @@ def source_bodies(wanted: DataFrame, context: int = 0) -> DataFrame:
     first = F.greatest(F.lit(1), F.col("start_line") - context).cast("int")
     last = F.least(F.size(lines), F.col("end_line") + context).cast("int")
     body = F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n")
-    return wanted.select(
-        "key", F.substring(body, 1, MAX_BYTES).alias("body"), (F.sha2("text", 256) == F.col("content_hash")).alias("verified"),
-        (F.octet_length(body) > MAX_BYTES).alias("truncated"),
+    return wanted.select("key", body.alias("body"), (F.sha2("text", 256) == F.col("content_hash")).alias("verified")).select(
+        "key", first_bytes(F.col("body"), most).alias("body"), "verified", (F.octet_length("body") > most).alias("truncated")
     )
+
+
+def get_source(wanted: DataFrame, context: int = 0, most: int = MAX_BYTES) -> DataFrame:
+    """(key, body, start_line, status, truncated) from (key, name, start_line, end_line, text, content_hash).
+
+    Where the text is what was indexed, the recorded span is given (CURRENT); else the declaration is looked for again and
+    the span moved to it (FOUND), or refused with the reason of :func:`reanchor` and no body.
+    """
+    fresh = wanted.withColumn("_same", F.coalesce(F.sha2("text", 256) == F.col("content_hash"), F.lit(False)))
+    moved = reanchor(fresh.filter(~F.col("_same"))).select("key", F.col("line").alias("_line"), F.col("status").alias("_status"))
+    at = F.when(F.col("_same"), F.col("start_line")).otherwise(F.col("_line"))
+    placed = fresh.join(moved, "key", "left").select(
+        "key", "text", "content_hash", at.alias("start_line"), (at + F.col("end_line") - F.col("start_line")).alias("end_line"),
+        F.when(F.col("_same"), "CURRENT").otherwise(F.col("_status")).alias("status"),
+    )
+    bodies = source_bodies(placed.filter("start_line is not null"), context, most).drop("verified")
+    return placed.select("key", "start_line", "status").join(bodies, "key", "left").select("key", "body", "start_line", "status", "truncated")

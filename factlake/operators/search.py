@@ -89,8 +89,8 @@ def resolve(
 
 #: The kinds that declare a name; others only mention it.
 DECLARATION_KINDS = (
-    "function", "method", "class", "struct", "interface", "trait", "enum", "type", "type_alias", "constant", "variable",
-    "field", "module", "macro",
+    "function", "func", "method", "class", "interface", "struct", "enum", "type", "trait", "const", "variable", "field", "module",
+    "namespace",
 )
 
 
@@ -103,13 +103,18 @@ def resolve_name(graph: Graph, name: str) -> str:
     return _only([r["stable_key"] for r in found], name)
 
 
-def resolve_all(graph: Graph, wanted: DataFrame, column: str = "qualified_name") -> DataFrame:
-    """Many selectors at once: for each value its number of symbols and, if there is just one, its key."""
-    s = graph.symbols.select(F.col(column).alias("wanted"), "stable_key")
-    n = F.count("stable_key")
+def resolve_all(graph: Graph, wanted: DataFrame, column: str = "qualified_name", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Many selectors at once: for each value its number of symbols and, if there is just one, its key.
+
+    With ``kinds``, others only mention a value; one that is mentioned but not declared is MENTIONED_ONLY.
+    """
+    counts = F.lit(True) if kinds is None else F.col("kind").isin(*kinds)
+    s = graph.symbols.select(F.col(column).alias("wanted"), "stable_key", counts.alias("declares"))
+    n = F.count_if(F.col("stable_key").isNotNull() & F.col("declares"))
     return wanted.select(F.col(column).alias("wanted")).distinct().join(s, "wanted", "left").groupBy("wanted").agg(
-        n.alias("candidates"), F.when(n == 1, F.min("stable_key")).alias("stable_key"),
-        F.when(n == 0, "SYMBOL_NOT_FOUND").when(n > 1, "AMBIGUOUS_SYMBOL").otherwise("RESOLVED").alias("status"),
+        n.alias("candidates"), F.when(n == 1, F.min(F.when(F.col("declares"), F.col("stable_key")))).alias("stable_key"),
+        F.when((n == 0) & (F.count("stable_key") > 0), "MENTIONED_ONLY").when(n == 0, "SYMBOL_NOT_FOUND").when(n > 1, "AMBIGUOUS_SYMBOL")
+        .otherwise("RESOLVED").alias("status"),
     )
 
 

@@ -37,11 +37,13 @@ def cells(boxes: DataFrame) -> DataFrame:
 
 
 def viewport(index: DataFrame, x0: float, y0: float, x1: float, y1: float, level: int, limit: int = MAX_VISIBLE) -> DataFrame:
-    """Boxes on the level or above that meet the rectangle, in the order of their ids; ``limit`` is the page's size."""
+    """Boxes on the level or above that meet the rectangle, in the order of their ids; ``limit`` is the page's size, and
+    ``truncated`` whether there are more."""
     inside = F.col("cx").isNull() | (F.col("cx").between(int(x0 // CELL), int(x1 // CELL)) & F.col("cy").between(int(y0 // CELL), int(y1 // CELL)))
     meets = (F.col("x") <= x1) & (F.col("x") + F.col("w") >= x0) & (F.col("y") <= y1) & (F.col("y") + F.col("h") >= y0)
     found = index.filter(inside & meets & (F.col("level") <= level)).select("id", "level", "x", "y", "w", "h").dropDuplicates(["id"])
-    return found.orderBy("id").limit(limit)
+    page = found.orderBy("id").limit(limit + 1)  # one more tells whether the page is full
+    return page.withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit).orderBy("id").limit(limit)
 
 
 def visible_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:

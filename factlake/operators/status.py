@@ -24,6 +24,29 @@ def unresolved_by_reason(graph: Graph) -> DataFrame:
     return graph.unresolved.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def graph_status(graph: Graph, schema_version: int, schema_expected: int, heads: DataFrame | None = None) -> DataFrame:
+    """(section, name, n): all of a graph's status in one table.
+
+    Sections: ``rows`` and ``edges`` by kind, ``unresolved`` by reason, ``derived`` (repository:measure), ``freshness``
+    (repositories that are current, moved or unknown; with ``heads`` (name, head) only), ``schema`` (version, expected, and
+    outdated as 0 or 1).
+    """
+    counts = table_counts(graph)
+    edge = F.col("name").startswith("edges:")
+    out = counts.select(F.when(edge, "edges").otherwise("rows").alias("section"), F.replace("name", F.lit("edges:"), F.lit("")).alias("name"), "n")
+    out = out.union(unresolved_by_reason(graph).select(F.lit("unresolved"), "reason", "n"))
+    derived = derived_breakdown(graph)
+    measures = [c for c in derived.columns if c != "derived"]
+    each = F.explode(F.array(*(F.struct(F.concat_ws(":", "derived", F.lit(c)).alias("name"), F.col(c).alias("n")) for c in measures)))
+    out = out.union(derived.select(each.alias("m")).select(F.lit("derived"), "m.name", "m.n"))
+    if heads is not None:
+        fresh = list_repositories(graph, heads).groupBy("freshness").agg(F.count("*").alias("n"))
+        out = out.union(fresh.select(F.lit("freshness"), "freshness", "n"))
+    said = (("version", schema_version), ("expected", schema_expected), ("outdated", int(schema_version < schema_expected)))
+    schema = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).cast("long").alias("n")) for k, v in said)))
+    return out.union(out.sparkSession.range(1).select(schema.alias("m")).select(F.lit("schema"), "m.name", "m.n"))
+
+
 def unresolved_by_repository(graph: Graph) -> DataFrame:
     return graph.unresolved.groupBy("repository_key").agg(F.count("*").alias("n"))
 

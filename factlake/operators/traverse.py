@@ -170,16 +170,20 @@ def impact_by_kind(graph: Graph, rows: DataFrame, visits: DataFrame, kinds: list
     return met.select("root", "near", "via_kind").distinct().groupBy("root", F.col("via_kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, max_nodes: int = MAX_NODES, kinds: list[str] | None = None) -> DataFrame:
+def shortest_paths(
+    edges: DataFrame, pairs: DataFrame, depth: int = 5, max_nodes: int = MAX_NODES, kinds: list[str] | None = None, targets: DataFrame | None = None,
+) -> DataFrame:
     """(source, target, length, path): one shortest path for each pair that has one of at most ``depth`` edges.
 
-    The walk's parents are followed back from the target; of several paths it is the one found first.
+    With ``targets`` (target), ``pairs`` holds sources only and each is asked for all targets: no pair is made that isn't
+    reached.  The walk's parents are followed back from the target; of several paths it is the one found first, which is the
+    least one, node by node.
     """
     seeds = pairs.select(F.col("source").alias("root"), F.col("source").alias("id")).distinct()
     v = cut(traverse(edges, seeds, "outgoing", depth, max_nodes, kinds).select("root", "id", "depth", "parent"))
-    at = pairs.select("source", "target").distinct().join(
-        v, (F.col("source") == F.col("root")) & (F.col("target") == F.col("id"))
-    ).select("source", "target", F.col("depth").alias("length"), F.array("target").alias("path"), F.col("parent").alias("next"))
+    ends = v.select(F.col("root").alias("source"), F.col("id").alias("target"), "depth", "parent")
+    wanted = ends.join(targets.select("target").distinct(), "target", "left_semi") if targets is not None else ends.join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    at = wanted.select("source", "target", F.col("depth").alias("length"), F.array("target").alias("path"), F.col("parent").alias("next"))
     for _ in range(depth):
         up = v.select(F.col("root").alias("source"), F.col("id").alias("next"), F.col("parent").alias("further"))
         at = at.join(up, ["source", "next"], "left").select(

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from factlake.functions import keys, paging
 from factlake.operators import changes, consumers, events, factsets, integrity, outline, references, search, spatial, status, traverse
-from factlake.sources.project import VIEWS, WHOLE, ctes, project
-from factlake.sources.tables import apply_delta
+from factlake.schema import EXACT_CONFIDENCES
+from factlake.sources.project import VIEWS, ctes, project
+from factlake.sources.tables import apply_delta, full_scan, scan
 from factlake.streaming.debounce import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,19 +22,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, graph: bool = True, whole: bool = False, views: dict[str, str] = VIEWS):
-    """Register a query under its function's name, with its SQL; the graph's tables come first in it.
-
-    ``whole``: also as ``..._all``, over the graph with all unresolved references.
-    """
+def query(sql: str | None = None, graph: bool = True):
+    """Register a query under its function's name, with its SQL; the graph's tables come first in it."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = (lambda spark, d: f(project(spark, d, views))) if graph else f
+        QUERIES[f.__name__] = (lambda spark, d: f(project(spark, d))) if graph else f
         if sql is not None:
-            ORACLES[f.__name__] = f"{ctes(views)} {sql}" if graph else sql
-        if whole:
-            QUERIES[f"{f.__name__}_all"] = lambda spark, d: f(project(spark, d, WHOLE))
-            ORACLES[f"{f.__name__}_all"] = f"{ctes(WHOLE)} {sql}"
+            ORACLES[f.__name__] = f"{ctes(VIEWS)} {sql}" if graph else sql
         return f
 
     return add
@@ -49,7 +44,7 @@ LOCATED = """, located as (
     from symbols s join files f on s.file_key = f.stable_key join packages p on f.package_key = p.stable_key
          join repositories r on f.repository_key = r.stable_key) """
 REFERENCE_LIST = ", ".join(f"'{k}'" for k in references.allowed_kinds(None))
-EXACT_LIST = "'EXACT_TYPECHECKED', 'EXACT_DECLARATION_MAPPED', 'EXACT_PACKAGE_MAPPED', 'STRUCTURAL_CERTAIN'"
+EXACT_LIST = ", ".join(f"'{c}'" for c in EXACT_CONFIDENCES)
 
 # search --------------------------------------------------------------------------------------------------------------
 
@@ -101,12 +96,24 @@ def q7_resolve_selectors(g):
     return search.resolve_all(g, wanted)
 
 
+_DECLARING = ", ".join(f"'{k}'" for k in search.DECLARATION_KINDS)
+
+
 @query(
-    "select w.wanted, count(stable_key) as candidates, case when count(stable_key) = 1 then min(stable_key) end as stable_key, " + _STATUS
-    + " from (select distinct name as wanted from symbols where kind in ('type', 'variable')) w left join symbols s on s.name = w.wanted group by w.wanted"
+    ", t as (select stable_key, name, case when stable_key like 'p:%5' then 'import' when stable_key like 'p:%6' then 'constant' else kind end as kind from symbols), "
+    f"d as (select *, kind in ({_DECLARING}) as declares from t) "
+    "select w.wanted, count(stable_key) filter (declares) as candidates, case when count(stable_key) filter (declares) = 1 then min(stable_key) filter (declares) end as stable_key, "
+    "case when count(stable_key) filter (declares) = 0 and count(stable_key) > 0 then 'MENTIONED_ONLY' when count(stable_key) filter (declares) = 0 then 'SYMBOL_NOT_FOUND' "
+    "when count(stable_key) filter (declares) > 1 then 'AMBIGUOUS_SYMBOL' else 'RESOLVED' end as status "
+    "from (select distinct name as wanted from symbols union all select 'No Such') w left join d on d.name = w.wanted group by w.wanted"
 )
 def q8_resolve_names(g):
-    return search.resolve_all(g, g.symbols.filter(F.col("kind").isin("type", "variable")), "name")
+    """Some parts are made to mention their names only, so that each status occurs."""
+    wanted = g.symbols.select("name")
+    wanted = wanted.union(wanted.sparkSession.sql("select 'No Such' as name"))
+    kind = F.when(F.col("stable_key").like("p:%5"), "import").when(F.col("stable_key").like("p:%6"), "constant").otherwise(F.col("kind"))
+    g.symbols = g.symbols.withColumn("kind", kind)
+    return search.resolve_all(g, wanted, "name", search.DECLARATION_KINDS)
 
 
 # references ----------------------------------------------------------------------------------------------------------
@@ -266,8 +273,7 @@ def q16_impact_by_kind(g):
     union all
     select t.root, 'unresolved', r.name, null, null, null, u.stable_key from t join unresolved u on u.requested_package in (t.package_key, t.package_name)
     and (u.requested_symbol in (t.root, t.name, t.qualified_name) or ends_with(u.requested_symbol, '.' || t.name) or ends_with(u.requested_symbol, '::' || t.name))
-    join repositories r on r.stable_key = u.repository_key where u.repository_key <> t.repository_key""",
-    whole=True,
+    join repositories r on r.stable_key = u.repository_key where u.repository_key <> t.repository_key"""
 )
 def q17_cross_repository_consumers(g):
     t = g.symbols.filter(F.col("kind").isin("struct", "type")).select(F.col("stable_key").alias("root"))
@@ -289,8 +295,7 @@ def q18_package_consumers(g):
 @query(
     LOCATED + "select u.stable_key as unresolved_key, l.stable_key as root from unresolved u join located l on u.requested_package in (l.package_key, l.package_name) "
     "and (u.requested_symbol in (l.stable_key, l.name, l.qualified_name) or ends_with(u.requested_symbol, '.' || l.name) or ends_with(u.requested_symbol, '::' || l.name)) "
-    "where l.symbol_kind = 'struct' and u.repository_key <> l.repository_key",
-    whole=True,
+    "where l.symbol_kind = 'struct' and u.repository_key <> l.repository_key"
 )
 def q19_unresolved_matches_target(g):
     t = g.symbols.filter("kind = 'struct'").select(F.col("stable_key").alias("root"))
@@ -306,19 +311,34 @@ def q20_file_outline(g):
     return out.select("path", "file_key", "n", F.element_at("declarations", 1)["start_line"].alias("first_line"), F.array_join(F.transform("declarations", lambda x: x["key"]), ",").alias("declared"))
 
 
+_SOURCES = """with w as (select doc_id as key, string_split(text, chr(10)) as lines, regexp_extract(text, '([A-Za-z]+)', 1) as name, doc_id % 3 <> 0 as fresh from documents),
+    lined as (select key, name, unnest(lines) as line, generate_subscripts(lines, 1) as no from w where not fresh),
+    hits as (select key, no as line, abs(no - 2) as far from lined where not starts_with(ltrim(line), '//') and not starts_with(ltrim(line), '*')
+             and regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)')),
+    best as (select key, min(far) as far from hits group by key),
+    one as (select h.key, min(h.line) as line, count(*) as ties from hits h join best b on h.key = b.key and h.far = b.far group by h.key),
+    placed as (select w.*, case when fresh then 'CURRENT' when ties is null then 'NOT_FOUND' when ties > 1 then 'AMBIGUOUS' when line + 1 > len(lines) then 'OUT_OF_RANGE' else 'FOUND' end as status, line from w left join one on w.key = one.key),
+    shown as (select *, case status when 'CURRENT' then 2 when 'FOUND' then line end as start_line from placed) """
+
+
 @query(
-    "select doc_id as key, case when length(text) > 0 then array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) end as body, sha256(text) = sha256(text) as verified from documents",
+    _SOURCES + "select key, start_line, status, case when start_line is not null then array_to_string(list_slice(lines, start_line, start_line + 1), chr(10)) end as body from shown where name <> ''",
     graph=False,
 )
 def q21_source_bodies(spark, d):
-    w = _table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"), "text", F.sha2("text", 256).alias("content_hash"))
-    return outline.source_bodies(w).select("key", "body", "verified")
+    """Two lines of each document; a third of the documents has changed since, and the line is looked for again."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text"))
+    w = _table(spark, d, "documents").select(
+        F.col("doc_id").alias("key"), F.regexp_extract("text", "([A-Za-z]+)", 1).alias("name"), F.lit(2).cast("long").alias("start_line"), F.lit(3).cast("long").alias("end_line"),
+        "text", F.sha2(text, 256).alias("content_hash"),
+    )
+    return outline.get_source(w.filter("name <> ''")).select("key", "start_line", "status", "body")
 
 
 @query(
-    """with w as (select doc_id as key, string_split(text, chr(10)) as lines, regexp_extract(text, '([A-Za-z]+)', 1) as name from documents where regexp_extract(text, '([A-Za-z]+)', 1) <> ''),
+    """with w as (select doc_id as key, string_split(text, chr(10)) as lines, regexp_extract(text, '([A-Za-z]+)', 1) as name from documents),
     lined as (select key, name, len(lines) as n_lines, unnest(lines) as line, generate_subscripts(lines, 1) as no from w),
-    hits as (select key, no as line, abs(no - 2) as far from lined where not starts_with(ltrim(line), '//') and not starts_with(ltrim(line), '*')
+    hits as (select key, no as line, abs(no - 2) as far from lined where name <> '' and not starts_with(ltrim(line), '//') and not starts_with(ltrim(line), '*')
              and regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)')),
     best as (select key, min(far) as far from hits group by key),
     one as (select h.key, min(h.line) as line, count(*) as ties from hits h join best b on h.key = b.key and h.far = b.far group by h.key)
@@ -328,7 +348,7 @@ def q21_source_bodies(spark, d):
 def q22_reanchor(spark, d):
     name = F.regexp_extract("text", "([A-Za-z]+)", 1)
     w = _table(spark, d, "documents").select(F.col("doc_id").alias("key"), name.alias("name"), F.lit(2).cast("long").alias("start_line"), F.lit(2).cast("long").alias("end_line"), "text")
-    return outline.reanchor(w.filter("name <> ''"))
+    return outline.reanchor(w)
 
 
 @query("select r.stable_key, r.name, r.dirty, count(p.stable_key) as packages from repositories r left join packages p on p.repository_key = r.stable_key group by all")
@@ -336,12 +356,26 @@ def q23_list_repositories(g):
     return status.list_repositories(g).select("stable_key", "name", "dirty", "packages")
 
 
+_COUNTS = " union all ".join(f"select 'rows' as section, '{t}' as name, count(*) as n from {t}" for t in ("repositories", "packages", "files", "symbols", "unresolved"))
+
+
 @query(
-    "select 'repositories' as name, count(*) as n from repositories union all select 'packages', count(*) from packages union all select 'files', count(*) from files "
-    "union all select 'symbols', count(*) from symbols union all select 'unresolved', count(*) from unresolved union all select 'edges:' || kind, count(*) from edges group by kind"
+    LOCATED + ", derived as (select r.name as derived, (select count(*) from packages p where p.repository_key = r.stable_key) as packages, (select count(*) from files f where f.repository_key = r.stable_key) as files, "
+    "(select count(*) from located l where l.repository = r.name) as symbols, (select count(*) from edges e join located l on e.source_key = l.stable_key where l.repository = r.name) as edges_within, "
+    "(select count(*) from edges e join located t on e.target_key = t.stable_key left join located s on e.source_key = s.stable_key where t.repository = r.name and coalesce(s.repository, '') not like 'derived:%') as edges_inbound, "
+    "(select count(*) from unresolved u where u.repository_key = r.stable_key) as unresolved from repositories r where r.name like 'derived:%') "
+    + _COUNTS + " union all select 'edges', kind, count(*) from edges group by kind union all select 'unresolved', reason, count(*) from unresolved group by reason "
+    + "".join(f" union all select 'derived', derived || ':{c}', {c} from derived" for c in ("packages", "files", "symbols", "edges_within", "edges_inbound", "unresolved"))
+    + " union all select 'freshness', case when r_name = 'AFRICA' then 'unknown' when r_name in ('ASIA', 'EUROPE') then 'moved' else 'current' end, count(*) from (select r_name from region union all select 'AFRICA') group by 2"
+    " union all select 'schema', * from (values ('version', 3::bigint), ('expected', 4), ('outdated', 1)) v"
 )
 def q24_graph_status(g):
-    return status.table_counts(g)
+    """Two repositories have moved since; the heads of one and of the derived one can't be read."""
+    g.repositories = g.repositories.withColumn("commit", F.concat(F.lit("c-"), "name"))
+    heads = g.repositories.filter("name not in ('AFRICA', 'derived:catalog')").select(
+        "name", F.when(F.col("name").isin("ASIA", "EUROPE"), "later").otherwise(F.col("commit")).alias("head")
+    )
+    return status.graph_status(g, 3, 4, heads)
 
 
 @query("select kind as name, count(*) as n from edges group by kind")
@@ -369,15 +403,14 @@ def q26_unresolved_references(g):
     LOCATED + """, naming as (select l.stable_key as root, count(*) as n from located l join unresolved u on u.file_key is not null and (u.requested_symbol = l.name or ends_with(u.requested_symbol, '.' || l.name)) where l.symbol_kind in ('struct', 'type') group by 1),
     scopes as (select repository_key, count(*) as n from unresolved where file_key is null group by 1)
     select l.stable_key as root, case when n.n is null and s.n is null then 'COMPLETE' else 'LOWER_BOUND' end as verdict, coalesce(n.n, 0) as naming, coalesce(s.n, 0) as scopes
-    from located l left join naming n on n.root = l.stable_key left join scopes s on s.repository_key = l.repository_key where l.symbol_kind in ('struct', 'type')""",
-    whole=True,
+    from located l left join naming n on n.root = l.stable_key left join scopes s on s.repository_key = l.repository_key where l.symbol_kind in ('struct', 'type')"""
 )
 def q27_completeness(g):
     s = search.located(g, g.symbols.filter(F.col("kind").isin("struct", "type"))).select(F.col("stable_key").alias("root"), "name", "repository_key")
     return status.completeness(g, s).select("root", "verdict", "naming", "scopes")
 
 
-@query("select repository_key, count(*) as n from unresolved group by 1", whole=True)
+@query("select repository_key, count(*) as n from unresolved group by 1")
 def q28_unresolved_by_repository(g):
     return status.unresolved_by_repository(g)
 
@@ -408,11 +441,18 @@ def g3_traverse_outgoing(g):
     return traverse.traverse(g.edges, seeds, "outgoing", 5, 25_000).filter("depth > 0").select("root", "id", "depth")
 
 
-@query(_walk("source_key", "target_key", _ORDERS, 5) + "select root as source, id as target, depth as length from visits where starts_with(id, 's:')")
+@query(
+    ", kinds as (select unnest([" + ", ".join(f"'{k}'" for k in traverse.REFERENCE_KINDS) + "]) as kind), "
+    "walk as (select stable_key as source, stable_key as target, 0 as length, [stable_key] as path from symbols where kind = 'function' "
+    "union select w.source, e.target_key, w.length + 1, list_append(w.path, e.target_key) from walk w join edges e on e.source_key = w.target where w.length < 5 and e.kind in (select kind from kinds)), "
+    "near as (select source, target, min(length) as length from walk where starts_with(target, 's:') group by 1, 2) "
+    "select w.source, w.target, w.length, array_to_string(min(w.path), '>') as path from walk w join near n on n.source = w.source and n.target = w.target and n.length = w.length group by 1, 2, 3"
+)
 def g4_shortest_path(g):
-    t = g.symbols.filter("kind = 'interface'").select(F.col("stable_key").alias("target"))
-    pairs = _roots(g, _ORDERS).select(F.col("root").alias("source"), F.lit(1).alias("one")).join(t.withColumn("one", F.lit(1)), "one").drop("one")
-    return traverse.shortest_paths(g.edges, pairs).filter(F.size("path") == F.col("length") + 1).select("source", "target", "length")
+    """Every order to every supplier that it reaches; of several shortest paths the least, node by node."""
+    pairs = g.symbols.filter("kind = 'function'").select(F.col("stable_key").alias("source"))
+    found = traverse.shortest_paths(g.edges, pairs, targets=g.symbols.filter("kind = 'interface'").select(F.col("stable_key").alias("target")))
+    return found.select("source", "target", "length", F.array_join("path", ">").alias("path"))
 
 
 @query(LOCATED + "select e.target_key as root, l.repository, count(*) as n from edges e join located l on e.source_key = l.stable_key where starts_with(e.target_key, 'p:') group by all")
@@ -428,9 +468,14 @@ def g7_golden_probes(g):
     return integrity.golden_probes(g)
 
 
-@query("select rule, count(*) as n from (select 'missing_evidence_file' as rule from edges where evidence_key is not null union all select 'exact_edge_without_source' from edges e where e.confidence in (" + EXACT_LIST + ") and e.kind <> 'PACKAGE_DEPENDS_ON' and not exists (select 1 from symbols s where s.stable_key = e.source_key)) group by rule")
+@query(
+    ", found as (select 'missing_evidence_file' as rule, source_key || '|' || kind || '|' || target_key as key from edges where evidence_key is not null union all "
+    "select 'exact_edge_without_source', source_key || '|' || kind || '|' || target_key from edges e where e.confidence in (" + EXACT_LIST + ") and e.kind <> 'PACKAGE_DEPENDS_ON' and not exists (select 1 from symbols s where s.stable_key = e.source_key)), "
+    "ranked as (select *, row_number() over (partition by rule order by key) as r from found) "
+    "select rule, count(*) as n, string_agg(key, ',' order by key) filter (r <= 20) as samples from ranked group by rule"
+)
 def i1_integrity_report(g):
-    return integrity.report(integrity.audit(g)).select("rule", "n")
+    return integrity.report(integrity.audit(g)).select("rule", "n", F.array_join("samples", ",").alias("samples"))
 
 
 def _broken(g):
@@ -513,43 +558,14 @@ def f4_close_edges(g):
     return rows.select("requested_symbol", "edges", "first_source")
 
 
-@query("select distinct f.package_key as source_key, p.stable_key as target_key from unresolved u join files f on f.stable_key = 'file:' || substr(u.repository_key, 12) || ':NATION_1/orders' join packages p on p.name = u.requested_package and p.language = u.language where p.stable_key <> f.package_key")
+@query("select distinct f.package_key as source_key, p.stable_key as target_key from unresolved u join files f on f.repository_key = u.repository_key join packages p on p.name = u.requested_package and p.language = u.language where p.stable_key <> f.package_key")
 def f5_infer_package_edges(g):
-    files = g.files.filter("path = 'NATION_1/orders'").select("package_key", "repository_key")
-    return factsets.infer_package_edges(g.unresolved.join(files, "repository_key").select("package_key", "language", "requested_package"), g.packages)
-
-
-@query("select distinct f.package_key as source_key, p.stable_key as target_key from unresolved u join files f on f.repository_key = u.repository_key join packages p on p.name = u.requested_package and p.language = u.language where p.stable_key <> f.package_key", views=WHOLE)
-def f5_infer_package_edges_all(g):
     """Requests of a repository count for each of its packages."""
     owners = g.files.select("package_key", "repository_key").distinct()
     asked = g.unresolved.select("repository_key", "language", "requested_package").distinct()
     return factsets.infer_package_edges(asked.join(owners, "repository_key"), g.packages)
 
 
-_PROVIDERS = "(select p_brand as name, p_type as provider, cast(p_size % 2 as varchar) as version, cast(null as varchar) as replacement from part where p_partkey % 97 = 0)"
-
-
-def _providers(spark, d):
-    p = _table(spark, d, "part").filter("p_partkey % 97 = 0")
-    return p.select(F.col("p_brand").alias("name"), F.col("p_type").alias("provider"), (F.col("p_size") % 2).cast("string").alias("version"), F.lit(None).cast("string").alias("replacement"))
-
-
-@query(
-    f"with p as (select name, count(*) as n, min(provider) as only_one, min(version) as offered from {_PROVIDERS} group by name) select distinct r.p_brand as name, case when n is null then 'NOT_FOUND' when n > 1 then 'AMBIGUOUS' when offered <> '1' then 'VERSION_MISMATCH' else 'RESOLVED' end as status, "
-    "case when n = 1 and offered = '1' then only_one end as provider from part r left join p on p.name = r.p_brand",
-    graph=False,
-)
-def f6_f7_provider_status(spark, d):
-    requests = _table(spark, d, "part").select(F.col("p_brand").alias("name"), F.lit("1").alias("version"))
-    return factsets.provider_status(requests, _providers(spark, d)).select("name", "status", "provider")
-
-
-@query(f"select name, count(distinct provider) as providers, count(distinct version) as versions, case when count(distinct version) > 1 then 'VERSION_MISMATCH' else 'AMBIGUOUS_PROVIDER' end as conflict from {_PROVIDERS} group by name having count(distinct provider) > 1 or count(distinct version) > 1", graph=False)
-def f8_provider_conflicts(spark, d):
-    return factsets.provider_conflicts(_providers(spark, d))
-
-
 # all parts, under names fine enough that some have one provider, some several and some none
 _NAMES = "p_brand || '/' || p_type || '/' || cast(p_size as varchar)"
 _ALL_PROVIDERS = f"(select {_NAMES} as name, 'p:' || cast(p_partkey as varchar) as provider, cast(p_partkey % 3 as varchar) as version from part)"
@@ -578,12 +594,12 @@ def _all_requests(spark, d):
     f"case when n = 1 and offered = '1' then only_one end as provider from {_ALL_REQUESTS} r left join p on p.name = r.name",
     graph=False,
 )
-def f6_f7_provider_status_all(spark, d):
+def f6_f7_provider_status(spark, d):
     return factsets.provider_status(_all_requests(spark, d), _all_providers(spark, d)).select("name", "status", "provider")
 
 
 @query(f"select name, count(distinct provider) as providers, count(distinct version) as versions, case when count(distinct version) > 1 then 'VERSION_MISMATCH' else 'AMBIGUOUS_PROVIDER' end as conflict from {_ALL_PROVIDERS} group by name having count(distinct provider) > 1 or count(distinct version) > 1", graph=False)
-def f8_provider_conflicts_all(spark, d):
+def f8_provider_conflicts(spark, d):
     return factsets.provider_conflicts(_all_providers(spark, d))
 
 
@@ -629,26 +645,55 @@ def f8_classify_conflicts_all(spark, d):
     return found.select("conflict", "name", *(F.size(c).cast("long").alias(c) for c in ("repositories", "versions", "manifests")))
 
 
-@query("select kind, count(*) as n from edges where kind <> 'PACKAGE_DEPENDS_ON' group by kind")
+@query(
+    ", e as (select source_key, target_key, kind from edges union all select repository_key, stable_key, 'CONTAINS_PACKAGE' from packages union all select package_key, stable_key, 'CONTAINS_FILE' from files "
+    "union all select 'o:gone', stable_key, 'CALLS_DIRECT' from symbols where kind = 'interface'), "
+    "sym as (select e.*, a.file_key as source_file, b.file_key as target_file, a.stable_key is not null and b.stable_key is not null as there from e left join symbols a on a.stable_key = e.source_key left join symbols b on b.stable_key = e.target_key where e.kind not in ('CONTAINS_PACKAGE', 'CONTAINS_FILE', 'PACKAGE_DEPENDS_ON')) "
+    "select 'symbol' as output, kind, source_key, target_key, source_file, target_file, null::bigint as n from sym where there "
+    "union all select 'package', kind, source_key, target_key, null, null, null from e where kind = 'PACKAGE_DEPENDS_ON' "
+    "union all select 'left out', kind, null, null, null, null, count(*) from e where kind like 'CONTAINS%' group by kind "
+    "union all select 'left out', 'dangling:' || kind, null, null, null, null, count(*) from sym where not there group by kind"
+)
 def f11_snapshot_edges(g):
-    return factsets.snapshot_tables(g)[0].groupBy("kind").agg(F.count("*").alias("n"))
+    """With the structural relations of packages and files, and some calls from a symbol that isn't there."""
+    row = lambda t, source, target, kind: t.select(F.col(source).alias("source_key") if source else F.lit("o:gone").alias("source_key"), F.col(target).alias("target_key"), F.lit(kind).alias("kind"))
+    more = row(g.packages, "repository_key", "stable_key", "CONTAINS_PACKAGE").union(row(g.files, "package_key", "stable_key", "CONTAINS_FILE"))
+    g.edges = g.edges.select("source_key", "target_key", "kind").union(more).union(row(g.symbols.filter("kind = 'interface'"), None, "stable_key", "CALLS_DIRECT"))
+    symbols, packages, left_out = factsets.snapshot_tables(g)
+    none, n = F.lit(None).cast("string"), F.lit(None).cast("long").alias("n")
+    edge = lambda df, name, *files: df.select(F.lit(name).alias("output"), "kind", "source_key", "target_key", *files, n)
+    return edge(symbols, "symbol", "source_file", "target_file").union(edge(packages, "package", none.alias("source_file"), none.alias("target_file"))).union(
+        left_out.select(F.lit("left out"), "kind", none, none, none, none, "n")
+    )
 
 
-@query("select count(*) as n from edges")
+@query("select count(*) as n, true as same_in_other_order, false as same_without_a_row, false as same_with_a_changed_value, false as same_with_a_moved_value from edges")
 def f13_content_digest(g):
-    return factsets.digest(g.edges).select("n")
+    """The digest of the edges against those of the same edges in another order and of three other contents."""
+    e = g.edges
+    first = F.col("source_key") == "o:1"
+    moved = e.withColumn("provenance", F.when(F.col("evidence_key") == "evidence:o1", F.col("evidence_key")).otherwise(F.col("provenance")))
+    moved = moved.withColumn("evidence_key", F.when(F.col("evidence_key") != "evidence:o1", F.col("evidence_key")))
+    others = {
+        "same_in_other_order": e.repartition(3, "target_key").sortWithinPartitions(F.desc("source_key")), "same_without_a_row": e.filter(~(first & (F.col("kind") == "REFERENCES"))),
+        "same_with_a_changed_value": e.withColumn("kind", F.when(first, "EXTENDS").otherwise(F.col("kind"))), "same_with_a_moved_value": moved,
+    }
+    out = factsets.digest(e)
+    for name, other in others.items():
+        out = out.crossJoin(factsets.digest(other).select(F.col("digest").alias(name)))  # one row each
+    return out.select("n", *((F.col(c) == F.col("digest")).alias(c) for c in others))
 
 
 @query()
-def f13_digest_all(g):
+def f13_digest(g):
     """Spark's hash has no equal in DuckDB: no SQL; a test holds it against a plain recomputation."""
     return factsets.digest(g.edges)
 
 
-@query("select (select count(*) from edges where kind = 'CALLS_DIRECT') as expected, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence <> 'CANDIDATE') as observed, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence = 'CANDIDATE') as missing, 0::bigint as unexpected")
+@query("select (select count(*) from edges where kind = 'CALLS_DIRECT') as expected, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence <> 'CANDIDATE') as observed, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence = 'CANDIDATE') as missing, 0::bigint as unexpected, 1.0::double as precision, (select count(*) filter (confidence <> 'CANDIDATE')::double / count(*) from edges where kind = 'CALLS_DIRECT') as recall")
 def f14_precision(g):
     e = g.edges.filter("kind = 'CALLS_DIRECT'").select("source_key", "target_key", "confidence")
-    return factsets.precision(e, e.filter("confidence <> 'CANDIDATE'")).select("expected", "observed", "missing", "unexpected")
+    return factsets.precision(e, e.filter("confidence <> 'CANDIDATE'")).select("expected", "observed", "missing", "unexpected", "precision", "recall")
 
 
 @query("select unit from (select source as unit, doc_id, sha256(text) as a, case when doc_id % 50 = 0 then '' else sha256(text) end as b from documents) where a <> b group by unit", graph=False)
@@ -658,9 +703,14 @@ def f15_stale_units(spark, d):
     return factsets.stale_units(t, now)
 
 
-@query("select kind, count(*) as n from edges group by kind")
+@query("select source_key, target_key, kind, confidence, provenance, coalesce(evidence_key, '') as evidence_key from edges order by all")
 def s9_full_scan(g):
-    return g.edges.groupBy("kind").agg(F.count("*").alias("n"))
+    return full_scan(g.edges)
+
+
+@query("select 'packages' as \"table\", stable_key as key from packages union all select 'files', stable_key from files union all select 'symbols', stable_key from symbols union all select 'repositories', stable_key from repositories union all select 'unresolved', stable_key from unresolved")
+def s10_canonical_scan(g):
+    return scan(g, with_edges=False).select("table", "key")
 
 
 @query("select source_key, target_key, case when kind = 'REFERENCES' then 'CALLS_DIRECT' else kind end as kind from edges where kind in ('REFERENCES', 'TYPE_USES') and not (kind = 'TYPE_USES' and target_key = 's:1')")
@@ -721,18 +771,37 @@ def c4_reconcile(spark, d):
     return changes.reconcile(*_states(spark, d)).select("path", "status")
 
 
-@query(_STATES + "select status, count(*) as n from (select case when a.path is null then 'added' when b.path is null then 'removed' when a.h = b.h then 'unchanged' else 'modified' end as status from a full join b on a.path = b.path) group by 1", graph=False)
+@query(
+    "with k as (select source as repository, doc_id::varchar as path, sha256(coalesce(text, '')) as hash from documents where doc_id % 4 <> 0), "
+    "o as (select source as repository, doc_id::varchar as path, case when doc_id % 5 = 0 then null when doc_id % 3 = 0 then sha256(coalesce(text, '') || '!') else sha256(coalesce(text, '')) end as hash from documents where doc_id % 2 = 0 or doc_id % 3 = 0) "
+    "select coalesce(k.repository, o.repository) as repository, coalesce(k.path, o.path) as path, "
+    "case when o.path is null then null when o.hash is null then case when k.hash is null then 'skipped' else 'removed' end when o.hash = k.hash then 'unchanged' else 'changed' end as status, "
+    "case when o.path is null then k.hash else o.hash end as hash from k full join o on k.path = o.path and k.repository is not distinct from o.repository",
+    graph=False,
+)
 def c3_content_filter(spark, d):
-    return changes.reconcile(*_states(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    """The state holds three documents in four; the batch tells of some, changed, gone, or unknown."""
+    t = _table(spark, d, "documents").select(F.col("source").alias("repository"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = t.filter("doc_id % 4 <> 0").select("repository", "path", changes.content_hash(F.col("text")).alias("hash"))
+    now = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 3 == 0, changes.content_hash(F.concat("text", F.lit("!")))).otherwise(changes.content_hash(F.col("text")))
+    return changes.content_filter(known, t.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select("repository", "path", now.alias("hash")))
 
 
 @query(
-    _STATES + ", c as (select coalesce(a.path, b.path) as path, a.h as oh, b.h as nh, a.path is null as added, b.path is null as removed from a full join b on a.path = b.path) "
+    "with a as (select doc_id::varchar as path, sha256(text) as h from documents where text is not null), "
+    "b as (select doc_id::varchar || case when doc_id % 3 = 0 then 'x' else '' end as path, sha256(text || case when doc_id % 5 = 0 then '!' else '' end) as h from documents where doc_id % 7 <> 0 and text is not null), "
+    "c as (select coalesce(a.path, b.path) as path, a.h as oh, b.h as nh, a.path is null as added, b.path is null as removed from a full join b on a.path = b.path) "
     "select o.h as hash, o.path as old_path, n.path as new_path from (select oh as h, min(path) as path from c where removed group by 1 having count(*) = 1) o join (select nh as h, min(path) as path from c where added group by 1 having count(*) = 1) n on o.h = n.h",
     graph=False,
 )
 def c5_renames(spark, d):
-    return changes.renames(changes.reconcile(*_states(spark, d)))
+    """Of all documents a third is moved, a fifth changed, a seventh gone."""
+    t = _table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    old = t.select("path", changes.content_hash(F.col("text")).alias("hash"))
+    path = F.concat("path", F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""))
+    text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise(""))
+    new = t.filter("doc_id % 7 <> 0").select(path.alias("path"), changes.content_hash(text).alias("hash"))
+    return changes.renames(changes.reconcile(old, new))
 
 
 @query(graph=False)
@@ -745,10 +814,37 @@ def c2_debounce(spark, d):
     return debounce(e)
 
 
-@query("select repository, min_by(doc_id, doc_id) as from_commit, max_by(doc_id, doc_id) as to_commit, count(*) as n from (select source as repository, doc_id from documents) group by 1", graph=False)
+_MOVES = """with e as (select 'w' || user_id % 3 as workspace, epoch_us(ts) // 1000000 as t, event_id as seq, 'r' || user_id % 7 as repository, event_type = 'error' as busy, event_type = 'purchase' and event_id % 4 = 0 as failed from events),
+    g as (select *, case when t - lag(t) over (partition by workspace order by t, seq) >= 60 then 1 else 0 end as gap from e),
+    r as (select *, sum(gap) over (partition by workspace order by t, seq rows unbounded preceding) as run from g),
+    o as (select * from (select *, max(case when busy then 0 else 1 end) over (partition by workspace, run order by t, seq rows unbounded preceding) as open from r) where open = 1),
+    u as (select workspace, run, max(t) + 60 as closed, max(case when failed and not busy then 1 else 0 end) as back from o group by 1, 2),
+    n as (select *, coalesce(sum(1 - back) over (partition by workspace order by run rows between unbounded preceding and 1 preceding), 0) as batch from u),
+    c as (select *, max(case when back = 0 then closed end) over (partition by workspace, batch) as done from n) """
+
+
+@query(
+    _MOVES + "select o.workspace, c.batch::bigint as batch, o.repository, arg_min(o.seq, (o.t, o.seq)) as from_commit, arg_max(o.seq + 1, (o.t, o.seq)) as to_commit, count(*) as n, max(c.done) as closed "
+    "from o join c on c.workspace = o.workspace and c.run = o.run where not o.busy group by o.workspace, c.batch, o.repository",
+    graph=False,
+)
+def c6_resync_batches(spark, d):
+    """All events as head moves: errors keep a repository busy, some purchases fail and are taken up by the next batch."""
+    return changes.resync_batches(_moves(spark, d), 60).withColumn("batch", F.col("batch").cast("long"))
+
+
+def _moves(spark, d):
+    e, of = _table(spark, d, "events"), lambda letter, n: F.concat(F.lit(letter), (F.col("user_id") % n).cast("string"))
+    return e.select(
+        of("w", 3).alias("workspace"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("ts"), F.col("event_id").alias("seq"), of("r", 7).alias("repository"),
+        F.col("event_id").alias("from_commit"), (F.col("event_id") + 1).alias("to_commit"), (F.col("event_type") == "error").alias("busy"),
+        ((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0)).alias("failed"),
+    )
+
+
+@query("select 'r' || user_id % 7 as repository, arg_min(event_id, (epoch_us(ts) // 1000000, event_id)) as from_commit, arg_max(event_id + 1, (epoch_us(ts) // 1000000, event_id)) as to_commit, count(*) as n from events group by 1", graph=False)
 def c6_coalesce_moves(spark, d):
-    t = _table(spark, d, "documents").select(F.col("source").alias("repository"), F.col("doc_id").alias("ts"), F.lit(0).alias("seq"), F.col("doc_id").alias("from_commit"), F.col("doc_id").alias("to_commit"))
-    return changes.coalesce_moves(t)
+    return changes.coalesce_moves(_moves(spark, d))
 
 
 # viewer --------------------------------------------------------------------------------------------------------------
@@ -764,9 +860,9 @@ def _boxes(spark, d):
     )
 
 
-@query(f"select id, level, x, y from {_BOXES} where level <= 2 and x <= 1500 and x + w >= 300 and y <= 900 and y + h >= 200 order by id limit 10000", graph=False)
+@query(f"select id, level, x, y, count(*) over () > 100 as truncated from {_BOXES} where level <= 2 and x <= 1500 and x + w >= 300 and y <= 900 and y + h >= 200 order by id limit 100", graph=False)
 def v6_viewport(spark, d):
-    return spatial.viewport(spatial.cells(_boxes(spark, d)), 300, 200, 1500, 900, 2).select("id", "level", "x", "y")
+    return spatial.viewport(spatial.cells(_boxes(spark, d)), 300, 200, 1500, 900, 2, 100).select("id", "level", "x", "y", "truncated")
 
 
 @query(f"select cx, cy, count(*) as n from (select id, unnest(range(floor(x / 256)::bigint, floor((x + w) / 256)::bigint + 1)) as cx, y, h from {_BOXES}) t, lateral (select unnest(range(floor(y / 256)::bigint, floor((y + h) / 256)::bigint + 1)) as cy) u group by all", graph=False)
@@ -777,14 +873,16 @@ def v5_grid_index(spark, d):
 @query(
     "with b as (select n_name as parent, c_custkey as id, (10 + c_custkey % 7)::double as w, (8 + c_custkey % 5)::double as h from customer join nation on c_nationkey = n_nationkey), "
     "p as (select *, row_number() over (partition by parent order by id) - 1 as no, greatest(1, round(sqrt(count(*) over (partition by parent) * avg(h) over (partition by parent) / avg(w) over (partition by parent))))::bigint as cols from b), "
-    "q as (select *, no // cols as row, no % cols as col from p) select parent, max(cols) as cols, count(*) as n, max(row) as last_row from q group by parent",
+    "q as (select *, no // cols as row, no % cols as col from p), "
+    "cw as (select parent, col, coalesce(sum(max(w) + 8) over (partition by parent order by col rows between unbounded preceding and 1 preceding), 0)::double as x from q group by parent, col), "
+    "rh as (select parent, row, coalesce(sum(max(h) + 8) over (partition by parent order by row rows between unbounded preceding and 1 preceding), 0)::double as y from q group by parent, row) "
+    "select q.parent, q.id, cw.x, rh.y, q.w, q.h from q join cw on cw.parent = q.parent and cw.col = q.col join rh on rh.parent = q.parent and rh.row = q.row",
     graph=False,
 )
 def v4_layout(spark, d):
     c = _table(spark, d, "customer").join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     b = c.select(F.col("n_name").alias("parent"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7 + 10).cast("double").alias("w"), (F.col("c_custkey") % 5 + 8).cast("double").alias("h"))
-    at = spatial.pack(b)
-    return at.groupBy("parent").agg(F.count_distinct("x").alias("cols"), F.count("*").alias("n"), (F.count_distinct("y") - 1).alias("last_row"))
+    return spatial.pack(b)
 
 
 @query(

@@ -96,13 +96,10 @@ VIEWS: dict[str, str] = {
                'file:' || (case when region = 'ASIA' then 'EUROPE' else 'ASIA' end) || ':desk/' || cast(o_orderkey % 7 as string), 'sql',
                nation, nation || '.' || c_name, 'SYMBOL_NOT_FOUND', 'named by an urgent order', cast(o_orderkey as bigint)
         from orders join customer on o_custkey = c_custkey join ({NATIONS}) x on c_nationkey = nk
-        where o_orderpriority = '1-URGENT' and o_orderkey % 13 = 0
+        where o_orderpriority = '1-URGENT'
     """,
 }
 
-#: The same, with what every urgent order asks for and not only one in thirteen.
-WHOLE = VIEWS | {"unresolved": VIEWS["unresolved"].replace(" and o_orderkey % 13 = 0", "")}
-
 TABLES = "region nation customer supplier part orders lineitem documents labels".split()
 
 

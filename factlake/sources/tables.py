@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.operators.factsets import digest
+from factlake.operators import factsets
 from factlake.schema import EVENT, FACT_SET, Graph
 
 COLLECTIONS = ("repositories", "packages", "files", "symbols", "evidence", "edges", "unresolved")
@@ -31,10 +33,16 @@ def discover(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+class Conflict(RuntimeError):
+    """Another publisher was faster every time."""
+
+
 class Generations:
-    """Graphs in numbered folders below ``root``; readers follow the pointer CURRENT, which moves in one rename.
+    """Graphs in folders of their own below ``root``; readers follow the newest entry of a log of pointers.
 
-    A generation is written beside the others, validated, and only then pointed to; the one before stays as BACKUP.
+    A generation is written beside the others, validated, and only then pointed to.  A pointer is an empty file whose name says
+    all, ``CURRENT.<entry>.<generation>.<backup>.<folder>``; it is created if absent, so readers see the old or the new one at
+    any time, a crash before leaves the old one, and of two publishers one creates an entry and the other tries the next.
     Folders are reached by Hadoop's file systems alone, so ``root`` may be in any store that Spark reaches.
     """
 
@@ -44,38 +52,52 @@ class Generations:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> dict | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
+    def _names(self) -> list[str]:
+        top = self._path(self.root)
+        return [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+
+    def _log(self) -> list[tuple[int, int, int, str]]:
+        """(entry, generation, backup or 0, folder) of all pointers, oldest first."""
+        said = [n.split(".", 4) for n in self._names() if n.startswith("CURRENT.")]
+        return sorted((int(e), int(g), int(b), folder) for _, e, g, b, folder in said)
+
+    def _point(self, choose, tries: int = 20) -> int:
+        """Append what ``choose`` makes of the log: (generation, backup, folder)."""
+        for _ in range(tries):
+            log = self._log()
+            generation, backup, folder = choose(log)
+            entry = log[-1][0] + 1 if log else 1
+            mark = self._path(f"{self.root}/.entry-{entry:012d}")
+            try:
+                # whoever creates the mark has the entry; a mark without a pointer is a publisher that died, and is passed by
+                self._fs.create(mark, False).close()
+            except Py4JJavaError as e:
+                if "Exist" not in str(e.java_exception.getClass().getName()):
+                    raise
+                if self._log() == log and self._fs.getFileStatus(mark).getModificationTime() < (time.time() - 60) * 1000:
+                    self._fs.delete(mark, False)
+                time.sleep(0.05)
+                continue
+            self._fs.create(self._path(f"{self.root}/CURRENT.{entry:012d}.{generation}.{backup}.{folder}"), False).close()
+            return generation
+        raise Conflict(f"{self.root}: no entry could be made in {tries} tries")
+
+    def _read(self, folder: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/{folder}/said.json"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _write(self, name: str, value: dict) -> None:
-        """Write beside and rename over, so that a reader sees the old or the new."""
-        new = self._path(f"{self.root}/.{name}.new")
-        stream = self._fs.create(new, True)
-        stream.write(json.dumps(value, sort_keys=True).encode())
-        stream.close()
-        old = self._path(f"{self.root}/{name}")
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        if not self._fs.rename(new, old):
-            raise OSError(f"{name} could not be renamed into place")
-
     def current(self) -> int | None:
-        pointer = self._read("CURRENT")
-        return pointer and pointer["generation"]
+        log = self._log()
+        return log[-1][1] if log else None
 
-    def publish(self, graph: Graph, validate=None) -> int:
-        """Write, validate and publish; on any failure CURRENT stays as it is."""
-        before = self.current()
-        generation = (before or 0) + 1
+    def publish(self, graph: Graph, validate=factsets.validate) -> int:
+        """Write, validate and publish; on any failure the current generation stays.  ``validate`` returns what is wrong, by
+        default the referential and vocabulary rules of fact sets; None checks nothing."""
         # a folder of its own for each attempt: no reader can hold a list of files that are replaced
-        folder = f"gen={generation}-{uuid.uuid4().hex[:8]}"
+        folder = f"gen-{uuid.uuid4().hex}"
         top = f"{self.root}/{folder}"
         digests = {}
         for name, table in graph.tables().items():
@@ -83,30 +105,29 @@ class Generations:
             if name == "edges":
                 writer = writer.partitionBy("kind")
             writer.parquet(f"{top}/{name}")
-            row = digest(self.spark.read.parquet(f"{top}/{name}").select(*sorted(table.columns))).first()
+            row = factsets.digest(self.spark.read.parquet(f"{top}/{name}").select(*sorted(table.columns))).first()
             digests[name] = {"n": row["n"], "digest": row["digest"], "columns": table.columns}
         said = {"folder": folder, "tables": digests}
-        written = self._graph(said)
-        problem = validate(written).first() if validate is not None else None
+        problem = validate(self._graph(said)).first() if validate is not None else None
         if problem is not None:
             self._fs.delete(self._path(top), True)
-            raise ValueError(f"generation {generation} is not fit to be published: {problem}")
-        self._write(f"gen={generation}.json", said)
-        if before is not None:
-            self._write("BACKUP", {"generation": before})
-        self._write("CURRENT", {"generation": generation})
-        return generation
+            raise ValueError(f"not fit to be published: {problem}")
+        stream = self._fs.create(self._path(f"{top}/said.json"), True)
+        stream.write(json.dumps(said, sort_keys=True).encode())
+        stream.close()
+        return self._point(lambda log: (max((g for _, g, _, _ in log), default=0) + 1, log[-1][1] if log else 0, folder))
 
     def _graph(self, said: dict) -> Graph:
         read = lambda n: self.spark.read.parquet(f"{self.root}/{said['folder']}/{n}")
         return Graph(**{n: read(n).select(*d["columns"]) for n, d in said["tables"].items()})
 
     def _said(self, generation: int | None) -> dict:
-        g = generation if generation is not None else self.current()
-        said = g and self._read(f"gen={g}.json")
-        if not said:
+        log = self._log()
+        g = generation if generation is not None else (log[-1][1] if log else None)
+        folders = {number: folder for _, number, _, folder in log}
+        if g not in folders:
             raise LookupError("INDEX_NOT_READY")
-        return said
+        return self._read(folders[g])
 
     def load(self, generation: int | None = None) -> Graph:
         """The graph of a generation, the current one unless told otherwise."""
@@ -116,26 +137,40 @@ class Generations:
         """Whether the tables still have the content that was published."""
         said = self._said(generation)
         graph = self._graph(said)
-        return all(digest(t.select(*sorted(t.columns))).first()["digest"] == said["tables"][n]["digest"] for n, t in graph.tables().items())
+        return all(factsets.digest(t.select(*sorted(t.columns))).first()["digest"] == said["tables"][n]["digest"] for n, t in graph.tables().items())
 
     def rollback(self) -> int:
         """Point back to the backup, if its content is what was published."""
-        backup = self._read("BACKUP")
-        if not backup or not self.verify(backup["generation"]):
+        log = self._log()
+        backup = log[-1][2] if log else 0
+        if not backup or not self.verify(backup):
             raise LookupError("there is no backup that can be restored")
-        self._write("CURRENT", backup)
-        return backup["generation"]
-
-    def prune(self) -> list[int]:
-        """Delete all generations but the current one and its backup."""
-        keep = {self.current(), (self._read("BACKUP") or {}).get("generation")}
-        folders = {self._said(g)["folder"] for g in keep if g is not None}
-        gone = []
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            if name.startswith("gen=") and not name.endswith(".json") and name not in folders:
-                self._fs.delete(status.getPath(), True)
-                gone.append(int(name[4:].split("-")[0]))
+        folder = {number: folder for _, number, _, folder in log}[backup]
+        return self._point(lambda log: (backup, 0, folder))
+
+    def prune(self, abandoned_after: float = 86_400) -> list[int]:
+        """Delete all generations but the current one and its backup, and what publishers that died have left behind."""
+        log = self._log()
+        keep = {log[-1][1], log[-1][2]} if log else set()
+        numbers = {folder: number for _, number, _, folder in log}
+        entries = {f"CURRENT.{e:012d}.{g}.{b}.{folder}": (e, g) for e, g, b, folder in log}
+        gone, last = [], log[-1][0] if log else 0
+        backup_entry = max((e for e, g, _, _ in log if log and g == log[-1][2]), default=last)
+        # pointers first, so that none points to a folder that is gone
+        for name in self._names():
+            path = self._path(f"{self.root}/{name}")
+            if name in entries and entries[name][0] not in (last, backup_entry):
+                self._fs.delete(path, False)
+            elif name.startswith(".entry-") and int(name[7:]) < last:
+                self._fs.delete(path, False)
+        for name in self._names():
+            path = self._path(f"{self.root}/{name}")
+            if name.startswith("gen-"):
+                number = numbers.get(name)
+                old = self._fs.getFileStatus(path).getModificationTime() < (time.time() - abandoned_after) * 1000
+                if number not in keep if number is not None else old:
+                    self._fs.delete(path, True)
+                    gone += [number] if number is not None else []
         return sorted(gone)
 
     def follow(self, seen: int | None) -> int | None:
@@ -144,12 +179,82 @@ class Generations:
         return now if now is not None and (seen is None or now > seen) else None
 
 
+def scan(graph: Graph, with_edges: bool = True) -> DataFrame:
+    """(table, key, row) of all tables in the order of table and key, values that are null as empty strings: a full scan.
+
+    The order is a range partitioning, so no task sees a whole table.
+    """
+    out = None
+    for name, table in sorted(graph.tables().items()):
+        if name == "edges" and not with_edges:
+            continue
+        key = F.concat_ws("|", "source_key", "kind", "target_key") if name == "edges" else F.col("stable_key")
+        text = F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(table.columns))))
+        part = table.select(F.lit(name).alias("table"), key.alias("key"), text.alias("row"))
+        out = part if out is None else out.union(part)
+    return out.orderBy("table", "key", "row")
+
+
+def full_scan(edges: DataFrame) -> DataFrame:
+    """All edges in the order of source, target, kind and the rest, nulls as empty strings."""
+    columns = ["source_key", "target_key", "kind", "confidence", "provenance", "evidence_key"]
+    return edges.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns)).orderBy(*columns)
+
+
 def apply_delta(rows: DataFrame, upserts: DataFrame, deletes: DataFrame, key: list[str]) -> DataFrame:
     """A table's next state: rows but those deleted or replaced, and the new ones."""
     gone = upserts.select(*key).union(deletes.select(*key)).distinct()
     return rows.join(gone, key, "left_anti").unionByName(upserts.select(*rows.columns))
 
 
+def check_delta(symbols: DataFrame, add: DataFrame, update: DataFrame, delete: DataFrame, add_edges: DataFrame, delete_edges: DataFrame, replace: DataFrame) -> DataFrame:
+    """(problem, key): why a delta can't be applied; see :func:`apply_graph_delta`.
+
+    A symbol in two of add, update and delete, or twice in one; one added that is there, or updated or deleted that isn't; an edge
+    that is added or deleted twice, or whose end is deleted or unknown; a source that is replaced and deleted, or that has
+    both added edges and a replacement.
+    """
+    say = lambda df, problem, key: df.select(F.lit(problem).alias("problem"), key.alias("key"))
+    key, edge = F.col("stable_key"), F.concat_ws("|", "source_key", "kind", "target_key")
+    acts = add.select("stable_key").union(update.select("stable_key")).union(delete.select("stable_key"))
+    there, gone = symbols.select("stable_key"), delete.select("stable_key")
+    after = there.union(add.select("stable_key")).distinct().join(gone, "stable_key", "left_anti")
+    new = add_edges.select("source_key", "kind", "target_key").unionByName(replace.filter("target_key is not null").select("source_key", "kind", "target_key"))
+    twice = lambda df: df.groupBy("source_key", "kind", "target_key").agg(F.count("*").alias("n")).filter("n > 1")
+    sources = replace.select(F.col("source_key").alias("stable_key")).distinct()
+    end = lambda c: new.join(after.select(F.col("stable_key").alias(c)), c, "left_anti")
+    parts = [
+        say(acts.groupBy("stable_key").agg(F.count("*").alias("n")).filter("n > 1"), "symbol_in_two_actions", key),
+        say(add.join(there, "stable_key", "left_semi"), "added_symbol_exists", key),
+        say(update.select("stable_key").union(gone).join(there, "stable_key", "left_anti"), "unknown_symbol", key),
+        say(twice(new), "edge_added_twice", edge), say(twice(delete_edges), "edge_deleted_twice", edge),
+        say(end("source_key"), "edge_without_source", edge), say(end("target_key"), "edge_without_target", edge),
+        say(sources.join(gone, "stable_key", "left_semi"), "replaced_source_is_deleted", key),
+        say(sources.join(add_edges.select(F.col("source_key").alias("stable_key")), "stable_key", "left_semi"), "replaced_source_has_added_edges", key),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def apply_graph_delta(symbols: DataFrame, edges: DataFrame, add: DataFrame, update: DataFrame, delete: DataFrame, add_edges: DataFrame, delete_edges: DataFrame, replace: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The next (symbols, edges): one state to the next, published as a generation of its own.
+
+    ``replace`` has the new outgoing edges of its sources; a source that is to have none stands there with a null target.
+    A deleted symbol's edges go with it; an edge that is added again is replaced.  A delta with problems is refused.
+    """
+    problem = check_delta(symbols, add, update, delete, add_edges, delete_edges, replace).first()
+    if problem is not None:
+        raise ValueError(f"{problem['problem']}: {problem['key']}")
+    gone, columns = delete.select("stable_key"), edges.columns
+    end = lambda c: gone.select(F.col("stable_key").alias(c))
+    left = edges.join(end("source_key"), "source_key", "left_anti").join(end("target_key"), "target_key", "left_anti")
+    left = left.join(replace.select("source_key").distinct(), "source_key", "left_anti").select(*columns)
+    new = add_edges.select(*columns).unionByName(replace.filter("target_key is not null").select(*columns))
+    return apply_delta(symbols, add.unionByName(update), delete, ["stable_key"]), apply_delta(left, new, delete_edges, ["source_key", "target_key", "kind"])
+
+
 def synthetic(spark: SparkSession, symbols: int = 100_000, edges: int = 1_000_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(symbols, edges): a chain of depth five, a cycle of three, two hubs, one percent without edges; the rest by hash."""
     active = symbols - max(1, symbols // 100)
