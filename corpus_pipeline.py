@@ -3,6 +3,11 @@
 Each stage works on all that the one before kept, and its decisions take effect: rejected documents go, one document of
 each group of near-duplicates stays, secrets are replaced in the texts, documents are repeated or left out by the mix,
 and the last stage encodes what is left and decodes it again.
+
+Defined cases: a document with a null or empty text has too few words for the quality rules and goes; a null id is kept by
+near-dedup, as it can't be linked; a null source is mixed as a source of its own; of repeated rows all stay that near-dedup
+keeps; texts of any length are worked on whole; an empty table gives an empty result; further columns are carried along
+up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from factlake.llm.bpe import round_trip
-from factlake.llm.common import checkpoint_path
+from factlake.llm.common import checkpoint_path, remove
 from factlake.llm.mixing import mix
 from factlake.llm.neardup import keep_first
 from factlake.llm.quality import keep_good
@@ -53,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written as Parquet to the shared folder and read again.
+
+    A stage's table goes when the next one's is written; the last of them stays, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{checkpoint_path(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -61,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{top}/{k}-{name}")
             docs = spark.read.parquet(f"{top}/{k}-{name}")
+            if k:
+                remove(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
