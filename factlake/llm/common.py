@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -56,12 +57,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     checkpoint_path(spark)
     out = df.checkpoint(eager=True)
+    _collect(spark)
+    return out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the checkpoint folder: like :func:`cut`, for many small rows, as it is compressed."""
+    spark = df.sparkSession
+    path = f"{checkpoint_path(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _collect(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a step has written, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _collect(spark: SparkSession) -> None:
     now = time.monotonic()
     if now - _collected[0] > 3:
         _collected[0] = now
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return out
 
 
 _collected = [0.0]
@@ -77,39 +97,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: 256 odd-spread 64-bit values, one for each byte, and the base of the rolling sums; both from one rule.
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: For each of two independent hashes 256 odd-spread 64-bit values, one for each byte, and the base of the rolling sums, by rule.
+_GOLDEN = 0x9E3779B97F4A7C15
+BYTE_CODES = [mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * np.uint64(_GOLDEN)) for k in range(2)]
+_BASES = [_GOLDEN | 1, 0xD6E8FEB86659FD93 | 1]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64, kept for the next call."""
-    have = _powers.get(0)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of a hash's base and of its inverse modulo 2**64, kept for the next call."""
+    have = _powers.get(which)
     if have is None or len(have[0]) <= n:
         size = max(1 << 16, 1 << (n + 1).bit_length())
         out = []
-        for base in (_BASE, _INVERSE):
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        have = _powers[0] = (out[0], out[1])
+        have = _powers[which] = (out[0], out[1])
     return have
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
+def rolling(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums S with S[j] - S[i] the weighted sum of the codes of data[i:j]; see :func:`span_hash`."""
-    p, _ = powers(len(data))
+    p, _ = powers(len(data), which)
     s = np.empty(len(data) + 1, dtype=np.uint64)
     s[0] = 0
-    np.cumsum(BYTE_CODE[data] * p[: len(data)], out=s[1:])
+    np.cumsum(BYTE_CODES[which][data] * p[: len(data)], out=s[1:])
     return s
 
 
-def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each data[start:end]: equal bytes give equal hashes wherever they stand."""
-    _, inverse = powers(len(s))
+    _, inverse = powers(len(s), which)
     return mix((s[end] - s[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 

@@ -6,22 +6,28 @@ earlier in the same one.  Texts are UTF-8 bytes and matches never cross document
 1. Every window of ``LENGTH`` bytes has an anchor, the ``GRAM``-gram in it with the least hash (the leftmost of equals).
    Equal windows have equal anchors at equal places, so occurrences of a window meet under their anchor's hash.  A
    record is an anchor with all the windows it serves: one piece of text, some 35 windows.  Records that repeat
-   within their document are marked at once.  Anchors are counted before the shuffle; only records whose anchor occurs
-   in several are fetched from the texts.
-2. The records of one anchor go to one task.  There, windows that occur once, and windows all of whose occurrences are
+   within their text, byte by byte, are marked at once.  Anchors are counted before the shuffle; only records whose anchor
+   occurs several times go on.
+2. Of one anchor, records of equal bytes (told by 144 bits of three hashes) are one class.  Its first record stands for
+   it: all bytes of the others also start earlier, so they are marked whole, and only the first is fetched from its text,
+   if its anchor has other classes.
+3. The classes of one anchor go to one task.  There, windows that occur once, and windows all of whose occurrences are
    continued to the left by the same byte, can't begin a maximal repeat and are passed over; the suffixes that start at
    the others are sorted, with the lengths of common prefixes between neighbours: the enhanced suffix array.  A stack
    scan yields its intervals of equal prefixes; those with different left extensions (the start of a record counts as
    different) are the maximal repeats, each with all its occurrences.  All but the first occurrence are marked.
    A window's class is contained in a maximal repeat with as many occurrences, so the marks are just the bytes sought.
-3. Anchors with more than ``HOT`` records are split: equal records meet under a 128-bit hash, in an aggregation that
-   starts before the shuffle, and only the first of each goes on.  If more than ``HOT`` are left, each of their windows
-   goes by its own 128-bit hash in the same way.
-4. Marks are merged per document and cut out.
-
-Defined cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing.  Ids are integers; documents with null
-ids come last.  Of several texts of one id the order is that of a hash; repeated rows (equal id and text) are one
-document, and each row gets its result.  An empty table gives an empty table.  Other columns don't clash.
+   An anchor of one class has one maximal repeat, the record, whose occurrences are the class: step 2 is its interval.
+4. An anchor with more than ``HOT`` records is gathered by no task: it is salted, the first of each class and salt go on, and an
+   aggregation finds the first of those.  If it has more than ``HOT`` classes, each is split by where in the windows the anchor stands; the windows of
+   a part have more bytes in common, and those are its new, longer anchor.  Parts go through steps 2 to 4 again, until
+   an anchor is a whole window, which has one class.  So at any size the interval tree decides, of bounded groups.
+5. Marks are merged per document and cut out.
+
+Defined cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; long texts are worked on in overlapping
+parts.  Ids are integers; documents with null ids come last.  Of several texts of one id, or of null, the order is that
+of a 128-bit hash, which also tells them apart (texts with ids of their own need none); repeated rows (equal id and text)
+are one document, and each row gets its result.  An empty table gives an empty table.  Other columns don't clash.
 """
 
 from __future__ import annotations
@@ -31,16 +37,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, cut, rolling, span_hash
+from .common import columns, mix, rolling, span_hash, stored
 
 LENGTH, GRAM = 100, 32
-#: Records of one anchor that one task holds at most (some 8 MB).
+#: Records, and classes, of one anchor that one task holds at most (some 8 MB).
 HOT = 60_000
 #: Bytes of records that are worked on at a time.
 CHUNK = 1_500_000
+#: Windows of a text that are hashed at a time.
+PART = 1 << 19
+#: Up to so many anchors with more than ``HOT`` records, 12 bytes each, are broadcast; beyond, they are joined by a shuffle.
+FEW = 500_000
 
 
 # within one text -----------------------------------------------------------------------------------------------------
@@ -59,24 +69,66 @@ def _leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def records(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Hash, first byte and size of each record, and the marks (start, end) of those that repeat in this text."""
-    none = np.empty(0, dtype=np.int64)
-    if len(text) < length:
-        return none, none, none, none.reshape(0, 2)
-    s = rolling(np.frombuffer(text, dtype=np.uint8))
+    """Of each record: anchor's hash, first byte, number of windows, distance from first byte to anchor, and two hashes."""
+    out = [_records_of_part(text[at : at + PART + length - 1], at, length, gram) for at in range(0, len(text) - length + 1, PART)]
+    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, kind) for k, kind in enumerate(kinds))
+
+
+def _records_of_part(text: bytes, begin: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(text, dtype=np.uint8)
+    s = rolling(data)
     at = np.arange(len(text) - gram + 1)
     h = span_hash(s, at, at + gram)
-    # places are 32 bits of the key, so the upper half of the hash orders; longer texts go in overlapping parts
-    least = _leftmost_least(h, length - gram + 1)
+    least = _leftmost_least(h, length - gram + 1)  # by the upper half of the hashes
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    size = np.diff(np.append(first, len(least))) + length - 1
-    anchor = h[least[first]].view(np.int64)
-    whole = span_hash(s, first, first + size)
-    _, once = np.unique(whole, return_index=True)
-    keep = np.zeros(len(first), dtype=bool)
-    keep[once] = True
-    again = np.stack([first[~keep], first[~keep] + size[~keep]], axis=1)
-    return anchor[keep], first[keep], size[keep], again
+    windows = np.diff(np.append(first, len(least)))
+    anchor = least[first]
+    return (h[anchor], first + begin, windows, anchor - first, *_whole(s, rolling(data, 1), first, first + windows + length - 1))
+
+
+def _whole(s: np.ndarray, s2: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of spans; of the second, 16 bits are used."""
+    return span_hash(s2, start, end, 1), span_hash(s, start, end)
+
+
+def _repeated(text: bytes, h: np.ndarray, first: np.ndarray, windows: np.ndarray, f: np.ndarray, length: int) -> np.ndarray:
+    """Which records of a text have the bytes of an earlier one: hashes find them, the bytes decide."""
+    _, earliest, which = np.unique(f ^ mix(h + windows.astype(np.uint64)), return_index=True, return_inverse=True)
+    earliest = earliest[which]
+    again = earliest != np.arange(len(h))
+    for i in np.flatnonzero(again).tolist():
+        a, b, n = int(first[i]), int(first[earliest[i]]), int(windows[i]) + length - 1
+        again[i] = text[a : a + n] == text[b : b + n]
+    return again
+
+
+def _block(level: int, length: int, gram: int) -> int:
+    """How many distances from window to anchor go together at a level of splitting; all of them at the first."""
+    most = length - gram + 1
+    return -(-most // (1 << level))
+
+
+def split_records(text: bytes, place: np.ndarray, windows: np.ndarray, off: np.ndarray, level: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The records of a level from those of the one before, as in :func:`records`, and whose part each is.
+
+    Windows whose anchor stands ``low`` to ``high`` bytes behind their start have the bytes from ``anchor - low`` to
+    ``anchor - high + length`` in common: these are the anchor from here on.
+    """
+    step, last = _block(level, length, gram), length - gram
+    begin = int(place.min())
+    data = np.frombuffer(text[begin : int((place + windows).max()) + length - 1], dtype=np.uint8)
+    s, s2 = rolling(data), rolling(data, 1)
+    lowest = off - windows + 1
+    count = off // step - lowest // step + 1
+    of = np.repeat(np.arange(len(place)), count)
+    block = lowest[of] // step + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    low, high = block * step, np.minimum(block * step + step - 1, last)
+    near, far = np.maximum(low, lowest[of]), np.minimum(high, off[of])
+    anchor = (place + off)[of] - begin
+    key = mix(span_hash(s, anchor - low, anchor - high + length) + (block + (level << 16)).astype(np.uint64))
+    first, n = anchor - far, far - near + 1
+    return (key, first + begin, n, far, *_whole(s, s2, first, first + n + length - 1), of)
 
 
 def merge(marks: np.ndarray) -> np.ndarray:
@@ -170,57 +222,79 @@ def _mark(docs: list[tuple], starts: np.ndarray, pieces: list[bytes], length: in
 # over documents ------------------------------------------------------------------------------------------------------
 
 _LAST = (1 << 63) - 1
+_RECORD = "h long, id long, x binary, f long, p long"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x, text): the id, last if null; 24 bits of a hash of the text; the text as bytes."""
+    """(id, x, text): the id, last if null; what tells texts of one id apart; the text as bytes.
+
+    ``x`` is empty where every row has an id of its own, which a count tells; else 128 bits of a hash and a mark for null ids.
+    """
     text = F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))
-    return columns(docs, doc_id=id_col, text=text_col).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("x"), text.alias("text")
-    )
+    df = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+    shared = df.groupBy("id").agg(F.count("*").alias("n")).filter("id is null or n > 1")
+    x = F.lit(b"") if shared.isEmpty() else F.concat(F.when(F.col("id").isNull(), F.lit(b"\1")).otherwise(F.lit(b"\0")), F.unhex(F.md5("text")))
+    return df.select(F.coalesce("id", F.lit(_LAST)).alias("id"), x.alias("x"), "text")
+
+
+def _pack(first: np.ndarray, windows: np.ndarray, off: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Place, number of windows, distance to the anchor (both less than 256) and 16 bits of the second hash in one number."""
+    rest = windows.astype(np.uint64) << np.uint64(24) | off.astype(np.uint64) << np.uint64(16) | second >> np.uint64(48)
+    return first.astype(np.int64) << 32 | rest.view(np.int64)
 
 
-def _pack(first: np.ndarray, size: np.ndarray, x: int, length: int) -> np.ndarray:
-    """Place, number of windows (less than 256) and text hash of records in one number each: rows of three numbers."""
-    windows = np.maximum(size - length + 1, 0)
-    return first.astype(np.int64) << 32 | windows.astype(np.int64) << 24 | x
+def _class_bits(p: Column) -> Column:
+    return F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _first(p: Column) -> Column:
     return F.shiftright(p, 32)
 
 
-def _size(p: Column, length: int) -> Column:
-    return F.shiftright(p, 24).bitwiseAND(F.lit(255)) + (length - 1)
+def _windows(p: Column) -> Column:
+    return F.shiftright(p, 24).bitwiseAND(F.lit(255))
 
 
 def _records(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, id, p) of each record; a text that repeats within itself has two rows without windows more."""
+    """(h, id, x, f, p) of each record; a run of bytes that repeat within the text is a row without windows, with its end
+    as f, under an anchor that only the text has, twice or more."""
     if not 0 <= length - gram < 255:
         raise ValueError("a record must have fewer than 256 windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 out: list[list[np.ndarray]] = [[], [], []]
-                part = b.slice(at, 256)
+                sizes = []
                 for i, x, text in zip(*(c.to_pylist() for c in part.columns)):
-                    h, first, size, again = records(text, length, gram)
-                    if len(again):
-                        own = np.array([xxhash.xxh3_64_intdigest(f"{i}:{x}")] * 2, dtype=np.uint64).view(np.int64)
-                        h, first, size = (np.concatenate(z) for z in ((h, own), (first, [0, 0]), (size, [0, 0])))
-                    for z, v in zip(out, (h, np.full(len(h), i), _pack(first, size, x, length))):
-                        z.append(v.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in out], names=["h", "id", "p"])
-
-    return texts.select("id", "x", "text").mapInArrow(run, "h long, id long, p long")
-
-
-def _pieces(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, id, x, s, piece, e): the wanted records with their bytes; marks within a text have e and no piece."""
-    x = F.col("p").bitwiseAND(F.lit((1 << 24) - 1))
-    of_text = wanted.groupBy("id", x.alias("x")).agg(F.collect_list(F.struct("h", "p")).alias("records"))
-    joined = texts.join(of_text, ["id", "x"]).select("id", "x", "text", "records")
+                    h, first, windows, off, f, second = records(text, length, gram)
+                    again = _repeated(text, h, first, windows, f, length)
+                    p = _pack(first, windows, off, second)
+                    if again.any():
+                        runs = merge(np.stack([first[again], first[again] + windows[again] + length - 1], axis=1))
+                        runs = np.concatenate([runs, runs[:1]]) if len(runs) == 1 else runs
+                        own = np.full(len(runs), xxhash.xxh3_64_intdigest(b"%d:%s" % (i, x)), dtype=np.uint64)
+                        h, f = np.concatenate([h[~again], own]), np.concatenate([f[~again], runs[:, 1].astype(np.uint64)])
+                        p = np.concatenate([p[~again], runs[:, 0] << 32])
+                    for z, v in zip(out, (h, f, p)):
+                        z.append(v.view(np.int64))
+                    sizes.append(len(h))
+                h, f, p = (pa.array(np.concatenate(z) if z else np.empty(0, np.int64), pa.int64()) for z in out)
+                of = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([h, part.column(0).take(of), part.column(1).take(of), f, p], names=["h", "id", "x", "f", "p"])
+
+    return texts.select("id", "x", "text").mapInArrow(run, _RECORD)
+
+
+def _with_records(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, x, text, records) of the texts that hold wanted records."""
+    of_text = wanted.groupBy("id", "x").agg(F.collect_list(F.struct("h", "p")).alias("records"))
+    return texts.join(of_text, ["id", "x"]).select("id", "x", "text", "records")
+
+
+def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(h, id, x, s, piece): the wanted records with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,26 +303,39 @@ def _pieces(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
                 out: list[tuple] = []
                 for i, x, text, rs in zip(*(c.to_pylist() for c in part.columns)):
                     places = [(r["h"], r["p"] >> 32, r["p"] >> 24 & 255) for r in rs]
-                    out += [(h, i, x, s, text[s : s + n + length - 1], None) for h, s, n in places if n]
-                    if not all(n for _, _, n in places):
-                        out += [(x, i, x, int(s), None, int(e)) for s, e in merge(records(text, length, gram)[3])]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                cols = zip(*out) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["h", "id", "x", "s", "piece", "e"])
+                    out += [(h, i, x, s, text[s : s + n + length - 1]) for h, s, n in places]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+                cols = zip(*out) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["h", "id", "x", "s", "piece"])
+
+    return _with_records(texts, wanted).mapInArrow(run, "h long, id long, x binary, s long, piece binary")
+
+
+def _split(texts: DataFrame, wanted: DataFrame, level: int, length: int, gram: int) -> DataFrame:
+    """(h, id, x, f, p): the parts of the wanted records."""
 
-    return joined.mapInArrow(run, "h long, id long, x long, s long, piece binary, e long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                i, x, text, rs = (c[at] for c in b.columns)
+                p = np.array(sorted(r["p"] for r in rs.as_py()), dtype=np.int64)
+                made = split_records(text.as_py(), p >> 32, p >> 24 & 255, p >> 16 & 255, level, length, gram)
+                h, first, windows, off, f, second, _ = made
+                cols = [pa.array(h.view(np.int64)), pa.array([i.as_py()] * len(h), pa.int64()), pa.array([x.as_py()] * len(h), pa.binary())]
+                cols += [pa.array(f.view(np.int64)), pa.array(_pack(first, windows, off, second))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "x", "f", "p"])
+
+    return _with_records(texts, wanted).mapInArrow(run, _RECORD)
 
 
 def _marks(pieces: DataFrame, length: int) -> DataFrame:
     """(id, x, s, e) from pieces whose equal h stand together in their partition."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        out = [(r[1], r[2], r[3], r[5]) for r in rows if r[4] is None]
-        rows = [r for r in rows if r[4] is not None]
-        if rows:
-            made = _mark([r[1:3] for r in rows], np.array([r[3] for r in rows], dtype=np.int64), [r[4] for r in rows], length)
-            out += [(*rows[w][1:3], s, e) for w, s, e in made]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["id", "x", "s", "e"])
+        made = _mark([r[1:3] for r in rows], np.array([r[3] for r in rows], dtype=np.int64), [r[4] for r in rows], length)
+        out = [(*rows[w][1:3], s, e) for w, s, e in made]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["id", "x", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -259,69 +346,71 @@ def _marks(pieces: DataFrame, length: int) -> DataFrame:
                     yield work(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4] or b"") + 64
+                size += len(row[4]) + 64
         if held:
             yield work(held)
 
-    return pieces.mapInArrow(run, "id long, x long, s long, e long")
-
+    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, x binary, s long, e long")
 
-def _marks_of_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """(id, x, s, e): windows by their own hash, all but the first of each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, x, s, piece in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                n = len(piece or b"") - length + 1
-                made = [xxhash.xxh3_128_digest(piece[j : j + length]) for j in range(n)]
-                at = np.arange(s, s + max(0, n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(made, pa.binary()), pa.array([i] * len(at), pa.int64()), pa.array([x] * len(at), pa.int64()), pa.array(at, pa.int64())],
-                    names=["w", "id", "x", "s"],
-                )
+def _classes(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(h, id, x, p, classes): the first record of each class of anchors with several; and (id, x, s, p, e): all others.
 
-    windows = pieces.mapInArrow(run, "w binary, id long, x long, s long")
-    first = windows.groupBy("w").agg(F.min(F.struct("id", "x", "s")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(first, "w").filter(F.struct("id", "x", "s") != F.col("head"))
-    return later.select("id", "x", "s", (F.col("s") + length).alias("e"))
+    Of the others, e is null unless the row is a run of bytes that repeat within their text.
+    """
+    common = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    salts = F.ceil(F.col("n") / hot).cast("int")
+    crowded = common.filter(F.col("n") > hot).select("h", salts.alias("salts"))
+    many = crowded.count()
+    if many:
+        found = found.join(F.broadcast(crowded) if many <= FEW else crowded, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        found = found.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id", "x", "p"), "salts")).otherwise(0))
+        keys = common.select("h", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)).alias("salt"))
+        here = ["h", "salt"]
+    else:
+        found, keys, here = found.withColumn("salts", F.lit(1)), common.select("h"), ["h"]
+    runs, bits, place = _windows(F.col("p")) == 0, _class_bits("p"), F.struct("id", "x", "p")
+    one = Window.partitionBy(*here, "f", "bits").orderBy("id", "x", "p")
+    own = F.col("first").cast("long")
+    # what is needed no more is null, which takes no room
+    known = stored(
+        found.join(keys, here).withColumn("bits", bits)
+        .withColumn("first", (F.row_number().over(one) == 1) & ~runs)
+        .withColumn("classes", F.sum(own).over(Window.partitionBy(*here)))
+        .filter("not first or classes > 1 or salts > 1")
+        .select(F.when(F.col("first"), F.col("h")).alias("h"), "id", "x", F.when(runs | F.col("first") & (F.col("salts") > 1), F.col("f")).alias("f"), "p", "first", "classes", "salts")
+    )
+    end = F.when(runs, F.col("f")).alias("e")
+    firsts = known.filter("first and salts = 1").select("h", "id", "x", "p", "classes")
+    others = known.filter("not first").select("id", "x", "p", end)
+    if many:
+        by = ["h", "f", "bits"]
+        of_salts = known.filter("first and salts > 1").select("h", "f", bits.alias("bits"), "id", "x", "p")
+        heads = stored(of_salts.groupBy(*by).agg(F.min(place).alias("head")))
+        counts = heads.groupBy("h").agg(F.count("*").alias("classes"))
+        firsts = firsts.union(heads.join(counts, "h").filter("classes > 1").select("h", "head.id", "head.x", "head.p", "classes"))
+        later = of_salts.join(heads, by).filter(place != F.col("head"))
+        others = others.union(later.select("id", "x", "p", F.lit(None).cast("long")))
+    return firsts, others
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, x, s, e): the marks of each text; their union is what goes."""
-    found = _records(texts, length, gram)
-    common = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    cold = found.join(common.filter(F.col("n") <= hot).select("h"), "h")
-    if common.filter(F.col("n") > hot).isEmpty():
-        return _marks(_gather(_pieces(texts, cold, length, gram)), length)
-    # hot anchors: equal records meet first, by their anchor and the hash of their bytes
-    many = found.join(common.filter(F.col("n") > hot).select("h"), "h")
-    same = _record_hashes(texts, many, length)
-    place = F.struct("id", "p")
-    heads = same.groupBy("h", "whole").agg(F.min(place).alias("head"))
-    later = same.join(heads, ["h", "whole"]).filter(place != F.col("head"))
-    first, x = _first(F.col("p")), F.col("p").bitwiseAND(F.lit((1 << 24) - 1))
-    marks = later.select("id", x.alias("x"), first.alias("s"), (first + _size(F.col("p"), length)).alias("e"))
-    left = cut(heads.select("h", "head.id", "head.p"))
-    still = cut(left.groupBy("h").agg(F.count("*").alias("n")))
-    few = left.join(still.filter(F.col("n") <= hot).select("h"), "h")
-    marks = marks.union(_marks(_gather(_pieces(texts, cold.union(few), length, gram)), length))
-    if still.filter(F.col("n") > hot).isEmpty():
-        return marks
-    most = left.join(still.filter(F.col("n") > hot).select("h"), "h")
-    return marks.union(_marks_of_windows(_pieces(texts, most, length, gram), length))
-
-
-def _gather(pieces: DataFrame) -> DataFrame:
-    return pieces.repartition("h").sortWithinPartitions("h")
-
-
-def _record_hashes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, id, p, whole): a 128-bit hash of each wanted record's bytes."""
-    x = F.col("p").bitwiseAND(F.lit((1 << 24) - 1))
-    of_text = wanted.groupBy("id", x.alias("x")).agg(F.collect_list(F.struct("h", "p")).alias("records"))
-    r = texts.join(of_text, ["id", "x"]).select("id", "text", F.explode("records").alias("r"))
-    p = F.col("r.p")
-    return r.select("r.h", "id", p.alias("p"), F.md5(F.substring("text", (_first(p) + 1).cast("int"), _size(p, length).cast("int"))).alias("whole"))
+    """(id, x, s, e): the marks of each text; their union is what goes.  Equal (id, x) stand for equal texts."""
+    texts = texts if not texts.filter("length(x) > 0").limit(1).count() else texts.dropDuplicates(["id", "x"])
+    found, level, marks = _records(texts, length, gram), 0, None
+    while True:
+        firsts, others = _classes(found, hot)
+        s = _first(F.col("p"))
+        again = others.select("id", "x", s.alias("s"), F.coalesce("e", s + _windows(F.col("p")) + (length - 1)).alias("e"))
+        made = again.union(_marks(_pieces(texts, firsts.filter(F.col("classes") <= hot), length), length))
+        marks = made if marks is None else marks.union(made)
+        large = firsts.filter(F.col("classes") > hot)
+        if large.isEmpty():
+            return marks
+        if _block(level, length, gram) == 1:
+            raise AssertionError("an anchor that is a whole window has one class")
+        level += 1
+        found = _split(texts, large, level, length, gram)
 
 
 def dedup_substrings(
@@ -329,8 +418,8 @@ def dedup_substrings(
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (maximal removed runs in bytes, end exclusive), kept (binary)."""
     texts = _texts(docs, id_col, text_col)
-    marks = repeated_spans(texts, length, gram, hot).groupBy("id", "x").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
-    joined = texts.join(marks, ["id", "x"], "left").select("id", "text", "marks")
+    marks = stored(repeated_spans(texts, length, gram, hot)).groupBy("id", "x").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    joined = texts.join(marks, ["id", "x"], "left").select(F.when(F.substring("x", 1, 1) != F.lit(b"\1"), F.col("id")).alias("id"), "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
@@ -343,7 +432,7 @@ def dedup_substrings(
                     kept.append(text[done:s])
                     done = e
                 kept.append(text[done:])
-                rows.append((None if i == _LAST else i, len(text), sum(e - s for s, e in runs), [{"s": s, "e": e} for s, e in runs], b"".join(kept)))
+                rows.append((i, len(text), sum(e - s for s, e in runs), [{"s": s, "e": e} for s, e in runs], b"".join(kept)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"]
