@@ -69,16 +69,17 @@ def by_hand(sizes):
         capped |= new
 
 
-@pytest.mark.parametrize("bucket", [3, 20_000])
-def test_mixing(spark, bucket):
+@pytest.mark.parametrize("offsets", [1, 32])
+def test_mixing(spark, monkeypatch, offsets):
     rows = []
     for i in range(900):
         source = [None, "a", "a", "a", "b", "Z", "ä", ""][i % 8]
         words = 7 if source == "a" else (i * 7919) % 40 + (0 if source != "b" else 1)
         rows.append((i, " ".join(["w"] * words) if words else [None, ""][i % 2], source if i != 5 else "tiny", "extra"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
-    plan = mix_plan(docs, bucket_rows=bucket).collect()
-    again = mix_plan(docs.repartition(7), bucket_rows=bucket).collect()
+    plan = mix_plan(docs, offsets=offsets).collect()
+    monkeypatch.setattr("factlake.llm.mixing.FEW", 0)
+    again = mix_plan(docs.repartition(7), offsets=offsets).collect()
     assert sorted(map(tuple, plan), key=str) == sorted(map(tuple, again), key=str) and len(plan) == len(rows)
     sizes = collections.Counter()
     for i, t, s, _ in rows:
@@ -97,6 +98,31 @@ def test_mixing(spark, bucket):
     assert all(n[i] == c for i, c in copies.items())
 
 
+def test_mixing_is_systematic_sampling(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 9 + 1)), "ab"[i % 5 == 0]) for i in range(400)], "doc_id long, text string, source string")
+    by_source = collections.defaultdict(list)
+    for r in mix_plan(docs.repartition(5)).collect():
+        by_source[r.source].append(r)
+    for rows in by_source.values():  # smallest first, any n documents in a row are taken n times the rate, up to one
+        rate = rows[0].target / rows[0].source_size
+        sizes = collections.defaultdict(list)
+        for r in rows:
+            sizes[r.size].append(r.copies)
+        seen = copies = 0
+        for size in sorted(sizes):
+            seen, copies = seen + len(sizes[size]), copies + sum(sizes[size])
+            assert abs(copies - seen * rate) <= 1 + 1e-9 and max(sizes[size]) - min(sizes[size]) <= 1
+
+
+def test_mixing_of_one_repeated_row(spark):
+    rows = [(None, "a b c", "s")] * 300 + [(1, "a b c", "s")] * 200 + [(i, "x y", "t") for i in range(1000, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    plan = mix_plan(docs).groupBy("doc_id").sum("taken").collect()
+    taken = {r[0]: r[1] for r in plan}
+    assert len(taken) == 102 and abs(taken[None] + taken[1] - mix_plan(docs).filter("source = 's'").first().target) <= 3
+    assert mix(docs).filter("source = 's'").count() * 3 == taken[None] + taken[1]
+
+
 def test_mixing_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c d e", "s"), (2, "x", "t")], "doc_id long, text string, source string")
     copies = collections.Counter()
