@@ -19,6 +19,8 @@ from factlake.streaming.debounce import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The queries over a graph, as functions of the graph: for one that is published.
+OF_GRAPH: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
@@ -26,6 +28,8 @@ def query(sql: str | None = None, graph: bool = True):
     """Register a query under its function's name, with its SQL; the graph's tables come first in it."""
 
     def add(f: Callable) -> Callable:
+        if graph:
+            OF_GRAPH[f.__name__] = f
         QUERIES[f.__name__] = (lambda spark, d: f(project(spark, d))) if graph else f
         if sql is not None:
             ORACLES[f.__name__] = f"{ctes(VIEWS)} {sql}" if graph else sql
@@ -189,19 +193,18 @@ def q34_local_signature(g):
 
 # traversal -----------------------------------------------------------------------------------------------------------
 
-_SUPPLIERS = ["s:1", "s:2", "s:3"]
-_ORDERS = ["o:1", "o:2", "o:3", "o:33"]
+#: Roots of traversals: every symbol of a kind.
+_SUPPLIERS, _ORDERS = "interface", "function"
 
 
-def _roots(g, found):
-    return g.symbols.filter(F.col("stable_key").isin(*found)).select(F.col("stable_key").alias("root"))
+def _roots(g, kind):
+    return g.symbols.filter(F.col("kind") == kind).select(F.col("stable_key").alias("root"))
 
 
-def _walk(near: str, far: str, roots: list[str], depth: int) -> str:
-    listed = ", ".join(f"('{r}')" for r in roots)
+def _walk(near: str, far: str, kind: str, depth: int) -> str:
     kinds = ", ".join(f"'{k}'" for k in traverse.REFERENCE_KINDS)
     return f""", walk as (
-        select r as root, r as id, 0 as depth from (values {listed}) t(r)
+        select stable_key as root, stable_key as id, 0 as depth from symbols where kind = '{kind}'
         union select w.root, e.{far}, w.depth + 1 from walk w join edges e on e.{near} = w.id where w.depth < {depth} and e.kind in ({kinds}))
         , visits as (select root, id, min(depth) as depth from walk group by root, id) """
 
@@ -886,7 +889,7 @@ def v4_layout(spark, d):
 
 
 @query(
-    _walk("source_key", "target_key", _ORDERS, 2) + ", back as (select r as root, r as id, 0 as depth from (values " + ", ".join(f"('{r}')" for r in _ORDERS) + ") t(r) union "
+    _walk("source_key", "target_key", _ORDERS, 2) + ", back as (select stable_key as root, stable_key as id, 0 as depth from symbols where kind = 'function' union "
     "select w.root, e.source_key, w.depth + 1 from back w join edges e on e.target_key = w.id where w.depth < 2 and e.kind <> 'PACKAGE_DEPENDS_ON') "
     "select root, id from visits union select root, id from back"
 )
