@@ -17,9 +17,15 @@
    then the exact similarity of the full sets decides.
 6. Links are closed to components by passing least labels along and doubling; nothing is collected.
 
+``CROWD``, ``MEETINGS`` and the rate at which further heads stop decide which pairs are tried first and by which index; the
+links that are found don't depend on them, and tests run with other values.  Where rows meet under a key that may be hot
+(a class, a head, a list, a component), one side of the join is a written table with a row a key, so that adaptive execution
+can split the other; all aggregations start before their shuffle.
+
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing.  A null id
 can't be linked: its component is null and it is kept.  Repeated rows are returned each; if one id has several texts,
-they are linked.  Rows of one id are one document and stay or go together.  An empty
+they are linked.  Rows of one id are one document; ``keep_first`` keeps one
+of them.  An empty
 table gives an empty table.  Other columns don't clash.
 """
 
@@ -33,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, fresh, shingle_hashes, word_hashes
+from .common import columns, cut, fresh, shingle_hashes, stored, word_hashes
 
 #: Similarity from which two documents are linked: NUM / DEN.
 NUM, DEN = 75, 100
@@ -185,8 +191,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int)
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label the least node that is reachable along edges (a, b); for every node of an edge."""
-    e = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    e = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = (
             e.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -195,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
-        new = cut(
+        new = stored(
             low.join(ahead, "label").select("node", "was", F.least("label", "ahead").alias("label"))
         )
         labels = new.select("node", "label")
@@ -205,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _heads(lists: DataFrame) -> DataFrame:
     """Each member of a list with the list's head, its least id."""
-    head = lists.groupBy("v").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("v", "a")
+    head = stored(lists.groupBy("v").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("v", "a"))
     return lists.join(head, "v").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
 
 
@@ -216,7 +222,7 @@ def _apart(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         "label", F.coalesce("label", "rep")
     )
     parts = own.groupBy("v", "label").agg(F.count("*").alias("m"))
-    tops = (
+    tops = stored(
         parts.groupBy("v")
         .agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("parts"))
         .filter("parts > 1")
@@ -245,7 +251,7 @@ def _across(entries: DataFrame) -> DataFrame:
 def _next_heads(entries: DataFrame, turn: int) -> DataFrame:
     """Each member outside its list's largest component with a member of that component, another one each turn."""
     draw = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep"))
-    heads = entries.filter("label = top").groupBy("v").agg(F.min(draw)["rep"].alias("head"))
+    heads = stored(entries.filter("label = top").groupBy("v").agg(F.min(draw)["rep"].alias("head")))
     met = entries.filter("label <> top").join(heads, "v")
     return met.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
 
@@ -256,13 +262,11 @@ def near_duplicates(
     """Per row of ``docs``: doc_id, n_shingles, component_id (the least linked id) and kept (it is that id)."""
     base = cut(sketches(docs, shingle, id_col=id_col, text_col=text_col))
     sets = base.filter("doc_id is not null and sig is not null")
-    classes = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    member = sets.select("doc_id", "sig").join(classes, "sig")
+    # members of a class have equal sets, so any of them has its sketch
     reps = cut(
-        sets.join(classes, "sig")
-        .filter("doc_id = rep")
-        .select("rep", F.xxhash64("sig").alias("key"), F.col("n_shingles").alias("n"), "sketch")
-        .dropDuplicates(["rep", "key"])
+        sets.groupBy("sig")
+        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+        .select("sig", "rep", F.xxhash64("sig").alias("key"), "n", "sketch")
     )
     lists, texts = _lists(reps, columns(docs, rep=id_col, text=text_col), shingle)
     tried = cut(_heads(lists))
@@ -284,14 +288,17 @@ def near_duplicates(
         tried, before = tried.union(pairs), load["pairs"]
         labels = components(links)
     # one id with several sets
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
-    same = member.join(several, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b"))
-    labels = components(links.union(same))
-    of_doc = (
-        member.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        .groupBy("doc_id")
-        .agg(F.min(F.coalesce("label", "rep")).alias("component"))
+    of_id = sets.select("doc_id", "sig").distinct()
+    several = stored(of_id.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if not several.isEmpty():
+        mine = stored(of_id.join(several, "doc_id").join(reps.select("sig", "rep"), "sig").select("doc_id", "rep"))
+        least = stored(mine.groupBy("doc_id").agg(F.min("rep").alias("a")))
+        links = links.union(mine.join(least, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")))
+    labels = components(links)
+    label_of_class = stored(
+        reps.select("sig", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
     )
+    of_doc = stored(sets.select("doc_id", "sig").join(label_of_class, "sig").groupBy("doc_id").agg(F.min("label").alias("component")))
     component = F.coalesce("component", "doc_id")
     return base.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select(
         "doc_id",
@@ -302,7 +309,19 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, all columns as they are."""
-    (no,) = fresh(docs, "_no")
-    drop = near_duplicates(docs, shingle, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(no)).distinct()
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col(no), "left_anti")
+    """One row of each group of near-duplicates, all columns as they are; of several rows of its id any one.
+
+    Rows with a null id can't be told to be one document and all stay.
+    """
+    no, rows = fresh(docs, "_no", "_rows")
+    found = near_duplicates(docs, shingle, id_col, text_col).filter("doc_id is not null")
+    said = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1").toDF(no, "kept", rows).withColumn(rows, F.when(F.col("kept"), F.col(rows))).select(no, rows))
+    own = F.col(f"`{id_col}`")
+    once = docs.join(said, own == F.col(no), "left_anti")
+    several = said.filter(F.col(rows).isNotNull())
+    if several.isEmpty():
+        return once
+    # an id that many rows have: any one row of each, by an aggregation that starts before the shuffle
+    row = F.any_value(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))))
+    again = docs.join(several.select(no), own == F.col(no), "left_semi").groupBy(own.alias(no)).agg(row.alias("row"))
+    return once.union(again.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
