@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, best bin first.
 
-The tree is fitted on a bounded sample (``SAMPLE`` vectors, the least hashes of their ids); every vector is indexed: it
-goes down to the nearest centre at each level and so to one leaf.  A query visits leaves in the order in which a priority
-queue hands them out: a node's key is the query's inner product with its centre plus the query's norm times the
+The tree is fitted on a bounded sample (``SAMPLE`` vectors, the least hashes of their ids), and a node is split, into as many
+parts as it takes up to ``FAN``, while it stands for more than ``LEAF`` rows of the table and holds enough of the sample: the
+number of leaves grows with the table up to about ``SAMPLE`` / 16, and so does what a query can pass by.  Every vector is
+indexed: it goes down to the nearest centre at each level and so to one leaf.  A query visits leaves in the order in which a
+priority queue hands them out: a node's key is the query's inner product with its centre plus the query's norm times the
 node's radius over the sample, scaled by ``SLACK`` (a bound at 1, the centre's own score at 0).  How many leaves are
 visited is calibrated: ``CALIBRATION`` queries are answered exactly, by scanning all vectors in blocks, and visits are
 widened until the tree's answers reach ``RECALL`` of the exact ones.
 
-Leaves are split into pieces of a bounded number of rows, so a vector that is a third of all rows fills many pieces;
-a query meets each piece of its leaves and keeps its ``k`` best of it; the last step ranks those.  The broadcast tree is
-bounded by ``FAN`` ** ``DEPTH`` centres.
+Neighbouring leaves are packed into bins of about ``PIECE`` rows, and a leaf of more is split into pieces, so a vector that is a
+third of all rows fills many bins.  A query goes once to each bin that holds a leaf of its visits, is held there against the
+rows of these leaves and no others, and keeps its ``k`` best; the last step ranks those.  The broadcast tree is bounded by
+the sample.  What is left of the work is what the visits leave: on vectors without structure (any direction as likely as any
+other) a query has to visit some half of all leaves for such a recall, so work is then quadratic if queries grow with rows.
 
 Scores are inner products of the original vectors in double precision, summed in the same order for each row, so equal
 vectors score equally and ties go to the smaller id.
@@ -23,6 +27,7 @@ don't clash.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,47 +37,50 @@ from pyspark.sql import functions as F
 
 from .common import columns, cut
 
-SAMPLE = 20_000
-FAN, DEPTH = 8, 3
+SAMPLE = 50_000
+FAN = 8
+#: Rows of the table that a leaf should hold, and rows of the sample that a leaf holds on average at least.
+LEAF, LEAST = 64, 16
 CALIBRATION = 200
 RECALL = 0.97
 SLACK = 0.25
-#: Rows of a leaf that one piece holds at most.
+#: Rows that one bin holds at most.
 PIECE = 4_000
-#: Queries that one piece meets in one go at most (about); more are dealt into slices.
+#: Queries that one bin meets in one go at most (about); more are dealt into slices.
 SLICE = 8_000
 
 
 class Tree:
-    """Centres of all nodes, level by level; node i's children are i * FAN + 1 ... i * FAN + FAN; leaves are numbered."""
+    """Nodes with centre, radius and children; leaves are numbered so that those of a node are neighbours."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 7) -> None:
-        self.dim = sample.shape[1]
-        self.centre: dict[int, np.ndarray] = {}
-        self.radius: dict[int, float] = {}
-        self.children: dict[int, list[int]] = {}
-        self.leaves: list[int] = []
+    def __init__(self, sample: np.ndarray, rows: int | None = None, seed: int = 7) -> None:
+        each = (rows or len(sample)) / max(1, len(sample))  # rows of the table for one of the sample
+        centres, radii, self.children = [], [], []
         rng = np.random.default_rng(seed)
-        todo = [(0, 0, sample)]
-        count = 1
+        self.leaves: list[int] = []
+        todo = [(sample, None)]
         while todo:
-            node, depth, rows = todo.pop()
-            centre = rows.mean(0) if len(rows) else np.zeros(self.dim)
-            self.centre[node] = centre
-            self.radius[node] = float(np.sqrt(((rows - centre) ** 2).sum(1).max())) if len(rows) else 0.0
-            parts = self._split(rows, rng) if depth < DEPTH and len(rows) >= 4 * FAN else []
-            if len(parts) < 2:
+            part, parent = todo.pop()
+            node = len(centres)
+            if parent is not None:
+                self.children[parent].append(node)
+            self.children.append([])
+            centre = part.mean(0) if len(part) else np.zeros(sample.shape[1])
+            centres.append(centre)
+            radii.append(float(np.sqrt(((part - centre) ** 2).sum(1).max())) if len(part) else 0.0)
+            fan = int(min(FAN, np.ceil(len(part) * each / LEAF), len(part) // LEAST))
+            parts = self._split(part, fan, rng) if fan > 1 else []
+            if len(parts) > 1:
+                todo += [(p, node) for p in parts]
+            else:
                 self.leaves.append(node)
-                continue
-            self.children[node] = list(range(count, count + len(parts)))
-            count += len(parts)
-            todo += [(c, depth + 1, p) for c, p in zip(self.children[node], parts)]
-        self.number = {n: i for i, n in enumerate(sorted(self.leaves))}
+        self.centres, self.radii = np.array(centres), np.array(radii)
+        self.number = {n: i for i, n in enumerate(self.leaves)}
 
     @staticmethod
-    def _split(rows: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    def _split(rows: np.ndarray, fan: int, rng: np.random.Generator) -> list[np.ndarray]:
         distinct = np.unique(rows, axis=0)
-        centres = distinct[rng.choice(len(distinct), min(FAN, len(distinct)), replace=False)]
+        centres = distinct[rng.choice(len(distinct), min(fan, len(distinct)), replace=False)]
         for _ in range(8):
             near = Tree._nearest(rows, centres)
             centres = np.array([rows[near == j].mean(0) if (near == j).any() else c for j, c in enumerate(centres)])
@@ -89,47 +97,53 @@ class Tree:
         todo = [(0, np.arange(len(rows)))]
         while todo:
             node, at = todo.pop()
-            kids = self.children.get(node)
+            kids = self.children[node]
             if not kids:
                 out[at] = self.number[node]
             elif len(at):
-                near = self._nearest(rows[at], np.array([self.centre[c] for c in kids]))
+                near = self._nearest(rows[at], self.centres[kids])
                 todo += [(c, at[near == j]) for j, c in enumerate(kids)]
         return out
 
     def best_first(self, query: np.ndarray, slack: float = SLACK) -> Iterator[int]:
         """Leaves in the order in which the queue hands them out."""
-        norm = float(np.sqrt(query @ query))
-        key = lambda n: -(float(query @ self.centre[n]) + slack * norm * self.radius[n])
-        queue = [(key(0), 0)]
+        key = (-(self.centres @ query + slack * float(np.sqrt(query @ query)) * self.radii)).tolist()
+        queue = [(key[0], 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            kids = self.children.get(node)
-            if kids is None:
+            kids = self.children[node]
+            if not kids:
                 yield self.number[node]
-            else:
-                for c in kids:
-                    heapq.heappush(queue, (key(c), c))
+            for c in kids:
+                heapq.heappush(queue, (key[c], c))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _top(ids: np.ndarray, rows: np.ndarray, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the rows for one query, exactly scored; its own row is no candidate."""
-    rough = rows @ q
-    rough[ids == qid] = -np.inf
-    if len(ids) > 4 * k:
-        # rounding of the product differs from the exact score by far less than the margin
-        edge = np.partition(rough, len(ids) - k)[len(ids) - k]
-        at = np.flatnonzero(rough >= edge - 1e-9 * max(1.0, abs(edge)))
-    else:
-        at = np.flatnonzero(np.isfinite(rough))
-    at = at[ids[at] != qid]
-    score = (rows[at] * q).sum(1)
-    best = np.lexsort((ids[at], -score))[:k]
-    return ids[at[best]], score[best]
+def _tops(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, qs: np.ndarray, k: int, open_: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the indices of its k best rows, exactly scored, and the scores; its own row is no candidate.
+
+    ``open_``: for each query, which rows it may meet.
+    """
+    for at in range(0, len(qids), 256):
+        q, of = qs[at : at + 256], qids[at : at + 256]
+        rough = q @ rows.T
+        rough[of[:, None] == ids] = -np.inf
+        if open_ is not None:
+            rough[~open_[at : at + 256]] = -np.inf
+        if len(ids) > 4 * k:
+            edge = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+            # rounding of the product differs from the exact score by far less than the margin
+            near = (rough >= (edge - 1e-9 * np.maximum(1.0, np.abs(edge)))[:, None]) & np.isfinite(rough)
+        else:
+            near = np.isfinite(rough)
+        for j in range(len(q)):
+            there = np.flatnonzero(near[j])
+            score = (rows[there] * q[j]).sum(1)
+            best = np.lexsort((ids[there], -score))[:k]
+            yield there[best], score[best]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -143,6 +157,20 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return v.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def _bins(sizes: list[int]) -> tuple[list[int], list[int]]:
+    """Per leaf its first bin and in how many pieces it is dealt: neighbours share a bin while they fit."""
+    first, pieces, now, held = [], [], 0, 0
+    for n in sizes:
+        if held and held + n > PIECE:
+            now, held = now + 1, 0
+        first.append(now)
+        pieces.append(max(1, -(-n // PIECE)))
+        held += n
+        if pieces[-1] > 1:  # bins of its own
+            now, held = now + pieces[-1], 0
+    return first, pieces
+
+
 def search(
     vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL,
     id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, calibration: int = CALIBRATION,
@@ -158,7 +186,7 @@ def search(
     v = v.filter(F.size("v") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
     fit = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     rows = _matrix(fit.column("v").combine_chunks(), dim)
-    tree = spark.sparkContext.broadcast(Tree(rows))
+    tree = spark.sparkContext.broadcast(Tree(rows, sum(r["count"] for r in lengths if r["dim"] == dim)))
     queries = v.filter(F.col("vec_id") % every == 0)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,53 +196,65 @@ def search(
 
     placed = cut(v.mapInArrow(place, "vec_id long, v array<double>, leaf long"))
     visits = _calibrate(placed, queries, tree.value, dim, k, recall, calibration)
+    # a row a leaf: the bin in which its rows stand, or the first of several, and over how many they are dealt
+    size = dict(placed.groupBy("leaf").agg(F.count("*")).collect())
+    first_bin, pieces = _bins([size.get(i, 0) for i in range(len(tree.value.leaves))])
+    table = spark.sparkContext.broadcast((first_bin, pieces))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, dealt = table.value
         for b in batches:
-            ids, leaves = [], []
-            for q, row in zip(b.column(0).to_pylist(), _matrix(b.column(1), dim)):
-                for n, leaf in enumerate(tree.value.best_first(row)):
-                    if n >= visits:
-                        break
-                    ids.append(q)
-                    leaves.append(leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64())], names=["query_id", "leaf"])
-
-    wanted = cut(queries.mapInArrow(visit, "query_id long, leaf long"))
-    # a leaf's rows are dealt into pieces and its queries into slices, by hashes of their ids; the table has a row a leaf
-    parts = (
-        placed.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
-        .join(wanted.groupBy("leaf").agg(F.ceil(F.count("*") / SLICE).alias("slices")), "leaf")
-    )
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                ids, bins, leaves, row = [], [], [], []
+                for n, (qid, q) in enumerate(zip(part.column(0).to_pylist(), _matrix(part.column(1), dim))):
+                    wanted: dict[int, list[int]] = {}
+                    for leaf in itertools.islice(tree.value.best_first(q), visits):
+                        for j in range(dealt[leaf]):
+                            wanted.setdefault(first[leaf] + j, []).append(leaf)
+                    ids += [qid] * len(wanted)
+                    row += [n] * len(wanted)
+                    bins += wanted
+                    leaves += wanted.values()
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), part.column(1).take(at), pa.array(bins, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))],
+                    names=["query_id", "q", "bin", "leaves"],
+                )
+
+    asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, bin long, leaves array<long>")
+    # a bin's queries are dealt into slices by a hash; its rows go to each slice
+    slices = max(1, -(-queries.count() // SLICE))
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+    parts = spark.createDataFrame([(i, f, n) for i, (f, n) in enumerate(zip(first_bin, pieces))], "leaf long, first long, pieces long")
     dealt = (
         placed.join(F.broadcast(parts), "leaf")
-        .withColumn("piece", F.pmod(F.xxhash64("vec_id"), "pieces"))
-        .withColumn("slice", upto("slices"))
-    )
-    asked = (
-        wanted.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .join(F.broadcast(parts), "leaf")
-        .withColumn("slice", F.pmod(F.xxhash64("query_id"), "slices"))
-        .withColumn("piece", upto("pieces"))
+        .withColumn("bin", F.col("first") + F.pmod(F.xxhash64("vec_id"), "pieces"))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     )
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, mine = left.column("vec_id").to_numpy(), None
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            mine = _matrix(left.column("v").combine_chunks(), dim)
-            for qid, q in zip(right.column("query_id").to_pylist(), _matrix(right.column("q").combine_chunks(), dim)):
-                found, score = _top(ids, mine, qid, q, k)
-                out[0].append(np.full(len(found), qid))
-                out[1].append(found)
-                out[2].append(score)
+            ids, mine = left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks(), dim)
+            leaf, which = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
+            qids, qs = right.column("query_id").to_numpy(), _matrix(right.column("q").combine_chunks(), dim)
+            wanted = right.column("leaves").combine_chunks()
+            for at in range(0, len(qids), 256):
+                open_ = np.zeros((len(qids[at : at + 256]), len(leaf)), dtype=bool)
+                for j in range(len(open_)):
+                    open_[j, np.searchsorted(leaf, np.intersect1d(leaf, wanted[at + j].values.to_numpy()))] = True
+                met = _tops(ids, mine, qids[at : at + 256], qs[at : at + 256], k, None if open_.all() else open_[:, which])
+                for qid, (found, score) in zip(qids[at : at + 256], met):
+                    out[0].append(np.full(len(found), qid))
+                    out[1].append(ids[found])
+                    out[2].append(score)
         join = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.empty(0), kind)
         return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
 
     met = (
-        dealt.select("leaf", "piece", "slice", "vec_id", "v").groupBy("leaf", "piece", "slice")
-        .cogroup(asked.select("leaf", "piece", "slice", "query_id", "q").groupBy("leaf", "piece", "slice"))
+        dealt.select("bin", "slice", "vec_id", "v", "leaf").groupBy("bin", "slice")
+        .cogroup(asked.select("bin", "slice", "query_id", "q", "leaves").groupBy("bin", "slice"))
         .applyInArrow(meet, "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -231,10 +271,9 @@ def exact(vectors: DataFrame, queries: list[tuple[int, list[float]]], dim: int,
             if not b.num_rows:
                 continue
             ids, rows, leaf = b.column(0).to_numpy(), _matrix(b.column(1), dim), b.column(2).to_numpy()
-            of = dict(zip(ids.tolist(), leaf.tolist()))
-            for qid, q in qs.value:
-                found, score = _top(ids, rows, qid, np.array(q), k)
-                where = np.array([of[i] for i in found.tolist()], dtype=np.int64)
+            names = np.array([qid for qid, _ in qs.value], dtype=np.int64)
+            for qid, (at, score) in zip(names.tolist(), _tops(ids, rows, names, np.array([q for _, q in qs.value]), k)):
+                found, where = ids[at], leaf[at]
                 if qid in kept:
                     found, score, where = (np.concatenate(x) for x in zip(kept[qid], (found, score, where)))
                     best = np.lexsort((found, -score))[:k]

@@ -83,10 +83,28 @@ def test_near_duplicates_edges(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "A B C D E F G"), (3, None)]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (None, None, True), (2, 1, False), (3, 3, True)], key=str)
-    assert sorted(str(r.doc_id) for r in neardup.keep_first(spark.createDataFrame(rows, schema)).collect()) == ["1", "1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in neardup.keep_first(spark.createDataFrame(rows, schema)).collect()) == ["1", "3", "None"]
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_half_of_all_rows_in_one_component(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(120)]
+    docs = []
+    for i in range(120):  # a chain of texts, each near the one before, a ring around one of them, and many exact copies
+        base[rng.randrange(120)] = word()
+        docs.append(" ".join(base))
+    hub = docs[60].split()
+    docs += [" ".join([*hub[:k], word(), *hub[k + 1 :]]) for k in range(60)] + [docs[7]] * 40
+    docs += [" ".join(word() for _ in range(rng.randrange(3, 80))) for _ in range(180)]
+    ids = list(range(len(docs)))
+    rng.shuffle(ids)
+    want, _ = components(list(zip(ids, docs)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(zip(ids, docs)), "doc_id long, text string")).collect()}
+    assert got == want and collections.Counter(want.values()).most_common(1)[0][1] >= 200
+
+
 def repeats(docs, n):
     seen, out = set(), {}
     for i, t in docs:
@@ -137,6 +155,35 @@ def test_repeated_rows_and_nulls(spark):
     assert substring.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_and_of_null(spark):
+    docs = [t for _, t in repeat_corpus(5)] + [t for _, t in repeat_corpus(6)][:30]
+    ids = [None if i % 3 else i % 4 for i in range(len(docs))]
+    mark = lambda i, t: (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+    order = sorted({mark(i, t): (t or "") for i, t in zip(ids, docs)}.items())
+    want = repeats([(k, t) for k, t in order], 40)
+    df = spark.createDataFrame([(i, t) for i, t in zip(ids, docs)], "doc_id long, text string")
+    for hot in (60_000, 2):
+        got = collections.Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in substring.dedup_substrings(df, 40, 8, hot).collect())
+        assert got == collections.Counter((i, want[mark(i, t)][1], want[mark(i, t)][3]) for i, t in zip(ids, docs))
+
+
+def test_records_hold_each_window_once(monkeypatch):
+    rng = random.Random(4)
+    text = bytes(rng.choice(b"abc") for _ in range(3000)) * 2
+    length, gram, seen = 60, 12, {}
+    monkeypatch.setattr(substring, "PART", 257)
+    h, first, windows, off, f, second = substring.records(text, length, gram)
+    assert [w for a, n in zip(first, windows) for w in range(a, a + n)] == list(range(len(text) - length + 1))
+    for level in range(7):
+        for k, a, n, o, whole in zip(h.tolist(), first.tolist(), windows.tolist(), off.tolist(), f.tolist()):
+            for w in range(a, a + n):  # equal windows have equal anchors at equal places, and equal records equal hashes
+                assert seen.setdefault((level, text[w : w + length]), (k, a + o - w)) == (k, a + o - w)
+            assert seen.setdefault((level, text[a : a + n + length - 1], "f"), whole) == whole
+        h, first, windows, off, f, second, _ = substring.split_records(text, first, windows, off, level + 1, length, gram)
+        assert sorted(w for a, n in zip(first, windows) for w in range(a, a + n)) == list(range(len(text) - length + 1))
+    assert (windows == 1).all()
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
@@ -163,6 +210,49 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_recall_on_the_test_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = ann.usable(df).collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    got = collections.defaultdict(list)
+    for r in ann.search(df).collect():
+        got[r.query_id].append(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = m @ m[q]
+        score[q] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -score))[:20]].tolist()) & set(got[ids[q]]))
+        total += 20
+    assert hit / total >= 0.9
+
+
+def test_a_larger_table_has_more_leaves_and_queries_scan_less_of_it():
+    rng = np.random.default_rng(5)
+    share, leaves = [], []
+    plane = rng.normal(size=(5, 24))
+    for n in (2_000, 32_000):  # unit vectors of few degrees of freedom, whatever their dimension
+        m = rng.normal(size=(n, 5)) @ plane
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        tree = ann.Tree(m[rng.choice(n, min(n, 16_000), replace=False)], n)
+        leaf = tree.place(m)
+        size, needed = np.bincount(leaf, minlength=len(tree.leaves)), []
+        for q in rng.choice(n, 60, replace=False):
+            score = m @ m[q]
+            score[q] = -np.inf
+            order = list(tree.best_first(m[q]))
+            at = {x: i for i, x in enumerate(order)}
+            scanned = np.cumsum(size[order]) / n
+            needed += [scanned[at[x]] for x in leaf[np.argpartition(-score, 20)[:20]]]
+        share.append(np.quantile(needed, 0.95))
+        leaves.append(len(tree.leaves))
+    assert leaves[1] > 4 * leaves[0] and share[1] < 0.7 * share[0]
+
+
+def test_bins_hold_neighbouring_leaves():
+    first, pieces = ann._bins([10, 3_000, 900, 200, 9_000, 5])
+    assert first == [0, 0, 0, 1, 2, 5] and pieces == [1, 1, 1, 1, 3, 1]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
