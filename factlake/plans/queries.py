@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factlake.functions import keys, paging
 from factlake.operators import changes, consumers, events, factsets, integrity, outline, references, search, spatial, status, traverse
 from factlake.schema import EXACT_CONFIDENCES
+from factlake.sources import source_code
 from factlake.sources.project import VIEWS, ctes, project
 from factlake.sources.tables import apply_delta, full_scan, scan
 from factlake.streaming.debounce import debounce
@@ -723,6 +724,89 @@ def s13_delta(g):
     return apply_delta(e, changed, e.filter("kind = 'TYPE_USES' and target_key = 's:1'"), ["source_key", "target_key"])
 
 
+# source text ---------------------------------------------------------------------------------------------------------
+
+
+def _modules(spark, d):
+    """A Python module for each supplier: it imports a function of another one, and one in nine is broken."""
+    n = F.col("s_suppkey").cast("string")
+    other = (F.col("s_suppkey") % 7 + 1).cast("string")
+    lines = [F.concat(F.lit("from pkg.s"), other, F.lit(" import run as other")), F.lit(""), F.concat(F.lit("class Supplier"), n, F.lit(":")), F.lit("    def go(self):"), F.lit("        return other(missing())"),
+             F.lit(""), F.when(F.col("s_suppkey") % 9 == 0, "def run(x:").otherwise("def run(x):"), F.lit("    return x")]
+    return _table(spark, d, "supplier").select(F.concat(F.lit("pkg/s"), n, F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+_MODULES = "with m as (select s_suppkey as n, 'pkg.s' || s_suppkey as module, 'pkg.s' || (s_suppkey % 7 + 1) || '.run' as other, 'pkg/s' || s_suppkey || '.py' as path from supplier where s_suppkey % 9 <> 0) "
+
+
+@query(
+    _MODULES + "select path, 's' || n as name, module as qualified_name, 'module' as kind, 1::bigint as start_line, 8::bigint as end_line from m union all "
+    "select path, 'Supplier' || n, module || '.Supplier' || n, 'class', 3, 5 from m union all select path, 'go', module || '.Supplier' || n || '.go', 'method', 4, 5 from m union all "
+    "select path, 'run', module || '.run', 'function', 7, 8 from m",
+    graph=False,
+)
+def s5_python_symbols(spark, d):
+    return source_code.python_symbols(_modules(spark, d)).drop("exported")
+
+
+@query(
+    _MODULES + ", known as (select module || '.run' as k from m), refs as (select module as source, 'IMPORTS_SYMBOL' as kind, other as requested from m union all "
+    "select module || '.Supplier' || n || '.go', 'CALLS_DIRECT', other from m union all select module || '.Supplier' || n || '.go', 'CALLS_DIRECT', module || '.missing' from m) "
+    "select source, kind, requested, case when requested in (select k from known) then 'CANDIDATE' else 'SYMBOL_NOT_FOUND' end as said from refs union all "
+    "select 'pkg/s' || s_suppkey || '.py', null, null, 'SyntaxError' from supplier where s_suppkey % 9 = 0",
+    graph=False,
+)
+def s5_python_relations(spark, d):
+    files = _modules(spark, d)
+    edges, unresolved = source_code.python_edges(source_code.python_symbols(files), source_code.python_references(files))
+    out = edges.select(F.col("source_key").alias("source"), "kind", F.col("target_key").alias("requested"), F.col("confidence").alias("said"))
+    out = out.union(unresolved.select("source", "kind", "requested_symbol", "reason"))
+    none = F.lit(None).cast("string")
+    return out.union(source_code.python_unresolved(files).select("path", none, none, F.substring_index("reason", ":", 1)))
+
+
+@query(
+    "with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents), "
+    "c as (select doc_id, line, 'CALL' as kind, unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])([A-Za-z_]\\w*)\\s*\\(', 1)) as name from l union all "
+    "select doc_id, line, 'IDENTIFIER', unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])([A-Za-z_]\\w*)', 1)) from l) "
+    "select doc_id::varchar as path, kind, name, line, count(*) as n from c group by all",
+    graph=False,
+)
+def s7_syntax_inventory(spark, d):
+    t = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return source_code.syntax_inventory(t, ["CALL", "IDENTIFIER"])
+
+
+def _workspace(spark, d):
+    """A manifest and two files for each nation, and one broken manifest for each region."""
+    n = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    at = lambda leaf: F.concat_ws("/", "r_name", "n_name", F.lit(leaf))
+    manifest = F.concat(F.lit('{"name": "@x/'), F.col("n_name"), F.lit('", "version": "1.'), F.col("n_nationkey").cast("string"), F.lit('.0", "dependencies": {"@x/'), F.col("r_name"), F.lit('": "^2"}}'))
+    files = n.select(at("package.json").alias("path"), manifest.alias("text"))
+    for leaf in ("index.ts", "lib/deep/a.ts"):
+        files = files.union(n.select(at(leaf), F.lit("")))
+    return files.union(_table(spark, d, "region").select(F.concat_ws("/", "r_name", F.lit("package.json")), F.lit("{")))
+
+
+@query(
+    "select r_name || '/' || n_name || '/package.json' as path, 'typescript' as language, '@x/' || n_name as name, '1.' || n_nationkey || '.0' as version, '@x/' || r_name as dependency, '^2' as wanted, false as broken "
+    "from nation join region on n_regionkey = r_regionkey union all select r_name || '/package.json', null, null, null, null, null, true from region",
+    graph=False,
+)
+def s8_manifests(spark, d):
+    found = source_code.manifests(_workspace(spark, d))
+    return found.withColumn("broken", F.col("problem").isNotNull()).drop("problem")
+
+
+@query(
+    "with f as (select r_name || '/' || n_name as root, unnest(['package.json', 'index.ts', 'lib/deep/a.ts']) as leaf from nation join region on n_regionkey = r_regionkey) "
+    "select root || '/' || leaf as path, root from f union all select r_name || '/package.json', null from region",
+    graph=False,
+)
+def s8_file_owners(spark, d):
+    return source_code.discovered(_workspace(spark, d))[1]
+
+
 # events --------------------------------------------------------------------------------------------------------------
 
 

@@ -313,3 +313,54 @@ def test_source_is_cut_between_characters(spark):
     for most in range(1, 30):
         got = spark.createDataFrame([(text,)], "t string").select(outline.first_bytes(F.col("t"), most)).first()[0]
         assert got == text.encode()[:most].decode("utf-8", "ignore")
+
+
+def test_python_sources(spark):
+    from factlake.sources import source_code
+
+    text = "import os.path as p, sys\nfrom . import util\nfrom .util import Base as B\nX: int = 1\nX = 2\n\nclass C(B):\n    async def m(self):\n        p.join('a'); util.go(); self.x()\n\n        def inner(): return C()\n\ndef _f():\n    sys.exit(_f())\n"
+    util = "class Base: pass\ndef go(): pass\n"
+    rows = [("a/b.py", text), ("a/util.py", util), ("a/__init__.py", "from .b import C\n"), ("bad.py", "def ("), ("none.py", None), ("x.txt", "def f(): pass"), (None, "x = 1")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    symbols = source_code.python_symbols(files)
+    got = {r.qualified_name: (r.kind, r.exported, r.start_line) for r in symbols.filter("path = 'a/b.py'").collect()}
+    assert got == {
+        "a.b": ("module", True, 1), "a.b.X": ("variable", True, 4), "a.b.C": ("class", True, 7), "a.b.C.m": ("method", True, 8), "a.b.C.m.inner": ("function", True, 11), "a.b._f": ("function", False, 13),
+    }
+    edges, unresolved = source_code.python_edges(symbols, source_code.python_references(files))
+    assert {(r.source_key, r.kind, r.target_key) for r in edges.collect()} == {
+        ("a.b", "IMPORTS_SYMBOL", "a.util"), ("a.b", "IMPORTS_SYMBOL", "a.util.Base"), ("a.b.C", "EXTENDS", "a.util.Base"), ("a.b.C.m", "CALLS_DIRECT", "a.util.go"),
+        ("a.b.C.m.inner", "CALLS_DIRECT", "a.b.C"), ("a", "IMPORTS_SYMBOL", "a.b.C"),
+    }
+    assert {r.requested_symbol for r in unresolved.collect()} == {"os.path", "sys", "os.path.join", "a.b.self.x", "sys.exit"}
+    assert [r.path for r in source_code.python_unresolved(files).collect()] == ["bad.py"]
+
+
+def test_manifests(spark):
+    from factlake.sources import source_code
+
+    rows = [
+        ("w/go.mod", "module example.com/w\n\nrequire (\n\texample.com/a v1.2.0 // indirect\n)\nrequire example.com/b v0.1.0\n"), ("w/r/Cargo.toml", '[package]\nname = "r"\nversion = "0.3.0"\n[dependencies]\nserde = "1"\nlocal = { path = "../l" }\n'),
+        ("w/p/pyproject.toml", '[project]\nname = "p"\ndependencies = ["numpy>=2", "x[y]"]\n'), ("w/e/package.json", "[]"), ("w/n/package.json", "{}"), ("w/r/src/main.rs", ""), ("top.txt", ""),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {(r.path, r.name, r.version, r.dependency, r.wanted) for r in source_code.manifests(files).filter("problem is null").collect()}
+    assert got == {
+        ("w/go.mod", "example.com/w", None, "example.com/a", "v1.2.0"), ("w/go.mod", "example.com/w", None, "example.com/b", "v0.1.0"), ("w/r/Cargo.toml", "r", "0.3.0", "local", None),
+        ("w/r/Cargo.toml", "r", "0.3.0", "serde", "1"), ("w/p/pyproject.toml", "p", None, "numpy", ">=2"), ("w/p/pyproject.toml", "p", None, "x", None),
+    }
+    assert source_code.manifests(files).filter("problem is not null").count() == 2
+    assert {r.path: r.root for r in source_code.discovered(files)[1].collect()} | {} == {
+        "w/go.mod": "w", "w/r/Cargo.toml": "w/r", "w/p/pyproject.toml": "w/p", "w/e/package.json": "w", "w/n/package.json": "w", "w/r/src/main.rs": "w/r", "top.txt": None,
+    }
+
+
+def test_syntax_inventory(spark):
+    from factlake.sources import source_code
+
+    files = spark.createDataFrame([("a.go", "import \"fmt\"\nfunc (t *T) Run(x int) {\n\tfmt.Print(x)\n}\ntype T struct{}\n"), ("b.ts", "export class A {}\nexport default function go() {}\ninterface I {}"), ("c", None)], "path string, text string")
+    got = {(r.path, r.kind, r.name, r.line) for r in source_code.syntax_inventory(files).filter("kind <> 'IDENTIFIER'").collect()}
+    assert got >= {
+        ("a.go", "IMPORT", "fmt", 1), ("a.go", "METHOD", "Run", 2), ("a.go", "CALL", "Print", 3), ("a.go", "DECLARATION", "T", 5), ("b.ts", "EXPORT", "A", 1), ("b.ts", "CLASS", "A", 1),
+        ("b.ts", "EXPORT", "go", 2), ("b.ts", "INTERFACE", "I", 3),
+    }
