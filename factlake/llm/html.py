@@ -8,8 +8,11 @@ logarithm of the score, Spark sums the votes per (host, path), and a host's winn
 Pass 2 parses each page again and takes the text of the containers on its host's winning path; where a page has no such
 container, or one without text, its own best container is taken.
 
-Left out wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by
-readers, and what is hidden; told by tag, role, or the words of class and id.
+Containers inside the best one are voted on too.  What speaks against one: a class or id made of words like ``advert`` or
+``comments`` (which also makes its score small), text in links, and the same text on different pages of the host; what
+speaks for it is its share of the prose.  The evidence is averaged over the host's pages and decides for all of them, so
+names alone decide only where nothing else is known, and never about paragraphs, headings and the like.  Elements that HTML
+itself makes for menus, headers, footers, sidebars, dialogs, forms, scripts and styles, or a role of the kind, hold no main text.
 
 Text: character references are decoded, white space within a block is one space, blocks are trimmed, and non-empty
 blocks are joined by one line feed in page order.  Nothing is capped.
@@ -26,27 +29,34 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut
+from .common import columns, cut, stored
 
 #: Elements that hold no main text, elements that end a block, elements without an end tag.
-SKIPPED = set("script style noscript template svg math iframe object head nav header footer aside form button select textarea dialog menu".split())
+SKIPPED = set("script style noscript template svg iframe object head nav header footer aside form button select textarea dialog menu".split())
 BLOCKS = set(
     "address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html "
     "li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = {"svg", "math"}
 RAW = set("script style textarea title noscript iframe xmp template".split())
 CONTAINERS = set("article main section div body td blockquote".split())
-#: Words in a class or id that mark what isn't main text.
+#: Elements that are containers where they have a class or an id.
+LISTS = set("ul ol dl table".split())
+#: Words of a class or id that speak against a container, if others of the name are of the neutral kind.
 BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs header masthead footer sidebar widget cookie cookies consent gdpr notice popup modal newsletter "
     "subscribe subscription signup share sharing social related recommended recommendations comment comments disqus "
     "pagination pager toolbar copyright legal".split()
 )
+NEUTRAL = set("left right top bottom box container wrapper wrap bar list area block panel inner outer item items links reader user site page main x".split())
+#: A container is left out where the evidence against it is above this.
+AGAINST = 0.5
 _ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 #: p and these close an open p.
 _CLOSES_P = BLOCKS - {"br", "caption", "dd", "dt", "html", "body", "summary", "figcaption", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -60,8 +70,8 @@ _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
-#: Up to so many hosts, a row of some 100 bytes each, their paths are broadcast; beyond, pages and paths are shuffled.
-FEW_HOSTS = 50_000
+#: Up to so many bytes of hosts with their paths are broadcast; beyond, pages and paths are shuffled.  Same result.
+FEW_BYTES = 16 << 20
 SALTS = 32
 
 
@@ -71,10 +81,16 @@ def host_of(url: str | None) -> str | None:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "skip", "parent", "index")
+    __slots__ = ("tag", "path", "skip", "parent", "named", "foreign")
 
-    def __init__(self, tag: str, path: str, skip: bool, parent: "_Element | None", index: int) -> None:
-        self.tag, self.path, self.skip, self.parent, self.index = tag, path, skip, parent, index
+    def __init__(self, tag: str, path: str, skip: bool, parent: "_Element | None", named: bool, foreign: bool) -> None:
+        self.tag, self.path, self.skip, self.parent, self.named, self.foreign = tag, path, skip, parent, named, foreign
+
+
+def speaks_against(name: str) -> bool:
+    """Whether a class or id is made of words for what isn't main text, and of neutral ones."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    return any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL for w in words)
 
 
 class Page:
@@ -94,8 +110,8 @@ class Page:
             self._parts, self._linked = [], 0
 
     def _parse(self, html: str) -> None:
-        root = _Element("", "", False, None, 0)
-        at, links, n, done, end = root, 0, 1, 0, len(html)
+        root = _Element("", "", False, None, False, False)
+        at, links, done, end = root, 0, 0, len(html)
         while done < end:
             m = _TOKEN.search(html, done)
             stop = m.start() if m else end
@@ -128,12 +144,12 @@ class Page:
                     up = up.parent
                 if up.tag == "p":
                     at = up.parent or root
-            if tag in VOID or m[3].endswith("/"):
+            # outside of SVG and MathML a slash closes nothing
+            if tag in VOID or m[3].endswith("/") and (at.foreign or tag in FOREIGN):
                 continue
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 at = self._close_sibling(at, tag)
-            at = self._open(tag, m[3], at, n)
-            n += 1
+            at = self._open(tag, m[3], at)
             if tag == "a":
                 links += 1
             if tag in RAW:
@@ -162,24 +178,23 @@ class Page:
             up = up.parent
         return at
 
-    def _open(self, tag: str, attributes: str, at: _Element, n: int) -> _Element:
-        skip, label = at.skip or tag in SKIPPED or tag == "title", tag
+    def _open(self, tag: str, attributes: str, at: _Element) -> _Element:
+        skip, label, named, container = at.skip or tag in SKIPPED or tag == "title", tag, False, tag in CONTAINERS
         if attributes.strip():
             a = {}
             for name, value in _ATTR.findall(attributes):
                 a.setdefault(name.lower(), unescape(value.strip("\"'")))
-            names = f"{a.get('class', '')} {a.get('id', '')}"
-            words = {w.lower() for w in _NAME.findall(names)}
-            if tag not in ("html", "body", "article", "main") and words & BOILERPLATE:
-                skip = True
-            if "hidden" in a or a.get("role", "").lower() in _ROLES or a.get("aria-hidden") == "true":
-                skip = True
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.IGNORECASE):
+            if a.get("role", "").lower() in _ROLES:
                 skip = True
             classes = sorted(set(re.sub(r"\d+", "0", a.get("class", "")).split()))
+            container = container or tag in LISTS and bool(classes or a.get("id"))
+            if tag in LISTS or tag in ("div", "section"):
+                named = any(map(speaks_against, classes)) or speaks_against(a.get("id", ""))
+                if speaks_against(a.get("id", "")):
+                    classes.append("#" + re.sub(r"\d+", "0", a["id"]))
             label = ".".join([tag, *classes])
-        path = f"{at.path}/{label}" if tag in CONTAINERS else at.path
-        return _Element(tag, path, skip, at, n)
+        path = f"{at.path}/{label}" if container else at.path
+        return _Element(tag, path, skip, at, named or at.named, at.foreign or tag in FOREIGN)
 
     def _text(self, s: str, links: int) -> None:
         self._parts.append(s)
@@ -191,13 +206,13 @@ class Page:
         score: dict[str, float] = {}
         own: set[str] = set()  # paths with prose outside inner containers
         for text, linked, at in self.blocks:
-            prose = max(0, len(text) - 2 * linked)
+            prose = max(0, len(text) - 2 * linked) * (0.1 if at.named else 1.0)
             if not prose:
                 continue
             own.add(at.path)
             share, last, up = 1.0, None, at
             while up is not None and up.parent is not None:
-                if up.tag in CONTAINERS and up.path != last:
+                if up.path != up.parent.path and up.path != last:
                     semantic = 1.25 if up.tag in ("article", "main") else 1.0
                     score[up.path] = score.get(up.path, 0.0) + prose * share * semantic
                     share *= 0.9
@@ -215,68 +230,115 @@ class Page:
                 path = outer
         return path, score[path]
 
-    def text(self, path: str | None) -> str:
-        """The blocks in containers on the path or below; of the whole page if the path is None."""
-        if path is None:
-            return "\n".join(t for t, _, _ in self.blocks)
-        return "\n".join(t for t, _, at in self.blocks if at.path == path or at.path.startswith(path + "/"))
+    def text(self, path: str | None, without: frozenset[str] = frozenset()) -> str:
+        """The blocks in containers on the path or below, but for containers to be left out; of the whole page if it is None."""
+        inside = [(t, at.path) for t, _, at in self.blocks if path is None or at.path == path or at.path.startswith(path + "/")]
+        return "\n".join(t for t, own in inside if not without or not any(own == w or own.startswith(w + "/") for w in without))
+
+    def inner(self, path: str) -> Iterator[tuple[str, str, float, float, bool]]:
+        """Of each container below one on the path: its path, text, share of the prose, share of its text in links, name."""
+        total, found = 0, {}
+        for text, linked, at in self.blocks:
+            if at.path != path and not at.path.startswith(path + "/"):
+                continue
+            total += len(text)
+            up = at
+            while up.parent is not None and up.path.startswith(path + "/"):
+                if up.path != up.parent.path:
+                    held = found.setdefault(up.path, [[], 0, False])
+                    held[0].append(text)
+                    held[1] += linked
+                    held[2] |= up.named
+                up = up.parent
+        for own, (texts, linked, named) in found.items():
+            n = sum(map(len, texts))
+            yield own, "\n".join(texts), n / total, linked / n, named
+
+
+_VOTE = "host string, path string, inner string, votes bigint, text long, page long, share double, linked double, named boolean"
 
 
 def votes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Per (host, path): votes, summed over the host's pages."""
+    """(host, path, inner, votes, text, page, share, linked, named): per page its vote for a path, with a null inner, and a row
+    for each container inside, with hashes of its text and of the page's; votes of a batch are summed."""
     df = columns(pages, url=url_col, html=html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
 
+        names = [c.split()[0] for c in _VOTE.split(", ")]
+        kinds = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.bool_()]
+        digest = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)
         for b in batches:
-            total: dict[tuple[str, str], int] = {}
-            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                best = Page(html or "").best()
-                if best:
-                    key = (host_of(url) or "", best[0])
-                    total[key] = total.get(key, 0) + max(1, round(1000 * math.log1p(best[1])))
-            rows = list(total.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())],
-                names=["host", "path", "votes"],
-            )
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                total: dict[tuple[str, str], int] = {}
+                rows: list[tuple] = []
+                for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    page = Page(html or "")
+                    best = page.best()
+                    if best:
+                        key = (host_of(url) or "", best[0])
+                        total[key] = total.get(key, 0) + max(1, round(1000 * math.log1p(best[1])))
+                        inner = list(page.inner(best[0]))
+                        whole = digest(page.text(best[0])) if inner else 0
+                        rows += [(key[0], best[0], own, 0, digest(t), whole, share, linked, named) for own, t, share, linked, named in inner]
+                rows += [(host, path, None, n, None, None, None, None, None) for (host, path), n in total.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return df.mapInArrow(run, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return df.mapInArrow(run, _VOTE)
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """Per host its path: the most votes, ties to the least path."""
+    """Per host its path, and the containers inside that are left out: the most votes, ties to the least path."""
+    paths = voted.filter("inner is null").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = F.min(F.struct(-F.col("votes"), F.col("path")))
-    return voted.groupBy("host").agg(best.alias("b")).select("host", F.col("b.path").alias("path"))
+    won = paths.groupBy("host").agg(best.alias("b")).select("host", F.col("b.path").alias("path"))
+    # equal containers of equal pages count once, so copies of a page don't make its text look repeated
+    once = voted.filter("inner is not null").groupBy("host", "path", "inner", "text", "page").agg(
+        F.first("share").alias("share"), F.first("linked").alias("linked"), F.max("named").alias("named")
+    )
+    of_text = once.groupBy("host", "path", "inner", "text").agg(
+        F.count("*").alias("n"), F.sum("share").alias("share"), F.sum("linked").alias("linked"), F.sum(F.col("named").cast("double")).alias("named")
+    )
+    seen = of_text.groupBy("host", "path", "inner").agg(
+        F.sum("n").alias("n"), F.count("*").alias("texts"), *((F.sum(c) / F.sum("n")).alias(c) for c in ("share", "linked", "named"))
+    )
+    repeated = F.when(F.col("n") >= 3, 1 - F.col("texts") / F.col("n")).otherwise(0.0)
+    against = F.col("named") + 2 * F.greatest(F.lit(0.0), F.col("linked") - 0.25) + repeated - 2 * F.col("share")
+    out = seen.filter(against > AGAINST).groupBy("host", "path").agg(F.array_sort(F.collect_list("inner")).alias("without"))
+    return won.join(out, ["host", "path"], "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, text."""
     df = columns(pages, page_id=id_col, url=url_col, html=html_col)
-    paths = winning_paths(votes(pages, html_col, url_col))
+    paths = winning_paths(stored(votes(pages, html_col, url_col)))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     paths, placed = cut(paths), df.withColumn("host", host)
-    if paths.count() <= FEW_HOSTS:
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + F.coalesce(F.octet_length(F.array_join("without", ",")), F.lit(0)) + 64)).first()[0]
+    if (size or 0) <= FEW_BYTES:
         joined = placed.join(F.broadcast(paths), "host", "left")
     else:
         # a host with many pages goes to SALTS tasks
         placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)))
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
         joined = placed.join(paths.withColumn("salt", salts), ["host", "salt"], "left")
-    joined = joined.select("page_id", "url", "html", "path")
+    joined = joined.select("page_id", "url", "html", "path", "without")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for html, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                page = Page(html or "")
-                text = page.text(path) if path is not None else ""
-                if not text:
-                    best = page.best()
-                    text = page.text(best[0] if best else None)
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                out = []
+                for html, path, without in zip(*(part.column(k).to_pylist() for k in (2, 3, 4))):
+                    page, left_out = Page(html or ""), frozenset(without or ())
+                    text = page.text(path, left_out) if path is not None else ""
+                    if not text:
+                        best = page.best()
+                        text = page.text(best[0] if best else None, left_out)
+                    out.append(text)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kinds = dict(df.dtypes)
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
