@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.operators.traverse import cut as stored
+
 CELL, MAX_CELLS, MAX_VISIBLE = 256, 128, 10_000
 
 
@@ -25,6 +27,41 @@ def pack(boxes: DataFrame, gap: float = 8.0) -> DataFrame:
     return b.join(x, ["parent", "col"]).join(y, ["parent", "row"]).select("parent", "id", "x", "y", "w", "h")
 
 
+def layout(nodes: DataFrame, gap: float = 8.0, padding: float = 8.0, levels: int = 16) -> DataFrame:
+    """(id, parent, level, x, y, w, h) of boxes in boxes: nodes (id, parent, w, h), roots with a null parent.
+
+    Sizes go up: a box holds its packed children and padding, and is as large as its own w and h at least.  Positions go down,
+    absolute; the roots are packed side by side.  One pass over the nodes for each level up and down; what hangs deeper than
+    ``levels``, or in a cycle, is left out.
+    """
+    at_level = [stored(nodes.filter("parent is null").select("id", "parent", "w", "h"))]
+    while len(at_level) < levels:
+        above = at_level[-1].select(F.col("id").alias("parent"))
+        below = stored(nodes.join(above, "parent", "left_semi").select("id", "parent", "w", "h"))
+        if below.isEmpty():
+            break
+        at_level.append(below)
+    packed = []
+    inside = None  # what the level below needs of its parents
+    for level in reversed(at_level):
+        if inside is not None:
+            level = level.join(inside, level["id"] == inside["of"], "left").select(
+                "id", "parent", F.greatest("w", F.coalesce("iw", F.lit(0.0))).alias("w"), F.greatest("h", F.coalesce("ih", F.lit(0.0))).alias("h")
+            )
+        at = stored(pack(level.select(F.coalesce("parent", F.lit("")).alias("parent"), "id", "w", "h"), gap))
+        inside = at.groupBy(F.col("parent").alias("of")).agg((F.max(F.col("x") + F.col("w")) + 2 * padding).alias("iw"), (F.max(F.col("y") + F.col("h")) + 2 * padding).alias("ih"))
+        packed.append(at)
+    out, above = None, None
+    for n, at in enumerate(reversed(packed)):
+        here = at if above is None else at.join(above, "parent").select(
+            "id", "parent", (F.col("x") + F.col("px") + padding).alias("x"), (F.col("y") + F.col("py") + padding).alias("y"), "w", "h"
+        )
+        here = stored(here.select("id", F.nullif("parent", F.lit("")).alias("parent"), F.lit(n).alias("level"), "x", "y", "w", "h"))
+        above = here.select(F.col("id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
+        out = here if out is None else out.union(here)
+    return out
+
+
 def cells(boxes: DataFrame) -> DataFrame:
     """(cx, cy, id, ...): boxes (id, level, x, y, w, h) by the cells that they touch; very large ones in the cell null."""
     low = lambda a: F.floor(F.col(a) / CELL)

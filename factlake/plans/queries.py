@@ -202,6 +202,12 @@ def _roots(g, kind):
     return g.symbols.filter(F.col("kind") == kind).select(F.col("stable_key").alias("root"))
 
 
+def _some(g, kind, n):
+    """All roots of a kind, or n of them."""
+    roots = _roots(g, kind)
+    return roots if n is None else roots.orderBy(F.xxhash64("root"), "root").limit(n)
+
+
 def _walk(near: str, far: str, kind: str, depth: int) -> str:
     kinds = ", ".join(f"'{k}'" for k in traverse.REFERENCE_KINDS)
     return f""", walk as (
@@ -211,8 +217,8 @@ def _walk(near: str, far: str, kind: str, depth: int) -> str:
 
 
 @query(_walk("source_key", "target_key", _ORDERS, 3) + "select root, id, depth from visits where depth > 0")
-def q12_trace_dependencies(g):
-    return traverse.trace_dependencies(g, _roots(g, _ORDERS), 3, 25_000, seed_members=False).select("root", "id", "depth")
+def q12_trace_dependencies(g, roots=None):
+    return traverse.trace_dependencies(g, _some(g, _ORDERS, roots), 3, 25_000, seed_members=False).select("root", "id", "depth")
 
 
 _CONV = """
@@ -240,8 +246,8 @@ def q13_container_members(spark, d):
     LOCATED + _walk("target_key", "source_key", _SUPPLIERS, 2)
     + "select v.root, v.id, v.depth, l.repository, l.package_key from visits v join located l on v.id = l.stable_key where v.depth > 0 and l.symbol_kind not in ('field', 'variable')"
 )
-def q14_blast_radius(g):
-    rows, _ = traverse.blast_radius(g, _roots(g, _SUPPLIERS), 2, 25_000)
+def q14_blast_radius(g, roots=None):
+    rows, _ = traverse.blast_radius(g, _some(g, _SUPPLIERS, roots), 2, 25_000)
     return rows.select("root", "id", "depth", "repository", "package_key")
 
 
@@ -251,8 +257,8 @@ def q14_blast_radius(g):
     "select root, 'repository' as axis, repository as key, count(*) as n from reported group by all union all select root, 'package', package_key, count(*) from reported group by all "
     "union all select root, 'depth', cast(depth as varchar), count(*) from reported group by all"
 )
-def q15_impact_axes(g):
-    rows, _ = traverse.blast_radius(g, _roots(g, _SUPPLIERS), 2, 25_000)
+def q15_impact_axes(g, roots=None):
+    rows, _ = traverse.blast_radius(g, _some(g, _SUPPLIERS, roots), 2, 25_000)
     return traverse.impact_axes(rows)
 
 
@@ -440,8 +446,8 @@ def g2_references_page(g):
 
 
 @query(_walk("source_key", "target_key", _ORDERS, 5) + "select root, id, depth from visits where depth > 0")
-def g3_traverse_outgoing(g):
-    seeds = _roots(g, _ORDERS).select("root", F.col("root").alias("id"))
+def g3_traverse_outgoing(g, roots=None):
+    seeds = _some(g, _ORDERS, roots).select("root", F.col("root").alias("id"))
     return traverse.traverse(g.edges, seeds, "outgoing", 5, 25_000).filter("depth > 0").select("root", "id", "depth")
 
 
@@ -807,6 +813,29 @@ def s8_file_owners(spark, d):
     return source_code.discovered(_workspace(spark, d))[1]
 
 
+@query(
+    "with owned as (select distinct l_suppkey as s, p_brand, p_type, p_size from lineitem join part on l_partkey = p_partkey), "
+    "m as (select 's:' || s as owner, p_brand || '/' || p_type as name from owned union select 's:' || s, 'size' || p_size from owned union select 'n:' || n_nationkey, 'size' || n_nationkey from nation), "
+    "i as (select 'p:' || p_partkey as owner, unnest([p_brand || '/' || p_type, 'size' || p_size]) as name from part), "
+    "imp as (select m.owner as source_key, i.owner as target_key from i join m on m.name = i.name where m.owner like 's:%' group by 1, 2 having count(*) = 2) "
+    "select 'IMPLEMENTS' as kind, source_key, target_key from imp union all select 'EMBEDS', 's:' || s_suppkey, 'n:' || s_nationkey from supplier union all "
+    "select 'OVERRIDES', 's:' || s_suppkey || '.' || a.name, 'n:' || s_nationkey || '.' || a.name from supplier join m a on a.owner = 's:' || s_suppkey join m b on b.owner = 'n:' || s_nationkey and a.name = b.name",
+    graph=False,
+)
+def f9_type_relations(spark, d):
+    """Parts as interfaces of two methods, suppliers as types with the methods of all parts that they deliver, nations embedded."""
+    part, none = _table(spark, d, "part"), F.lit(None).cast("string").alias("signature")
+    key = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
+    both = F.explode(F.array(F.concat_ws("/", "p_brand", "p_type"), F.concat(F.lit("size"), F.col("p_size").cast("string")))).alias("name")
+    held = _table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey")
+    nation, supplier = _table(spark, d, "nation"), _table(spark, d, "supplier")
+    methods = part.select(key("p", "p_partkey").alias("owner"), both, none).union(held.select(key("s", "l_suppkey"), both, none))
+    methods = methods.union(nation.select(key("n", "n_nationkey"), F.concat(F.lit("size"), F.col("n_nationkey").cast("string")), none))
+    of = lambda t, letter, c, yes: t.select(key(letter, c).alias("type"), F.lit(yes).alias("interface"))
+    types = of(part, "p", "p_partkey", True).union(of(held, "s", "l_suppkey", False).distinct())
+    return factsets.type_relations(types, methods, supplier.select(key("s", "s_suppkey").alias("owner"), key("n", "s_nationkey").alias("embedded")))
+
+
 # events --------------------------------------------------------------------------------------------------------------
 
 
@@ -972,6 +1001,41 @@ def v4_layout(spark, d):
     return spatial.pack(b)
 
 
+def _packed(name: str, source: str) -> str:
+    """CTEs that pack the boxes (parent, id, w, h) of a source."""
+    of = "over (partition by parent)"
+    before = "rows between unbounded preceding and 1 preceding"
+    return (
+        f"{name}_p as (select *, row_number() over (partition by parent order by id) - 1 as no, greatest(1, round(sqrt(count(*) {of} * avg(h) {of} / avg(w) {of})))::bigint as cols from {source}), "
+        f"{name}_q as (select *, no // cols as r, no % cols as c from {name}_p), "
+        f"{name}_x as (select parent, c, coalesce(sum(max(w) + 8) over (partition by parent order by c {before}), 0)::double as x from {name}_q group by parent, c), "
+        f"{name}_y as (select parent, r, coalesce(sum(max(h) + 8) over (partition by parent order by r {before}), 0)::double as y from {name}_q group by parent, r), "
+        f"{name} as (select q.parent, q.id, x, y, w, h from {name}_q q join {name}_x a on a.parent = q.parent and a.c = q.c join {name}_y b on b.parent = q.parent and b.r = q.r)"
+    )
+
+
+_AROUND = "max(x + w) + 16 as w, max(y + h) + 16 as h"
+
+
+@query(
+    "with c as (select 'n:' || c_nationkey as parent, 'c:' || c_custkey as id, (10 + c_custkey % 7)::double as w, (8 + c_custkey % 5)::double as h from customer), " + _packed("l2", "c")
+    + f", n as (select 'r:' || n_regionkey as parent, 'n:' || n_nationkey as id, greatest(30, coalesce(a.w, 0))::double as w, greatest(20, coalesce(a.h, 0))::double as h from nation left join (select parent, {_AROUND} from l2 group by parent) a on a.parent = 'n:' || n_nationkey), " + _packed("l1", "n")
+    + f", r as (select '' as parent, 'r:' || r_regionkey as id, greatest(40, coalesce(a.w, 0))::double as w, greatest(20, coalesce(a.h, 0))::double as h from region left join (select parent, {_AROUND} from l1 group by parent) a on a.parent = 'r:' || r_regionkey), " + _packed("l0", "r")
+    + ", d1 as (select l1.id, l1.parent, l1.x + l0.x + 8 as x, l1.y + l0.y + 8 as y, l1.w, l1.h from l1 join l0 on l0.id = l1.parent) "
+    "select id, null as parent, 0 as level, x, y, w, h from l0 union all select id, parent, 1, x, y, w, h from d1 union all "
+    "select l2.id, l2.parent, 2, l2.x + d1.x + 8, l2.y + d1.y + 8, l2.w, l2.h from l2 join d1 on d1.id = l2.parent",
+    graph=False,
+)
+def v4_nested_layout(spark, d):
+    """Customers in nations in regions."""
+    key = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
+    size = lambda w, h: (w.cast("double").alias("w"), h.cast("double").alias("h"))
+    r = _table(spark, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), *size(F.lit(40), F.lit(20)))
+    n = _table(spark, d, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"), *size(F.lit(30), F.lit(20)))
+    c = _table(spark, d, "customer").select(key("c", "c_custkey"), key("n", "c_nationkey"), *size(F.col("c_custkey") % 7 + 10, F.col("c_custkey") % 5 + 8))
+    return spatial.layout(r.union(n).union(c))
+
+
 @query(
     _walk("source_key", "target_key", _ORDERS, 2) + ", back as (select stable_key as root, stable_key as id, 0 as depth from symbols where kind = 'function' union "
     "select w.root, e.source_key, w.depth + 1 from back w join edges e on e.target_key = w.id where w.depth < 2 and e.kind <> 'PACKAGE_DEPENDS_ON') "

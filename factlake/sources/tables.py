@@ -7,7 +7,7 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.operators import factsets
@@ -270,3 +270,36 @@ def synthetic(spark: SparkSession, symbols: int = 100_000, edges: int = 1_000_00
     kind = F.when(n % 3 == 0, "CALLS_DIRECT").when(n % 3 == 1, "REFERENCES").otherwise("TYPE_USES")
     e = spark.range(edges).select(name(source).alias("source_key"), name(target).alias("target_key"), kind.alias("kind"))
     return s, e.distinct()
+
+
+#: The operations of a workload and their weights in percent.
+WEIGHTS = {"find_symbol": 40, "get_symbol": 25, "find_references": 20, "find_cross_repo_consumers": 10, "get_blast_radius": 5}
+
+
+def allocate(calls: int, weights: dict[str, int] = WEIGHTS) -> dict[str, int]:
+    """How many calls go to each operation: the whole parts of the shares, and what is left to the largest remainders."""
+    total = sum(weights.values())
+    out = {k: calls * w // total for k, w in weights.items()}
+    order = sorted(weights, key=lambda k: -(calls * weights[k] % total))  # stable: of equals the first
+    for k in order[: calls - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def workload(probes: DataFrame, calls: int = 10_000, seed: int = 42) -> DataFrame:
+    """(seq, operation, probe): calls in an order and with probes (probe) that the seed decides.
+
+    Of any number of probes at most as many as there are calls are drawn from, so what one task numbers is bounded by ``calls``.
+    """
+    spark = probes.sparkSession
+    counts, bound, operation = allocate(calls), 0, F.lit(None).cast("string")
+    for name, n in counts.items():
+        bound += n
+        operation = F.when(operation.isNotNull(), operation).when(F.col("id") < bound, name)
+    some = probes.select("probe").distinct().orderBy(F.xxhash64(F.lit(seed), "probe"), "probe").limit(calls)
+    numbered = some.withColumn("no", F.row_number().over(Window.orderBy("probe")).cast("long") - 1)
+    n = numbered.count()
+    draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "id")
+    drawn = spark.range(calls).select(draw("order").alias("h"), "id", operation.alias("operation"), F.pmod(draw("probe"), F.lit(max(n, 1))).alias("no"))
+    drawn = drawn.withColumn("seq", F.row_number().over(Window.orderBy("h", "id")).cast("long"))
+    return drawn.join(numbered, "no", "left").select("seq", "operation", "probe")

@@ -364,3 +364,20 @@ def test_syntax_inventory(spark):
         ("a.go", "IMPORT", "fmt", 1), ("a.go", "METHOD", "Run", 2), ("a.go", "CALL", "Print", 3), ("a.go", "DECLARATION", "T", 5), ("b.ts", "EXPORT", "A", 1), ("b.ts", "CLASS", "A", 1),
         ("b.ts", "EXPORT", "go", 2), ("b.ts", "INTERFACE", "I", 3),
     }
+
+
+def test_workload(spark):
+    assert tables.allocate(10_000) == {"find_symbol": 4000, "get_symbol": 2500, "find_references": 2000, "find_cross_repo_consumers": 1000, "get_blast_radius": 500}
+    assert sum(tables.allocate(7).values()) == 7 and tables.allocate(3) == {"find_symbol": 1, "get_symbol": 1, "find_references": 1, "find_cross_repo_consumers": 0, "get_blast_radius": 0}
+    probes = spark.createDataFrame([(f"s:{i}",) for i in range(30)], "probe string")
+    first, again, other = (tables.workload(probes, 200, seed).orderBy("seq").collect() for seed in (1, 1, 2))
+    assert first == again != other and [r.seq for r in first] == list(range(1, 201)) and len({r.probe for r in first}) > 20
+    assert tables.workload(probes.limit(0), 5).count() == 5
+
+
+def test_type_relations(spark):
+    types = spark.createDataFrame([("I", True), ("E", True), ("A", False), ("B", False)], "type string, interface boolean")
+    methods = spark.createDataFrame([("I", "x", "()"), ("I", "y", None), ("A", "x", "()"), ("A", "y", ""), ("A", "y", ""), ("B", "x", "(int)"), ("B", "y", "")], "owner string, name string, signature string")
+    embeds = spark.createDataFrame([("B", "A"), ("B", "A")], "owner string, embedded string")
+    got = {tuple(r) for r in factsets.type_relations(types, methods, embeds).collect()}
+    assert got == {("IMPLEMENTS", "A", "I"), ("EMBEDS", "B", "A"), ("OVERRIDES", "B.y", "A.y")}
