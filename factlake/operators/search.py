@@ -11,11 +11,12 @@ MODES = ("exact", "qualified_exact", "prefix", "substring")
 
 
 def located(graph: Graph, symbols: DataFrame | None = None) -> DataFrame:
-    """Symbols with the path, package and repository that hold them.
+    """Symbols with the path, language, package and repository of the file that holds them, whatever columns of the kind they
+    have themselves.
 
     Files, packages and repositories are joined on their keys and left to Catalyst to broadcast by their measured size.
     """
-    s = graph.symbols if symbols is None else symbols
+    s = (graph.symbols if symbols is None else symbols).drop("path", "language", "package_key", "package_name", "repository_key", "repository")
     files = graph.files.select(F.col("stable_key").alias("file_key"), "path", "package_key", F.col("repository_key"), F.col("language").alias("language"))
     packages = graph.packages.select(F.col("stable_key").alias("package_key"), F.col("name").alias("package_name"))
     repositories = graph.repositories.select(F.col("stable_key").alias("repository_key"), F.col("name").alias("repository"))

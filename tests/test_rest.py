@@ -381,3 +381,21 @@ def test_type_relations(spark):
     embeds = spark.createDataFrame([("B", "A"), ("B", "A")], "owner string, embedded string")
     got = {tuple(r) for r in factsets.type_relations(types, methods, embeds).collect()}
     assert got == {("IMPLEMENTS", "A", "I"), ("EMBEDS", "B", "A"), ("OVERRIDES", "B.y", "A.y")}
+
+
+def test_index_project(spark, tmp_path):
+    from factlake.operators import references
+    from factlake.sources import indexing
+
+    rows = [("p/pyproject.toml", '[project]\nname = "pkg"\nversion = "2"\n'), ("p/a.py", "from p.b import go\n\ndef run():\n    return go()\n"), ("p/b.py", "def go(): pass\n"), ("x.py", "import nowhere\n"), ("bad.py", "(")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    store = tables.Generations(spark, str(tmp_path / "store"))
+    assert indexing.index_project(store, files, "demo", "c1") == 1 and indexing.index_project(store, files, "demo", "c2") is None
+    g = store.load()
+    assert {(r.name, r.version) for r in g.packages.collect()} == {("pkg", "2"), ("demo", None)} and store.verify()
+    assert {r.qualified_name for r in g.symbols.collect()} == {"p.a", "p.a.run", "p.b", "p.b.go", "x"}
+    root = g.symbols.filter("qualified_name = 'p.b.go'").select(F.col("stable_key").alias("root"))
+    assert {(r.kind, r.path) for r in references.find_references(g, root).collect()} == {("CALLS_DIRECT", "p/a.py"), ("IMPORTS_SYMBOL", "p/a.py")}
+    assert {(r.requested_symbol, r.reason) for r in g.unresolved.collect()} == {("nowhere", "SYMBOL_NOT_FOUND"), (None, "SYNTAX_ERROR")}
+    changed = files.withColumn("text", F.when(F.col("path") == "bad.py", "y = 1").otherwise(F.col("text")))
+    assert indexing.index_project(store, changed, "demo") == 2 and store.load().unresolved.count() == 1
