@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-A candidate block is what stands around a cue word in its paragraph, as far as the longest template can reach; blocks that
-meet are one.  A paragraph ends at a line without a word.  A template is confirmed wherever the block holds its
-wording: the words of the template, aligned with the block's around each place of a telling word, differ in no more than
+A candidate block is what stands around a cue word, as far as the longest template can reach, whatever lines and paragraphs it
+is divided into; blocks that meet are one.  A template, a whole licence or a notice or an identifier, is confirmed wherever
+the block holds its wording: the words of the template, aligned with the block's around each place of a telling word, differ in no more than
 ``SLACK`` of them, and none of the words that tell it from other licences is missing or changed.  The differences are
 reported, so a winner is never taken on its compression alone.  What was confirmed is compressed alone and with the
-template as a raw dictionary for zstandard; of findings that overlap, the one whose template saves most bytes stays.
+template as a raw dictionary for zstandard; of findings that overlap, the one whose template saves most bytes, less those of
+the words that differ, stays.
 
 Defined cases: a null or empty text has no blocks; lines of any length are compared whole, and what stands around a
 notice has no influence; equal savings go to the template that is first by name; several licences in one block are all
@@ -25,29 +26,107 @@ from pyspark.sql import DataFrame
 
 from .common import columns
 
-#: The wording of notices, and the words of each that no other notice may have in their place.
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so"
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission."
+)
+_BSD_TAIL = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by "
+    "the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of "
+    "the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses"
+)
+#: Identifiers of licences in lines of the SPDX kind.
+IDENTIFIERS = (
+    "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-only "
+    "GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT "
+    "MPL-2.0 Unlicense Zlib"
+).split()
+#: The wording of licences as their owners publish it and of notices, and the words of each that no other may
+#: have in their place.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
+    "Apache-2.0-notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+        ("apache", "2.0", "compliance", "governing"),
+    ),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", ("bsd", "2-clause")),
+    "BSD-2-Clause-text": (_BSD_HEAD + _BSD_TAIL, ("redistribution", "redistributions", "exemplary", "substitute")),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", ("bsd", "3-clause")),
+    "BSD-3-Clause-text": (_BSD_HEAD + _BSD_THIRD + _BSD_TAIL, ("redistribution", "endorse", "exemplary", "substitute")),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", ("cc", "by-nc", "4.0")),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", ("cc", "by-sa", "4.0")),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "public", "2")),
+    "GPL-2.0-notice": (_GNU.format("General Public License", 2), ("gnu", "general", "redistribute", "2")),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "public", "3")),
+    "GPL-3.0-notice": (_GNU.format("General Public License", 3), ("gnu", "general", "redistribute", "3")),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS "
+        "IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("permission", "fee", "disclaims", "tortious"),
+    ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "public", "3")),
+    "LGPL-3.0-notice": (_GNU.format("Lesser General Public License", 3), ("gnu", "lesser", "redistribute", "3")),
     "MIT": ("Released under the MIT License.", ("mit",)),
+    "MIT-grant": (_MIT_GRANT, ("permission", "hereby", "granted", "sublicense")),
     "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so",
-        ("permission", "hereby", "granted", "sublicense"),
+        _MIT_GRANT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in "
+        "all copies or substantial portions of the Software. " + _AS_IS,
+        ("hereby", "sublicense", "substantial", "noninfringement"),
     ),
     "MPL-2.0": ("This work is subject to the terms of the Mozilla Public License, version 2.0.", ("mozilla", "2.0")),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0",
+        ("mozilla", "form", "obtain"),
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.",
+        ("unencumbered", "domain", "compiled"),
+    ),
+    **{f"SPDX-{name}": (f"SPDX-License-Identifier: {name}", ("spdx-license-identifier", name.lower())) for name in IDENTIFIERS},
 }
 
-_CUE = re.compile(r"licen[sc]|copyright|permission\s+is\s+hereby|spdx|cc\s+by|warrant", re.IGNORECASE)
+_CUE = re.compile(r"licen[sc]|copyright|hereby\s+granted|spdx|cc\s+by|warrant|unencumbered|redistribut", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A winner may lack or change this share of the template's words; none of its telling ones.
 SLACK = 0.2
@@ -65,37 +144,20 @@ class License(NamedTuple):
 
 
 def blocks(text: str, reach: int = REACH) -> list[tuple[int, int]]:
-    """The words around cue words within their paragraphs, as spans of characters."""
-    if not _CUE.search(text):
+    """The words around cue words, as spans of characters."""
+    cues = list(_CUE.finditer(text))
+    if not cues:
         return []
-    out: list[tuple[int, int]] = []
-    for start, end in paragraphs(text):
-        words: list[re.Match[str]] = []
-        first = last = 0  # the block's words so far
-        for cue in _CUE.finditer(text, start, end):
-            words = words or list(_WORD.finditer(text, start, end))
-            at = bisect_right(words, cue.start(), key=lambda m: m.start())
-            low, high = max(0, at - 1 - reach), min(len(words), bisect_left(words, cue.end(), key=lambda m: m.start()) + reach)
-            if last and low > last:
-                out.append((words[first].start(), words[last - 1].end()))
-            first, last = low if not last or low > last else first, high
-        if last:
-            out.append((words[first].start(), words[last - 1].end()))
-    return out
-
-
-def paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of lines that have words, as spans of characters."""
-    start, at, inside = 0, 0, False
-    for line in text.split("\n"):
-        if _WORD.search(line):
-            start, inside = start if inside else at, True
-        elif inside:
-            yield start, at
-            inside = False
-        at += len(line) + 1
-    if inside:
-        yield start, len(text)
+    at = [m.span() for m in _WORD.finditer(text)]
+    out: list[tuple[int, int]] = []  # as numbers of words
+    for cue in cues:
+        low = max(0, bisect_right(at, cue.start(), key=lambda w: w[0]) - 1 - reach)
+        high = min(len(at), bisect_left(at, cue.end(), key=lambda w: w[0]) + reach)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        elif at:
+            out.append((low, high))
+    return [(at[low][0], at[high - 1][1]) for low, high in out]
 
 
 def extend(words: list[str], wanted: list[str], telling: set[str]) -> tuple[int, int, list[str], list[str]] | None:
@@ -181,7 +243,8 @@ class Scanner:
             for template in range(len(self.templates)):
                 for first, last, missing, added in self.confirm(words, template, places):
                     less, share = self.saved(block[at[first][0] : at[last - 1][1]], template)
-                    found.append((-less, template, first, last, share, missing, added))
+                    differing = sum(len(w.encode()) + 1 for w in (*missing, *added))
+                    found.append((differing - less, template, first, last, share, missing, added))
             taken = bytearray(len(at))
             for _, template, first, last, share, missing, added in sorted(found):
                 if not any(taken[first:last]):
