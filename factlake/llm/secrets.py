@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate and its context.
 
 The patterns find assignments (``assign``), access keys (``access``) and long hexadecimal strings (``hex``); their
-findings always stay.  Every candidate, which is each of them and each long string of letters and digits, is scored by
-the network, which sees up to ``INSIDE`` characters of it (first and last halves of longer ones) and ``AROUND`` on
-either side; candidates that no pattern found and that score above the threshold are added as ``model``.
+findings always stay.  Every candidate, which is each of them and each string of 16 or more letters, digits and signs, is scored
+by the network, which sees all of it, in overlapping windows of ``INSIDE`` characters, and ``AROUND`` on either side;
+candidates that no pattern found and that score above the threshold are added as ``model``.
 
 The network is embedding, one convolution, maximum over the candidate and over its context apart, one hidden layer and
 a logit, in numpy.  It is trained on labelled findings that a seeded rule makes (the corpus has no such labels),
@@ -37,8 +37,6 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _WORDS = ("passw", "secret", "token", "api")
 _HEX_ONLY = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
-_DIGIT = re.compile(r"[0-9]")
-
 INSIDE, AROUND = 48, 24
 EXAMPLES, RECALL, SEED = 6000, 0.98, 29
 #: Rows whose texts a worker holds at a time.
@@ -67,21 +65,16 @@ def base_findings(text: str) -> list[Finding]:
 
 
 def more_candidates(text: str, found: list[Finding]) -> list[Finding]:
-    """Long strings of letters and digits that touch no finding."""
-    if not _DIGIT.search(text):
-        return []
-    out = []
-    for m in _LONG.finditer(text):
-        s = m[0]
-        digits = sum(c.isdigit() for c in s)
-        if digits >= 2 and digits < len(s) and not any(f.start < m.end() and m.start() < f.end for f in found):
-            out.append(Finding("model", *m.span()))
-    return out
+    """Long strings of letters, digits and signs that touch no finding."""
+    return [
+        Finding("model", *m.span()) for m in _LONG.finditer(text)
+        if m[0].strip("+/_=-") and not any(f.start < m.end() and m.start() < f.end for f in found)
+    ]
 
 
 # the network ---------------------------------------------------------------------------------------------------------
 
-_CODE = np.full(128, 5, dtype=np.int64)
+_CODE = np.full(128, 5, dtype=np.uint8)
 for _i, _c in enumerate("\n\t \"'=:;,.-_/+@#<>()[]{}|&%$*!?"):
     _CODE[ord(_c)] = 6 + _i
 _CODE[ord("0") : ord("9") + 1] = 40 + np.arange(10)
@@ -91,19 +84,27 @@ _SYMBOLS = 104
 
 
 def codes(text: str, start: int, end: int) -> np.ndarray:
-    """The candidate in the middle, its context on either side; 0 where there is nothing, 4 for other scripts."""
-    out = np.zeros(_WIDTH, dtype=np.int64)
-    body = text[start:end]
-    if len(body) > INSIDE:
-        body = body[: INSIDE // 2] + body[-INSIDE // 2 :]
+    """A row for each window of the candidate, which is in the middle, with its context on either side; windows overlap by what
+    a convolution spans, the last ends with the candidate.  0 where there is nothing, 4 for other scripts."""
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    for at, s in ((AROUND - len(before), before), (AROUND, body), (AROUND + INSIDE, after)):
-        for i, c in enumerate(s):
-            out[at + i] = _CODE[ord(c)] if ord(c) < 128 else 4
+    step = INSIDE - _SPAN + 1
+    starts = [*range(start, max(start + 1, end - INSIDE), step)]
+    if end - starts[-1] > INSIDE:
+        starts.append(end - INSIDE)
+    out = np.zeros((len(starts), _WIDTH), dtype=np.uint8)
+    for row, first in zip(out, starts):
+        for at, s in ((AROUND - len(before), before), (AROUND, text[first : min(end, first + INSIDE)]), (AROUND + INSIDE, after)):
+            row[at : at + len(s)] = [_CODE[ord(c)] if ord(c) < 128 else 4 for c in s]
     return out
 
 
-def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of several candidates in one array, and where each candidate's begin."""
+    sizes = [len(r) for r in rows]
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)]).astype(np.int64)
+
+
+def _examples(n: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Labelled findings by rule: secrets of several shapes in prose or code, and long strings that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda s: s[rng.integers(len(s))]
@@ -113,6 +114,9 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     word = lambda: "".join(pick(parts) for _ in range(rng.integers(1, 6)))
     prose = lambda: " ".join(word() for _ in range(rng.integers(1, 8)))
     mixed = lower + upper + digits
+    vowels, consonants = "a e i o u ai au ei eau ie io oi ou".split(), "b c ch d f g h l m n nd ng nt p qu r rt s sch st t th tr v z".split()
+    german = "ab an auf aus be ber ch ein ent er es ge heit in isch keit lich los mit nach nicht pf sam sch schaft schen st tz und ung ver von vor zer zu".split()
+    romance = "ado al an ar ción ci con des e en es ie ion la le men ment o os ou par que re si so ta te ti tion tra un ve".replace("ó", "o").split()
     x, y = [], []
     for _ in range(n):
         secret = bool(rng.integers(2))
@@ -124,7 +128,9 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                 lambda: chars(mixed + "+/", int(rng.integers(24, 64))) + pick(["", "=", "=="]),
                 lambda: "AKIA" + chars(upper + digits, 16),
                 lambda: pick(["ghp_", "sk-", "xoxb-", "pk_live_", "glpat-"]) + chars(mixed, int(rng.integers(20, 40))),
-            ][rng.integers(5)]()
+                lambda: chars(lower + upper, int(rng.integers(20, 120))),
+                lambda: chars(mixed + "+/", int(rng.integers(64, 300))),
+            ][rng.integers(7)]()
             before = prose() + pick([" ", "\n", ", "]) + pick(["", key + pick([" = \"", ": ", "=", " '", "\": \""])])
             after = pick(["\"", "'", " ", "\n", ";"]) + prose()
         else:
@@ -136,13 +142,20 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                 lambda: "_".join([word(), word(), word(), chars(digits, 2)]),
                 lambda: chars(digits, int(rng.integers(14, 24))) + pick(lower),
                 lambda: word().capitalize() + word().capitalize() + word().capitalize() + chars(digits, 2),
-            ][rng.integers(7)]()
+                lambda: pick([str.lower, str.capitalize, str.upper])("".join(pick(vowels) + pick(consonants) for _ in range(rng.integers(8, 16)))),
+                lambda: pick([str.lower, str.capitalize, str.upper])("".join(word() for _ in range(rng.integers(3, 9)))),
+                lambda: pick([str.lower, str.capitalize])("".join(pick(german) for _ in range(rng.integers(3, 9)))),
+                lambda: pick([str.lower, str.capitalize])("".join(pick(romance) for _ in range(rng.integers(4, 10)))),
+                lambda: "/".join(word() for _ in range(rng.integers(3, 40))),
+                lambda: "".join(word().capitalize() for _ in range(rng.integers(2, 6))),
+                lambda: pick("-=_") * int(rng.integers(16, 80)),
+            ][rng.integers(14)]()
             before = prose() + pick([" ", "\n", " (", "/", ": "])
             after = pick([" ", ".", ", ", "\n", ")"]) + prose()
         text = before + body + after
         x.append(codes(text, len(before), len(before) + len(body)))
         y.append(secret)
-    return np.array(x), np.array(y, dtype=float)
+    return x, np.array(y, dtype=float)
 
 
 class Network:
@@ -159,7 +172,8 @@ class Network:
         ]
         self.curve, self.threshold = (1.0, 0.0), 0.5
 
-    def logits(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def logits(self, x: np.ndarray, starts: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Of each candidate, whose windows begin at ``starts``: maxima go over all of its windows, so over any length."""
         emb, conv, conv_b, w1, b1, w2, b2 = self.w
         e = emb[x]
         windows = np.lib.stride_tricks.sliding_window_view(e, _SPAN, axis=1).transpose(0, 1, 3, 2)
@@ -167,24 +181,27 @@ class Network:
         h = np.maximum(flat @ conv + conv_b, 0)
         inside = slice(AROUND, AROUND + INSIDE - _SPAN + 1)
         outside = np.r_[0:AROUND, AROUND + INSIDE - _SPAN + 1 : h.shape[1]]
-        at_in, at_out = h[:, inside].argmax(1), h[:, outside].argmax(1)
-        pooled = np.concatenate([h[:, inside].max(1), h[:, outside].max(1)], axis=1)
+        tops = np.concatenate([h[:, inside].max(1), h[:, outside].max(1)], axis=1)
+        pooled = np.maximum.reduceat(tops, starts, axis=0)
         z = np.maximum(pooled @ w1 + b1, 0)
         if keep is not None:
-            keep.update(x=x, flat=flat, pooled=pooled, z=z, at=np.concatenate([at_in + AROUND, outside[at_out]], axis=1))
+            at = np.concatenate([h[:, inside].argmax(1) + AROUND, outside[h[:, outside].argmax(1)]], axis=1)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+            # of each candidate and filter the window with the maximum, the first of equals
+            rows = np.stack([np.lexsort((-tops[:, j], of))[starts] for j in range(tops.shape[1])], axis=1)
+            keep.update(x=x, flat=flat, pooled=pooled, z=z, rows=rows, at=np.take_along_axis(at, rows, axis=0))
         return (z @ w2 + b2)[:, 0]
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         k: dict = {}
-        p = 1 / (1 + np.exp(-self.logits(x, k)))
+        p = 1 / (1 + np.exp(-self.logits(x, starts, k)))
         emb, conv, _, w1, _, w2, _ = self.w
         d = ((p - y) / len(y)).astype(np.float32)[:, None]
         gz = (d @ w2.T) * (k["z"] > 0)
         gp = (gz @ w1.T) * (k["pooled"] > 0)
         g_emb, g_conv, g_b = np.zeros_like(emb), np.zeros_like(conv), np.zeros(_FILTERS, np.float32)
-        rows = np.arange(len(x))
         for j in range(2 * _FILTERS):
-            f, at, g = j % _FILTERS, k["at"][:, j], gp[:, j]
+            f, at, g, rows = j % _FILTERS, k["at"][:, j], gp[:, j], k["rows"][:, j]
             g_conv[:, f] += g @ k["flat"][rows, at]
             g_b[f] += g.sum()
             back = g[:, None] * conv[:, f]
@@ -192,10 +209,18 @@ class Network:
                 np.add.at(g_emb, x[rows, at + s], back[:, s * _DIM : (s + 1) * _DIM])
         return [g_emb, g_conv, g_b, k["pooled"].T @ gz, gz.sum(0), k["z"].T @ d, d.sum(0)]
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities."""
+    def scores(self, candidates: list[np.ndarray]) -> np.ndarray:
+        """Calibrated probabilities, so many windows at a time (a candidate isn't divided), rounded, so that they don't depend on
+        what stands in the same batch."""
         a, b = self.curve
-        return 1 / (1 + np.exp(-(a * self.logits(x).astype(float) + b)))
+        out, part, held = [], [], 0
+        for i, rows in enumerate(candidates):
+            part.append(rows)
+            held += len(rows)
+            if held >= 512 or i == len(candidates) - 1:
+                out.append(self.logits(*stack(part)).astype(float))
+                part, held = [], 0
+        return np.round(1 / (1 + np.exp(-(a * np.concatenate(out) + b))), 4) if out else np.empty(0)
 
 
 def train(n: int = EXAMPLES, seed: int = SEED, epochs: int = 4, recall: float = RECALL) -> Network:
@@ -209,11 +234,11 @@ def train(n: int = EXAMPLES, seed: int = SEED, epochs: int = 4, recall: float =
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(cut), max(1, cut // 64)):
             step += 1
-            for i, g in enumerate(net.gradients(x[rows], y[rows])):
+            for i, g in enumerate(net.gradients(*stack([x[r] for r in rows]), y[rows])):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 net.w[i] -= (0.005 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    z, t = net.logits(x[cut:]).astype(float), y[cut:]
+    z, t = net.logits(*stack(x[cut:])).astype(float), y[cut:]
     a, b = 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-(a * z + b)))
@@ -243,7 +268,7 @@ def find(texts: list[str], net: Network) -> list[tuple[list[Finding], list[float
     found = [base_findings(t) for t in texts]
     every = [f + more_candidates(t, f) for t, f in zip(texts, found)]
     x = [codes(t, c.start, c.end) for t, cs in zip(texts, every) for c in cs]
-    scores = np.concatenate([net.scores(np.array(x[i : i + 512])) for i in range(0, len(x), 512)]) if x else np.empty(0)
+    scores = net.scores(x)
     out, at = [], 0
     for cs in every:
         kept = [(c, float(s)) for c, s in zip(cs, scores[at : at + len(cs)]) if c.kind != "model" or s >= net.threshold]
