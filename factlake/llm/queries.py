@@ -13,8 +13,11 @@ from .html import extract
 from .licenses import scan as scan_licenses
 from .mixing import mix_plan
 from .neardup import near_duplicates
+from .pieces import round_trip as piece_round_trip
 from .quality import quality
+from .resample import resample
 from .secrets import scan
+from .spelling import spelling_variants
 from .substring import dedup_substrings
 from .tokencount import section_tokens
 
@@ -88,6 +91,25 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_round_trip(_read(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def bpe_digests(coded: DataFrame) -> DataFrame:
     """Digests of ids and of the text that was decoded from them."""
     return coded.select(
@@ -100,5 +122,8 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_substrings, op4_html, op5_secrets, op6_licenses, op7_mixing, op8_bpe, op9_ann, op10_neardup)
+    for f in (
+        op1_token_counts, op2_quality_rules, op3_substrings, op4_html, op5_secrets, op6_licenses, op7_mixing, op8_bpe, op9_ann, op10_neardup,
+        op11_resample, op12_pieces, op13_spelling,
+    )
 }
