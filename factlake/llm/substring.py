@@ -8,7 +8,8 @@ earlier in the same one.  Texts are UTF-8 bytes and matches never cross document
    record is an anchor with all the windows it serves: one piece of text, some 35 windows.  Records that repeat
    within their text, byte by byte, are marked at once.  Anchors are counted before the shuffle; only records whose anchor
    occurs several times go on.
-2. Of one anchor, records of equal bytes (told by 144 bits of three hashes) are one class.  Its first record stands for
+2. Of one anchor, records of equal bytes are one class.  Across texts they are told by 144 bits of three hashes and not compared
+   (a record has some hundred bytes, while sums of powers modulo 2**64 need a thousand to be equal by construction).  Its first record stands for
    it: all bytes of the others also start earlier, so they are marked whole, and only the first is fetched from its text,
    if its anchor has other classes.
 3. The classes of one anchor go to one task.  There, windows that occur once, and windows all of whose occurrences are
@@ -155,6 +156,8 @@ def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> Iterator[tuple
     ends = np.cumsum(sizes)
     begins = ends - sizes
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    if data.max(initial=0) == 255:
+        raise ValueError("pieces of UTF-8 hold no byte 255")
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
     if not total:
@@ -174,9 +177,10 @@ def maximal_repeats(pieces: list[bytes], length: int = LENGTH) -> Iterator[tuple
         return
     start, piece, left = start[kept], piece[kept], left[kept]
     suffix_size = ends[piece] - start
-    # the suffixes, each to the end of its piece, as rows of equal width
+    # the suffixes, each to the end of its piece, as rows of equal width; bytes are one more than they are, so what fills
+    # a row up is below all of them, and a suffix stands before those that it begins
     width = int(suffix_size.max())
-    padded = np.concatenate([data, np.zeros(width, dtype=np.uint8)])
+    padded = np.concatenate([data + np.uint8(1), np.zeros(width, dtype=np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
     rows[np.arange(width) >= suffix_size[:, None]] = 0
     sa = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
