@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -67,7 +68,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_path(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _collect(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that :func:`stored` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -133,30 +143,26 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0)
     return mix((s[end] - s[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACES)] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in UTF-8 bytes (every separator is one byte)."""
-    inside = np.empty(len(data) + 2, dtype=bool)
-    inside[0] = inside[-1] = False
-    np.logical_not(_IS_SPACE[data], out=inside[1:-1])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return edge[::2], edge[1::2]
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text whose words are cut out at a time.
+_SLICE = 1 << 22
 
 
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased first if ``lower``."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    if not len(data):
-        return np.empty(0, dtype=np.uint64)
-    start, end = word_bounds(data)
-    if not len(start):
-        return np.empty(0, dtype=np.uint64)
-    return span_hash(rolling(_LOWER[data] if lower else data), start, end)
+    """A 64-bit hash of each word by itself, A-Z lower-cased first if ``lower``.
+
+    Words are hashed by xxh3, as sums of powers modulo 2**64 are equal for some different words of a thousand letters.
+    """
+    out, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _SLICE) if len(text) - at > _SLICE else None
+        end = gap.start() if gap else len(text)
+        part = text[at:end]
+        # bytes are split at just those six separators, and only A-Z have a lower case
+        words = (part.lower() if lower else part).split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

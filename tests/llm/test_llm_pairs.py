@@ -272,3 +272,59 @@ def test_pipeline(spark, sf):
     copies = {r.doc_id: r.copies for r in mix_plan(left).collect()}
     digest = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in left.collect()}
     assert out == collections.Counter({(i, digest[i]): c for i, c in copies.items() if c})
+
+
+def thue_morse(n):
+    return ["".join("ab"[(bin(i).count("1") + k) & 1] for i in range(n)) for k in (0, 1)]
+
+
+def test_neardup_of_words_whose_sums_of_powers_are_equal(spark):
+    from factlake.llm.neardup import near_duplicates
+
+    a, b = thue_morse(1024)
+    long = thue_morse(8192)
+    docs = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, long[0]), (6, long[1]), (7, long[0]), (8, "w" * 5000), (9, "w" * 5001)]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 5, 8: 8, 9: 9}
+
+
+def test_words_are_hashed_alike_in_slices(monkeypatch):
+    from factlake.llm import common
+
+    text = " \tOne two\x0b\x0cTHREE\x85four\xa0five \x1cx\n".encode() * 50
+    whole = common.word_hashes(text)
+    monkeypatch.setattr(common, "_SLICE", 5)
+    assert (common.word_hashes(text) == whole).all() and len(whole) == 50 * 4
+
+
+def test_substrings_with_nul_bytes(spark):
+    from factlake.llm.substring import dedup_substrings
+
+    p = "".join(random.Random(4).choice("ab") for _ in range(100))
+    docs = [(1, p + "\0"), (2, p), (3, p + "\0\0"), (4, "\0" * 150), (5, "\0" * 120 + p), (6, p + "\0" * 130)]
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seen, want = set(), {}
+    for i, t in docs:
+        gone = set()
+        for at in range(len(t) - 99):
+            if t[at : at + 100] in seen:
+                gone.update(range(at, at + 100))
+            seen.add(t[at : at + 100])
+        want[i] = len(gone)
+    assert got == want
+
+
+def test_maximal_repeats_order_suffixes_with_their_lengths():
+    from factlake.llm.substring import _mark
+
+    rng = random.Random(8)
+    for _ in range(300):
+        pieces = ["".join(rng.choice("\0\0a") for _ in range(rng.randrange(3, 9))).encode() for _ in range(6)]
+        covered = {(r, k) for r, a, b in _mark([(i,) for i in range(6)], np.zeros(6, dtype=np.int64), pieces, 3) for k in range(a, b)}
+        seen, want = set(), set()
+        for i, t in enumerate(pieces):
+            for at in range(len(t) - 2):
+                if t[at : at + 3] in seen:
+                    want.update((i, k) for k in range(at, at + 3))
+                seen.add(t[at : at + 3])
+        assert covered == want
