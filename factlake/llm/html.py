@@ -11,7 +11,9 @@ container, or one without text, its own best container is taken.
 Containers inside the best one are voted on too.  What speaks against one: a class or id made of words like ``advert`` or
 ``comments`` (which also makes its score small), text in links, and the same text on different pages of the host; what
 speaks for it is its share of the prose.  The evidence is averaged over the host's pages and decides for all of them, so
-names alone decide only where nothing else is known, and never about paragraphs, headings and the like.  Elements that HTML
+names alone decide only where nothing else is known, and never about paragraphs, headings and the like.  Without a name, a
+container is left out only if nearly all its text stands in links and it is the same on most pages: neither links nor
+repetition decide alone, so an article's sources, series titles and notes stay.  Elements that HTML
 itself makes for menus, headers, footers, sidebars, dialogs, forms, scripts and styles, or a role of the kind, hold no main text.
 
 Text: character references are decoded, white space within a block is one space, blocks are trimmed, and non-empty
@@ -58,14 +60,21 @@ NEUTRAL = set("left right top bottom box container wrapper wrap bar list area bl
 #: A container is left out where the evidence against it is above this.
 AGAINST = 0.5
 _ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: An element of the first kind closes an open one of these, unless one of the others stands between.
+_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_AROUND_SIBLINGS = set("ul ol dl table div article section select".split())
 #: p and these close an open p.
 _CLOSES_P = BLOCKS - {"br", "caption", "dd", "dt", "html", "body", "summary", "figcaption", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
+#: A quote opens a value only behind an equals sign.  Nothing is read twice, so the time is linear in the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.DOTALL
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:!|\?)[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)",
+    re.DOTALL,
 )
-_ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_END_OF_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -80,11 +89,26 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
+#: Longer paths are told by a hash.
+_LONG_PATH = 400
+
+
+class _Container:
+    """A tag-class path of a page, as its last label and the path above; what stands below it is summed up over it."""
+
+    __slots__ = ("tag", "path", "parent", "named", "own", "below", "size", "linked", "text")
+
+    def __init__(self, tag: str, path: str, parent: "_Container | None", named: bool) -> None:
+        self.tag, self.path, self.parent, self.named = tag, path, parent, named
+        self.own = self.below = 0.0
+        self.size = self.linked = self.text = 0
+
+
 class _Element:
-    __slots__ = ("tag", "path", "skip", "parent", "named", "foreign")
+    __slots__ = ("tag", "inside", "skip", "parent", "foreign")
 
-    def __init__(self, tag: str, path: str, skip: bool, parent: "_Element | None", named: bool, foreign: bool) -> None:
-        self.tag, self.path, self.skip, self.parent, self.named, self.foreign = tag, path, skip, parent, named, foreign
+    def __init__(self, tag: str, inside: _Container, skip: bool, parent: "_Element | None", foreign: bool) -> None:
+        self.tag, self.inside, self.skip, self.parent, self.foreign = tag, inside, skip, parent, foreign
 
 
 def speaks_against(name: str) -> bool:
@@ -94,23 +118,31 @@ def speaks_against(name: str) -> bool:
 
 
 class Page:
-    """The blocks of a page: for each, its text, how much of it stands in links, and its innermost element."""
+    """The blocks of a page: for each, its text, how much of it stands in links, and its innermost container.
+
+    Time and memory are linear in the page, whatever its tags and however deep they are.
+    """
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, int, _Element]] = []
+        self.blocks: list[tuple[str, int, _Container]] = []
+        top = _Container("", "", None, False)
+        #: Containers, each behind the one that it stands in.
+        self.containers: list[_Container] = [top]
+        self._made: dict[tuple[int, str], _Container] = {}
+        self._open: dict[str, int] = {}
         self._parts: list[str] = []
         self._linked = 0
-        self._parse(html)
+        self._parse(html, _Element("", top, False, None, False))
+        self._sum()
 
     def _end_block(self, at: _Element) -> None:
         if self._parts:
             text = _SPACE.sub(" ", unescape("".join(self._parts))).strip()
             if text:
-                self.blocks.append((text, min(self._linked, len(text)), at))
+                self.blocks.append((text, min(self._linked, len(text)), at.inside))
             self._parts, self._linked = [], 0
 
-    def _parse(self, html: str) -> None:
-        root = _Element("", "", False, None, False, False)
+    def _parse(self, html: str, root: _Element) -> None:
         at, links, done, end = root, 0, 0, len(html)
         while done < end:
             m = _TOKEN.search(html, done)
@@ -124,66 +156,63 @@ class Page:
             if not tag or not m[4]:  # a comment, a declaration, or a tag that the page's end cuts off
                 continue
             if m[1]:
-                up = at
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
                 if tag in BLOCKS:
                     self._end_block(at)
                 if tag == "a":
                     links = max(0, links - 1)
-                if up.parent is not None and not (tag not in BLOCKS and self._crosses(at, up)):
+                up = self._up(at, (tag,), () if tag in BLOCKS else BLOCKS)
+                if up is not None:
                     if up.skip and not up.parent.skip:
                         self._end_block(up.parent)
-                    at = up.parent
+                    at = self._leave(at, up)
                 continue
             if tag in BLOCKS or tag in SKIPPED:
                 self._end_block(at)
             if tag in _CLOSES_P:
-                up = at
-                while up.parent is not None and up.tag not in CONTAINERS and up.tag != "p":
-                    up = up.parent
-                if up.tag == "p":
-                    at = up.parent or root
+                p = self._up(at, ("p",), CONTAINERS)
+                if p is not None:
+                    at = self._leave(at, p)
             # outside of SVG and MathML a slash closes nothing
             if tag in VOID or m[3].endswith("/") and (at.foreign or tag in FOREIGN):
                 continue
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                at = self._close_sibling(at, tag)
-            at = self._open(tag, m[3], at)
+            if tag in _SIBLINGS:
+                sibling = self._up(at, _SIBLINGS[tag], _AROUND_SIBLINGS)
+                if sibling is not None:
+                    at = self._leave(at, sibling)
+            at = self._enter(tag, m[3], at)
             if tag == "a":
                 links += 1
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, done)
+                close = _END_OF_RAW[tag].search(html, done)
                 if not close:
                     break
                 done = close.start()
         self._end_block(at)
 
-    @staticmethod
-    def _crosses(at: _Element, up: _Element) -> bool:
-        """Whether a block stands between: an inline end tag doesn't close that."""
-        while at is not up:
-            if at.tag in BLOCKS:
-                return True
+    def _up(self, at: _Element, tags: tuple[str, ...], until) -> _Element | None:
+        """The innermost open element of the tags, unless one of the others is around what is nearer."""
+        if not any(self._open.get(t) for t in tags):
+            return None
+        while at.tag not in tags:
+            if at.parent is None or at.tag in until:
+                return None
             at = at.parent
-        return False
-
-    @staticmethod
-    def _close_sibling(at: _Element, tag: str) -> _Element:
-        same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-        up = at
-        while up.parent is not None and up.tag not in ("ul", "ol", "dl", "table", "div", "article", "section", "select"):
-            if up.tag in same:
-                return up.parent
-            up = up.parent
         return at
 
-    def _open(self, tag: str, attributes: str, at: _Element) -> _Element:
+    def _leave(self, at: _Element, up: _Element) -> _Element:
+        """What ``up`` stands in, when it and all within it are closed."""
+        while True:
+            self._open[at.tag] -= 1
+            if at is up:
+                return at.parent
+            at = at.parent
+
+    def _enter(self, tag: str, attributes: str, at: _Element) -> _Element:
         skip, label, named, container = at.skip or tag in SKIPPED or tag == "title", tag, False, tag in CONTAINERS
         if attributes.strip():
             a = {}
             for name, value in _ATTR.findall(attributes):
-                a.setdefault(name.lower(), unescape(value.strip("\"'")))
+                a.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] else value))
             if a.get("role", "").lower() in _ROLES:
                 skip = True
             classes = sorted(set(re.sub(r"\d+", "0", a.get("class", "")).split()))
@@ -193,66 +222,86 @@ class Page:
                 if speaks_against(a.get("id", "")):
                     classes.append("#" + re.sub(r"\d+", "0", a["id"]))
             label = ".".join([tag, *classes])
-        path = f"{at.path}/{label}" if container else at.path
-        return _Element(tag, path, skip, at, named or at.named, at.foreign or tag in FOREIGN)
+        inside = at.inside
+        if container:
+            inside = self._made.get((id(at.inside), label))
+            if inside is None:
+                path = f"{at.inside.path}/{label}"
+                if len(path) > _LONG_PATH:
+                    path = f"...{xxhash.xxh3_128_hexdigest(path)}/{tag}"
+                inside = self._made[id(at.inside), label] = _Container(tag, path, at.inside, named or at.inside.named)
+                self.containers.append(inside)
+        self._open[tag] = self._open.get(tag, 0) + 1
+        return _Element(tag, inside, skip, at, at.foreign or tag in FOREIGN)
 
     def _text(self, s: str, links: int) -> None:
         self._parts.append(s)
         if links:
             self._linked += len(s.strip())
 
+    def _sum(self) -> None:
+        """Prose of each container's own blocks and of what is below it, which counts less at each level; sizes, and a sum of
+        hashes of the texts, whose order it doesn't tell."""
+        for text, linked, c in self.blocks:
+            c.own += max(0, len(text) - 2 * linked) * (0.1 if c.named else 1.0)
+            c.size += len(text)
+            c.linked += linked
+            c.text += xxhash.xxh3_64_intdigest(text)
+        for c in reversed(self.containers):
+            up = c.parent
+            if up is not None:
+                up.below += 0.9 * (c.own + c.below)
+                up.size += c.size
+                up.linked += c.linked
+                up.text += c.text
+
     def best(self) -> tuple[str, float] | None:
         """The path of the container with the highest score, and the score."""
-        score: dict[str, float] = {}
-        own: set[str] = set()  # paths with prose outside inner containers
-        for text, linked, at in self.blocks:
-            prose = max(0, len(text) - 2 * linked) * (0.1 if at.named else 1.0)
-            if not prose:
-                continue
-            own.add(at.path)
-            share, last, up = 1.0, None, at
-            while up is not None and up.parent is not None:
-                if up.path != up.parent.path and up.path != last:
-                    semantic = 1.25 if up.tag in ("article", "main") else 1.0
-                    score[up.path] = score.get(up.path, 0.0) + prose * share * semantic
-                    share *= 0.9
-                    last = up.path
-                up = up.parent
-        if not score:
+        score = lambda c: (c.own + c.below) * (1.25 if c.tag in ("article", "main") else 1.0)
+        scored = [c for c in self.containers[1:] if c.own + c.below > 0]
+        if not scored:
             return None
-        path = outer = min(score, key=lambda p: (-score[p], p))
-        tag = lambda p: p[p.rfind("/") + 1 :].split(".")[0]
-        while tag(outer) not in ("article", "main"):
-            outer = outer[: outer.rfind("/")]
-            if tag(outer) in ("", "body"):  # the body's own text stands beside everything on the page
+        best = outer = min(scored, key=lambda c: (-score(c), c.path))
+        while outer.tag not in ("article", "main"):
+            outer = outer.parent
+            if outer.tag in ("", "body"):  # the body's own text stands beside everything on the page
                 break
-            if outer in own and outer in score:
-                path = outer
-        return path, score[path]
+            if outer.own:
+                best = outer
+        return best.path, score(best)
+
+    def _below(self, path: str | None) -> set[int]:
+        """The containers on a path or below (all of them if it is None)."""
+        inside: set[int] = set()
+        for c in self.containers:
+            if path is None or c.path == path or id(c.parent) in inside:
+                inside.add(id(c))
+        return inside
 
     def text(self, path: str | None, without: frozenset[str] = frozenset()) -> str:
         """The blocks in containers on the path or below, but for containers to be left out; of the whole page if it is None."""
-        inside = [(t, at.path) for t, _, at in self.blocks if path is None or at.path == path or at.path.startswith(path + "/")]
-        return "\n".join(t for t, own in inside if not without or not any(own == w or own.startswith(w + "/") for w in without))
-
-    def inner(self, path: str) -> Iterator[tuple[str, str, float, float, bool]]:
-        """Of each container below one on the path: its path, text, share of the prose, share of its text in links, name."""
-        total, found = 0, {}
-        for text, linked, at in self.blocks:
-            if at.path != path and not at.path.startswith(path + "/"):
-                continue
-            total += len(text)
-            up = at
-            while up.parent is not None and up.path.startswith(path + "/"):
-                if up.path != up.parent.path:
-                    held = found.setdefault(up.path, [[], 0, False])
-                    held[0].append(text)
-                    held[1] += linked
-                    held[2] |= up.named
-                up = up.parent
-        for own, (texts, linked, named) in found.items():
-            n = sum(map(len, texts))
-            yield own, "\n".join(texts), n / total, linked / n, named
+        inside = self._below(path)
+        if without:
+            out: set[int] = set()
+            for c in self.containers:
+                if c.path in without or id(c.parent) in out:
+                    out.add(id(c))
+            inside -= out
+        return "\n".join(t for t, _, c in self.blocks if id(c) in inside)
+
+    def digest(self, path: str) -> int:
+        """The hash of all text on a path or below."""
+        inside = self._below(path)
+        return sum(c.text for c in self.containers if c.path == path and id(c.parent) not in inside)
+
+    def inner(self, path: str) -> Iterator[tuple[str, int, float, float, bool]]:
+        """Of each container below one on the path that holds text: its path, a hash of its text, share of the prose, share of
+        its text in links, name."""
+        inside = self._below(path)
+        total = sum(c.size for c in self.containers if c.path == path and id(c.parent) not in inside)
+        for c in self.containers:
+            if c.size and id(c) in inside and c.path != path:
+                yield c.path, c.text, c.size / total, c.linked / c.size, c.named
 
 
 _VOTE = "host string, path string, inner string, votes bigint, text long, page long, share double, linked double, named boolean"
@@ -268,7 +317,7 @@ def votes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> Dat
 
         names = [c.split()[0] for c in _VOTE.split(", ")]
         kinds = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.bool_()]
-        digest = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)
+        signed = lambda h: (h & (1 << 64) - 1) - (1 << 63)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -280,9 +329,10 @@ def votes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> Dat
                     if best:
                         key = (host_of(url) or "", best[0])
                         total[key] = total.get(key, 0) + max(1, round(1000 * math.log1p(best[1])))
-                        inner = list(page.inner(best[0]))
-                        whole = digest(page.text(best[0])) if inner else 0
-                        rows += [(key[0], best[0], own, 0, digest(t), whole, share, linked, named) for own, t, share, linked, named in inner]
+                        whole = signed(page.digest(best[0]))
+                        rows += [
+                            (*key, own, 0, signed(t), whole, share, linked, named) for own, t, share, linked, named in page.inner(best[0])
+                        ]
                 rows += [(host, path, None, n, None, None, None, None, None) for (host, path), n in total.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
@@ -306,7 +356,9 @@ def winning_paths(voted: DataFrame) -> DataFrame:
     )
     repeated = F.when(F.col("n") >= 3, 1 - F.col("texts") / F.col("n")).otherwise(0.0)
     against = F.col("named") + 2 * F.greatest(F.lit(0.0), F.col("linked") - 0.25) + repeated - 2 * F.col("share")
-    out = seen.filter(against > AGAINST).groupBy("host", "path").agg(F.array_sort(F.collect_list("inner")).alias("without"))
+    # a name must speak against it on most pages; without one, links and repetition together, neither of them alone
+    told = (F.col("named") > 0.5) | ((F.col("linked") > 0.8) & (repeated > 0.5))
+    out = seen.filter(told & (against > AGAINST)).groupBy("host", "path").agg(F.array_sort(F.collect_list("inner")).alias("without"))
     return won.join(out, ["host", "path"], "left")
 
 
