@@ -2,7 +2,7 @@
 
 The patterns find assignments (``assign``), access keys (``access``) and long hexadecimal strings (``hex``); their
 findings always stay.  Every candidate, which is each of them and each string of 16 or more letters, digits and signs, is scored
-by the network, which sees all of it, in overlapping windows of ``INSIDE`` characters, and ``AROUND`` on either side;
+by the network, which sees all of it, in overlapping windows of ``INSIDE`` characters, and ``AROUND`` on either side, some at a time;
 candidates that no pattern found and that score above the threshold are added as ``model``.
 
 The network is embedding, one convolution, maximum over the candidate and over its context apart, one hidden layer and
@@ -10,6 +10,9 @@ a logit, in numpy.  It is trained on labelled findings that a seeded rule makes
 ``EXAMPLES`` of them; a logistic curve fitted to held-out findings calibrates its scores, and the threshold is the
 largest that keeps ``RECALL`` of the held-out secrets.  The same seed gives the same network.
 
+Shorter strings that no pattern finds aren't candidates: they have too few characters to tell a secret from a word, and in prose
+nearly all strings are shorter.  What touches a pattern's finding is a part of it and isn't scored again.
+
 Defined cases: a null or empty text has no findings.  Texts are scanned whole at any length.  Overlapping findings of
 different kinds are all reported; of one kind, the leftmost stay.  Repeated rows are scanned one by one; an empty
 table gives an empty table.  Positions are code points, end exclusive.  Other columns don't clash.
@@ -18,7 +21,7 @@ table gives an empty table.  Positions are code points, end exclusive.  Other co
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,10 +38,13 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _WORDS = ("passw", "secret", "token", "api")
 _HEX_ONLY = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 INSIDE, AROUND = 48, 24
 EXAMPLES, RECALL, SEED = 6000, 0.98, 29
+#: Windows that go through the network at a time.
+WINDOWS = 512
 #: Rows whose texts a worker holds at a time.
 SLICE = 256
 _WIDTH = INSIDE + 2 * AROUND
@@ -65,11 +71,15 @@ def base_findings(text: str) -> list[Finding]:
 
 
 def more_candidates(text: str, found: list[Finding]) -> list[Finding]:
-    """Long strings of letters, digits and signs that touch no finding."""
-    return [
-        Finding("model", *m.span()) for m in _LONG.finditer(text)
-        if m[0].strip("+/_=-") and not any(f.start < m.end() and m.start() < f.end for f in found)
-    ]
+    """Long strings of letters, digits and signs that touch no finding (``found``, by start)."""
+    out, next_at, reach = [], 0, 0
+    for m in _LONG.finditer(text):
+        while next_at < len(found) and found[next_at].start < m.end():
+            reach = max(reach, found[next_at].end)
+            next_at += 1
+        if reach <= m.start() and _ALNUM.search(text, m.start(), m.end()):
+            out.append(Finding("model", *m.span()))
+    return out
 
 
 # the network ---------------------------------------------------------------------------------------------------------
@@ -83,19 +93,33 @@ _CODE[ord("A") : ord("Z") + 1] = 76 + np.arange(26)
 _SYMBOLS = 104
 
 
-def codes(text: str, start: int, end: int) -> np.ndarray:
+def _codes_of(s: str) -> np.ndarray:
+    at = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(at < 128, _CODE[np.minimum(at, 127)], 4).astype(np.uint8)
+
+
+def window_blocks(text: str, start: int, end: int) -> Iterator[np.ndarray]:
     """A row for each window of the candidate, which is in the middle, with its context on either side; windows overlap by what
-    a convolution spans, the last ends with the candidate.  0 where there is nothing, 4 for other scripts."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    step = INSIDE - _SPAN + 1
-    starts = [*range(start, max(start + 1, end - INSIDE), step)]
-    if end - starts[-1] > INSIDE:
-        starts.append(end - INSIDE)
-    out = np.zeros((len(starts), _WIDTH), dtype=np.uint8)
-    for row, first in zip(out, starts):
-        for at, s in ((AROUND - len(before), before), (AROUND, text[first : min(end, first + INSIDE)]), (AROUND + INSIDE, after)):
-            row[at : at + len(s)] = [_CODE[ord(c)] if ord(c) < 128 else 4 for c in s]
-    return out
+    a convolution spans, the last ends with the candidate.  0 where there is nothing, 4 for other scripts.  ``WINDOWS`` at a time."""
+    before, after = _codes_of(text[max(0, start - AROUND) : start]), _codes_of(text[end : end + AROUND])
+    step, last = INSIDE - _SPAN + 1, max(start, end - INSIDE)
+    regular = max(1, -(-(last - start) // step))  # windows that begin at start, start + step, ... before the last
+    every = regular + (end - (start + (regular - 1) * step) > INSIDE)
+    for low in range(0, every, WINDOWS):
+        firsts = np.minimum(start + np.arange(low, min(every, low + WINDOWS)) * step, last)
+        part = _codes_of(text[firsts[0] : min(end, firsts[-1] + INSIDE)])
+        inside = np.zeros(firsts[-1] - firsts[0] + INSIDE, dtype=np.uint8)
+        inside[: len(part)] = part
+        out = np.zeros((len(firsts), _WIDTH), dtype=np.uint8)
+        out[:, AROUND - len(before) : AROUND] = before
+        out[:, AROUND : AROUND + INSIDE] = np.lib.stride_tricks.sliding_window_view(inside, INSIDE)[firsts - firsts[0]]
+        out[:, AROUND + INSIDE : AROUND + INSIDE + len(after)] = after
+        yield out
+
+
+def codes(text: str, start: int, end: int) -> np.ndarray:
+    """All windows of a candidate."""
+    return np.concatenate(list(window_blocks(text, start, end)))
 
 
 def stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +173,21 @@ def _examples(n: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
                 lambda: "/".join(word() for _ in range(rng.integers(3, 40))),
                 lambda: "".join(word().capitalize() for _ in range(rng.integers(2, 6))),
                 lambda: pick("-=_") * int(rng.integers(16, 80)),
-            ][rng.integers(14)]()
+            ][rng.integers(14)]
+            hexadecimal, base64 = "0123456789abcdef", mixed + "+/"
             before = prose() + pick([" ", "\n", " (", "/", ": "])
+            if rng.integers(4) == 0:
+                # payloads, checksums and identifiers, which what stands before them tells
+                told, body = [
+                    (pick(["sha256:", "sha1 ", "md5: ", "checksum ", "SHA-256 = ", "commit ", "digest: ", "blob "]), lambda: chars(hexadecimal, int(pick([32, 40, 64])))),
+                    (pick(['integrity="sha512-', "integrity: sha384-", "sha256-"]), lambda: chars(base64, int(pick([43, 64, 86]))) + pick(["", "=", "=="])),
+                    (pick(["data:image/png;base64,", "data:font/woff2;base64,", "src=data:image/gif;base64,"]), lambda: pick(["iVBORw0KGgo", "R0lGODlh", "d09GMg", ""]) + chars(base64, int(rng.integers(40, 300)))),
+                    (pick(["id ", "uuid: ", "request ", "urn:uuid:"]), lambda: "-".join(chars(hexadecimal, n) for n in (8, 4, 4, 4, 12))),
+                    (pick(["", "alphabet ", "digits: "]), lambda: pick([upper + lower + digits, lower + digits, digits + lower, upper + lower + digits + "+/", digits * 3, lower * 2])),
+                ][rng.integers(5)]
+                before += told
             after = pick([" ", ".", ", ", "\n", ")"]) + prose()
+            body = body()
         text = before + body + after
         x.append(codes(text, len(before), len(before) + len(body)))
         y.append(secret)
@@ -172,25 +208,36 @@ class Network:
         ]
         self.curve, self.threshold = (1.0, 0.0), 0.5
 
-    def logits(self, x: np.ndarray, starts: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Of each candidate, whose windows begin at ``starts``: maxima go over all of its windows, so over any length."""
-        emb, conv, conv_b, w1, b1, w2, b2 = self.w
+    def tops(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Of each window the maxima of all filters within the candidate and around it."""
+        emb, conv, conv_b = self.w[:3]
         e = emb[x]
         windows = np.lib.stride_tricks.sliding_window_view(e, _SPAN, axis=1).transpose(0, 1, 3, 2)
         flat = np.ascontiguousarray(windows).reshape(len(x), _WIDTH - _SPAN + 1, _SPAN * _DIM)
         h = np.maximum(flat @ conv + conv_b, 0)
         inside = slice(AROUND, AROUND + INSIDE - _SPAN + 1)
         outside = np.r_[0:AROUND, AROUND + INSIDE - _SPAN + 1 : h.shape[1]]
-        tops = np.concatenate([h[:, inside].max(1), h[:, outside].max(1)], axis=1)
-        pooled = np.maximum.reduceat(tops, starts, axis=0)
+        if keep is not None:
+            keep.update(flat=flat, at=np.concatenate([h[:, inside].argmax(1) + AROUND, outside[h[:, outside].argmax(1)]], axis=1))
+        return np.concatenate([h[:, inside].max(1), h[:, outside].max(1)], axis=1)
+
+    def head(self, pooled: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """A logit from the maxima over all windows of a candidate."""
+        w1, b1, w2, b2 = self.w[3:]
         z = np.maximum(pooled @ w1 + b1, 0)
         if keep is not None:
-            at = np.concatenate([h[:, inside].argmax(1) + AROUND, outside[h[:, outside].argmax(1)]], axis=1)
+            keep.update(pooled=pooled, z=z)
+        return (z @ w2 + b2)[:, 0]
+
+    def logits(self, x: np.ndarray, starts: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Of each candidate, whose windows begin at ``starts``: maxima go over all of its windows, so over any length."""
+        tops = self.tops(x, keep)
+        if keep is not None:
             of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
             # of each candidate and filter the window with the maximum, the first of equals
             rows = np.stack([np.lexsort((-tops[:, j], of))[starts] for j in range(tops.shape[1])], axis=1)
-            keep.update(x=x, flat=flat, pooled=pooled, z=z, rows=rows, at=np.take_along_axis(at, rows, axis=0))
-        return (z @ w2 + b2)[:, 0]
+            keep.update(rows=rows, at=np.take_along_axis(keep["at"], rows, axis=0))
+        return self.head(np.maximum.reduceat(tops, starts, axis=0), keep)
 
     def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         k: dict = {}
@@ -209,18 +256,30 @@ class Network:
                 np.add.at(g_emb, x[rows, at + s], back[:, s * _DIM : (s + 1) * _DIM])
         return [g_emb, g_conv, g_b, k["pooled"].T @ gz, gz.sum(0), k["z"].T @ d, d.sum(0)]
 
-    def scores(self, candidates: list[np.ndarray]) -> np.ndarray:
-        """Calibrated probabilities, so many windows at a time (a candidate isn't divided), rounded, so that they don't depend on
-        what stands in the same batch."""
-        a, b = self.curve
-        out, part, held = [], [], 0
-        for i, rows in enumerate(candidates):
-            part.append(rows)
-            held += len(rows)
-            if held >= 512 or i == len(candidates) - 1:
-                out.append(self.logits(*stack(part)).astype(float))
+    def scores(self, n: int, blocks: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Calibrated probabilities of n candidates, given (candidate, some of its windows) in any number of parts.
+
+        Maxima of parts have the same maximum as the whole, so a candidate of any length takes the room of ``WINDOWS`` windows.
+        Scores are rounded, so that they don't depend on what stands in the same batch.
+        """
+        pooled = np.zeros((n, 2 * _FILTERS), dtype=np.float32)  # nothing is below 0
+        part: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def work() -> None:
+            if part:
+                tops = self.tops(np.concatenate([x for _, x in part]))
+                np.maximum.at(pooled, np.repeat([i for i, _ in part], [len(x) for _, x in part]), tops)
+
+        for i, x in blocks:
+            part.append((i, x))
+            held += len(x)
+            if held >= WINDOWS:
+                work()
                 part, held = [], 0
-        return np.round(1 / (1 + np.exp(-(a * np.concatenate(out) + b))), 4) if out else np.empty(0)
+        work()
+        a, b = self.curve
+        return np.round(1 / (1 + np.exp(-(a * self.head(pooled).astype(float) + b))), 4)
 
 
 def train(n: int = EXAMPLES, seed: int = SEED, epochs: int = 4, recall: float = RECALL) -> Network:
@@ -244,7 +303,7 @@ def train(n: int = EXAMPLES, seed: int = SEED, epochs: int = 4, recall: float =
         p = 1 / (1 + np.exp(-(a * z + b)))
         a, b = a - 0.1 * np.mean((p - t) * z) - 1e-3 * a, b - 0.1 * np.mean(p - t)
     net.curve = (float(a), float(b))
-    kept = np.sort(net.scores(x[cut:])[t > 0])
+    kept = np.sort(net.scores(n - cut, enumerate(x[cut:]))[t > 0])
     net.threshold = float(kept[int((1 - recall) * len(kept))])
     return net
 
@@ -267,8 +326,8 @@ def find(texts: list[str], net: Network) -> list[tuple[list[Finding], list[float
     """All findings of each text and the network's score of each; candidates of all texts are scored together."""
     found = [base_findings(t) for t in texts]
     every = [f + more_candidates(t, f) for t, f in zip(texts, found)]
-    x = [codes(t, c.start, c.end) for t, cs in zip(texts, every) for c in cs]
-    scores = net.scores(x)
+    placed = [(t, c) for t, cs in zip(texts, every) for c in cs]
+    scores = net.scores(len(placed), ((i, x) for i, (t, c) in enumerate(placed) for x in window_blocks(t, c.start, c.end)))
     out, at = [], 0
     for cs in every:
         kept = [(c, float(s)) for c, s in zip(cs, scores[at : at + len(cs)]) if c.kind != "model" or s >= net.threshold]

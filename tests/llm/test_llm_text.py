@@ -78,10 +78,10 @@ def test_secret_patterns():
 def test_network_on_held_out_findings():
     net = secrets.network()
     x, y = secrets._examples(2000, 4711)
-    p = net.scores(x)
+    p = net.scores(len(x), enumerate(x))
     assert (p[y > 0] >= net.threshold).mean() >= 0.95 and (p[y == 0] >= net.threshold).mean() <= 0.02
     again = secrets.train(n=400, epochs=1)
-    assert np.array_equal(again.scores(x[:20]), secrets.train(n=400, epochs=1).scores(x[:20]))
+    assert np.array_equal(again.scores(20, enumerate(x[:20])), secrets.train(n=400, epochs=1).scores(20, enumerate(x[:20])))
 
 
 def test_scan_and_redact(spark):
@@ -229,10 +229,11 @@ def test_boilerplate_without_telling_names(spark):
     rng = random.Random(2)
     words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
     pages, want = [], []
-    for i in range(12):  # the same text in the same place of different pages; links; and what only looks alike
-        a, b, c = words(60), words(8), words(60)
-        pages.append(("c", f"<body><div class=k1>{words(3)}</div><div class=q7><h1>{b}</h1><p>{a}</p><div class=z>read this first</div><div class=y><a href=/>{words(2)}</a> <a href=/>{words(3)}</a></div><div class=w>{c}</div></div></body>"))
-        want.append(f"{b}\n{a}\n{c}")
+    for i in range(12):  # links that are the same on each page go; notes that repeat, and links of a page's own, stay
+        a, b, c, d, e = words(60), words(8), words(60), words(2), words(3)
+        same = "<div class=m4><a href=/>to the start</a> <a href=/n>what is new</a></div>"
+        pages.append(("c", f"<body><div class=k1>{words(3)}</div><div class=q7><h1>{b}</h1><p>{a}</p><div class=z>read this first</div>{same}<div class=y><a href=/>{d}</a> <a href=/>{e}</a></div><div class=w>{c}</div></div></body>"))
+        want.append(f"{b}\n{a}\nread this first\n{d} {e}\n{c}")
     assert texts_of(spark, pages) == want
     # copies of one page say nothing about what is repeated
     page = f"<body><article><p>{words(80)}</p><div class=z>{words(30)}</div></article></body>"
@@ -240,6 +241,92 @@ def test_boilerplate_without_telling_names(spark):
     assert text == re.sub(r"\s*(<[^>]*>\s*)+", "\n", page).strip()
 
 
+def test_notes_and_sources_of_articles_stay(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("hijklmn") for _ in range(5)) for _ in range(n))
+    pages, want = [], []
+    for i in range(8):
+        a, s, t = words(80), words(3), words(4)
+        pages.append(("e", f"<body><article><p>{a}</p><div class=sources><a href=x>{s}</a> <a href=y>{t}</a></div><div class=note>Corrected after it was printed.</div></article></body>"))
+        want.append(f"{a}\n{s} {t}\nCorrected after it was printed.")
+    assert texts_of(spark, pages) == want
+
+
+def test_tags_are_read_as_html_reads_them():
+    text = lambda h: Page(h).text(None)
+    assert text("<p title=it's>Hello dear reader</p><p>It's the second</p><p>Third.</p>") == "Hello dear reader\nIt's the second\nThird."
+    assert text("a <b and c it isn't>x</b><p>next, don't</p>") == "a x\nnext, don't"
+    assert text("<p title='a > b' x=\"c > d\" y = 'e>'>one</p>") == "one"
+    assert text("<p title='a>b</p><p>two</p>") == "b\ntwo"  # a quote that nothing closes opens no value
+    assert text("x<!-->y<!--->z<!-- a > b -->u<!-- c --!>v") == "xyzuv"
+    page = Page("<div class=\"a b\" id='comments' data-x=it's\"><p>t</p></div>")
+    assert page.blocks[0][2].path == "/div.a.b.#comments"
+
+
+def test_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    deep = "<div><p>x</p>" * 100_000
+    for page, blocks in (
+        (deep, 100_000), ("<div class=c>" * 100_000 + "end", 1), ("<b " * 350_000, 0), ("<b x='" * 200_000, 0), ("<a href=\"x>" * 100_000 + "t", 1),
+        ("</p>" * 250_000 + "t", 1), ("<i>" * 100_000 + "<p>x" * 100_000, 100_000), ("<div>" * 50_000 + "</span>" * 50_000 + "t", 1), ("<!--" * 200_000, 0),
+        ("<div>" * 30_000 + "<li>x" * 30_000, 30_000), ("=\"" * 400_000, 1),
+    ):
+        tracemalloc.start()
+        began = time.process_time()
+        p = Page(page)
+        best = p.best()
+        if best:
+            list(p.inner(best[0]))
+            p.text(best[0])
+        took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert (len(p.blocks) > 0) == (blocks > 0) and took < 30 and peak < 400e6, (page[:20], len(p.blocks), took, peak)
+
+
+def test_secrets_of_an_independent_set_and_bounds():
+    import random as r
+
+    rng = r.Random(5)
+    chars = lambda n, more="": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    secret = [
+        f"export GH=ghp_{chars(36)}", f"Authorization: Bearer {chars(40)}", f"aws_secret_access_key = {chars(40, '+/')}", f'client.login("{chars(24)}")',
+        f'STRIPE = "sk_live_{chars(24)}"', f"key: '{chars(32)}'", f"SLACK=xoxb-{chars(24)}", f"private_key: {chars(64, '+/')}==", f"npm_{chars(36)}", f"AIza{chars(35)}", f"auth = {chars(28)};",
+    ]
+    clean = [
+        "request 550e8400-e29b-41d4-a716-446655440000 failed", "the file src/main/java/org/example/project/ServiceFactoryBean.java was",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "see https://example.org/articles/2021/05/how-to-write-better-tests",
+        "Donaudampfschifffahrtsgesellschaftskapitaen", "internationalization_of_the_whole_module", "CamelCaseIdentifierForSomething", "-----------------------------",
+        "2021-05-04T12:34:56+00:00/2021-05-05", "supercalifragilisticexpialidocious", "node_modules/some-package/dist/index.js", "version-1.2.3-alpha-20210504-linux-x86_64",
+        '<img src="data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4">', "Lorem_ipsum_dolor_sit_amet_consectetur",
+    ]
+    net = secrets.network()
+    found = [bool(f) for f, _ in secrets.find(secret + clean, net)]
+    assert sum(found[: len(secret)]) >= 0.9 * len(secret) and sum(found[len(secret) :]) <= 1
+    # parts of a candidate give what the whole gives
+    for text in ("x " + chars(5000) + " y", chars(47), chars(48), chars(49), chars(92), chars(93), chars(16)):
+        m = re.search(r"[A-Za-z0-9]{16,}", text)
+        whole = secrets.codes(text, *m.span())
+        want = net.head(net.tops(whole).max(0)[None])
+        assert len(whole) == max(1, -(-(m.end() - m.start() - secrets.INSIDE) // (secrets.INSIDE - 4)) + 1 if m.end() - m.start() > secrets.INSIDE else 1)
+        a, b = net.curve
+        assert net.scores(1, ((0, x) for x in secrets.window_blocks(text, *m.span())))[0] == round(float(1 / (1 + np.exp(-(a * float(want[0]) + b)))), 4)
+
+
+def test_a_long_unbroken_string_takes_little_memory():
+    import tracemalloc
+
+    text = "".join(random.Random(6).choice("abcdefABCDEF0123456789+/") for _ in range(1 << 20)) * 8
+    net = secrets.network()
+    tracemalloc.start()
+    ((found, _),) = secrets.find([text], net)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(f.kind, f.start, f.end) for f in found if f.kind == "model"] == [("model", 0, len(text))] or found and peak < 100e6
+    assert peak < 100e6
+
+
 def test_pages_against_a_plain_reading(spark, sf):
     import html as entities
 
