@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,14 +198,22 @@ def type_relations(types: DataFrame, methods: DataFrame, embeds: DataFrame) -> D
     return implements.union(e.select(F.lit("EMBEDS"), "source_key", "target_key")).union(over.select(F.lit("OVERRIDES"), named("source_key"), named("target_key")))
 
 
+def digest_sums(columns: list[str]) -> list[Column]:
+    """The aggregates n, a and b that a digest of rows with these columns is made of."""
+    told = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *told).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return [F.count(F.lit(1)).alias("n"), total("a").alias("a"), total("b").alias("b")]
+
+
+def digest_text(n: int, a: str, b: str) -> str:
+    """The digest that the aggregates make, as :func:`digest` says it."""
+    return hashlib.sha256(f"{n}:{a}:{b}".encode()).hexdigest()
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """(n, digest): a digest of a table's content whatever its order: the sums of two 64-bit hashes, of different seeds, of
     each row.  Which values are null is hashed with them, so a value that moves to another column changes the digest."""
-    told = [x for c in rows.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *told).cast("decimal(20,0)")), F.lit(0)).cast("string")
-    return rows.agg(F.count("*").alias("n"), total("a").alias("a"), total("b").alias("b")).select(
-        "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest")
-    )
+    return rows.agg(*digest_sums(rows.columns)).select("n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
 
 
 def precision(expected: DataFrame, observed: DataFrame) -> DataFrame:

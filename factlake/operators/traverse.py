@@ -9,76 +9,73 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factlake.operators.adjacency import DIRECTIONS, Clustered, met, walkable
 from factlake.operators.search import keeps_derived, located
-from factlake.schema import CONFIDENCES, EDGE_KINDS, MAX_DEPTH, MAX_NODES, QUIET_IMPACT_KINDS, REFERENCE_KINDS, Graph
+from factlake.schema import MAX_DEPTH, MAX_NODES, QUIET_IMPACT_KINDS, REFERENCE_KINDS, Graph
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; one of our own only where none is set, in local mode."""
-    sc = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where none is set, in local mode."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
             if not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="factlake-checkpoint-")
         sc.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def adjacency(edges: DataFrame, direction: str, kinds: list[str] | None = None, confidences: list[str] | None = None) -> DataFrame:
-    """(near, far, kind, confidence, k, c, provenance, evidence_key): k and c order as the vocabularies do."""
-    near, far = ("source_key", "target_key") if direction == "outgoing" else ("target_key", "source_key")
-    e = edges.filter(F.col("kind").isin(*(kinds or REFERENCE_KINDS)))
-    if confidences:
-        e = e.filter(F.col("confidence").isin(*confidences))
-    code = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c)).cast("int")
-    return e.select(
-        F.col(near).alias("near"), F.col(far).alias("far"), "kind", "confidence", code(EDGE_KINDS, "kind").alias("k"),
-        code(CONFIDENCES, "confidence").alias("c"), "provenance", "evidence_key",
-    )
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def traverse(
-    edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", depth: int = 3, max_nodes: int = 5_000,
+    edges: DataFrame | Clustered, seeds: DataFrame, direction: str = "outgoing", depth: int = 3, max_nodes: int = 5_000,
     kinds: list[str] | None = None, confidences: list[str] | None = None,
 ) -> DataFrame:
     """(root, id, depth, pos, parent, kind, confidence, truncated) for seeds (root, id): all nodes in discovery order.
 
-    Seeds have depth 0 and count; a root is ``truncated`` if a node was met that ``max_nodes`` had no room for.
+    Seeds have depth 0 and count; a root is ``truncated`` if a node was met that ``max_nodes`` had no room for.  Edges that are
+    clustered are read where they lie, at every level; of a plain table each level deals out all edges again.
     """
-    if direction not in ("outgoing", "incoming") or not 0 <= depth <= MAX_DEPTH or not 1 <= max_nodes <= MAX_NODES:
+    if direction not in DIRECTIONS or not 0 <= depth <= MAX_DEPTH or not 1 <= max_nodes <= MAX_NODES:
         raise ValueError("direction, depth or max_nodes out of bounds")
-    adj = adjacency(edges, direction, kinds, confidences)
-    order = Window.partitionBy("root").orderBy("id")
+    adj = walkable(edges, direction, kinds, confidences)
+    root = Window.partitionBy("root")
+    none = F.lit(None).cast("string")
     visited = cut(
         seeds.select("root", "id").distinct().select(
-            "root", "id", F.lit(0).alias("depth"), F.row_number().over(order).cast("long").alias("pos"),
-            F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"),
-            F.lit(None).cast("string").alias("confidence"),
+            "root", "id", F.lit(0).alias("depth"), F.row_number().over(root.orderBy("id")).cast("long").alias("pos"),
+            none.alias("parent"), none.alias("kind"), none.alias("confidence"), F.count("*").over(root).alias("held"),
         )
     )
     frontier = visited
     truncated = seeds.select("root").limit(0)
     for level in range(1, depth + 1):
         first = F.min(F.struct("ppos", "far", "k", "c", "provenance", "evidence_key", "parent", "kind", "confidence")).alias("e")
-        met = (
-            frontier.select("root", F.col("id").alias("near"), F.col("pos").alias("ppos"), F.col("id").alias("parent"))
-            .join(adj, "near")
+        found = (
+            met(frontier.select("root", F.col("id").alias("near"), F.col("pos").alias("ppos"), F.col("id").alias("parent"), "held"), adj)
             .groupBy("root", F.col("far").alias("id"))
-            .agg(first)
+            .agg(first, F.max("held").alias("held"))
             .join(visited.select("root", "id"), ["root", "id"], "left_anti")
         )
-        room = visited.groupBy("root").agg(F.count("*").alias("held"))
-        by_found = Window.partitionBy("root").orderBy("e.ppos", "e.far", "e.k", "e.c")
+        # the bound on the rank is a constant, so each task keeps no more rows of a root than that before they are dealt out
+        by_found = root.orderBy("e.ppos", "e.far", "e.k", "e.c")
         ranked = cut(
-            met.withColumn("n", F.row_number().over(by_found)).join(room, "root").select(
-                "root", "id", F.lit(level).alias("depth"), (F.col("held") + F.col("n")).alias("pos"), F.col("e.parent").alias("parent"),
-                F.col("e.kind").alias("kind"), F.col("e.confidence").alias("confidence"),
-            ).filter(F.col("pos") <= max_nodes + 1)
+            found.withColumn("n", F.row_number().over(by_found)).filter(F.col("n") <= max_nodes)
+            .withColumn("pos", F.col("held") + F.col("n")).filter(F.col("pos") <= max_nodes + 1)
+            .withColumn("held", F.col("held") + F.count("*").over(root))
+            .select(
+                "root", "id", F.lit(level).alias("depth"), "pos", F.col("e.parent").alias("parent"), F.col("e.kind").alias("kind"),
+                F.col("e.confidence").alias("confidence"), "held",
+            )
         )
         truncated = truncated.union(ranked.filter(F.col("pos") > max_nodes).select("root"))
         frontier = ranked.filter(F.col("pos") <= max_nodes)
@@ -86,7 +83,7 @@ def traverse(
             break
         visited = visited.union(frontier)
     full = truncated.distinct().select(F.col("root"), F.lit(True).alias("truncated"))
-    return visited.join(full, "root", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    return visited.drop("held").join(full, "root", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def members(graph: Graph, roots: DataFrame) -> DataFrame:
@@ -119,7 +116,7 @@ def trace_dependencies(
 ) -> DataFrame:
     """What roots depend on.  Kinds and confidences bound the walk; repository and derived filter its rows afterwards."""
     seeds = members(graph, roots) if seed_members else roots.select("root", F.col("root").alias("id"))
-    visits = traverse(graph.edges, seeds, "outgoing", depth, max_nodes, kinds, confidences).filter("parent is not null")
+    visits = traverse(graph.walked(), seeds, "outgoing", depth, max_nodes, kinds, confidences).filter("parent is not null")
     places = located(graph).select(F.col("stable_key").alias("id"), "name", F.col("kind").alias("symbol_kind"), "repository", "package_name", "path")
     out = visits.join(places, "id").filter(keeps_derived(F.col("repository"), include_derived, repository))
     return out.filter(F.col("repository") == repository) if repository else out
@@ -133,7 +130,7 @@ def blast_radius(
 
     Fields and variables aren't reported unless asked for (``["*"]``: all), but the walk passes through them.
     """
-    visits = traverse(graph.edges, roots.select("root", F.col("root").alias("id")), "incoming", depth, max_nodes, kinds, confidences)
+    visits = traverse(graph.walked(), roots.select("root", F.col("root").alias("id")), "incoming", depth, max_nodes, kinds, confidences)
     places = located(graph).select(
         F.col("stable_key").alias("id"), "name", F.col("kind").alias("symbol_kind"), "repository", "package_key", "package_name", "path"
     )
@@ -146,7 +143,7 @@ def blast_radius(
 
 
 def impact_axes(rows: DataFrame) -> DataFrame:
-    """(root, axis, key, n): the reach by repository, by package and by depth, in one pass of grouping sets."""
+    """(root, axis, key, n): the reach by repository, by package and by depth, in one aggregation."""
     depth = F.col("depth").cast("string")
     r = rows.select("root", "repository", "package_key", depth.alias("depth"))
     axes = r.select(
@@ -164,14 +161,14 @@ def impact_axes(rows: DataFrame) -> DataFrame:
 
 def impact_by_kind(graph: Graph, rows: DataFrame, visits: DataFrame, kinds: list[str] | None = None, confidences: list[str] | None = None) -> DataFrame:
     """(root, kind, n): reached symbols by each distinct kind of their edges into the visited set, root included."""
-    adj = adjacency(graph.edges, "outgoing", kinds, confidences).select("near", "far", F.col("kind").alias("via_kind"))
+    adj = walkable(graph.walked(), "outgoing", kinds, confidences).select("near", "far", F.col("kind").alias("via_kind"))
     reached = visits.select("root", F.col("id").alias("far"))
     met = rows.select("root", F.col("id").alias("near")).join(adj, "near").join(reached, ["root", "far"], "left_semi")
     return met.select("root", "near", "via_kind").distinct().groupBy("root", F.col("via_kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 def shortest_paths(
-    edges: DataFrame, pairs: DataFrame, depth: int = 5, max_nodes: int = MAX_NODES, kinds: list[str] | None = None, targets: DataFrame | None = None,
+    edges: DataFrame | Clustered, pairs: DataFrame, depth: int = 5, max_nodes: int = MAX_NODES, kinds: list[str] | None = None, targets: DataFrame | None = None,
 ) -> DataFrame:
     """(source, target, length, path): one shortest path for each pair that has one of at most ``depth`` edges.
 
@@ -194,7 +191,7 @@ def shortest_paths(
     return at.drop("next")
 
 
-def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 3, max_nodes: int = 1_000) -> DataFrame:
+def neighborhood(edges: DataFrame | Clustered, roots: DataFrame, depth: int = 3, max_nodes: int = 1_000) -> DataFrame:
     """(root, id, pos): outgoing nodes, then incoming ones that are new, up to ``max_nodes`` for each root."""
     seeds = roots.select("root", F.col("root").alias("id"))
     out = traverse(edges, seeds, "outgoing", depth, max_nodes).select("root", "id", F.lit(0).alias("side"), "pos")

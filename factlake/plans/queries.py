@@ -5,6 +5,7 @@ Names begin with the operator's number in the inventory (``q9_...``).  ``ORACLES
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import keys, paging
 from factlake.operators import changes, consumers, events, factsets, integrity, outline, references, search, spatial, status, traverse
+from factlake.operators.adjacency import cluster
 from factlake.schema import EXACT_CONFIDENCES
 from factlake.sources import source_code
 from factlake.sources.project import VIEWS, ctes, project
@@ -198,6 +200,15 @@ def q34_local_signature(g):
 _SUPPLIERS, _ORDERS = "interface", "function"
 
 
+def _walkable(g, *directions):
+    """The graph with its edges clustered for walks in these directions, unless it was published with both."""
+    if g.clustered is None:
+        spark = g.edges.sparkSession
+        path = f"{traverse.checkpoints(spark)}/adjacency-{uuid.uuid4().hex}"
+        g.clustered = cluster(g.edges, path, int(spark.conf.get("spark.sql.shuffle.partitions")), directions)
+    return g
+
+
 def _roots(g, kind):
     return g.symbols.filter(F.col("kind") == kind).select(F.col("stable_key").alias("root"))
 
@@ -218,7 +229,7 @@ def _walk(near: str, far: str, kind: str, depth: int) -> str:
 
 @query(_walk("source_key", "target_key", _ORDERS, 3) + "select root, id, depth from visits where depth > 0")
 def q12_trace_dependencies(g, roots=None):
-    return traverse.trace_dependencies(g, _some(g, _ORDERS, roots), 3, 25_000, seed_members=False).select("root", "id", "depth")
+    return traverse.trace_dependencies(_walkable(g, "outgoing"), _some(g, _ORDERS, roots), 3, 25_000, seed_members=False).select("root", "id", "depth")
 
 
 _CONV = """
@@ -247,7 +258,7 @@ def q13_container_members(spark, d):
     + "select v.root, v.id, v.depth, l.repository, l.package_key from visits v join located l on v.id = l.stable_key where v.depth > 0 and l.symbol_kind not in ('field', 'variable')"
 )
 def q14_blast_radius(g, roots=None):
-    rows, _ = traverse.blast_radius(g, _some(g, _SUPPLIERS, roots), 2, 25_000)
+    rows, _ = traverse.blast_radius(_walkable(g, "incoming"), _some(g, _SUPPLIERS, roots), 2, 25_000)
     return rows.select("root", "id", "depth", "repository", "package_key")
 
 
@@ -258,7 +269,7 @@ def q14_blast_radius(g, roots=None):
     "union all select root, 'depth', cast(depth as varchar), count(*) from reported group by all"
 )
 def q15_impact_axes(g, roots=None):
-    rows, _ = traverse.blast_radius(g, _some(g, _SUPPLIERS, roots), 2, 25_000)
+    rows, _ = traverse.blast_radius(_walkable(g, "incoming"), _some(g, _SUPPLIERS, roots), 2, 25_000)
     return traverse.impact_axes(rows)
 
 
@@ -269,7 +280,7 @@ def q15_impact_axes(g, roots=None):
     "where e.kind in (" + ", ".join(f"'{k}'" for k in traverse.REFERENCE_KINDS) + ") group by all"
 )
 def q16_impact_by_kind(g):
-    rows, visits = traverse.blast_radius(g, _roots(g, _SUPPLIERS), 2, 25_000)
+    rows, visits = traverse.blast_radius(_walkable(g, "incoming", "outgoing"), _roots(g, _SUPPLIERS), 2, 25_000)
     return traverse.impact_by_kind(g, rows, visits)
 
 
@@ -448,7 +459,7 @@ def g2_references_page(g):
 @query(_walk("source_key", "target_key", _ORDERS, 5) + "select root, id, depth from visits where depth > 0")
 def g3_traverse_outgoing(g, roots=None):
     seeds = _some(g, _ORDERS, roots).select("root", F.col("root").alias("id"))
-    return traverse.traverse(g.edges, seeds, "outgoing", 5, 25_000).filter("depth > 0").select("root", "id", "depth")
+    return traverse.traverse(_walkable(g, "outgoing").clustered, seeds, "outgoing", 5, 25_000).filter("depth > 0").select("root", "id", "depth")
 
 
 @query(
@@ -461,7 +472,7 @@ def g3_traverse_outgoing(g, roots=None):
 def g4_shortest_path(g):
     """Every order to every supplier that it reaches; of several shortest paths the least, node by node."""
     pairs = g.symbols.filter("kind = 'function'").select(F.col("stable_key").alias("source"))
-    found = traverse.shortest_paths(g.edges, pairs, targets=g.symbols.filter("kind = 'interface'").select(F.col("stable_key").alias("target")))
+    found = traverse.shortest_paths(_walkable(g, "outgoing").clustered, pairs, targets=g.symbols.filter("kind = 'interface'").select(F.col("stable_key").alias("target")))
     return found.select("source", "target", "length", F.array_join("path", ">").alias("path"))
 
 
@@ -1042,13 +1053,13 @@ def v4_nested_layout(spark, d):
     "select root, id from visits union select root, id from back"
 )
 def v2_neighborhood(g):
-    return traverse.neighborhood(g.edges, _roots(g, _ORDERS), 2, 25_000).select("root", "id")
+    return traverse.neighborhood(_walkable(g, "outgoing", "incoming").clustered, _roots(g, _ORDERS), 2, 25_000).select("root", "id")
 
 
 @query(_walk("source_key", "target_key", _ORDERS, 2) + "select v.root, e.source_key, e.target_key, e.kind from edges e join visits v on e.source_key = v.id join visits w on w.root = v.root and w.id = e.target_key")
 def v3_induced_subgraph(g):
     seeds = _roots(g, _ORDERS).select("root", F.col("root").alias("id"))
-    n = traverse.cut(traverse.traverse(g.edges, seeds, "outgoing", 2, 25_000).select("root", "id"))
+    n = traverse.cut(traverse.traverse(_walkable(g, "outgoing").clustered, seeds, "outgoing", 2, 25_000).select("root", "id"))
     return traverse.induced(g.edges, n).select("root", "source_key", "target_key", "kind")
 
 

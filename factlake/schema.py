@@ -75,6 +75,12 @@ class Graph:
     edges: DataFrame
     unresolved: DataFrame
     evidence: DataFrame | None = None
+    #: The edges clustered by their ends, if they are (``factlake.operators.adjacency``); not a table of its own.
+    clustered: object | None = None
+
+    def walked(self):
+        """What walks read: the clustered edges, or the plain ones."""
+        return self.clustered if self.clustered is not None else self.edges
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: t for f in fields(self) if (t := getattr(self, f.name)) is not None}
+        return {f.name: t for f in fields(self) if f.name != "clustered" and (t := getattr(self, f.name)) is not None}

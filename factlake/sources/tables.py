@@ -7,12 +7,15 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.operators import factsets
+from factlake.operators.adjacency import cluster, opened
 from factlake.schema import EVENT, FACT_SET, Graph
 
+#: Buckets of a generation's adjacency have about so many edges, or fewer.
+EDGES_OF_BUCKET = 2_000_000
 COLLECTIONS = ("repositories", "packages", "files", "symbols", "evidence", "edges", "unresolved")
 
 
@@ -40,6 +43,8 @@ class Conflict(RuntimeError):
 class Generations:
     """Graphs in folders of their own below ``root``; readers follow the newest entry of a log of pointers.
 
+    A generation holds its edges also clustered by either end, for walks.
+
     A generation is written beside the others, validated, and only then pointed to.  A pointer is an empty file whose name says
     all, ``CURRENT.<entry>.<generation>.<backup>.<folder>``; it is created if absent, so readers see the old or the new one at
     any time, a crash before leaves the old one, and of two publishers one creates an entry and the other tries the next.
@@ -101,13 +106,17 @@ class Generations:
         top = f"{self.root}/{folder}"
         digests = {}
         for name, table in graph.tables().items():
-            writer = table.write.mode("overwrite")
+            # what is written is summed up on its way: the rows of a task that failed don't count
+            sums = Observation()
+            writer = table.observe(sums, *factsets.digest_sums(sorted(table.columns))).write.mode("overwrite")
             if name == "edges":
                 writer = writer.partitionBy("kind")
             writer.parquet(f"{top}/{name}")
-            row = factsets.digest(self.spark.read.parquet(f"{top}/{name}").select(*sorted(table.columns))).first()
-            digests[name] = {"n": row["n"], "digest": row["digest"], "columns": table.columns}
+            digests[name] = {"n": sums.get["n"], "digest": factsets.digest_text(**sums.get), "columns": table.columns}
         said = {"folder": folder, "tables": digests}
+        edges = self._graph(said).edges
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-digests["edges"]["n"] // EDGES_OF_BUCKET))
+        cluster(edges, f"{top}/adjacency", buckets)
         problem = validate(self._graph(said)).first() if validate is not None else None
         if problem is not None:
             self._fs.delete(self._path(top), True)
@@ -121,6 +130,11 @@ class Generations:
         read = lambda n: self.spark.read.parquet(f"{self.root}/{said['folder']}/{n}")
         return Graph(**{n: read(n).select(*d["columns"]) for n, d in said["tables"].items()})
 
+    def _walkable(self, said: dict) -> Graph:
+        graph = self._graph(said)
+        graph.clustered = opened(self.spark, f"{self.root}/{said['folder']}/adjacency")
+        return graph
+
     def _said(self, generation: int | None) -> dict:
         log = self._log()
         g = generation if generation is not None else (log[-1][1] if log else None)
@@ -131,7 +145,7 @@ class Generations:
 
     def load(self, generation: int | None = None) -> Graph:
         """The graph of a generation, the current one unless told otherwise."""
-        return self._graph(self._said(generation))
+        return self._walkable(self._said(generation))
 
     def verify(self, generation: int | None = None) -> bool:
         """Whether the tables still have the content that was published."""
