@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reconcile(known: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(path, status, old_hash, new_hash) from two states (path, hash): added, modified, unchanged, removed."""
+def reconcile(known: DataFrame, scanned: DataFrame, manifests: list[str] | None = None) -> DataFrame:
+    """(path, status, old_hash, new_hash, manifest) from two states (path, hash): added, modified, unchanged, removed, skipped.
+
+    A path that was scanned without a hash is no regular file: it is removed if it was known, else skipped.  ``manifest``
+    says of a path that was added, modified or removed whether its last part is one of ``manifests``.
+    """
     old, new = known.select("path", F.col("hash").alias("old_hash")), scanned.select("path", F.col("hash").alias("new_hash"))
+    old = old.filter("old_hash is not null")
     status = (
-        F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed")
+        F.when(F.col("old_hash").isNull() & F.col("new_hash").isNull(), "skipped")
+        .when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed")
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("modified")
     )
-    return old.join(new, "path", "full_outer").select("path", status.alias("status"), "old_hash", "new_hash")
+    leaf = F.element_at(F.split("path", "/"), -1)
+    moved = F.col("status").isin("added", "modified", "removed")
+    both = old.join(new, "path", "full_outer").select("path", status.alias("status"), "old_hash", "new_hash")
+    return both.withColumn("manifest", moved & leaf.isin(*manifests) if manifests else F.lit(False))
 
 
 def content_filter(known: DataFrame, observed: DataFrame) -> DataFrame:
@@ -34,11 +43,6 @@ def content_filter(known: DataFrame, observed: DataFrame) -> DataFrame:
     return old.join(new, key, "full_outer").select(*key, status.alias("status"), F.when(F.col("seen").isNull(), F.col("old")).otherwise(F.col("new")).alias("hash"))
 
 
-def next_state(filtered: DataFrame) -> DataFrame:
-    """(repository, path, hash): the state after a batch of :func:`content_filter`."""
-    return filtered.filter("hash is not null").select("repository", "path", "hash")
-
-
 def renames(changes: DataFrame) -> DataFrame:
     """(hash, old_path, new_path): a removed and an added file of equal content, if each is the only one of it."""
     one = lambda status, h, name: (

@@ -174,30 +174,6 @@ def infer_package_edges(unresolved: DataFrame, packages: DataFrame) -> DataFrame
     ).distinct()
 
 
-def type_relations(types: DataFrame, methods: DataFrame, embeds: DataFrame) -> DataFrame:
-    """(kind, source_key, target_key): IMPLEMENTS, EMBEDS and OVERRIDES from method sets.
-
-    ``types`` (type, interface), ``methods`` (owner, name, signature), ``embeds`` (owner, embedded).  A type implements an
-    interface if it has all of its methods, which must be one at least; candidates are those that have its rarest method.
-    A method overrides the one of equal name and signature of a type that its owner embeds; keys are owner.name.
-    """
-    m = methods.select("owner", "name", F.coalesce("signature", F.lit("")).alias("signature")).distinct()
-    key = ["name", "signature"]
-    wanted = m.join(types.filter("interface").select(F.col("type").alias("owner")), "owner", "left_semi").withColumnRenamed("owner", "target_key")
-    have = m.join(types.filter("not interface").select(F.col("type").alias("owner")), "owner", "left_semi").withColumnRenamed("owner", "source_key")
-    rare = wanted.join(have.groupBy(*key).agg(F.count("*").alias("n")), key, "left").groupBy("target_key").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), *key)).alias("r"), F.count("*").alias("size")
-    )
-    candidates = rare.filter("r.n > 0").select("target_key", "size", "r.name", "r.signature").join(have, key).select("source_key", "target_key", "size")
-    shared = candidates.join(wanted, "target_key").join(have, ["source_key", *key], "left_semi").groupBy("source_key", "target_key", "size").agg(F.count("*").alias("n"))
-    implements = shared.filter("n = size").select(F.lit("IMPLEMENTS").alias("kind"), "source_key", "target_key")
-    e = embeds.select(F.col("owner").alias("source_key"), F.col("embedded").alias("target_key")).distinct()
-    own = m.withColumnRenamed("owner", "source_key")
-    over = e.join(own, "source_key").join(m.withColumnRenamed("owner", "target_key"), ["target_key", *key])
-    named = lambda c: F.concat_ws(".", c, "name").alias(c)
-    return implements.union(e.select(F.lit("EMBEDS"), "source_key", "target_key")).union(over.select(F.lit("OVERRIDES"), named("source_key"), named("target_key")))
-
-
 def digest_sums(columns: list[str]) -> list[Column]:
     """The aggregates n, a and b that a digest of rows with these columns is made of."""
     told = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions import keys, paging
-from factlake.operators import changes, consumers, events, factsets, integrity, outline, references, search, spatial, status, traverse
+from factlake.operators import changes, consumers, events, factsets, integrity, methodsets, outline, references, search, spatial, status, traverse
 from factlake.operators.adjacency import cluster
 from factlake.schema import EXACT_CONFIDENCES
 from factlake.sources import source_code
@@ -824,27 +824,71 @@ def s8_file_owners(spark, d):
     return source_code.discovered(_workspace(spark, d))[1]
 
 
+_METHODS = """with recursive owned as (select distinct l_suppkey as s, p_brand, p_type, p_size from lineitem join part on l_partkey = p_partkey),
+    methods as (
+        select distinct 's:' || s as owner, p_brand || '/' || p_type as name, false as pointer from owned
+        union select 's:' || s, 'size' || p_size, false from owned where p_size > 10
+        union select 'n:' || n_nationkey, 'size' || (n_nationkey % 10), false from nation
+        union select 'n:' || n_nationkey, n_name, false from nation
+        union select 'r:' || r_regionkey, 'size' || (5 + r_regionkey), true from region
+        union select 'r:' || r_regionkey, r_name, true from region union select 'c:' || c_mktsegment, r_name, false from customer, region
+        union select 'c:' || c_mktsegment, 'size' || length(c_mktsegment), false from customer),
+    embeds as (
+        select 's:' || s_suppkey as owner, 'n:' || s_nationkey as embedded, s_acctbal < 0 as pointer from supplier
+        union all select distinct 's:' || s_suppkey, 'c:' || c_mktsegment, false from supplier join customer on c_custkey = s_suppkey
+        union all select 'n:' || n_nationkey, 'r:' || n_regionkey, false from nation),
+    wanted as (  -- a part embeds the interface of its size
+        select 'p:' || p_partkey as interface, p_brand || '/' || p_type as name, 'p:' || p_partkey as owner from part
+        union all select 'p:' || p_partkey, 'size' || p_size, 'z:' || p_size from part union select 'z:' || p_size, 'size' || p_size, 'z:' || p_size from part
+        union select 'q:' || r_name, r_name, 'q:' || r_name from region),
+    types as (select distinct owner as type from methods union select owner from embeds),
+    ways as (
+        select type, type as inner_type, 0 as depth, false as indirect from types
+        union all select w.type, e.embedded, w.depth + 1, w.indirect or e.pointer from ways w join embeds e on e.owner = w.inner_type),
+    met as (select type, inner_type, depth, count(*) > 1 as several, bool_or(indirect) as indirect from ways w
+        where depth = (select min(depth) from ways x where x.type = w.type and x.inner_type = w.inner_type) group by all),
+    found as (select m.type, d.name, d.owner, m.depth, several, d.pointer and not indirect as needs, min(m.depth) over (partition by m.type, d.name) as least from met m join methods d on d.owner = m.inner_type),
+    own as (select type, name, min(owner) as owner, min(depth) as depth, bool_or(needs) as needs from found where depth = least group by type, name having count(*) = 1 and not bool_or(several)),
+    whole as (
+        select o.type, w.interface, bool_or(o.needs) as by_pointer from own o join wanted w on w.name = o.name
+        join (select interface, count(*) as size from wanted group by interface) z on z.interface = w.interface
+        where o.type like 's:%' group by o.type, w.interface, size having count(*) = size) """
+
+
 @query(
-    "with owned as (select distinct l_suppkey as s, p_brand, p_type, p_size from lineitem join part on l_partkey = p_partkey), "
-    "m as (select 's:' || s as owner, p_brand || '/' || p_type as name from owned union select 's:' || s, 'size' || p_size from owned union select 'n:' || n_nationkey, 'size' || n_nationkey from nation), "
-    "i as (select 'p:' || p_partkey as owner, unnest([p_brand || '/' || p_type, 'size' || p_size]) as name from part), "
-    "imp as (select m.owner as source_key, i.owner as target_key from i join m on m.name = i.name where m.owner like 's:%' group by 1, 2 having count(*) = 2) "
-    "select 'IMPLEMENTS' as kind, source_key, target_key from imp union all select 'EMBEDS', 's:' || s_suppkey, 'n:' || s_nationkey from supplier union all "
-    "select 'OVERRIDES', 's:' || s_suppkey || '.' || a.name, 'n:' || s_nationkey || '.' || a.name from supplier join m a on a.owner = 's:' || s_suppkey join m b on b.owner = 'n:' || s_nationkey and a.name = b.name",
+    _METHODS + """select 'IMPLEMENTS' as kind, 'type' as level, type as source_key, interface as target_key, by_pointer as pointer, cast(null as int) as depth from whole
+    union all select distinct 'IMPLEMENTS', 'method', o.owner || '.' || o.name, w.owner || '.' || w.name, by_pointer, null from whole h join wanted w on w.interface = h.interface join own o on o.type = h.type and o.name = w.name
+    union all select 'EMBEDS', 'type', owner, embedded, pointer, null from embeds
+    union all select distinct 'EMBEDS', 'type', 'p:' || p_partkey, 'z:' || p_size, false, null from part
+    union all select distinct 'OVERRIDES', 'method', m.owner || '.' || m.name, o.owner || '.' || o.name, false, o.depth + 1
+        from embeds e join methods m on m.owner = e.owner join own o on o.type = e.embedded and o.name = m.name""",
     graph=False,
 )
 def f9_type_relations(spark, d):
-    """Parts as interfaces of two methods, suppliers as types with the methods of all parts that they deliver, nations embedded."""
-    part, none = _table(spark, d, "part"), F.lit(None).cast("string").alias("signature")
+    """Parts as interfaces that embed the one of their size, regions' interfaces; suppliers with the methods of the parts that they
+    deliver embed a nation, by pointer if they owe, and a market segment; nations embed regions, with methods of pointers."""
+    t = {name: _table(spark, d, name) for name in ("part", "lineitem", "nation", "region", "supplier", "customer")}
     key = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
-    both = F.explode(F.array(F.concat_ws("/", "p_brand", "p_type"), F.concat(F.lit("size"), F.col("p_size").cast("string")))).alias("name")
-    held = _table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey")
-    nation, supplier = _table(spark, d, "nation"), _table(spark, d, "supplier")
-    methods = part.select(key("p", "p_partkey").alias("owner"), both, none).union(held.select(key("s", "l_suppkey"), both, none))
-    methods = methods.union(nation.select(key("n", "n_nationkey"), F.concat(F.lit("size"), F.col("n_nationkey").cast("string")), none))
-    of = lambda t, letter, c, yes: t.select(key(letter, c).alias("type"), F.lit(yes).alias("interface"))
-    types = of(part, "p", "p_partkey", True).union(of(held, "s", "l_suppkey", False).distinct())
-    return factsets.type_relations(types, methods, supplier.select(key("s", "s_suppkey").alias("owner"), key("n", "s_nationkey").alias("embedded")))
+    size = lambda c: F.concat(F.lit("size"), c.cast("string"))
+    yes, no = F.lit(True), F.lit(False)
+    held = t["lineitem"].select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(t["part"], "p_partkey")
+    product, segment = F.concat_ws("/", "p_brand", "p_type"), t["customer"].select("c_mktsegment").distinct()
+    rows = [
+        held.select(key("s", "l_suppkey").alias("owner"), product.alias("name"), no.alias("pointer")), held.filter("p_size > 10").select(key("s", "l_suppkey"), size(F.col("p_size")), no),
+        t["nation"].select(key("n", "n_nationkey"), size(F.col("n_nationkey") % 10), no), t["nation"].select(key("n", "n_nationkey"), "n_name", no),
+        t["region"].select(key("r", "r_regionkey"), size(F.col("r_regionkey") + 5), yes), t["region"].select(key("r", "r_regionkey"), "r_name", yes),
+        segment.crossJoin(t["region"].select("r_name")).select(key("c", "c_mktsegment"), "r_name", no), segment.select(key("c", "c_mktsegment"), size(F.length("c_mktsegment")), no),
+        t["part"].select(key("p", "p_partkey"), product, no), t["part"].select(key("z", "p_size"), size(F.col("p_size")), no), t["region"].select(key("q", "r_name"), "r_name", no),
+    ]
+    methods = rows[0]
+    for more in rows[1:]:
+        methods = methods.union(more)
+    embeds = t["supplier"].select(key("s", "s_suppkey").alias("owner"), key("n", "s_nationkey").alias("embedded"), (F.col("s_acctbal") < 0).alias("pointer"))
+    embeds = embeds.union(t["supplier"].join(t["customer"], F.col("c_custkey") == F.col("s_suppkey")).select(key("s", "s_suppkey"), key("c", "c_mktsegment"), no))
+    embeds = embeds.union(t["nation"].select(key("n", "n_nationkey"), key("r", "n_regionkey"), no)).union(t["part"].select(key("p", "p_partkey"), key("z", "p_size"), no))
+    of = lambda name, letter, c, interface: t[name].select(key(letter, c).alias("type"), F.lit(interface).alias("interface"))
+    types = of("part", "p", "p_partkey", True).union(of("part", "z", "p_size", True)).union(of("region", "q", "r_name", True)).union(of("supplier", "s", "s_suppkey", False))
+    return methodsets.type_relations(types, methods.withColumn("signature", F.lit(None).cast("string")), embeds)
 
 
 # events --------------------------------------------------------------------------------------------------------------

@@ -375,14 +375,6 @@ def test_workload(spark):
     assert tables.workload(probes.limit(0), 5).count() == 5
 
 
-def test_type_relations(spark):
-    types = spark.createDataFrame([("I", True), ("E", True), ("A", False), ("B", False)], "type string, interface boolean")
-    methods = spark.createDataFrame([("I", "x", "()"), ("I", "y", None), ("A", "x", "()"), ("A", "y", ""), ("A", "y", ""), ("B", "x", "(int)"), ("B", "y", "")], "owner string, name string, signature string")
-    embeds = spark.createDataFrame([("B", "A"), ("B", "A")], "owner string, embedded string")
-    got = {tuple(r) for r in factsets.type_relations(types, methods, embeds).collect()}
-    assert got == {("IMPLEMENTS", "A", "I"), ("EMBEDS", "B", "A"), ("OVERRIDES", "B.y", "A.y")}
-
-
 def test_index_project(spark, tmp_path):
     from factlake.operators import references
     from factlake.sources import indexing
