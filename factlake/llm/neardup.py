@@ -14,7 +14,7 @@
    largest component, as long as that brings them down; then what is left is held against all members of other components.  No list emits all its
    pairs, and none is capped.
 5. A pair goes on if its sizes allow the similarity and if the union sketch's estimate reaches the bound of step 2;
-   then the exact similarity of the full sets decides.  A text goes once to each task that holds others against it.
+   then the exact similarity of the full sets decides; a worker makes a hub's set once for the pairs that follow each other.
 6. Links are closed to components by passing least labels along and doubling; nothing is collected.
 
 ``CROWD``, ``MEETINGS`` and the rate at which further heads stop decide which pairs are tried first and by which index; the
@@ -49,8 +49,6 @@ K = 64
 SURE = 25
 #: Longer lists of sketches are replaced by lists of whole sets.
 CROWD = 64
-#: Bytes of texts that a task holds against one hub, about.
-AT_ONCE = 8 << 20
 #: Further heads are tried while a list entry would meet more than so many others on average.
 MEETINGS = 2
 
@@ -164,48 +162,26 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int)
         .select("a", "b")
         .distinct()
     )
-    return _exactly(cut(likely), texts, shingle)
-
-
-def _exactly(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
-
-    Of a pair, the one that more pairs have is the hub.  A hub's other members are dealt to as many tasks as ``AT_ONCE`` bytes of
-    their texts need; each task is sent the hub's text once, before its members', and keeps one set of a hub at a time.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
-    ends = stored(ends.join(texts.select(F.col("rep").alias("node"), F.octet_length("text").cast("long").alias("bytes")), "node"))
-    end = lambda p: ends.select(F.col("node").alias(p), F.col("deg").alias(f"d{p}"), F.col("bytes").alias(f"n{p}"))
-    first = F.col("da") >= F.col("db")
-    dealt = stored(
-        pairs.join(end("a"), "a").join(end("b"), "b").select(
-            F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"),
-            F.when(first, F.col("nb")).otherwise(F.col("na")).alias("bytes"),
-        )
+    # a hub is the lesser end of its pairs, nearly always: its text joins last, so it isn't dealt out again with each member
+    both = likely.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(
+        texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a"
     )
-    loads = stored(dealt.groupBy("hub").agg((F.sum("bytes") / AT_ONCE + 1).cast("int").alias("tasks")))
-    salted = dealt.join(loads, "hub").select("hub", "member", F.pmod(F.hash("member"), F.col("tasks")).alias("salt"))
-    members = salted.join(texts.select(F.col("rep").alias("member"), "text"), "member").select("hub", "salt", "member", "text")
-    hubs = loads.join(texts.select(F.col("rep").alias("hub"), "text"), "hub").select(
-        "hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast(dict(pairs.dtypes)["a"]).alias("member"), "text"
-    )
-    rows = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
+    kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.int64)
+        last, held = None, np.empty(0, np.int64)  # of a, whose pairs come one after the other
         for batch in batches:
             ok = []
-            for member, text in zip(batch.column(2), batch.column(3)):
-                s = np.unique(_set(text.as_py(), shingle))
-                if not member.is_valid:
-                    held = s
-                shared = len(np.intersect1d(held, s, assume_unique=True)) if member.is_valid else 0
-                ok.append(member.is_valid and DEN * shared >= NUM * (len(held) + len(s) - shared))
+            for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, held = a, np.unique(_set(x.as_py(), shingle))
+                s = np.unique(_set(y.as_py(), shingle))
+                shared = len(np.intersect1d(held, s, assume_unique=True))
+                ok.append(DEN * shared >= NUM * (len(held) + len(s) - shared))
             keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["hub", "member"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    kind = dict(pairs.dtypes)["a"]
-    return rows.mapInArrow(run, f"hub {kind}, member {kind}").select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
