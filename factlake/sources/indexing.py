@@ -32,7 +32,7 @@ def python_graph(files: DataFrame, repository: str, commit: str | None = None) -
     file_key = keys.file_key(F.lit(repository), F.col("path"))
     each = source_code.python_symbols(files)
     symbols = each.groupBy("qualified_name").agg(F.min(F.struct("path", "start_line", "end_line", "name", "kind", "exported")).alias("s")).select("qualified_name", "s.*")
-    edges, unresolved = source_code.python_edges(symbols, source_code.python_references(files))
+    edges, unresolved = source_code.python_edges(symbols, source_code.python_references(files), source_code.python_aliases(files))
     place = F.concat_ws(":", F.lit("unresolved"), F.lit(repository), "path", "source", "kind", "requested_symbol", "line")
     broken = source_code.python_unresolved(files).select(
         F.concat_ws(":", F.lit("unresolved"), F.lit(repository), "path").alias("stable_key"), repo.alias("repository_key"), file_key.alias("file_key"), language.alias("language"),

@@ -1,12 +1,12 @@
 """Facts from source text: Python modules by their syntax tree, lines of any language by patterns, and package manifests.
 
 Files come as rows (path, text).  Nothing here is type-checked: relations are candidates, and what can't be told stays
-unresolved.  Each file is parsed on its own; names meet across files in joins.
+unresolved.  Each file is parsed on its own; names meet across files in joins, and
+inherited members in a fixpoint over base classes.
 """
 
 from __future__ import annotations
 
-import ast
 import json
 import re
 import tomllib
@@ -16,81 +16,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.traverse import cut
+from factlake.sources import lexer
+from factlake.sources.python_scopes import Module
+
 SYMBOLS = "path string, name string, qualified_name string, kind string, exported boolean, start_line long, end_line long"
-REFERENCES = "path string, module string, source string, kind string, requested string, line long"
+REFERENCES = "path string, module string, source string, kind string, requested string, via string, line long, place long"
 MANIFESTS = "path string, language string, name string, version string, dependency string, wanted string, problem string"
 
 
-def module_of(path: str) -> str:
-    """The dotted name of a module: its path without the suffix; a package is named by its folder."""
-    parts = re.sub(r"\.pyi?$", "", path).strip("/").split("/")
-    return ".".join(parts[:-1] if parts[-1] == "__init__" and len(parts) > 1 else parts)
-
-
-def _parse(path: str, text: str | None) -> tuple[list[tuple], list[tuple]] | str:
-    """The symbols and references of one module, or why it can't be read."""
+def _parse(path: str, text: str | None) -> tuple[list[tuple], list[tuple], list[tuple]] | str:
+    """The symbols, references and aliases of one module, or why it can't be read."""
     try:
-        tree = ast.parse(text or "")
+        m = Module(path, text or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return f"{type(e).__name__}: {e}"
-    module = module_of(path)
-    symbols = [(path, module.rsplit(".", 1)[-1], module, "module", True, 1, (text or "").count("\n") + 1)]
-    found: list[tuple] = []
-    imported: dict[str, str] = {}
-
-    def base(node: ast.ImportFrom) -> str:
-        up = module.split(".")
-        # a package's own module stands for the package itself
-        keep = len(up) - node.level + (1 if path.rsplit("/", 1)[-1].startswith("__init__.") else 0)
-        return ".".join([*(up[:keep] if node.level else []), *([node.module] if node.module else [])])
-
-    def named(node: ast.expr) -> str | None:
-        """A dotted name, its first part as it was imported; one of this module gets the module's name."""
-        parts = []
-        while isinstance(node, ast.Attribute):
-            parts.append(node.attr)
-            node = node.value
-        if not isinstance(node, ast.Name):
-            return None
-        return ".".join([imported.get(node.id, f"{module}.{node.id}"), *reversed(parts)])
-
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                imported[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
-                found.append((path, module, module, "IMPORTS_SYMBOL", a.name, node.lineno))
-        elif isinstance(node, ast.ImportFrom):
-            for a in node.names:
-                imported[a.asname or a.name] = f"{base(node)}.{a.name}"
-                found.append((path, module, module, "IMPORTS_SYMBOL", f"{base(node)}.{a.name}", node.lineno))
-
-    # a stack and no recursion: code may be nested deeply
-    todo: list[tuple[ast.AST, str, str, bool]] = [(tree, module, module, False)]
-    while todo:
-        node, owner, prefix, in_class = todo.pop()
-        name = kind = None
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            name, kind = node.name, "method" if in_class else "function"
-        elif isinstance(node, ast.ClassDef):
-            name, kind = node.name, "class"
-        elif isinstance(node, ast.Assign | ast.AnnAssign) and prefix == module:
-            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            name = next((t.id for t in targets if isinstance(t, ast.Name)), None)
-            kind = "variable"
-        elif isinstance(node, ast.Call) and (called := named(node.func)):
-            found.append((path, module, owner, "CALLS_DIRECT", called, node.lineno))
-        if name:
-            qualified = f"{prefix}.{name}"
-            symbols.append((path, name, qualified, kind, not name.startswith("_"), node.lineno, node.end_lineno))
-            if isinstance(node, ast.ClassDef):
-                found += [(path, module, qualified, "EXTENDS", b, node.lineno) for b in map(named, node.bases) if b]
-            if kind != "variable":
-                owner = prefix = qualified
-        todo += [(c, owner, prefix, isinstance(node, ast.ClassDef)) for c in ast.iter_child_nodes(node)]
-    first: dict[str, tuple] = {}
-    for s in sorted(symbols, key=lambda s: s[5]):  # of several declarations of a name the first counts
-        first.setdefault(s[2], s)
-    return list(first.values()), found
+    symbols = [(path, s.name, s.qualified_name, s.kind, s.kind == "module" or not s.name.startswith("_"), s.start_line, s.end_line) for s in m.symbols()]
+    return symbols, [(path, m.name, *r) for r in m.references], [(path, *a) for a in m.aliases]
 
 
 def _table(files: DataFrame, schema: str, rows_of) -> DataFrame:
@@ -120,19 +62,108 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 
 def python_references(files: DataFrame) -> DataFrame:
-    """(path, module, source, kind, requested, line): imports, calls and base classes by the dotted names that they ask for."""
+    """(path, module, source, kind, requested, via, line, place): imports, calls and base classes by what they ask for.
+
+    ``via``: name (a dotted one), self or super (a class of this module and a member), value (a parameter or a local value).
+    """
     return _table(_python(files), REFERENCES, lambda p, t: [] if isinstance(got := _parse(p, t), str) else got[1])
 
 
-def python_edges(symbols: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved): references whose name just one symbol declares, as candidates; the rest with the reason."""
-    by_name = symbols.groupBy(F.col("qualified_name").alias("requested")).agg(F.count("*").alias("n"))
-    found = references.join(by_name, "requested", "left")
-    edges = found.filter("n = 1 and source <> requested").select(
-        F.col("source").alias("source_key"), F.col("requested").alias("target_key"), "kind", F.lit("CANDIDATE").alias("confidence"), F.lit("PYTHON_AST").alias("provenance")
+def python_aliases(files: DataFrame) -> DataFrame:
+    """(path, name, stands_for): names that a module imports, which others can ask it for."""
+    return _table(_python(files), "path string, name string, stands_for string", lambda p, t: [] if isinstance(got := _parse(p, t), str) else got[2])
+
+
+def _followed(asked: DataFrame, aliases: DataFrame, rounds: int = 8) -> DataFrame:
+    """``asked`` (requested, ...) with names that stand for others replaced, or the class before the last dot; a circle ends."""
+    one = aliases.groupBy("name").agg(F.min("stands_for").alias("stands_for"), F.count_distinct("stands_for").alias("n")).filter("n = 1 and name <> stands_for")
+    whole = one.select(F.col("name").alias("requested"), F.col("stands_for").alias("w"))
+    owner = one.select(F.col("name").alias("owner"), F.col("stands_for").alias("o"))
+    for _ in range(rounds):
+        met = asked.withColumn("owner", F.regexp_replace("requested", r"\.[^.]*$", "")).join(whole, "requested", "left").join(owner, "owner", "left")
+        member = F.concat_ws(".", "o", F.element_at(F.split("requested", r"\."), -1))
+        new = cut(met.withColumn("moved", F.col("w").isNotNull() | F.col("o").isNotNull()).withColumn("requested", F.coalesce("w", F.when(F.col("o").isNotNull(), member), "requested")).drop("owner", "w", "o"))
+        asked = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            break
+    return asked
+
+
+def _linear(name: str, lines: list[list[str]], bases: list[str]) -> list[str]:
+    """The order in which a class looks for its members: itself, then the orders of its bases merged so that each keeps its own.
+
+    Where that can't be, what stands first is taken, as the class has no order at run time either.
+    """
+    rest = [list(x) for x in (*lines, bases) if x]
+    out = [name]
+    while rest:
+        heads = [x[0] for x in rest]
+        head = next((h for h in heads if not any(h in x[1:] for x in rest)), heads[0])
+        out.append(head)
+        rest = [x for x in ([c for c in line if c != head] for line in rest) if x]
+    return out
+
+
+def class_orders(classes: DataFrame, extends: DataFrame) -> DataFrame:
+    """(class, line): each class with the classes that it has members of, in the order of search.
+
+    ``extends`` (class, base, place).  A fixpoint over levels of inheritance: a class is done when its bases are; bases that
+    nobody declares stand for themselves, and classes of a circle have none but themselves.
+    """
+    bases = extends.select("class", "base", "place").dropDuplicates(["class", "base"])
+    known = bases.select(F.col("base").alias("class")).distinct().join(classes.select("class"), "class", "left_anti")
+    plain = classes.select("class").distinct().join(bases.select("class").distinct(), "class", "left_anti")
+    done = cut(known.union(plain).select("class", F.array("class").alias("line")))
+    left = cut(bases.join(classes.select("class").distinct(), "class", "left_semi"))
+    out = done
+    schema = f"class {dict(classes.dtypes)['class']}, line array<string>"
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_linear(c, [x["line"] for x in parts], [x["base"] for x in parts]) for c, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.string()))], names=["class", "line"])
+
+    while True:
+        met = left.join(out.select(F.col("class").alias("base"), "line"), "base", "left").groupBy("class").agg(
+            F.count_if(F.col("line").isNull()).alias("open"), F.array_sort(F.collect_list(F.struct("place", "base", "line"))).alias("parts")
+        )
+        new = cut(met.filter("open = 0").select("class", "parts").mapInArrow(merged, schema))
+        if new.isEmpty():
+            return out.union(left.select("class").distinct().select("class", F.array("class").alias("line")))
+        out = out.union(new)
+        left = cut(left.join(new.select("class"), "class", "left_anti"))
+
+
+def python_edges(symbols: DataFrame, references: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved): references whose name just one symbol declares, as candidates; the rest with the reason.
+
+    Members that are asked of the own class, of what is above it, or of any class, are those of the first class in its order of
+    search that declares them.  Names that a module has imported stand for what they were imported as.
+    """
+    asked = references.select("path", "source", "kind", "requested", "via", "line", "place")
+    if aliases is not None:
+        asked = _followed(asked, aliases)
+    declared = cut(symbols.groupBy(F.col("qualified_name").alias("requested")).agg(F.count("*").alias("n"), F.min("kind").alias("is")))
+    classes = declared.filter(F.col("is") == "class").select(F.col("requested").alias("class"))
+    extends = asked.filter("kind = 'EXTENDS' and via <> 'value'").select(F.col("source").alias("class"), F.col("requested").alias("base"), "place")
+    orders = cut(class_orders(classes, extends)).join(classes, "class", "left_semi")
+    found = cut(asked.join(declared, "requested", "left"))
+    # what isn't declared under its own name, or is asked of what is above, is looked for along the order
+    member = found.filter("via <> 'value' and kind <> 'EXTENDS' and (n is null or via = 'super')")
+    split = member.select("requested", "via").distinct().select(
+        "requested", "via", F.regexp_replace("requested", r"\.[^.]*$", "").alias("class"), F.element_at(F.split("requested", r"\."), -1).alias("name")
+    )
+    above = split.join(orders, "class").select("requested", "via", "name", F.posexplode("line").alias("at", "owner")).filter("via <> 'super' or at > 0")
+    named = above.select("requested", "via", "at", F.concat_ws(".", "owner", "name").alias("member"))
+    first = named.join(declared.filter("n = 1").select(F.col("requested").alias("member")), "member").groupBy("requested", "via").agg(F.min_by("member", "at").alias("member"))
+    all_asked = found.join(first, ["requested", "via"], "left")
+    target = F.when(F.col("member").isNotNull(), F.col("member")).when((F.col("n") == 1) & ~F.col("via").isin("super", "value"), F.col("requested"))
+    told = all_asked.withColumn("target", target)
+    edges = told.filter("target is not null and source <> target").select(
+        F.col("source").alias("source_key"), F.col("target").alias("target_key"), "kind", F.lit("CANDIDATE").alias("confidence"), F.lit("PYTHON_AST").alias("provenance")
     ).distinct()
-    reason = F.when(F.col("n").isNull(), "SYMBOL_NOT_FOUND").otherwise("AMBIGUOUS_SYMBOL")
-    return edges, found.filter("n is null or n > 1").select("path", "source", "kind", F.col("requested").alias("requested_symbol"), reason.alias("reason"), "line")
+    reason = F.when(F.col("via") == "value", "LOCAL_VALUE").when(F.col("n") > 1, "AMBIGUOUS_SYMBOL").otherwise("SYMBOL_NOT_FOUND")
+    return edges, told.filter("target is null").select("path", "source", "kind", F.col("requested").alias("requested_symbol"), reason.alias("reason"), "line")
 
 
 def python_unresolved(files: DataFrame) -> DataFrame:
@@ -155,15 +186,32 @@ INVENTORY: dict[str, tuple[str, ...]] = {
 }
 
 
+def syntax_candidates(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(path, kind, name, line, start_byte, end_byte) of files in languages that are known by their suffix, from their tokens: what
+    stands in comments and strings gives nothing."""
+    wanted = frozenset(kinds or lexer.KINDS)
+
+    def rows_of(path: str, text: str | None) -> list[tuple]:
+        return [(path, *c) for c in lexer.candidates(text or "", lexer.language_of(path), wanted)]
+
+    suffixes = "|".join(sorted(lexer.SUFFIXES))
+    return _table(files.filter(F.col("path").rlike(rf"\.({suffixes})$")), "path string, kind string, name string, line long, start_byte long, end_byte long", rows_of)
+
+
 def syntax_inventory(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(path, kind, name, line, n): what stands in the lines of files, as candidates and never as symbols; built-ins only."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    """(path, kind, name, line, n): what stands in the lines of files, as candidates and never as symbols.
+
+    Files of a known language by their tokens (:func:`syntax_candidates`), others by patterns of their lines, in built-ins.
+    """
+    known = F.col("path").rlike(rf"\.({'|'.join(sorted(lexer.SUFFIXES))})$")
+    lines = files.filter(~known).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     one: Column = F.array(*(
         F.struct(F.lit(k).alias("kind"), F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in INVENTORY[k]))).alias("names"))
         for k in kinds or INVENTORY
     ))
     each = lines.select("path", (F.col("pos") + 1).cast("long").alias("line"), F.explode(one).alias("c")).select("path", "line", "c.kind", F.explode("c.names").alias("name"))
-    return each.groupBy("path", "kind", "name", "line").agg(F.count("*").alias("n"))
+    lexed = syntax_candidates(files, kinds).select("path", "line", "kind", "name")
+    return each.union(lexed).groupBy("path", "kind", "name", "line").agg(F.count("*").alias("n"))
 
 
 def _manifest(path: str, text: str | None) -> list[tuple]:

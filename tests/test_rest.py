@@ -332,7 +332,7 @@ def test_python_sources(spark):
         ("a.b", "IMPORTS_SYMBOL", "a.util"), ("a.b", "IMPORTS_SYMBOL", "a.util.Base"), ("a.b.C", "EXTENDS", "a.util.Base"), ("a.b.C.m", "CALLS_DIRECT", "a.util.go"),
         ("a.b.C.m.inner", "CALLS_DIRECT", "a.b.C"), ("a", "IMPORTS_SYMBOL", "a.b.C"),
     }
-    assert {r.requested_symbol for r in unresolved.collect()} == {"os.path", "sys", "os.path.join", "a.b.self.x", "sys.exit"}
+    assert {r.requested_symbol for r in unresolved.collect()} == {"os.path", "sys", "os.path.join", "a.b.C.x", "sys.exit"}
     assert [r.path for r in source_code.python_unresolved(files).collect()] == ["bad.py"]
 
 
