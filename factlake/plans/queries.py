@@ -5,6 +5,7 @@ Names begin with the operator's number in the inventory (``q9_...``).  ``ORACLES
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -775,7 +776,7 @@ def s5_python_symbols(spark, d):
 )
 def s5_python_relations(spark, d):
     files = _modules(spark, d)
-    edges, unresolved = source_code.python_edges(source_code.python_symbols(files), source_code.python_references(files))
+    edges, unresolved = source_code.python_edges(source_code.python_symbols(files), source_code.python_references(files), source_code.python_aliases(files))
     out = edges.select(F.col("source_key").alias("source"), "kind", F.col("target_key").alias("requested"), F.col("confidence").alias("said"))
     out = out.union(unresolved.select("source", "kind", "requested_symbol", "reason"))
     none = F.lit(None).cast("string")
@@ -794,6 +795,59 @@ def s7_syntax_inventory(spark, d):
     return source_code.syntax_inventory(t, ["CALL", "IDENTIFIER"])
 
 
+@query(
+    """with r as (select 'pkg.r' || r_regionkey || '.R' || r_regionkey as c from region),
+    n as (select 'pkg.n' || n_nationkey as m, 'pkg.n' || n_nationkey || '.N' || n_nationkey as c, n_nationkey as k, 'pkg.r' || n_regionkey || '.R' || n_regionkey as above, n_regionkey as rk from nation),
+    s as (select 'pkg.t' || s_suppkey as m, 'pkg.t' || s_suppkey || '.T' || s_suppkey as c, n.c as above, n.above as top, rk from supplier join n on s_nationkey = k)
+    select m as source, 'IMPORTS_SYMBOL' as kind, above as requested, 'CANDIDATE' as said from n union all select c, 'EXTENDS', above, 'CANDIDATE' from n
+    union all select c || '.label', 'CALLS_DIRECT', above || '.label', 'CANDIDATE' from n
+    union all select m, 'IMPORTS_SYMBOL', above, 'CANDIDATE' from s union all select c, 'EXTENDS', above, 'CANDIDATE' from s
+    union all select c || '.go', 'CALLS_DIRECT', above || '.label', 'CANDIDATE' from s union all select c || '.go', 'CALLS_DIRECT', top || '.only' || rk, 'CANDIDATE' from s
+    union all select c || '.stay', 'CALLS_DIRECT', m || '.run', 'CANDIDATE' from s
+    union all select c || '.go', 'CALLS_DIRECT', 'run', 'LOCAL_VALUE' from s union all select c || '.stay', 'CALLS_DIRECT', c || '.none', 'SYMBOL_NOT_FOUND' from s
+    union all select c || '.label', 'CALLS_DIRECT', 'builtins.super', 'SYMBOL_NOT_FOUND' from n""",
+    graph=False,
+)
+def s5_scopes_and_inheritance(spark, d):
+    """A class for each supplier, that inherits from its nation's, which inherits from its region's; names are shadowed."""
+    t = {x: _table(spark, d, x) for x in ("region", "nation", "supplier")}
+    fill = lambda text, **of: F.format_string(re.sub(r"\{(\w+)\}", "%s", text), *(of[k].cast("string") for k in re.findall(r"\{(\w+)\}", text)))
+    r, n, s = F.col("r_regionkey"), F.col("n_nationkey"), F.col("s_suppkey")
+    files = t["region"].select(fill("pkg/r{r}.py", r=r).alias("path"), fill("class R{r}:\n    def label(self): pass\n    def only{r}(self): pass\n", r=r).alias("text"))
+    nation = "from pkg.r{r} import R{r} as Above\n\nclass N{n}(Above):\n    def label(self):\n        super().label()\n"
+    files = files.union(t["nation"].select(fill("pkg/n{n}.py", n=n), fill(nation, n=n, r=F.col("n_regionkey"))))
+    supplier = (
+        "from pkg.n{n} import N{n}\n\ndef run(x): return x\n\nclass T{s}(N{n}):\n    def go(self, run):\n        run(self); self.label(); self.only{r}()\n"
+        "    def stay(self):\n        return run(self.none())  # run(self.label())\n"
+    )
+    placed = t["supplier"].join(t["nation"], F.col("s_nationkey") == n)
+    files = files.union(placed.select(fill("pkg/t{s}.py", s=s), fill(supplier, s=s, n=n, r=F.col("n_regionkey"))))
+    edges, unresolved = source_code.python_edges(source_code.python_symbols(files), source_code.python_references(files), source_code.python_aliases(files))
+    out = edges.select(F.col("source_key").alias("source"), "kind", F.col("target_key").alias("requested"), F.col("confidence").alias("said"))
+    return out.union(unresolved.select("source", "kind", "requested_symbol", "reason"))
+
+
+@query(
+    """with d as (select doc_id::varchar as n, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \n().:;,]', ' ', 'g') as safe from documents),
+    p as (select n, 2 + length(safe) - length(replace(safe, chr(10), '')) as l, 4 + 2 * (length(safe) - length(replace(safe, chr(10), ''))) as m from d),
+    c as (select n, unnest([('IMPORT', './m' || n, l, 2), ('IDENTIFIER', 'a', l, 0), ('EXPORT', 'K' || n, l + 1, 0), ('CLASS', 'K' || n, l + 1, 0), ('DECLARATION', 'K' || n, l + 1, 0), ('IDENTIFIER', 'K' || n, l + 1, 0),
+        ('METHOD', 'run' || n, l + 2, 0), ('DECLARATION', 'run' || n, l + 2, 0), ('IDENTIFIER', 'run' || n, l + 2, 0), ('IDENTIFIER', 'x', l + 2, 0), ('CALL', 'call' || n, m, 0), ('IDENTIFIER', 'call' || n, m, 0), ('IDENTIFIER', 'x', m, 0),
+        ('EXPORT', 'I' || n, m + 2, 0), ('INTERFACE', 'I' || n, m + 2, 0), ('DECLARATION', 'I' || n, m + 2, 0), ('IDENTIFIER', 'I' || n, m + 2, 0),
+        ('EXPORT', 'f' || n, m + 3, 0), ('DECLARATION', 'f' || n, m + 3, 0), ('IDENTIFIER', 'f' || n, m + 3, 0)]) as c from p)
+    select 'd' || n || '.ts' as path, c[1] as kind, c[2] as name, c[3]::bigint as line, (length(c[2]) + c[4])::bigint as bytes from c""",
+    graph=False,
+)
+def s7_candidates(spark, d):
+    """A file for each document, whose text stands in a comment, a string and a template of it: only the code around counts."""
+    n, safe = F.col("doc_id").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 \n().:;,]", " ")
+    text = F.concat(
+        F.lit("/*"), safe, F.lit("*/\nimport { a } from \"./m"), n, F.lit("\";\nexport class K"), n, F.lit(" {\n  run"), n, F.lit("(x) { return `"), safe, F.lit("${call"), n, F.lit("(x)}`; }\n}\nexport interface I"), n,
+        F.lit(" {}\nexport function f"), n, F.lit("() { return \""), F.translate(safe, "\n", " "), F.lit("\"; }\n"),
+    )
+    files = _table(spark, d, "documents").select(F.concat(F.lit("d"), n, F.lit(".ts")).alias("path"), text.alias("text"))
+    return source_code.syntax_candidates(files).select("path", "kind", "name", "line", (F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+
+
 def _workspace(spark, d):
     """A manifest and two files for each nation, and one broken manifest for each region."""
     n = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
