@@ -57,3 +57,34 @@ def decode_cursor(token: str, generation: int, query: dict, order: str) -> int:
     if asked != query_hash(query) or sorted_by != hashlib.sha256(order.encode()).digest()[:4]:
         raise CursorError("CURSOR_QUERY_MISMATCH")
     return offset
+
+
+def compact_pages(rows: DataFrame, label: str, columns: list[str], page: str = "page", at: str = "at") -> DataFrame:
+    """(page, header, form, body) of pages of at most ``MAX_PAGE`` rows (page, at, label, columns...).
+
+    A column that all rows of a page share, and that isn't empty, moves to its header.  The rest are rows: the label alone, or a list
+    with what varies; or groups of what they have in common, in the order in which each was seen first, with their labels.
+    Grouping is kept only if it is the shorter of the two when it is written.
+    """
+    q = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    shared = lambda c: F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count(F.lit(1))) & (F.min(c) != ""), F.min(c))
+    base = rows.select(F.col(page).alias("page"), F.col(at).alias("at"), F.col(label).alias("label"), *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
+    heads = base.groupBy("page").agg(*(shared(F.col(c)).alias(f"h_{c}") for c in columns))
+    placed = base.join(heads, "page").withColumns({c: F.when(F.col(f"h_{c}").isNull(), F.col(c)).otherwise(F.lit("")) for c in columns})
+    tail = F.filter(F.array(*(F.col(c) for c in columns)), lambda v: v != "")
+    lone = F.when(F.size(tail) == 0, q(F.col("label"))).otherwise(
+        F.concat(F.lit("["), F.concat_ws(",", F.array(q(F.col("label"))), F.transform(tail, q)), F.lit("]"))
+    )
+    listed = lambda order, c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), ","), F.lit("]"))
+    one = placed.withColumn("row", lone).withColumn("name", q(F.col("label")))
+    plain = one.groupBy("page").agg(listed("at", "row").alias("plain"))
+    groups = one.groupBy("page", *columns).agg(F.min("at").alias("first"), listed("at", "name").alias("labels"))
+    said = F.filter(F.array(*(F.when(F.col(c) != "", F.concat(F.lit(f'"{c}":'), q(F.col(c)))) for c in columns)), lambda v: v.isNotNull())
+    group = F.concat(F.lit("{"), F.concat_ws(",", said, F.array(F.concat(F.lit('"rows":'), F.col("labels")))), F.lit("}"))
+    grouped = groups.withColumn("group", group).groupBy("page").agg(listed("first", "group").alias("grouped"))
+    header = F.filter(F.array(*(F.when(F.col(f"h_{c}").isNotNull(), F.concat(F.lit(f'"{c}":'), q(F.col(f"h_{c}")))) for c in columns)), lambda v: v.isNotNull())
+    shorter = F.octet_length("grouped") < F.octet_length("plain")
+    return plain.join(grouped, "page").join(heads, "page").select(
+        "page", F.concat(F.lit("{"), F.array_join(header, ","), F.lit("}")).alias("header"), F.when(shorter, "groups").otherwise("rows").alias("form"),
+        F.when(shorter, F.col("grouped")).otherwise(F.col("plain")).alias("body"),
+    )

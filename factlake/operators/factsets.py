@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.traverse import cut
 from factlake.schema import CONFIDENCES, EDGE_KINDS, EXACT_CONFIDENCES, INEXACT_PROVENANCE, Graph
 
 #: What makes two rows of a collection the same fact.
@@ -225,15 +227,103 @@ def snapshot_tables(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept(symbols, "source_file", "target_file"), kept(packages), structural.union(dangling)
 
 
-def topological_order(projects: dict[str, list[str]]) -> list[str]:
-    """Project references in an order in which each comes after what it needs; a cycle is an error that names it."""
-    import graphlib
+def peeled(nodes: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(order, cycles) of units (node) and what each needs (node, needed).
 
-    order = graphlib.TopologicalSorter({k: sorted(v) for k, v in sorted(projects.items())})
-    try:
-        return list(order.static_order())
-    except graphlib.CycleError as e:
-        raise ValueError(f"cycle: {' -> '.join(e.args[1])}") from e
+    ``order`` (node, level): a level's units need those of lower levels only, so by level and name each comes after what it needs.
+    What never gets free of needs stands on a circle or behind one.  ``cycles`` (cycle, node) are the circles: units that need
+    each other, or themselves, under the name of the least of them.  A level is one join, and so is a step along a circle.
+    """
+    need = cut(needs.select("node", "needed").distinct())
+    unknown = need.join(nodes.select(F.col("node").alias("needed")), "needed", "left_anti").orderBy("node", "needed").first()
+    if unknown is not None:
+        raise ValueError(f"{unknown['node']} needs {unknown['needed']}, which isn't there")
+    left, order, level = cut(nodes.select("node").distinct()), None, 0
+    while True:
+        waits = need.join(left.select(F.col("node").alias("needed")), "needed", "left_semi").select("node").distinct()
+        free = cut(left.join(waits, "node", "left_anti").withColumn("level", F.lit(level)))
+        order = free if order is None else order.union(free)
+        if free.isEmpty():
+            return order, circles(left, need)
+        left, level = cut(left.join(free.select("node"), "node", "left_anti")), level + 1
+
+
+def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cycle, node): the strongly connected sets of more than one node, or of one with an edge to itself.
+
+    Each node gets the least name that reaches it, forward; the set of that name is what reaches it, backward, within its own.
+    Found sets go, and the rest gets names anew.
+    """
+    left = cut(nodes.select("node").distinct())
+    e = cut(edges.toDF("a", "b").join(left.withColumnRenamed("node", "a"), "a", "left_semi").join(left.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"))
+    own = e.filter("a = b").select(F.col("a").alias("node"))
+    out = None
+    while not left.isEmpty():
+        name = cut(left.withColumn("name", F.col("node")))
+        while True:
+            met = e.join(name.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("name").alias("met"))
+            new = cut(name.join(met, "node", "left").select("node", F.least("name", "met").alias("name"), (F.col("met") < F.col("name")).alias("moved")))
+            name = new.select("node", "name")
+            if new.filter("moved").isEmpty():
+                break
+        inside = cut(name.filter("node = name"))
+        back = e.join(name.toDF("a", "na"), "a").join(name.toDF("b", "nb"), "b").filter("na = nb").select("a", "b", F.col("na").alias("name"))
+        step = inside
+        while True:
+            step = cut(back.join(step.withColumnRenamed("node", "b"), ["b", "name"]).select(F.col("a").alias("node"), "name").distinct().join(inside, ["node", "name"], "left_anti"))
+            if step.isEmpty():
+                break
+            inside = inside.union(step)
+        inside = cut(inside)
+        big = inside.join(inside.groupBy("name").agg(F.count("*").alias("n")), "name")
+        found = big.join(own.withColumn("own", F.lit(True)), "node", "left").filter("n > 1 or own").select(F.col("name").alias("cycle"), "node")
+        out = found if out is None else out.union(found)
+        left = cut(left.join(inside.select("node"), "node", "left_anti"))
+        e = cut(e.join(left.withColumnRenamed("node", "a"), "a", "left_semi").join(left.withColumnRenamed("node", "b"), "b", "left_semi"))
+    return out if out is not None else left.select(F.col("node").alias("cycle"), "node")
+
+
+class Diverged(RuntimeError):
+    """Facts that were kept aren't those that their inputs give."""
+
+
+def with_cache(
+    mode: str, units: DataFrame, stored: DataFrame, recorded: DataFrame, current: DataFrame, analyse: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """(facts, report) of units (unit): facts (unit, ...) from what is stored or analysed anew; report (unit, outcome).
+
+    An entry is valid while all its recorded inputs (unit, input, fingerprint) are as they are now (``current``, likewise); a unit
+    without any is not.  ``analyse`` gives the facts of units (unit).  ``off`` analyses all; ``on`` takes valid entries (``hit``) and
+    analyses the others (``miss``); ``verify`` analyses all and compares valid entries by a digest of each unit's facts:
+    ``verified`` or ``diverged``; see :func:`sound`.
+    """
+    if mode not in ("off", "on", "verify"):
+        raise ValueError(f"no mode: {mode}")
+    mine = units.select("unit").distinct()
+    if mode == "off":
+        return analyse(mine), mine.withColumn("outcome", F.lit("off"))
+    known = recorded.select("unit").distinct().join(stale_units(recorded, current), "unit", "left_anti").withColumn("valid", F.lit(True))
+    judged = cut(mine.join(known, "unit", "left").select("unit", F.coalesce("valid", F.lit(False)).alias("valid")))
+    valid, miss = judged.filter("valid").select("unit"), judged.filter("not valid").select("unit")
+    missed = miss.withColumn("outcome", F.lit("miss"))
+    kept = stored.join(valid, "unit", "left_semi")
+    if mode == "on":
+        new = analyse(miss)
+        return kept.unionByName(new.select(*kept.columns)), valid.withColumn("outcome", F.lit("hit")).union(missed)
+    facts = cut(analyse(mine))
+    columns = sorted(stored.columns)
+    of = lambda df, name: df.groupBy("unit").agg(*digest_sums(columns)).select("unit", F.concat_ws(":", "n", "a", "b").alias(name))
+    both = valid.join(of(kept, "was"), "unit", "left").join(of(facts, "is"), "unit", "left")
+    outcome = F.when(F.col("was").eqNullSafe(F.col("is")), "verified").otherwise("diverged")
+    return facts, both.select("unit", outcome.alias("outcome")).union(missed)
+
+
+def sound(report: DataFrame) -> DataFrame:
+    """The report of :func:`with_cache`, or an error that names the first unit that diverged."""
+    first = report.filter("outcome = 'diverged'").orderBy("unit").first()
+    if first is not None:
+        raise Diverged(first["unit"])
+    return report
 
 
 def stale_units(recorded: DataFrame, current: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.functions import keys, paging
@@ -189,6 +189,26 @@ def q33_hoisted_columns(g):
     return search.find_symbols(g, "Supplier", "prefix").agg(keys.hoisted(F.col("kind")).alias("kind"), keys.hoisted(F.col("file_key")).alias("file_key"), F.count("*").alias("n"))
 
 
+@query(
+    """, e as (select * from (select target_key as page, source_key as label, kind, confidence, provenance, row_number() over (partition by target_key order by source_key, kind) as at_ from edges
+        where kind in ('CALLS_DIRECT', 'IMPLEMENTS')) where at_ <= 50),
+    h as (select page, case when count(distinct kind) = 1 then min(kind) end as hk, case when count(distinct confidence) = 1 then min(confidence) end as hc, case when count(distinct provenance) = 1 then min(provenance) end as hp from e group by page),
+    r as (select e.page, at_, '"' || label || '"' as label, case when hk is null then kind else '' end as k, case when hc is null then confidence else '' end as c, case when hp is null then provenance else '' end as p from e join h on e.page = h.page),
+    plain as (select page, '[' || string_agg(case when k || c || p = '' then label else '[' || label || case when k <> '' then ',"' || k || '"' else '' end || case when c <> '' then ',"' || c || '"' else '' end
+        || case when p <> '' then ',"' || p || '"' else '' end || ']' end, ',' order by at_) || ']' as plain from r group by page),
+    g as (select page, min(at_) as first, '{' || case when k <> '' then '"kind":"' || k || '",' else '' end || case when c <> '' then '"confidence":"' || c || '",' else '' end || case when p <> '' then '"provenance":"' || p || '",' else '' end
+        || '"rows":[' || string_agg(label, ',' order by at_) || ']}' as one from r group by page, k, c, p),
+    grouped as (select page, '[' || string_agg(one, ',' order by first) || ']' as grouped from g group by page)
+    select h.page, '{' || concat_ws(',', '"kind":"' || hk || '"', '"confidence":"' || hc || '"', '"provenance":"' || hp || '"') || '}' as header, case when strlen(grouped) < strlen(plain) then 'groups' else 'rows' end as form,
+        case when strlen(grouped) < strlen(plain) then grouped else plain end as body from h join plain on h.page = plain.page join grouped on h.page = grouped.page"""
+)
+def q33_compact_pages(g):
+    """The first fifty calls of each part as a page: what all rows share, and the rest as rows or as groups."""
+    by = Window.partitionBy("target_key").orderBy("source_key", "kind")
+    rows = g.edges.filter(F.col("kind").isin("CALLS_DIRECT", "IMPLEMENTS")).withColumn("at", F.row_number().over(by)).filter("at <= 50")
+    return paging.compact_pages(rows.withColumnRenamed("target_key", "page"), "source_key", ["kind", "confidence", "provenance"])
+
+
 @query(LOCATED + "select stable_key, replace(qualified_name, package_name || '.', '') as signature from located where symbol_kind = 'struct'")
 def q34_local_signature(g):
     s = search.located(g, g.symbols.filter("kind = 'struct'"))
@@ -725,6 +745,48 @@ def f15_stale_units(spark, d):
     return factsets.stale_units(t, now)
 
 
+@query(
+    """with f as (select doc_id // 20 as unit, count(*) as n, sum(coalesce(n_chars, 0))::bigint as size, bool_or(doc_id % 50 = 0 and text is distinct from '') as stale from documents group by 1)
+    select 'on' as mode, unit, case when stale then 'miss' else 'hit' end as outcome, n, case when not stale and unit % 7 = 0 then size + 1 else size end as size from f
+    union all select 'verify', unit, case when stale then 'miss' when unit % 7 = 0 then 'diverged' else 'verified' end, n, size from f union all select 'off', unit, 'off', n, size from f""",
+    graph=False,
+)
+def f15_fact_cache(spark, d):
+    """Twenty documents are a unit; one input in fifty has changed, and what is kept of some units was spoilt."""
+    t = _table(spark, d, "documents").withColumn("unit", F.floor(F.col("doc_id") / 20))
+    analyse = lambda units: t.join(units, "unit").groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_chars", F.lit(0))).cast("long").alias("size"))
+    recorded = t.select("unit", F.col("doc_id").alias("input"), F.sha2("text", 256).alias("fingerprint"))
+    current = recorded.withColumn("fingerprint", F.when(F.col("input") % 50 == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("fingerprint")))
+    units = t.select("unit").distinct()
+    stored = analyse(units).withColumn("size", F.col("size") + F.when(F.col("unit") % 7 == 0, 1).otherwise(0))
+    out = None
+    for mode in ("on", "verify", "off"):
+        facts, report = factsets.with_cache(mode, units, stored, recorded, current, analyse)
+        rows = report.join(facts, "unit").select(F.lit(mode).alias("mode"), "unit", "outcome", "n", "size")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(
+    """, p as (select p.stable_key as node, p.name, r.name as region from packages p join repositories r on p.repository_key = r.stable_key),
+    d as (select distinct a.node, b.node as needed from edges e join p a on a.node = e.source_key join p b on b.node = e.target_key where e.kind = 'PACKAGE_DEPENDS_ON' and (a.name < b.name and a.region <> b.region or a.region = b.region and a.region in ('ASIA', 'EUROPE'))),
+    reach as (select node, needed from d union select r.node, d.needed from reach r join d on d.node = r.needed),
+    circle as (select a.node, min(b.node) as cycle from reach a join reach b on a.needed = b.node and b.needed = a.node group by a.node),
+    free as (select node from p where node not in (select node from circle) and node not in (select r.node from reach r join circle c on r.needed = c.node)),
+    walk as (select node, 0 as level from free union select d.node, w.level + 1 from walk w join d on d.needed = w.node join free f on f.node = d.node)
+    select 'order' as part, node, max(level)::varchar as said from walk group by node union all select 'cycle', node, cycle from circle"""
+)
+def f10_order_and_cycles(g):
+    """Packages by their dependencies: those on packages of other regions that are later by name, and within two regions all."""
+    p = g.packages.join(g.repositories.select(F.col("stable_key").alias("repository_key"), F.col("name").alias("region")), "repository_key").select(F.col("stable_key").alias("node"), "name", "region")
+    a, b = (p.toDF(*(f"{x}_{c}" for c in p.columns)) for x in "ab")
+    e = g.edges.filter("kind = 'PACKAGE_DEPENDS_ON'").join(a, F.col("a_node") == F.col("source_key")).join(b, F.col("b_node") == F.col("target_key"))
+    later, near = (F.col("a_name") < F.col("b_name")) & (F.col("a_region") != F.col("b_region")), (F.col("a_region") == F.col("b_region")) & F.col("a_region").isin("ASIA", "EUROPE")
+    order, cycles = factsets.peeled(p.select("node"), e.filter(later | near).select(F.col("a_node").alias("node"), F.col("b_node").alias("needed")))
+    said = lambda df, part, c: df.select(F.lit(part).alias("part"), "node", F.col(c).cast("string").alias("said"))
+    return said(order, "order", "level").union(said(cycles, "cycle", "cycle"))
+
+
 @query("select source_key, target_key, kind, confidence, provenance, coalesce(evidence_key, '') as evidence_key from edges order by all")
 def s9_full_scan(g):
     return full_scan(g.edges)

@@ -125,14 +125,11 @@ def test_reanchor_refuses_ties(spark):
     assert got == {"near": (2, "FOUND"), "tie": (None, "AMBIGUOUS"), "none": (None, "NOT_FOUND"), "end": (None, "OUT_OF_RANGE")}
 
 
-def test_paths_and_order():
+def test_paths():
     assert outline.normal_path("a/b/") == "a/b"
     for bad in ("/a", "a/../b", ""):
         with pytest.raises(ValueError):
             outline.normal_path(bad)
-    assert factsets.topological_order({"a": ["b"], "b": []}) == ["b", "a"]
-    with pytest.raises(ValueError, match="cycle"):
-        factsets.topological_order({"a": ["b"], "b": ["a"]})
 
 
 def test_keys(spark):
