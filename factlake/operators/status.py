@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.schema import DERIVED_PREFIX, MAX_SAMPLES, Graph
@@ -113,31 +113,52 @@ def scope_directory(detail: Column) -> Column:
     return F.when(F.contains(detail, F.lit(" in ")), F.trim(F.substring_index(detail, " in ", -1)))
 
 
+#: What is told of a place that couldn't be followed.
+_SPOT = ("reason", "repository", "path", "start_line", "requested_symbol", "requested_package", "detail")
+
+
+def _bounded(rows: DataFrame, key: str, count: str, spots: str) -> DataFrame:
+    """(key, count, spots) of rows (key, stable_key, spot columns): exact counts, and the first places by key.
+
+    The rank is bounded by a constant, so each task keeps no more rows of a key than that before they are dealt out.
+    """
+    first = Window.partitionBy(key).orderBy("stable_key")
+    some = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= MAX_SAMPLES).groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", F.struct(*_SPOT).alias("spot")))), lambda x: x["spot"]).alias(spots)
+    )
+    return rows.groupBy(key).agg(F.count("*").alias(count)).join(some, key)
+
+
 def completeness(graph: Graph, subjects: DataFrame) -> DataFrame:
-    """(root, verdict, naming, scopes, pattern, paths) for subjects (root, name, repository_key).
+    """(root, verdict, naming, scopes, blind_spots, more_blind_spots, invisible_scopes, more_invisible_scopes, pattern, paths) for
+    subjects (root, name, repository_key).
 
-    COMPLETE if no unresolved reference with a file names the symbol and its repository has no failure without a file;
-    else LOWER_BOUND, with up to 20 places to look at and a pattern to search for.
+    COMPLETE if no unresolved reference with a file names the symbol and its repository has no failure without a file; else
+    LOWER_BOUND, with up to ``MAX_SAMPLES`` places of either kind and how many more there are, and one search that covers
+    what couldn't be followed: a pattern, and the files and directories of the places.
     """
     u = graph.unresolved
-    tail = F.substring_index("requested_symbol", ".", -1)
-    with_file = u.filter("file_key is not null and requested_symbol is not null").withColumn("tail", tail)
-    mine = subjects.withColumn("tail", F.substring_index("name", ".", -1))
-    sample = F.slice(F.array_sort(F.collect_set("where")), 1, MAX_SAMPLES)
-    naming = (
-        mine.join(with_file.select("tail", "requested_symbol", F.col("file_key").alias("where")), "tail")
-        .filter(requested_name(F.col("requested_symbol"), F.col("name")))
-        .groupBy("root").agg(F.count("*").alias("naming"), sample.alias("files"))
-    )
-    # one pass per repository, however many subjects it has
-    scopes = (
-        u.filter("file_key is null").select("repository_key", scope_directory(F.col("detail")).alias("where"))
-        .groupBy("repository_key").agg(F.count("*").alias("scopes"), sample.alias("directories"))
+    known = graph.repositories.select(F.col("stable_key").alias("repository_key"), F.col("name").alias("repository"))
+    files = graph.files.select(F.col("stable_key").alias("file_key"), "path")
+    spots = u.join(known, "repository_key", "left").join(files, "file_key", "left").select("stable_key", "file_key", "repository_key", *_SPOT)
+    tail = lambda c: F.substring_index(c, ".", -1).alias("tail")
+    mine = subjects.select("root", "name", tail("name"))
+    naming = spots.filter("file_key is not null and requested_symbol is not null").select("*", tail("requested_symbol")).join(mine, "tail").filter(
+        requested_name(F.col("requested_symbol"), F.col("name"))
     )
-    none = F.array().cast("array<string>")
+    # a repository's failures are looked at once, however many subjects it has
+    of_name = _bounded(naming, "root", "naming", "blind_spots")
+    of_scope = _bounded(spots.filter("file_key is null"), "repository_key", "scopes", "invisible_scopes")
     n, s = F.coalesce("naming", F.lit(0)), F.coalesce("scopes", F.lit(0))
-    return subjects.join(naming, "root", "left").join(scopes, "repository_key", "left").select(
-        "root", F.when((n == 0) & (s == 0), "COMPLETE").otherwise("LOWER_BOUND").alias("verdict"), n.alias("naming"), s.alias("scopes"),
-        F.concat(F.lit(r"\b"), quote_word(F.col("name")), F.lit(r"\b")).alias("pattern"),
-        F.array_sort(F.array_union(F.coalesce("files", none), F.coalesce("directories", none))).alias("paths"),
+    more = lambda total, held: total - F.coalesce(F.size(held), F.lit(0))
+    whole = (n == 0) & (s == 0)
+    none = F.array().cast("array<string>")
+    there = lambda c: F.filter(c, lambda x: F.coalesce(x != "", F.lit(False)))
+    paths = F.array_union(
+        there(F.coalesce(F.transform("blind_spots", lambda x: x["path"]), none)), there(F.coalesce(F.transform("invisible_scopes", lambda x: scope_directory(x["detail"])), none))
+    )
+    return subjects.join(of_name, "root", "left").join(of_scope, "repository_key", "left").select(
+        "root", F.when(whole, "COMPLETE").otherwise("LOWER_BOUND").alias("verdict"), n.alias("naming"), s.alias("scopes"),
+        "blind_spots", more(n, "blind_spots").alias("more_blind_spots"), "invisible_scopes", more(s, "invisible_scopes").alias("more_invisible_scopes"),
+        F.when(~whole, F.concat(F.lit(r"\b"), quote_word(F.col("name")), F.lit(r"\b"))).alias("pattern"), F.when(~whole, F.array_sort(paths)).alias("paths"),
     )

@@ -356,7 +356,7 @@ def q20_file_outline(g):
 _SOURCES = """with w as (select doc_id as key, string_split(text, chr(10)) as lines, regexp_extract(text, '([A-Za-z]+)', 1) as name, doc_id % 3 <> 0 as fresh from documents),
     lined as (select key, name, unnest(lines) as line, generate_subscripts(lines, 1) as no from w where not fresh),
     hits as (select key, no as line, abs(no - 2) as far from lined where not starts_with(ltrim(line), '//') and not starts_with(ltrim(line), '*')
-             and regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)')),
+             and name <> '' and regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)')),
     best as (select key, min(far) as far from hits group by key),
     one as (select h.key, min(h.line) as line, count(*) as ties from hits h join best b on h.key = b.key and h.far = b.far group by h.key),
     placed as (select w.*, case when fresh then 'CURRENT' when ties is null then 'NOT_FOUND' when ties > 1 then 'AMBIGUOUS' when line + 1 > len(lines) then 'OUT_OF_RANGE' else 'FOUND' end as status, line from w left join one on w.key = one.key),
@@ -364,24 +364,24 @@ _SOURCES = """with w as (select doc_id as key, string_split(text, chr(10)) as li
 
 
 @query(
-    _SOURCES + "select key, start_line, status, case when start_line is not null then array_to_string(list_slice(lines, start_line, start_line + 1), chr(10)) end as body from shown where name <> ''",
+    _SOURCES + "select key, start_line, status, case when start_line is not null then array_to_string(list_slice(lines, start_line, start_line + 1), chr(10)) end as body from shown",
     graph=False,
 )
 def q21_source_bodies(spark, d):
     """Two lines of each document; a third of the documents has changed since, and the line is looked for again."""
     text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text"))
     w = _table(spark, d, "documents").select(
-        F.col("doc_id").alias("key"), F.regexp_extract("text", "([A-Za-z]+)", 1).alias("name"), F.lit(2).cast("long").alias("start_line"), F.lit(3).cast("long").alias("end_line"),
+        F.col("doc_id").alias("key"), F.nullif(F.regexp_extract("text", "([A-Za-z]+)", 1), F.lit("")).alias("name"), F.lit(2).cast("long").alias("start_line"), F.lit(3).cast("long").alias("end_line"),
         "text", F.sha2(text, 256).alias("content_hash"),
     )
-    return outline.get_source(w.filter("name <> ''")).select("key", "start_line", "status", "body")
+    return outline.get_source(w).select("key", "start_line", "status", "body")
 
 
 @query(
     """with w as (select doc_id as key, string_split(text, chr(10)) as lines, regexp_extract(text, '([A-Za-z]+)', 1) as name from documents),
     lined as (select key, name, len(lines) as n_lines, unnest(lines) as line, generate_subscripts(lines, 1) as no from w),
     hits as (select key, no as line, abs(no - 2) as far from lined where name <> '' and not starts_with(ltrim(line), '//') and not starts_with(ltrim(line), '*')
-             and regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)')),
+             and name <> '' and regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)')),
     best as (select key, min(far) as far from hits group by key),
     one as (select h.key, min(h.line) as line, count(*) as ties from hits h join best b on h.key = b.key and h.far = b.far group by h.key)
     select w.key, case when ties = 1 then line end as line, case when ties is null then 'NOT_FOUND' when ties > 1 then 'AMBIGUOUS' else 'FOUND' end as status from w left join one on w.key = one.key""",
@@ -441,15 +441,30 @@ def q26_unresolved_references(g):
     return status.unresolved_references(g, repository_key="repository:ASIA", reason="UNLABELLED", language="en").select("stable_key", "requested_package", "reason")
 
 
+_SPOT = "coalesce(reason, '') || ':' || repository || ':' || coalesce(path, '') || ':' || coalesce(start_line, 0) || ':' || coalesce(requested_symbol, '') || ':' || coalesce(requested_package, '') || ':' || coalesce(detail, '')"
+
+
 @query(
-    LOCATED + """, naming as (select l.stable_key as root, count(*) as n from located l join unresolved u on u.file_key is not null and (u.requested_symbol = l.name or ends_with(u.requested_symbol, '.' || l.name)) where l.symbol_kind in ('struct', 'type') group by 1),
-    scopes as (select repository_key, count(*) as n from unresolved where file_key is null group by 1)
-    select l.stable_key as root, case when n.n is null and s.n is null then 'COMPLETE' else 'LOWER_BOUND' end as verdict, coalesce(n.n, 0) as naming, coalesce(s.n, 0) as scopes
+    LOCATED + f""", spots as (select u.*, r.name as repository, f.path from unresolved u join repositories r on r.stable_key = u.repository_key left join files f on f.stable_key = u.file_key),
+    named as (select l.stable_key as root, s.*, row_number() over (partition by l.stable_key order by s.stable_key) as k from located l join spots s on s.file_key is not null and (s.requested_symbol = l.name or ends_with(s.requested_symbol, '.' || l.name)) where l.symbol_kind in ('struct', 'type')),
+    scoped as (select *, row_number() over (partition by repository_key order by stable_key) as k from spots where file_key is null),
+    naming as (select root, count(*) as n, string_agg({_SPOT}, chr(10) order by k) filter (k <= 20) as told, list(path) filter (k <= 20 and path is not null) as paths from named group by root),
+    scopes as (select repository_key, count(*) as n, string_agg({_SPOT}, chr(10) order by k) filter (k <= 20) as told, list(trim(list_last(string_split(detail, ' in ')))) filter (k <= 20 and contains(detail, ' in ')) as paths from scoped group by repository_key)
+    select l.stable_key as root, case when n.n is null and s.n is null then 'COMPLETE' else 'LOWER_BOUND' end as verdict, coalesce(n.n, 0) as naming, coalesce(s.n, 0) as scopes,
+        greatest(coalesce(n.n, 0) - 20, 0) as more_blind_spots, greatest(coalesce(s.n, 0) - 20, 0) as more_invisible_scopes, n.told as spots, s.told as invisible,
+        case when n.n is not null or s.n is not null then '\\b' || regexp_replace(l.name, '([\\\\.+*?()|\\[\\]{{}}^$])', '\\\\\\1', 'g') || '\\b' end as pattern,
+        case when n.n is not null or s.n is not null then array_to_string(list_sort(list_distinct(list_concat(coalesce(n.paths, []), coalesce(s.paths, [])))), ',') end as paths
     from located l left join naming n on n.root = l.stable_key left join scopes s on s.repository_key = l.repository_key where l.symbol_kind in ('struct', 'type')"""
 )
 def q27_completeness(g):
     s = search.located(g, g.symbols.filter(F.col("kind").isin("struct", "type"))).select(F.col("stable_key").alias("root"), "name", "repository_key")
-    return status.completeness(g, s).select("root", "verdict", "naming", "scopes")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    one = lambda x: F.concat_ws(":", text(x["reason"]), x["repository"], text(x["path"]), F.coalesce(x["start_line"], F.lit(0)).cast("string"), text(x["requested_symbol"]), text(x["requested_package"]), text(x["detail"]))
+    told = lambda c: F.array_join(F.transform(c, one), "\n")
+    return status.completeness(g, s).select(
+        "root", "verdict", "naming", "scopes", F.col("more_blind_spots").cast("long").alias("more_blind_spots"), F.col("more_invisible_scopes").cast("long").alias("more_invisible_scopes"),
+        told("blind_spots").alias("spots"), told("invisible_scopes").alias("invisible"), "pattern", F.array_join("paths", ",").alias("paths"),
+    )
 
 
 @query("select repository_key, count(*) as n from unresolved group by 1")
@@ -732,9 +747,9 @@ def f13_digest(g):
     return factsets.digest(g.edges)
 
 
-@query("select (select count(*) from edges where kind = 'CALLS_DIRECT') as expected, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence <> 'CANDIDATE') as observed, (select count(*) from edges where kind = 'CALLS_DIRECT' and confidence = 'CANDIDATE') as missing, 0::bigint as unexpected, 1.0::double as precision, (select count(*) filter (confidence <> 'CANDIDATE')::double / count(*) from edges where kind = 'CALLS_DIRECT') as recall")
+@query("select count(*) as expected, count(*) filter (confidence <> 'CANDIDATE') as observed, count(*) filter (confidence = 'CANDIDATE') as missing, 0::bigint as unexpected, 1.0::double as precision, count(*) filter (confidence <> 'CANDIDATE')::double / count(*) as recall from edges")
 def f14_precision(g):
-    e = g.edges.filter("kind = 'CALLS_DIRECT'").select("source_key", "target_key", "confidence")
+    e = g.edges.select("source_key", "target_key", "kind", "confidence")
     return factsets.precision(e, e.filter("confidence <> 'CANDIDATE'")).select("expected", "observed", "missing", "unexpected", "precision", "recall")
 
 
@@ -792,14 +807,28 @@ def s9_full_scan(g):
     return full_scan(g.edges)
 
 
-@query("select 'packages' as \"table\", stable_key as key from packages union all select 'files', stable_key from files union all select 'symbols', stable_key from symbols union all select 'repositories', stable_key from repositories union all select 'unresolved', stable_key from unresolved")
+#: The columns of each table of the projected graph, for the rows of a scan.
+_SCANNED = {
+    "repositories": "dirty language name stable_key", "packages": "language name repository_key stable_key", "files": "language package_key path repository_key stable_key",
+    "symbols": "end_line file_key kind name qualified_name stable_key start_line", "edges": "confidence evidence_key kind provenance source_key target_key",
+    "unresolved": "detail file_key language reason repository_key requested_package requested_symbol stable_key start_line",
+}
+
+
+def _scanned(name: str) -> str:
+    key = "source_key || '|' || kind || '|' || target_key" if name == "edges" else "stable_key"
+    row = ", ".join(f"'{c}': coalesce({c}::varchar, '')" for c in _SCANNED[name].split())
+    return f"""select '{name}' as "table", {key} as key, to_json({{{row}}})::varchar as row from {name}"""
+
+
+@query(" union all ".join(map(_scanned, _SCANNED)))
 def s10_canonical_scan(g):
-    return scan(g, with_edges=False).select("table", "key")
+    return scan(g)
 
 
-@query("select source_key, target_key, case when kind = 'REFERENCES' then 'CALLS_DIRECT' else kind end as kind from edges where kind in ('REFERENCES', 'TYPE_USES') and not (kind = 'TYPE_USES' and target_key = 's:1')")
+@query("select source_key, target_key, case when kind = 'REFERENCES' then 'CALLS_DIRECT' else kind end as kind from edges where not (kind = 'TYPE_USES' and target_key = 's:1')")
 def s13_delta(g):
-    e = g.edges.filter(F.col("kind").isin("REFERENCES", "TYPE_USES")).select("source_key", "target_key", "kind")
+    e = g.edges.select("source_key", "target_key", "kind")
     changed = e.filter("kind = 'REFERENCES'").withColumn("kind", F.lit("CALLS_DIRECT"))
     return apply_delta(e, changed, e.filter("kind = 'TYPE_USES' and target_key = 's:1'"), ["source_key", "target_key"])
 

@@ -54,15 +54,42 @@ def python_graph(files: DataFrame, repository: str, commit: str | None = None) -
     )
 
 
+def beside(old: Graph, new: Graph, repository: str) -> Graph:
+    """The graph of all other repositories of ``old`` with ``new``, which is all that is known of its own.
+
+    Relations from elsewhere to a symbol or package of the repository stay if it is still there.
+    """
+    repo = f"repository:{repository}"
+    mine = lambda t: F.col("repository_key").eqNullSafe(repo) if "repository_key" in t.columns else F.lit(False)
+    others = lambda t: t.filter(~mine(t))
+    files = others(old.files)
+    gone_files = old.files.filter(mine(old.files)).select(F.col("stable_key").alias("file_key"))
+    symbols = old.symbols.join(gone_files, "file_key", "left_anti")
+    gone = old.symbols.join(gone_files, "file_key", "left_semi").select("stable_key").union(old.packages.filter(mine(old.packages)).select("stable_key"))
+    there = new.symbols.select("stable_key").union(new.packages.select("stable_key"))
+    lost = gone.join(there, "stable_key", "left_anti")
+    edges = old.edges.join(gone.withColumnRenamed("stable_key", "source_key"), "source_key", "left_anti").join(lost.withColumnRenamed("stable_key", "target_key"), "target_key", "left_anti")
+    both = lambda a, b: a.select(*a.columns).unionByName(b, allowMissingColumns=True)
+    evidence = new.evidence if old.evidence is None else both(others(old.evidence), new.evidence) if new.evidence is not None else others(old.evidence)
+    return Graph(
+        repositories=both(old.repositories.filter(F.col("stable_key") != repo), new.repositories), packages=both(others(old.packages), new.packages), files=both(files, new.files),
+        symbols=both(symbols, new.symbols), edges=both(edges, new.edges), unresolved=both(others(old.unresolved), new.unresolved), evidence=evidence,
+    )
+
+
 def index_project(store: Generations, files: DataFrame, repository: str, commit: str | None = None) -> int | None:
-    """Index the files and publish the graph as a new generation; None if the published one holds the same files already.
+    """Index the files and publish the graph, beside the other repositories of the published one, as a new generation; None if
+    that holds the same files already.
 
     Whoever calls it has the consent to do so: there is no question to a user here.
     """
     graph = python_graph(files, repository, commit)
-    if store.current() is not None:
-        state = ("stable_key", "content_hash")
-        old, new = (g.files.filter(F.col("repository_key") == f"repository:{repository}").select(*state) for g in (store.load(), graph))
-        if old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty():
-            return None
-    return store.publish(graph)
+    if store.current() is None:
+        return store.publish(graph)
+    before = store.load()
+    state = ("stable_key", "content_hash")
+    known = before.files if "content_hash" in before.files.columns else before.files.withColumn("content_hash", F.lit(None).cast("string"))
+    old, new = known.filter(F.col("repository_key") == f"repository:{repository}").select(*state), graph.files.select(*state)
+    if old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty():
+        return None
+    return store.publish(beside(before, graph, repository))

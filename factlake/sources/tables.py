@@ -14,6 +14,8 @@ from factlake.operators import factsets
 from factlake.operators.adjacency import cluster, opened
 from factlake.schema import EVENT, FACT_SET, Graph
 
+#: Seconds after which a publisher that holds an entry counts as dead.
+PATIENCE = 60
 #: Buckets of a generation's adjacency have about so many edges, or fewer.
 EDGES_OF_BUCKET = 2_000_000
 COLLECTIONS = ("repositories", "packages", "files", "symbols", "evidence", "edges", "unresolved")
@@ -48,7 +50,8 @@ class Generations:
     A generation is written beside the others, validated, and only then pointed to.  A pointer is an empty file whose name says
     all, ``CURRENT.<entry>.<generation>.<backup>.<folder>``; it is created if absent, so readers see the old or the new one at
     any time, a crash before leaves the old one, and of two publishers one creates an entry and the other tries the next.
-    Folders are reached by Hadoop's file systems alone, so ``root`` may be in any store that Spark reaches.
+    Folders are reached by Hadoop's file systems alone, so ``root`` may be in any store that Spark reaches and in which of two that
+    create one file, one fails.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -66,27 +69,48 @@ class Generations:
         said = [n.split(".", 4) for n in self._names() if n.startswith("CURRENT.")]
         return sorted((int(e), int(g), int(b), folder) for _, e, g, b, folder in said)
 
-    def _point(self, choose, tries: int = 20) -> int:
-        """Append what ``choose`` makes of the log: (generation, backup, folder)."""
+    def _point(self, choose, tries: int = 1500) -> int:
+        """Append what ``choose`` makes of the log: (generation, backup, folder).
+
+        An entry belongs to whoever creates its mark, and to nobody else ever.  A mark without a pointer is a publisher at work; after
+        ``PATIENCE`` seconds it counts as dead and is passed by.  If it was only slow, it finds a later entry beside its own
+        pointer, takes that back and asks for another entry, so no generation has one number twice.
+        """
         for _ in range(tries):
             log = self._log()
+            last = log[-1][0] if log else 0
+            marks = [int(n[len(".entry-"):]) for n in self._names() if n.startswith(".entry-")]
+            open_mark = max((m for m in marks if m > last), default=None)
+            if open_mark is not None and self._age(f".entry-{open_mark:012d}") < PATIENCE:
+                time.sleep(0.05)
+                continue
             generation, backup, folder = choose(log)
-            entry = log[-1][0] + 1 if log else 1
-            mark = self._path(f"{self.root}/.entry-{entry:012d}")
+            entry = max([last, *marks]) + 1
             try:
-                # whoever creates the mark has the entry; a mark without a pointer is a publisher that died, and is passed by
-                self._fs.create(mark, False).close()
+                self._fs.create(self._path(f"{self.root}/.entry-{entry:012d}"), False).close()
             except Py4JJavaError as e:
                 if "Exist" not in str(e.java_exception.getClass().getName()):
                     raise
-                if self._log() == log and self._fs.getFileStatus(mark).getModificationTime() < (time.time() - 60) * 1000:
-                    self._fs.delete(mark, False)
-                time.sleep(0.05)
                 continue
-            self._fs.create(self._path(f"{self.root}/CURRENT.{entry:012d}.{generation}.{backup}.{folder}"), False).close()
-            return generation
+            name = f"CURRENT.{entry:012d}.{generation}.{backup}.{folder}"
+            self._write_pointer(name)
+            if self._log()[-1][0] == entry:
+                return generation
+            self._fs.delete(self._path(f"{self.root}/{name}"), False)
         raise Conflict(f"{self.root}: no entry could be made in {tries} tries")
 
+    def _write_pointer(self, name: str) -> None:
+        self._fs.create(self._path(f"{self.root}/{name}"), False).close()
+
+    def _age(self, name: str) -> float:
+        """Seconds since a file was written; a file that is gone is as old as can be."""
+        try:
+            return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime() / 1000
+        except Py4JJavaError as e:
+            if "NotFound" not in str(e.java_exception.getClass().getName()):
+                raise
+            return float("inf")
+
     def _read(self, folder: str) -> dict:
         stream = self._fs.open(self._path(f"{self.root}/{folder}/said.json"))
         try:

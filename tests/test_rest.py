@@ -388,3 +388,46 @@ def test_index_project(spark, tmp_path):
     assert {(r.requested_symbol, r.reason) for r in g.unresolved.collect()} == {("nowhere", "SYMBOL_NOT_FOUND"), (None, "SYNTAX_ERROR")}
     changed = files.withColumn("text", F.when(F.col("path") == "bad.py", "y = 1").otherwise(F.col("text")))
     assert indexing.index_project(store, changed, "demo") == 2 and store.load().unresolved.count() == 1
+
+
+def test_a_slow_publisher_takes_its_pointer_back(spark, sf, tmp_path, monkeypatch):
+    from factlake.sources.project import project
+
+    g = project(spark, sf)
+    g = type(g)(**{n: t.limit(3) for n, t in g.tables().items()})
+    root = str(tmp_path / "store")
+    fast = tables.Generations(spark, root)
+    assert fast.publish(g, validate=None) == 1
+    done = []
+
+    class Slow(tables.Generations):
+        def _write_pointer(self, name):
+            if not done:  # it sleeps between its mark and its pointer, for longer than anybody waits
+                monkeypatch.setattr(tables, "PATIENCE", 0)
+                done.append(fast.publish(g, validate=None))
+                monkeypatch.setattr(tables, "PATIENCE", 60)
+                assert fast.current() == 2
+            super()._write_pointer(name)
+
+    assert Slow(spark, root).publish(g, validate=None) == 3 and done == [2]
+    log = fast._log()
+    assert [x[1] for x in log] == [1, 2, 3] and len({x[0] for x in log}) == 3 and len({x[3] for x in log}) == 3
+    assert fast.rollback() == 2
+
+
+def test_index_beside_other_repositories(spark, tmp_path):
+    from factlake.sources import indexing
+
+    store = tables.Generations(spark, str(tmp_path / "store"))
+    files = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    one = files([("p/a.py", "def go(): pass\n"), ("p/b.py", "from p.a import go\ngo()\n")])
+    two = files([("q/c.py", "import nowhere\ndef run(): run2()\ndef run2(): pass\n")])
+    assert indexing.index_project(store, one, "one") == 1 and indexing.index_project(store, two, "two") == 2
+    g = store.load()
+    assert {r.name for r in g.repositories.collect()} == {"one", "two"} and g.files.count() == 3 and store.verify()
+    assert indexing.index_project(store, one, "one") is None
+    changed = files([("p/a.py", "def other(): pass\n")])
+    assert indexing.index_project(store, changed, "one") == 3
+    g = store.load()
+    assert {r.qualified_name for r in g.symbols.collect()} == {"p.a", "p.a.other", "q.c", "q.c.run", "q.c.run2"}
+    assert {r.source_key.split(":")[1] for r in g.edges.collect()} == {"two"} and g.unresolved.count() > 0
