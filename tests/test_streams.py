@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,12 @@ def batches_of(seed, n=5):
 def write(folder, number, rows):
     with open(folder / f"{number:03d}.json", "w") as f:
         f.writelines(json.dumps(dict(zip(("repository", "path", "hash", "operations"), r))) + "\n" for r in rows)
+    in_order(folder / f"{number:03d}.json", number)
+
+
+def in_order(path, number):
+    """Files are read in the order of their times."""
+    os.utime(path, (time.time() - 1000 + number,) * 2)
 
 
 def run(spark, tmp_path, known):
@@ -168,6 +176,7 @@ def test_resync_as_a_stream(spark, tmp_path):
 
     def put(number, part):
         (tmp_path / "in" / f"{number}.json").write_text("".join(json.dumps(dict(zip(names, r))) + "\n" for r in part))
+        in_order(tmp_path / "in" / f"{number}.json", number)
 
     def go():
         step = Resync(spark, str(tmp_path / "s"), lambda df, number: seen.extend(map(tuple, df.select(*FIELDS).collect())), 6)
