@@ -78,13 +78,13 @@ def test_long_texts_are_worked_on_whole(spark):
 def test_secrets_are_scored_whole(spark):
     net = secrets.network()
     x, y = secrets._examples(2000, 123)
-    score = net.scores(x)
+    score = net.scores(len(x), enumerate(x))
     assert (score[y > 0] >= net.threshold).mean() >= 0.95 and (score[y == 0] >= net.threshold).mean() <= 0.02
     # a window in the middle of a long candidate is seen, and letters alone are a candidate
     plain = "/".join(["thereand"] * 12)
     assert len(secrets.codes(plain, 0, len(plain))) == 3
     hidden = plain[:50] + "xK9vQz7LmW2pRt8YbN4cJd6F" + plain[50:]
-    scores = net.scores([secrets.codes(t, 0, len(t)) for t in (plain, hidden)])
+    scores = net.scores(2, ((i, secrets.codes(t, 0, len(t))) for i, t in enumerate((plain, hidden))))
     assert scores[1] > scores[0]
     text = "key = zQxWvBnMkLpHgFdSaTrEwQyUiOpLkJhG and internationalisation of incomprehensibilities"
     (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
