@@ -40,3 +40,16 @@ def test_rows_give_what_lists_give(spark, edges, monkeypatch, most):
         monkeypatch.undo()
     plain = traverse.traverse(edges, seeds(spark), "outgoing", 3, most).collect()
     assert {(r[0], r[1]) for r in lists} == {(r.root, r.id) for r in plain}
+
+
+def test_a_report_meets_places_and_not_all_symbols(spark, sf):
+    from factlake.sources.project import project
+
+    g = project(spark, sf)
+    roots = g.symbols.filter("kind = 'interface'").select(F.col("stable_key").alias("root"))
+    rows, _ = traverse.blast_radius(g, roots, 2, told=())
+    lean = rows.select("root", "id", "depth", "repository", "package_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "orders.parquet" not in lean and "LeftOuter" not in lean
+    named = {(r.id, r.name, r.repository) for r in rows.select("id", "name", "repository").distinct().collect()}
+    places = {r.stable_key: r.name for r in g.symbols.collect()}
+    assert len(named) > 50 and all(places[i] == n for i, n, _ in named)
