@@ -53,3 +53,11 @@ def test_a_report_meets_places_and_not_all_symbols(spark, sf):
     named = {(r.id, r.name, r.repository) for r in rows.select("id", "name", "repository").distinct().collect()}
     places = {r.stable_key: r.name for r in g.symbols.collect()}
     assert len(named) > 50 and all(places[i] == n for i, n, _ in named)
+
+
+def test_axes_count_equal_rows_once(spark):
+    rows = spark.createDataFrame([("r", "a", "p", 1), ("r", "a", "p", 1), ("r", "a", "q", 2)], "root string, repository string, package_key string, depth int")
+    axes = traverse.impact_axes(rows)
+    assert {(x.axis, x.key, x.n) for x in axes.collect()} == {("repository", "a", 3), ("package", "p", 2), ("package", "q", 1), ("depth", "1", 2), ("depth", "2", 1)}
+    plan = axes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Generate")[1]  # rows are counted before they are made three
