@@ -61,3 +61,24 @@ def test_axes_count_equal_rows_once(spark):
     assert {(x.axis, x.key, x.n) for x in axes.collect()} == {("repository", "a", 3), ("package", "p", 2), ("package", "q", 1), ("depth", "1", 2), ("depth", "2", 1)}
     plan = axes._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Generate")[1]  # rows are counted before they are made three
+
+
+def test_induced_walk_is_induced(spark, edges):
+    from factlake.schema import Graph
+
+    g = Graph(edges, edges, edges, edges, edges.union(edges.limit(7)), edges)
+    n = traverse.traverse(g.edges, seeds(spark), "outgoing", 2, 12).select("root", "id")
+    want = sorted(map(tuple, traverse.induced(g.edges, n).select("root", "source_key", "target_key", "kind").collect()))
+    assert sorted(map(tuple, traverse.induced_walk(g, seeds(spark), "outgoing", 2, 12).collect())) == want and len(want) > 10
+    both = {(r.root, r.id) for r in traverse.neighborhood(g.edges, n.select("root").distinct(), 1, 5).collect()}
+    assert len(both) <= 10
+
+
+def test_impact_by_kind_by_lists_and_by_rows(spark, sf, monkeypatch):
+    from factlake.sources.project import project
+
+    g = project(spark, sf)
+    roots = g.symbols.filter("kind = 'interface'").select(F.col("stable_key").alias("root")).limit(5)
+    by_lists = sorted(map(tuple, traverse.impact_by_kind(g, roots, 2, 25_000).collect()))
+    monkeypatch.setattr(traverse, "GATHERED", -25_001)
+    assert sorted(map(tuple, traverse.impact_by_kind(g, roots, 2, 25_000).collect())) == by_lists and len(by_lists) > 5
