@@ -100,10 +100,15 @@ def container_counts(graph: Graph) -> DataFrame:
 
 def golden_probes(graph: Graph) -> DataFrame:
     """(probe, key, n): the first symbol, the busiest (source, kind), the first edge; what a new generation must answer."""
-    symbol = graph.symbols.orderBy("stable_key").limit(1).select(F.lit("symbol").alias("probe"), F.col("stable_key").alias("key"), F.lit(1).cast("long").alias("n"))
+    # the least and the most as aggregates of one row, so no task holds more
+    one = F.lit(1).cast("long").alias("n")
+    symbol = graph.symbols.agg(F.min("stable_key").alias("key")).filter("key is not null").select(F.lit("symbol").alias("probe"), "key", one)
     busiest = (
-        graph.edges.groupBy("source_key", "kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_key", "kind").limit(1)
-        .select(F.lit("outgoing").alias("probe"), F.concat_ws("|", "source_key", "kind").alias("key"), "n")
+        graph.edges.groupBy("source_key", "kind").agg(F.count("*").alias("n"))
+        .agg(F.min(F.struct((-F.col("n")).alias("less"), "source_key", "kind")).alias("e")).filter("e is not null")
+        .select(F.lit("outgoing").alias("probe"), F.concat_ws("|", "e.source_key", "e.kind").alias("key"), (-F.col("e.less")).alias("n"))
+    )
+    edge = graph.edges.agg(F.min(F.struct("source_key", "target_key", "kind")).alias("e")).filter("e is not null").select(
+        F.lit("edge").alias("probe"), F.concat_ws("|", "e.source_key", "e.kind", "e.target_key").alias("key"), one
     )
-    edge = graph.edges.orderBy("source_key", "target_key", "kind").limit(1).select(F.lit("edge").alias("probe"), _edge_key().alias("key"), F.lit(1).cast("long").alias("n"))
     return symbol.union(busiest).union(edge)
