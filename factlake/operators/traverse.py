@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from factlake.operators.adjacency import DIRECTIONS, NO_NOTE, NOTE, TOLD, Clustered, hops, met, noted_id, walkable
 from factlake.operators.adjacency import coded as _coded
+from factlake.operators.grouped import distinct_ends, grouped, level_schema, next_level
 from factlake.operators.search import keeps_derived
 from factlake.schema import MAX_DEPTH, MAX_NODES, QUIET_IMPACT_KINDS, REFERENCE_KINDS, Graph
 
@@ -107,20 +108,21 @@ def walk(
         s = s.join(notes.groupBy("id").agg(F.min("note").alias("note")), "id", "left")
     here = noted_id(F.col("id"), F.col("note")) if noted else F.col("id")
     first = F.transform(F.sort_array(F.collect_list(F.struct("id", here.alias("here")))), lambda x: x["here"])
+    s = s.join(lists.select(F.col("near").alias("id"), F.size("fars").alias("n")), "id", "left")
     state = kept(
-        s.groupBy("root").agg(first.alias("seen")).withColumn("fresh", F.transform("seen", lambda x: F.struct(x.alias("id"), *none)))
+        s.groupBy("root").agg(first.alias("seen"), F.coalesce(F.sum("n"), F.lit(0)).alias("work")).withColumn("fresh", F.transform("seen", lambda x: F.struct(x.alias("id"), *none)))
         .withColumn("total", F.size("seen").cast("long")).select(
             "root", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("held"), "fresh", F.lit(False).alias("more"), "seen",
-            F.col("seen").alias("front"), (F.col("total") * (max_nodes + 1)).alias("work"), "total",
+            F.col("seen").alias("front"), "work", "total",
         ),
         "root",
     )
     levels = [state]
     for level in range(1, depth + 1):
         last = level == depth and not ends
-        light = _by_lists(state.filter(F.col("work") <= GATHERED), lists, max_nodes, told, noted)
+        light = _by_lists(state.filter(F.col("work") <= GATHERED), lists, max_nodes, told, noted, last)
         heavy = state.filter(F.col("work") > GATHERED)
-        found = light if heavy.isEmpty() else light.unionByName(_by_rows(heavy, lists, max_nodes, told, noted))
+        found = light if heavy.isEmpty() else light.unionByName(_by_rows(heavy, lists, max_nodes, told, noted).select(*light.columns))
         going = F.size("front") > 0
         state = found.select(
             "root", F.lit(level).alias("depth"), F.col("total").alias("held"), "fresh", "more",
@@ -158,33 +160,17 @@ def _met(state: DataFrame, lists: DataFrame, noted: bool) -> DataFrame:
     return met(front.select("root", "at", _read("near", noted)[0].alias("near")), lists)
 
 
-def _by_lists(state: DataFrame, lists: DataFrame, max_nodes: int, told: tuple[str, ...], noted: bool) -> DataFrame:
-    """The next level of roots whose lists are gathered: (root, total, seen, fresh, more, front, work)."""
-    held = ["fars", "leads", "work", *(["codes"] if _coded(told) else []), *(["near"] if "parent" in told else [])]
-    lists_of = F.sort_array(F.collect_list(F.struct("at", *held))).alias("g")
-    g = _met(state, lists, noted).groupBy("root").agg(lists_of).join(state.select("root", "seen", "total"), "root")
-    room = F.greatest(F.lit(0), F.lit(max_nodes) - F.col("total")).cast("int")
-    flat = F.flatten("g.fars")
-    if not told:
-        fresh = g.withColumn("new", F.array_except(flat, F.col("seen"))).withColumn("fresh", F.transform(F.slice("new", 1, room), lambda x: F.struct(x.alias("id"))))
-    else:
-        # the first place of each far end: what was seen stands before all, equal ones stand together when they are sorted
-        met_at = F.concat(F.transform("seen", lambda x: F.struct(x.alias("id"), F.lit(-1).alias("i"))), F.transform(flat, lambda x, i: F.struct(x.alias("id"), i.alias("i"))))
-        parts = []
-        if "parent" in told:
-            parts.append(F.flatten(F.transform("g", lambda x: F.array_repeat(x["near"], F.size(x["fars"])))).alias("parents"))
-        if _coded(told):
-            parts.append(F.flatten("g.codes").alias("codes"))
-        g = g.select("*", F.sort_array(met_at).alias("s"), *parts)
-        one = F.zip_with("s", F.concat(F.array(F.lit(None).cast("string")), F.slice("s.id", 1, F.size("s") - 1)), lambda a, b: F.when(~a["id"].eqNullSafe(b) & (a["i"] >= 0), F.struct(a["i"].alias("i"), a["id"].alias("id"))))
-        g = g.withColumn("new", F.sort_array(F.filter(one, lambda x: x.isNotNull())))
-        of = {"parent": lambda i: F.get("parents", i), "kind": lambda i: F.get("codes", i)["kind"], "confidence": lambda i: F.get("codes", i)["confidence"]}
-        fresh = g.withColumn("fresh", F.transform(F.slice("new", 1, room), lambda x: F.struct(x["id"].alias("id"), *(of[c](x["i"]).alias(c) for c in told))))
-    leads = F.flatten(F.filter("g.leads", lambda x: x.isNotNull()))
-    return fresh.select(
-        "root", "total", "seen", "fresh", (F.size("new") > room).alias("more"),
-        F.array_intersect(F.transform("fresh", lambda x: x["id"]), leads).alias("front"), F.aggregate("g.work", F.lit(0).cast("long"), lambda a, x: a + x).alias("work"),
-    )
+def _by_lists(state: DataFrame, lists: DataFrame, max_nodes: int, told: tuple[str, ...], noted: bool, last: bool) -> DataFrame:
+    """The next level of roots whose lists are gathered: (root, total, fresh, more), and what follows needs (seen, front, work).
+
+    Lists are dealt out to groups of roots, once each, and not to the roots.
+    """
+    mine = state.select("root", "front", "seen", "total").join(grouped(state.select("root", "work")), "root")
+    asks = mine.select("g", F.explode("front").alias("near")).select("g", _read("near", noted)[0].alias("near")).distinct()
+    held = ["fars", "leads", "work", *(["codes"] if _coded(told) else [])]
+    theirs = met(asks, lists).select(F.col("g").alias("of"), "near", *held)
+    level = next_level(max_nodes, told, NOTE if noted else 0, last)
+    return mine.groupBy("g").cogroup(theirs.groupBy("of")).applyInArrow(level, level_schema(told, last))
 
 
 def _by_rows(state: DataFrame, lists: DataFrame, max_nodes: int, told: tuple[str, ...], noted: bool) -> DataFrame:
