@@ -90,7 +90,7 @@ def _read(c: str, noted: bool) -> list:
 
 def walk(
     edges: DataFrame | Clustered, seeds: DataFrame, direction: str, depth: int, max_nodes: int, kinds: list[str] | None = None,
-    confidences: list[str] | None = None, told: tuple[str, ...] = (), notes: DataFrame | None = None, ends: bool = False,
+    confidences: list[str] | None = None, told: tuple[str, ...] = (), notes: DataFrame | None = None, ends: bool = False, keep_last: bool = True,
 ) -> list[DataFrame]:
     """The levels (root, depth, held, fresh, more) of a walk, a row a root: ``fresh`` are its new nodes in the order of discovery,
     ``held`` how many it had before, ``more`` whether there was no room for some.
@@ -98,7 +98,7 @@ def walk(
     What is dealt out are lists: a frontier meets each node's list of far ends, which come together at the root; the lists
     in the order of the frontier, without what was seen, are the level.  A list and a level are bounded by ``max_nodes``, and a
     root that may meet more than ``GATHERED`` far ends at a level goes row by row instead (:func:`_by_rows`).  With ``ends`` each
-    level says who of it leads on (front) and to how many at most (work), the last one too.
+    level says who of it leads on (front) and to how many at most (work), the last one too, which isn't written without ``keep_last``.
     """
     noted = notes is not None
     lists = kept(hops(edges, direction, max_nodes, kinds, confidences, told, notes))
@@ -131,7 +131,7 @@ def walk(
                 (F.col("total") + F.size("fresh")).alias("total"),
             ]),
         ).filter((F.size("fresh") > 0) | F.col("more"))
-        if last:  # nothing follows, so nothing is read twice
+        if last or level == depth and not keep_last:  # nothing follows, so nothing is read twice
             levels.append(state)
             break
         state = kept(state, "root")
@@ -300,25 +300,54 @@ def impact_by_kind(
     """
     notes, _ = _impact_places(graph, include_derived, symbol_kinds)
     seeds = roots.select("root", F.col("root").alias("id"))
-    levels = walk(graph.walked(), seeds, "incoming", depth, max_nodes, kinds, confidences, (), notes, ends=True)
+    levels = walk(graph.walked(), seeds, "incoming", depth, max_nodes, kinds, confidences, (), notes, ends=True, keep_last=False)
     adj = walkable(graph.walked(), "incoming", kinds, confidences).select("near", "far", "kind").distinct()
     shown = adj.join(notes.select(F.col("id").alias("far")), "far", "left_semi")
     part = F.floor(F.row_number().over(Window.partitionBy("near", "kind").orderBy("far")) / 10_000)
     lists = kept(shown.withColumn("part", part).groupBy("near", "kind", "part").agg(F.collect_list("far").alias("ends")).drop("part"))
-    asks, work = None, None
-    for v in levels:
-        one, much = v.select("root", F.explode("front").alias("x")).select("root", _read("x", True)[0].alias("near")), v.select("root", "work")
-        asks, work = (one, much) if asks is None else (asks.union(one), work.union(much))
-    big = work.groupBy("root").agg(F.sum("work").alias("work")).filter(F.col("work") > GATHERED + max_nodes + 1).select("root")
-    ends = asks.join(lists, "near").select("root", "kind", "ends")
-    gathered = ends.join(big, "root", "left_anti").groupBy("root", "kind").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
-    shown_of = F.transform(F.filter("ids", lambda x: ~F.startswith(x, F.lit(NO_NOTE))), lambda x: F.substr(x, F.lit(NOTE + 1)))
-    mine = (whole(levels[1:]) if len(levels) > 1 else whole(levels).limit(0)).select("root", shown_of.alias("mine"))
-    light = gathered.join(mine, "root").select("root", "kind", F.size(F.array_intersect("ends", "mine")).cast("long").alias("n")).filter("n > 0")
-    # what is too much for a row is counted row by row
-    rows = ends.join(big, "root", "left_semi").select("root", "kind", F.explode("ends").alias("id")).distinct()
-    rows = rows.join(mine.join(big, "root", "left_semi").select("root", F.explode("mine").alias("id")), ["root", "id"], "left_semi")
-    return light.union(rows.groupBy("root", "kind").agg(F.count("*").alias("n")))
+    # where all was visited that is met, ends are visits but for the root itself; elsewhere they are cut to the visits
+    partial = _partly_met(levels, depth, F.size("front") > 0)
+    asks = _asks(levels[:depth])
+    whole_ = asks.join(partial, "root", "left_anti")
+    heavy = F.col("work") > GATHERED + max_nodes + 1
+    one = whole_.filter(~heavy)
+    plain = F.transform("seen", lambda x: F.substr(x, F.lit(NOTE + 1)))
+    mine = one.join(levels[0].select("root", plain.alias("but")), "root").join(grouped(one), "root").select("root", "asks", "but", "g")
+    near = mine.select("g", F.explode("asks").alias("x")).select(F.col("g").alias("of"), _read("x", True)[0].alias("near")).distinct()
+    theirs = near.join(lists, "near").select("of", "near", "kind", "ends")
+    out = mine.groupBy("g").cogroup(theirs.groupBy("of")).applyInArrow(distinct_ends(NOTE), "root string, kind string, n bigint")
+    # what is too much for a group, or has to be cut, is counted row by row
+    rest = whole_.filter(heavy).select("root").union(partial)
+    if rest.isEmpty():
+        return out
+    on = _asks(levels).join(rest, "root", "left_semi").select("root", F.explode("asks").alias("x")).select("root", _read("x", True)[0].alias("near"))
+    rows = on.join(lists, "near").select("root", "kind", F.explode("ends").alias("id")).distinct()
+    if len(levels) == 1:
+        return out
+    visits = whole(levels[1:]).join(rest, "root", "left_semi").select("root", F.explode(F.filter("ids", lambda x: ~F.startswith(x, F.lit(NO_NOTE)))).alias("x"))
+    rows = rows.join(visits.select("root", _read("x", True)[0].alias("id")), ["root", "id"], "left_semi")
+    return out.union(rows.groupBy("root", "kind").agg(F.count("*").alias("n")))
+
+
+def _asks(levels: list[DataFrame]) -> DataFrame:
+    """(root, asks, work): all nodes of these levels that lead on, in a row, and to how many at most."""
+    out, none = levels[0].select("root", F.col("front").alias("asks"), "work"), F.array().cast("array<string>")
+    for v in levels[1:]:
+        out = out.join(v.select("root", F.col("front").alias("more"), F.col("work").alias("further")), "root", "left").select(
+            "root", F.concat("asks", F.coalesce("more", none)).alias("asks"), (F.col("work") + F.coalesce("further", F.lit(0))).alias("work")
+        )
+    return out
+
+
+def _partly_met(levels: list[DataFrame], depth: int, on: Column, elsewhere: Column | None = None) -> DataFrame:
+    """Roots of which a walk didn't visit all that its nodes lead to: there was no room, or nodes at its end lead ``on``; or those
+    for which ``elsewhere`` holds at a level before."""
+    out = None
+    for d, v in enumerate(levels):
+        also = on if d == depth else elsewhere
+        each = v.filter(F.col("more") if also is None else F.col("more") | also).select("root")
+        out = each if out is None else out.union(each)
+    return kept(out.distinct())
 
 
 def shortest_paths(
@@ -372,22 +401,43 @@ def induced_walk(
 ) -> DataFrame:
     """(root, source_key, target_key, kind): what :func:`induced` gives for the nodes of a walk, without a row for each node.
 
-    Nodes are a row a root.  Those that have edges, which notes tell, ask for their lists, by kind and how often; a root's lists
-    are cut to its nodes.
+    Of a root that was walked whole, every edge of a walk's kinds leads to a node of it, so nodes that were asked for their lists on
+    the way are asked again, by kind and how often, and nothing is cut.  Roots that had no room for all, or that end in nodes with
+    edges, or whose nodes have edges of other kinds, which notes tell, have their lists cut to their nodes, a row a root.
     """
     e = graph.edges.filter("source_key is not null and target_key is not null")
-    notes = e.select(F.col("source_key").alias("id")).distinct().withColumn("note", F.lit(1))
-    nodes = kept(whole(walk(graph.walked(), seeds, direction, depth, max_nodes, kinds, notes=notes)), "root")
-    plain = F.transform("ids", lambda x: F.substr(x, F.lit(NOTE + 1)))
-    ask = nodes.select("root", F.explode(F.filter("ids", lambda x: ~F.startswith(x, F.lit(NO_NOTE)))).alias("x")).select("root", _read("x", True)[0].alias("source_key"))
+    followed = F.col("kind").isin(*(kinds or REFERENCE_KINDS))
+    notes = e.groupBy(F.col("source_key").alias("id")).agg(F.max(F.when(followed, 1).otherwise(2)).alias("note"))
+    levels = walk(graph.walked(), seeds, direction, depth, max_nodes, kinds, notes=notes)
+    noted = lambda x: ~F.startswith(x["id"], F.lit(NO_NOTE))
+    other = lambda x: F.startswith(x["id"], F.lit("2".zfill(NOTE)))
+    forward = direction == "outgoing"
+    partial = _partly_met(levels, depth, F.exists("fresh", noted), F.exists("fresh", other)) if forward else levels[0].select("root")
     often = e.groupBy("source_key", "target_key", "kind").agg(F.count("*").alias("n"))
     # a list holds so many ends at most: a node with very many has several
     part = Window.partitionBy("source_key", "kind", "n").orderBy("target_key")
     lists = kept(
         often.withColumn("part", F.floor(F.row_number().over(part) / 10_000)).groupBy("source_key", "kind", "n", "part").agg(F.collect_list("target_key").alias("ends")).drop("part")
     )
-    # of as many ends as an asker's nodes at most
-    met_ = ask.join(lists, "source_key").join(nodes.select("root", plain.alias("ids")), "root")
-    found = met_.select("root", "source_key", "kind", "n", F.explode(F.array_intersect("ends", "ids")).alias("target_key"))
-    again = F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))
-    return found.filter("n = 1").drop("n").unionByName(found.filter("n > 1").select("root", "source_key", "kind", "target_key", again.alias("_")).drop("_")).select("root", "source_key", "target_key", "kind")
+    found, again = None, F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))
+    if forward and depth:
+        ask = _fronts(levels[:depth]).join(partial, "root", "left_anti").select("root", _read("x", True)[0].alias("source_key"))
+        found = ask.join(lists.filter(followed), "source_key").select("root", "source_key", "kind", "n", F.explode("ends").alias("target_key"))
+    if not forward or not depth or not partial.isEmpty():
+        nodes = kept(whole(levels).join(partial, "root", "left_semi"), "root")
+        plain = F.transform("ids", lambda x: F.substr(x, F.lit(NOTE + 1)))
+        ask = nodes.select("root", F.explode(F.filter("ids", lambda x: ~F.startswith(x, F.lit(NO_NOTE)))).alias("x")).select("root", _read("x", True)[0].alias("source_key"))
+        # of as many ends as an asker's nodes at most
+        met_ = ask.join(lists, "source_key").join(nodes.select("root", plain.alias("ids")), "root")
+        cut_ = met_.select("root", "source_key", "kind", "n", F.explode(F.array_intersect("ends", "ids")).alias("target_key"))
+        found = cut_ if found is None else found.unionByName(cut_)
+    return found.withColumn("_", again).select("root", "source_key", "target_key", "kind")
+
+
+def _fronts(levels: list[DataFrame]) -> DataFrame:
+    """(root, x): the nodes of these levels that lead on."""
+    out = None
+    for v in levels:
+        each = v.select("root", F.explode("front").alias("x"))
+        out = each if out is None else out.union(each)
+    return out
