@@ -58,12 +58,14 @@ def derived_breakdown(graph: Graph) -> DataFrame:
     owner = graph.symbols.select("stable_key", "file_key").join(of_file, "file_key").join(d, "repository_key").select("stable_key", "derived")
     source, target = owner.toDF("source_key", "from_derived"), owner.toDF("target_key", "to_derived")
     e = graph.edges.select("source_key", "target_key").join(source, "source_key", "left").join(target, "target_key", "left")
-    within = e.filter("from_derived is not null").groupBy(F.col("from_derived").alias("derived")).agg(F.count("*").alias("edges_within"))
-    inbound = e.filter("from_derived is null and to_derived is not null").groupBy(F.col("to_derived").alias("derived")).agg(F.count("*").alias("edges_inbound"))
+    # edges are read once, and counted by the owners of both ends before they are told apart
+    n = e.groupBy("from_derived", "to_derived").agg(F.count("*").alias("n")).withColumn("derived", F.coalesce("from_derived", "to_derived")).filter("derived is not null")
+    inside = F.col("from_derived").isNotNull()
+    edges = n.groupBy("derived").agg(F.sum(F.when(inside, F.col("n"))).alias("edges_within"), F.sum(F.when(~inside, F.col("n"))).alias("edges_inbound"))
     count = lambda t, n: t.join(d, "repository_key").groupBy("derived").agg(F.count("*").alias(n))
     out = d.select("derived")
     symbols = owner.groupBy("derived").agg(F.count("*").alias("symbols"))
-    for part in (count(graph.packages, "packages"), count(graph.files, "files"), symbols, within, inbound, count(graph.unresolved, "unresolved")):
+    for part in (count(graph.packages, "packages"), count(graph.files, "files"), symbols, edges, count(graph.unresolved, "unresolved")):
         out = out.join(part, "derived", "left")
     return out.select("derived", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("packages", "files", "symbols", "edges_within", "edges_inbound", "unresolved")))
 
