@@ -25,11 +25,11 @@ def grouped(roots: DataFrame) -> DataFrame:
     Small tables have more groups than that asks for, so that all cores have some.
     """
     work, parts = roots.agg(F.sum(F.col("work") + 1)).first()[0] or 1, int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(math.ceil(work / GROUP), min(parts, math.ceil(work / 50_000)))
+    n = max(math.ceil(2 * work / GROUP), min(parts, math.ceil(work / 50_000)))
     if n == 1:
         return roots.select("root", F.lit(0).cast("long").alias("g"))
     ranges = min(n, 4 * parts)
-    most = math.ceil(work / n)
+    most = min(GROUP, 2 * math.ceil(work / n))  # few ranges have to be divided
     placed = roots.select("root", "work").repartitionByRange(ranges, "root").withColumn("p", F.spark_partition_id())
     before = F.sum(F.col("work") + 1).over(Window.partitionBy("p").orderBy("root").rowsBetween(Window.unboundedPreceding, -1))
     return placed.select("root", (F.col("p") * F.lit(1 << 32) + F.floor(F.coalesce(before, F.lit(0)) / most)).cast("long").alias("g"))
