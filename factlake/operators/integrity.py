@@ -80,6 +80,9 @@ def report(findings: DataFrame) -> DataFrame:
     # a bounded sample without gathering a rule's keys: the least ones of each, by rank
     from pyspark.sql import Window
 
+    from factlake.operators.traverse import kept
+
+    findings = kept(findings.select("rule", "key"))  # counted and ranked, but found once
     ranked = findings.withColumn("r", F.row_number().over(Window.partitionBy("rule").orderBy("key")))
     samples = ranked.filter(F.col("r") <= MAX_SAMPLES).groupBy("rule").agg(F.array_sort(F.collect_list("key")).alias("samples"))
     return findings.groupBy("rule").agg(F.count("*").alias("n")).join(samples, "rule")
