@@ -67,24 +67,26 @@ def compact_pages(rows: DataFrame, label: str, columns: list[str], page: str = "
     Grouping is kept only if it is the shorter of the two when it is written.
     """
     q = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
-    shared = lambda c: F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count(F.lit(1))) & (F.min(c) != ""), F.min(c))
     base = rows.select(F.col(page).alias("page"), F.col(at).alias("at"), F.col(label).alias("label"), *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
-    heads = base.groupBy("page").agg(*(shared(F.col(c)).alias(f"h_{c}") for c in columns))
-    placed = base.join(heads, "page").withColumns({c: F.when(F.col(f"h_{c}").isNull(), F.col(c)).otherwise(F.lit("")) for c in columns})
-    tail = F.filter(F.array(*(F.col(c) for c in columns)), lambda v: v != "")
-    lone = F.when(F.size(tail) == 0, q(F.col("label"))).otherwise(
-        F.concat(F.lit("["), F.concat_ws(",", F.array(q(F.col("label"))), F.transform(tail, q)), F.lit("]"))
+    # a column that all rows share doesn't divide groups, so these are made before it is known which do; dealt out by pages, once
+    groups = base.repartition("page").groupBy("page", *columns).agg(F.min("at").alias("first"), F.collect_list(F.struct("at", q(F.col("label")).alias("name"))).alias("rows"))
+    pages = groups.groupBy("page").agg(
+        *(F.when((F.min(c) == F.max(c)) & (F.min(c) != ""), F.min(c)).alias(f"h_{c}") for c in columns), F.collect_list(F.struct("first", "rows", *columns)).alias("groups")
     )
-    listed = lambda order, c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), ","), F.lit("]"))
-    one = placed.withColumn("row", lone).withColumn("name", q(F.col("label")))
-    plain = one.groupBy("page").agg(listed("at", "row").alias("plain"))
-    groups = one.groupBy("page", *columns).agg(F.min("at").alias("first"), listed("at", "name").alias("labels"))
-    said = F.filter(F.array(*(F.when(F.col(c) != "", F.concat(F.lit(f'"{c}":'), q(F.col(c)))) for c in columns)), lambda v: v.isNotNull())
-    group = F.concat(F.lit("{"), F.concat_ws(",", said, F.array(F.concat(F.lit('"rows":'), F.col("labels")))), F.lit("}"))
-    grouped = groups.withColumn("group", group).groupBy("page").agg(listed("first", "group").alias("grouped"))
+    varied = lambda g: [F.when(F.col(f"h_{c}").isNull(), g[c]).otherwise(F.lit("")) for c in columns]
+    listed = lambda rows: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(rows), lambda x: x["text"]), ","), F.lit("]"))
+    # what is behind a row's label is written once a group
+    end = lambda g: F.concat_ws(",", F.transform(F.filter(F.array(*varied(g)), lambda v: v != ""), q))
+    row = lambda r, e: F.when(e == "", r["name"]).otherwise(F.concat(F.lit("["), r["name"], F.lit(","), e, F.lit("]")))
+    ended = F.transform("groups", lambda g: F.struct(g["rows"].alias("rows"), end(g).alias("end")))
+    plain = listed(F.flatten(F.transform(ended, lambda g: F.transform(g["rows"], lambda r: F.struct(r["at"].alias("at"), row(r, g["end"]).alias("text"))))))
+    names = lambda g: listed(F.transform(g["rows"], lambda r: F.struct(r["at"].alias("at"), r["name"].alias("text"))))
+    said = lambda g: F.filter(F.array(*(F.when(v != "", F.concat(F.lit(f'"{c}":'), q(v))) for c, v in zip(columns, varied(g)))), lambda v: v.isNotNull())
+    group = lambda g: F.concat(F.lit("{"), F.concat_ws(",", said(g), F.array(F.concat(F.lit('"rows":'), names(g)))), F.lit("}"))
+    grouped = listed(F.transform("groups", lambda g: F.struct(g["first"].alias("first"), group(g).alias("text"))))
     header = F.filter(F.array(*(F.when(F.col(f"h_{c}").isNotNull(), F.concat(F.lit(f'"{c}":'), q(F.col(f"h_{c}")))) for c in columns)), lambda v: v.isNotNull())
     shorter = F.octet_length("grouped") < F.octet_length("plain")
-    return plain.join(grouped, "page").join(heads, "page").select(
+    return pages.select("*", plain.alias("plain"), grouped.alias("grouped")).select(
         "page", F.concat(F.lit("{"), F.array_join(header, ","), F.lit("}")).alias("header"), F.when(shorter, "groups").otherwise("rows").alias("form"),
         F.when(shorter, F.col("grouped")).otherwise(F.col("plain")).alias("body"),
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from factlake.functions import paging
 from factlake.operators import integrity, status
 from factlake.schema import Graph
 from factlake.sources.project import project
@@ -25,3 +26,10 @@ def test_derived_edges_are_counted_in_one_pass(spark):
     out = status.derived_breakdown(g)
     assert {r.derived: (r.edges_within, r.edges_inbound, r.symbols) for r in out.collect()} == {"derived:d": (3, 1, 2), "derived:none": (0, 0, 0)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("source_key") < 12
+
+
+def test_pages_are_made_from_rows_dealt_out_once(spark):
+    rows = spark.createDataFrame([("p", 2, 'b"', "k", None), ("p", 1, "a", "k", "x"), ("p", 3, "c", "k", "x"), ("o", 1, "d", "", "y")], "page string, at int, name string, kind string, more string")
+    out = paging.compact_pages(rows, "name", ["kind", "more"])
+    assert sorted(map(tuple, out.collect())) == [("o", '{"more":"y"}', "rows", '["d"]'), ("p", '{"kind":"k"}', "rows", r'[["a","x"],"b\"",["c","x"]]')]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
