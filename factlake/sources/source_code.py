@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators.traverse import cut
+from factlake.operators.traverse import cut, kept
 from factlake.sources import lexer
 from factlake.sources.python_scopes import Module
 
@@ -201,17 +201,29 @@ def syntax_candidates(files: DataFrame, kinds: list[str] | None = None) -> DataF
 def syntax_inventory(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """(path, kind, name, line, n): what stands in the lines of files, as candidates and never as symbols.
 
-    Files of a known language by their tokens (:func:`syntax_candidates`), others by patterns of their lines, in built-ins.
+    Files of a known language by their tokens (:func:`syntax_candidates`), others by patterns of their lines, in built-ins.  Names
+    are counted where their line is; only those of files that are tokenized, or whose path stands in several rows, are dealt out.
     """
     known = F.col("path").rlike(rf"\.({'|'.join(sorted(lexer.SUFFIXES))})$")
-    lines = files.filter(~known).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    twice = kept(files.filter(~known).groupBy(F.col("path").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"))
+    again = F.col("path") == F.col("again")
     one: Column = F.array(*(
         F.struct(F.lit(k).alias("kind"), F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in INVENTORY[k]))).alias("names"))
         for k in kinds or INVENTORY
     ))
-    each = lines.select("path", (F.col("pos") + 1).cast("long").alias("line"), F.explode(one).alias("c")).select("path", "line", "c.kind", F.explode("c.names").alias("name"))
+
+    def names(some: DataFrame) -> DataFrame:
+        lines = some.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        return lines.select("path", (F.col("pos") + 1).cast("long").alias("line"), F.explode(one).alias("c")).select("path", "c.kind", "line", F.sort_array("c.names").alias("names"))
+
+    # equal names of a line stand together: where each begins
+    s = F.col("names")
+    begins = names(files.filter(~known).join(twice, again, "left_anti")).withColumn("at", F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (s[i] != s[i - 1])))
+    runs = F.transform("at", lambda i, k: F.struct(s[i].alias("name"), (F.coalesce(F.get("at", k + 1), F.size(s)) - i).cast("long").alias("n")))
+    alone = begins.select("path", "kind", "line", F.explode(runs).alias("r")).select("path", "kind", "r.name", "line", "r.n")
+    each = names(files.filter(~known).join(twice, again, "left_semi")).select("path", "line", "kind", F.explode("names").alias("name"))
     lexed = syntax_candidates(files, kinds).select("path", "line", "kind", "name")
-    return each.union(lexed).groupBy("path", "kind", "name", "line").agg(F.count("*").alias("n"))
+    return alone.union(each.union(lexed).groupBy("path", "kind", "name", "line").agg(F.count("*").alias("n")))
 
 
 def _manifest(path: str, text: str | None) -> list[tuple]:

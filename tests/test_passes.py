@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factlake.functions import paging
 from factlake.operators import integrity, status
 from factlake.schema import Graph
+from factlake.sources import source_code
 from factlake.sources.project import project
 
 
@@ -33,3 +34,16 @@ def test_pages_are_made_from_rows_dealt_out_once(spark):
     out = paging.compact_pages(rows, "name", ["kind", "more"])
     assert sorted(map(tuple, out.collect())) == [("o", '{"more":"y"}', "rows", '["d"]'), ("p", '{"kind":"k"}', "rows", r'[["a","x"],"b\"",["c","x"]]')]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_counted_where_their_line_is(spark):
+    files = spark.createDataFrame([("a", "x f(x) y\nx"), ("b", "x x"), ("b", "y x\nz"), ("c", None), ("d", "")], "path string, text string")
+    out = source_code.syntax_inventory(files, ["CALL", "IDENTIFIER"])
+    assert sorted((r.path, r.kind, r.name, r.line, r.n) for r in out.collect()) == [
+        ("a", "CALL", "f", 1, 1), ("a", "IDENTIFIER", "f", 1, 1), ("a", "IDENTIFIER", "x", 1, 2), ("a", "IDENTIFIER", "x", 2, 1), ("a", "IDENTIFIER", "y", 1, 1),
+        ("b", "IDENTIFIER", "x", 1, 3), ("b", "IDENTIFIER", "y", 1, 1), ("b", "IDENTIFIER", "z", 2, 1),
+    ]
+    one = files.filter("path <> 'b'")
+    assert out.schema == source_code.syntax_inventory(one).schema
+    top = source_code.syntax_inventory(one)._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Union")  # not an aggregation of all names
