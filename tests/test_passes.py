@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factlake.functions import paging
-from factlake.operators import integrity, status
+from factlake.operators import factsets, integrity, status
 from factlake.schema import Graph
 from factlake.sources import source_code
 from factlake.sources.project import project
@@ -47,3 +47,12 @@ def test_names_are_counted_where_their_line_is(spark):
     assert out.schema == source_code.syntax_inventory(one).schema
     top = source_code.syntax_inventory(one)._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert top.startswith("Union")  # not an aggregation of all names
+
+
+def test_a_snapshot_finds_the_ends_of_edges_once(spark, sf):
+    g = project(spark, sf)
+    for t in factsets.snapshot_tables(g)[:2]:
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "l_orderkey" not in plan
+    left = {r.kind: r.n for r in factsets.snapshot_tables(Graph(g.repositories, g.packages, g.files, g.symbols.filter("kind <> 'struct'"), g.edges, g.unresolved))[2].collect()}
+    assert left == {"dangling:REFERENCES": g.edges.filter("kind = 'REFERENCES'").count()}
