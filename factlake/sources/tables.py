@@ -220,17 +220,21 @@ class Generations:
 def scan(graph: Graph, with_edges: bool = True) -> DataFrame:
     """(table, key, row) of all tables in the order of table and key, values that are null as empty strings: a full scan.
 
-    The order is a range partitioning, so no task sees a whole table.
+    The order is a range partitioning by table and key, so no task sees a whole table; rows are written as text behind it.
     """
+    tables = {name: table for name, table in sorted(graph.tables().items()) if name != "edges" or with_edges}
+    columns = sorted({c for table in tables.values() for c in table.columns})
     out = None
-    for name, table in sorted(graph.tables().items()):
-        if name == "edges" and not with_edges:
-            continue
-        key = F.concat_ws("|", "source_key", "kind", "target_key") if name == "edges" else F.col("stable_key")
-        text = F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(table.columns))))
-        part = table.select(F.lit(name).alias("table"), key.alias("key"), text.alias("row"))
+    for name, table in tables.items():
+        part = table.select(F.lit(name).alias("table"), *((F.col(c) if c in table.columns else F.lit(None)).cast("string").alias(c) for c in columns))
         out = part if out is None else out.union(part)
-    return out.orderBy("table", "key", "row")
+    key, row = F.col("stable_key"), None
+    if "edges" in tables:
+        key = F.when(F.col("table") == "edges", F.concat_ws("|", "source_key", "kind", "target_key")).otherwise(key)
+    for name, table in tables.items():
+        text, here = F.to_json(F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in sorted(table.columns)))), F.col("table") == name
+        row = F.when(here, text) if row is None else row.when(here, text)
+    return out.repartitionByRange("table", key).select("table", key.alias("key"), row.alias("row")).sortWithinPartitions("table", "key", "row")
 
 
 def full_scan(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factlake.operators import factsets, integrity
 from factlake.plans.queries import OF_GRAPH
 from factlake.sources.project import project
+from factlake.sources.tables import scan
 
 
 def test_no_fixed_number_of_parts(spark, sf):
@@ -26,3 +27,12 @@ def test_probes_sort_nothing(spark, sf):
     assert "Sort" not in probes._jdf.queryExecution().optimizedPlan().toString()
     g.edges = g.edges.filter(F.lit(False))
     assert [r.probe for r in integrity.golden_probes(g).collect()] == ["symbol"]
+
+
+def test_a_scan_deals_out_no_texts(spark, sf):
+    out = scan(project(spark, sf))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.index("to_json") < plan.index("RepartitionByExpression") and "to_json" not in plan[plan.index("RepartitionByExpression") :]
+    rows = [tuple(r) for r in out.collect()]
+    assert rows == sorted(rows) and {r[0] for r in rows} == {"repositories", "packages", "files", "symbols", "edges", "unresolved"}
+    assert {r["table"] for r in scan(project(spark, sf), with_edges=False).select("table").distinct().collect()} == {r[0] for r in rows} - {"edges"}
