@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.functions.parts import parts
 from factlake.operators.search import keeps_derived, located
 from factlake.schema import EXACT_CONFIDENCES, QUIET_KINDS, REFERENCE_KINDS, Graph
 
@@ -36,16 +37,19 @@ def find_references(
     e = graph.edges.filter(F.col("kind").isin(*allowed_kinds(kinds)))
     if confidences:
         e = e.filter(F.col("confidence").isin(*confidences))
-    roots = subjects.select("root").distinct()
-    found = roots.join(e, F.col("root") == F.col(here)).withColumn("via", F.lit(None).cast("string"))
-    if direction == "incoming" and bridge:
-        found = found.unionByName(_bridged(graph, roots, e))
-    out = found.select("root", F.col(there).alias("other"), "kind", "confidence", "provenance", "evidence_key", "via")
     places = located(graph).select(
         F.col("stable_key").alias("other"), "name", "qualified_name", F.col("kind").alias("symbol_kind"), "repository",
         "package_name", "path", "language", "start_line",
     )
-    out = out.join(places, "other").filter(keeps_derived(F.col("repository"), include_derived, repository))
+    n = parts(e, places)
+    # the edges follow, in as many parts; a few roots are sent everywhere as before
+    roots = subjects.select("root").repartition(n, "root").distinct()
+    found = roots.join(e, F.col("root") == F.col(here)).withColumn("via", F.lit(None).cast("string"))
+    if direction == "incoming" and bridge:
+        found = found.unionByName(_bridged(graph, roots, e))
+    out = found.select("root", F.col(there).alias("other"), "kind", "confidence", "provenance", "evidence_key", "via")
+    # a part's places are held and what refers passes by: nothing is sorted, and a hub's references are one task's only to read
+    out = out.join(places.repartition(n, "other").hint("shuffle_hash"), "other").filter(keeps_derived(F.col("repository"), include_derived, repository))
     if repository:
         out = out.filter(F.col("repository") == repository)
     if language:
@@ -68,8 +72,12 @@ def reference_order() -> list[Column]:
 
 
 def reference_files(references: DataFrame) -> DataFrame:
-    """The files view: how many references each file holds."""
-    return references.groupBy("root", "repository", "path").agg(F.count("*").alias("n"))
+    """The files view: how many references each file holds.
+
+    They are dealt out once by what is counted: hardly two in a part of the join are of one root and file.
+    """
+    by = ("root", "repository", "path")
+    return references.select(*by).repartition(parts(references), *by).groupBy(*by).agg(F.count("*").alias("n"))
 
 
 def coverage(rows: DataFrame, *by: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """What one task reads or holds doesn't grow with the table."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from factlake.functions import parts
 from factlake.operators import factsets, integrity
 from factlake.plans.queries import OF_GRAPH
 from factlake.sources.project import project
@@ -36,3 +39,30 @@ def test_a_scan_deals_out_no_texts(spark, sf):
     rows = [tuple(r) for r in out.collect()]
     assert rows == sorted(rows) and {r[0] for r in rows} == {"repositories", "packages", "files", "symbols", "edges", "unresolved"}
     assert {r["table"] for r in scan(project(spark, sf), with_edges=False).select("table").distinct().collect()} == {r[0] for r in rows} - {"edges"}
+
+
+def test_parts_follow_the_files(spark, sf, tmp_path, monkeypatch):
+    folder, own = f"{tmp_path}/a b%20c", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(1000).repartition(2).write.parquet(folder)
+    df = spark.read.parquet(folder)
+    assert parts.parts(df) == own and parts.parts(spark.range(10)) == own
+    size = sum(f.stat().st_size for f in (tmp_path / "a b%20c").glob("*.parquet"))
+    monkeypatch.setattr(parts, "BYTES_OF_PART", 100)
+    assert parts.parts(df) == parts.parts(df, df.union(df)) == -(-size // 100) > own
+
+
+def _dealt(df):
+    """The keys and numbers of parts that are asked for, and the whole plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {(re.sub(r"#\d+", "", k), int(n)) for k, n in re.findall(r"hashpartitioning\(([^()]*), (\d+)\), REPARTITION_BY_NUM", plan)}, plan
+
+
+def test_reference_files_are_dealt_out_by_size(spark, sf, monkeypatch):
+    want = sorted(map(tuple, OF_GRAPH["q11_reference_files"](project(spark, sf)).collect()))
+    monkeypatch.setattr(parts, "BYTES_OF_PART", 5_000)
+    g = project(spark, sf)
+    out = OF_GRAPH["q11_reference_files"](g)
+    dealt, plan = _dealt(out)
+    n = parts.parts(g.edges, g.symbols, g.files, g.packages, g.repositories)
+    assert n > 4 and {("root", n), ("root, repository, path", n)} <= dealt
+    assert not re.search(r"Sort \[other", plan) and sorted(map(tuple, out.collect())) == want
