@@ -25,3 +25,22 @@ def test_no_root_goes_row_by_row_for_what_its_ends_do_not_have(spark, monkeypatc
     monkeypatch.setattr(traverse, "_by_rows", lambda *a: asked.append(1) or rows(*a))
     got = traverse.traverse(chain(spark), spark.createDataFrame([("a", "a")], "root string, id string"), "outgoing", 5, 25_000).orderBy("pos")
     assert [(r.id, r.depth) for r in got.collect()] == [("a", 0), ("b", 1), ("x", 1), ("c", 2), ("y", 2)] and not asked
+
+
+def test_a_level_that_cannot_lead_on_is_not_written(spark):
+    levels = traverse.walk(chain(spark), spark.createDataFrame([("a", "a")], "root string, id string"), "outgoing", 5, 100)
+    assert len(levels) == 3 and "front" not in levels[-1].columns
+    assert [[x.id for r in v.collect() for x in r.fresh] for v in levels] == [["a"], ["b", "x"], ["c", "y"]]
+
+
+def test_lists_lie_in_buckets_of_their_near_ends(spark, monkeypatch):
+    held, by = [], traverse._by_lists
+    monkeypatch.setattr(traverse, "_by_lists", lambda state, lists, *a: held.append(lists) or by(state, lists, *a))
+    traverse.walk(chain(spark), spark.createDataFrame([("a", "a")], "root string, id string"), "outgoing", 2, 100)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = traverse.met(spark.range(9).select(F.col("id").cast("string").alias("near")), held[0])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange hashpartitioning") == 1  # the frontier's
