@@ -27,6 +27,16 @@ def test_no_root_goes_row_by_row_for_what_its_ends_do_not_have(spark, monkeypatc
     assert [(r.id, r.depth) for r in got.collect()] == [("a", 0), ("b", 1), ("x", 1), ("c", 2), ("y", 2)] and not asked
 
 
+def test_paths_to_targets_deal_out_no_visits(spark):
+    sources = spark.createDataFrame([("a",), ("b",), ("y",)], "source string")
+    targets = spark.createDataFrame([("y",), ("y",), ("c",), ("a",), (None,)], "target string")
+    found = traverse.shortest_paths(chain(spark), sources, targets=targets)
+    assert {(r.source, r.target): (r.length, r.path) for r in found.collect()} == {
+        ("a", "a"): (0, ["a"]), ("a", "c"): (2, ["a", "b", "c"]), ("a", "y"): (2, ["a", "b", "y"]), ("b", "c"): (1, ["b", "c"]), ("b", "y"): (1, ["b", "y"]), ("y", "y"): (0, ["y"]),
+    }
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_level_that_cannot_lead_on_is_not_written(spark):
     levels = traverse.walk(chain(spark), spark.createDataFrame([("a", "a")], "root string, id string"), "outgoing", 5, 100)
     assert len(levels) == 3 and "front" not in levels[-1].columns
