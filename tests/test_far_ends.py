@@ -54,3 +54,15 @@ def test_lists_lie_in_buckets_of_their_near_ends(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert plan.count("Exchange hashpartitioning") == 1  # the frontier's
+
+
+def test_a_neighborhood_joins_levels_as_they_lie(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = traverse.neighborhood(chain(spark), spark.createDataFrame([("a",), ("b",)], "root string"), 2, 100)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.root, r.pos, r.id) for r in got.collect()) == [("a", 1, "a"), ("a", 2, "b"), ("a", 3, "x"), ("a", 4, "c"), ("a", 5, "y"), ("b", 1, "b"), ("b", 2, "c"), ("b", 3, "y"), ("b", 4, "a")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "Exchange" not in plan
